@@ -18,7 +18,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .common import ascii_lower, shared_dir, staged, table
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STORE = "spark.sql.streaming.stateStore"
+#: State on disk; changes are uploaded as logs. Many small stores would each reserve megabytes if RocksDB could allocate ahead.
+STORE = {
+    f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORE}.rocksdb.allowFAllocate": "false",
+}
 STATE = "digest string, keep_id long, locator string, group_size long"
 
 
@@ -36,9 +42,9 @@ def state_of(spark: SparkSession, landed: str, checkpoint: str, out: str) -> Dat
 
     The stream writes each trigger's changed keys to `out`; a key's newest row is that with the most rows counted.
     """
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider, None)
-    spark.conf.set(provider, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         rows = spark.readStream.schema("doc_id long, digest string, locator string").parquet(landed)
         kept = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order"), "doc_id", "locator")).alias("keep")
@@ -51,7 +57,8 @@ def state_of(spark: SparkSession, landed: str, checkpoint: str, out: str) -> Dat
         query = changed.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.unset(provider) if before is None else spark.conf.set(provider, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     try:
         states = spark.read.schema(STATE + ", epoch int").parquet(out)
     except Exception as e:  # nothing has ever come: there is no folder
