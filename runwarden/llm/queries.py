@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from .bpe import op7_bpe
+from .embedding import op4_embedding_ego
 from .exact import OP9_SQL, op9_exact_dedup
 from .mixing import OP6_SQL, op6_mixing
+from .quality import op8_quality
+from .secrets import op5_secrets
 from .simhash import op10_simhash
+from .urls import op3_url_filter
 
 QUERIES = {
+    "op3_url_filter": op3_url_filter,
+    "op4_embedding_ego": op4_embedding_ego,
+    "op5_secrets": op5_secrets,
     "op6_mixing": op6_mixing,
+    "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
 }
