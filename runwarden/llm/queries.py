@@ -9,9 +9,13 @@ from .mixing import OP6_SQL, op6_mixing
 from .quality import op8_quality
 from .secrets import op5_secrets
 from .simhash import op10_simhash
+from .suffix_array import op2_substring_suffix_array
+from .suffix_tree import op1_substring_suffix_tree
 from .urls import op3_url_filter
 
 QUERIES = {
+    "op1_substring_suffix_tree": op1_substring_suffix_tree,
+    "op2_substring_suffix_array": op2_substring_suffix_array,
     "op3_url_filter": op3_url_filter,
     "op4_embedding_ego": op4_embedding_ego,
     "op5_secrets": op5_secrets,
