@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import table, texts
+from .common import small_batches, table, texts
 
 BUCKETS, DIMS, MARKS = 1 << 15, 48, 6
 REACH = 2
@@ -188,6 +188,7 @@ def held_out(doc_id):
 def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """docs' columns `keep` (all by default) and score: from the whole text alone. Null texts count as empty; rows stay rows."""
     keep = docs.columns if keep is None else keep
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     # The text travels in a column of its own name, so that no column of docs can clash with it.
     rows = docs.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(keep)), F.coalesce("text", F.lit("")).alias("text_"))

@@ -193,6 +193,8 @@ def with_ranges(docs: DataFrame, ranges: DataFrame) -> DataFrame:
 # ---- windows of contexts -------------------------------------------------------------------------------------------------------
 #: Contexts under one gram from which its windows are filed one by one, under their own whole names.
 CROWD = 96
+#: Single windows that a task holds until it sends one of each.
+WINDOWS = 400_000
 SENT = "key long, kind int, ctx binary, start long, wins int, second long, n int, dk long, tag int"
 
 
@@ -205,7 +207,7 @@ def send(sizes: int, key, kind, ctx, start, wins, second, n, dk, tag) -> pa.Reco
 class Sender:
     """Turns the anchors chosen in documents into rows: contexts (kind 0) or, under crowded grams, single windows (kind 1).
 
-    Windows that repeat within a batch are decided there (kind 2: ranges), and one of each goes on, marked as decided (n = 2).
+    Windows that repeat among those that a task holds are decided there (kind 2: ranges), and one of each goes on, marked as decided (n = 2).
     """
 
     def __init__(self, window: int, slices, window_names):
@@ -213,8 +215,8 @@ class Sender:
         self.window, self.slices, self.window_names = window, slices, window_names
 
     def __call__(self, batches):
+        rows, single, windows = [], [], 0
         for b in batches:
-            rows, single = [], []
             for dk, tag, text, picks in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 cut = self.slices(text).cut
                 starts = []
@@ -225,23 +227,37 @@ class Sender:
                         rows.append((key, cut(low, high + self.window), low, high - low + 1, dk, tag))
                 if starts:
                     s = np.unique(np.concatenate(starts))
-                    a, c = self.window_names(text, s)
-                    single.append((a, c, s, np.full(len(s), dk, np.int64), np.full(len(s), tag, np.int64)))
-            for i in range(0, len(rows), 4000):
-                key, ctx, low, wins, dk, tag = map(list, zip(*rows[i : i + 4000], strict=True))
-                yield send(len(key), key, 0, ctx, low, wins, 0, 1, dk, tag)
-            if single:
-                a, c, s, dk, tag = (np.concatenate(x) for x in zip(*single, strict=True))
-                order = np.lexsort((s, tag, dk, c, a))
-                a, c, s, dk, tag = (x[order] for x in (a, c, s, dk, tag))
-                first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
-                count = np.diff(np.append(first, len(a)))
-                for i in range(0, len(first), 50_000):
-                    f = first[i : i + 50_000]
-                    yield send(len(f), a[f].view(np.int64), 1, None, s[f], 1, c[f].view(np.int64), np.minimum(count[i : i + 50_000], 2), dk[f], tag[f])
-                twice = np.repeat(count, count) > 1
-                for d, t, x, y in joined_ranges(dk[twice], tag[twice], s[twice], self.window):
-                    yield send(len(d), d, 2, None, x, 0, y, 0, d, t)
+                    first, second = self.window_names(text, s)
+                    single.append((first, second, s, np.full(len(s), dk, np.int64), np.full(len(s), tag, np.int64)))
+                    windows += len(s)
+                if len(rows) >= 2000:
+                    yield from self.contexts(rows)
+                    rows = []
+                if windows >= WINDOWS:
+                    yield from self.windows(single)
+                    single, windows = [], 0
+        yield from self.contexts(rows)
+        yield from self.windows(single)
+
+    def contexts(self, rows):
+        if rows:
+            key, ctx, low, wins, dk, tag = map(list, zip(*rows, strict=True))
+            yield send(len(key), key, 0, ctx, low, wins, 0, 1, dk, tag)
+
+    def windows(self, single):
+        if not single:
+            return
+        a, c, s, dk, tag = (np.concatenate(x) for x in zip(*single, strict=True))
+        order = np.lexsort((s, tag, dk, c, a))
+        a, c, s, dk, tag = (x[order] for x in (a, c, s, dk, tag))
+        first = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (c[1:] != c[:-1])]))
+        count = np.diff(np.append(first, len(a)))
+        for i in range(0, len(first), 50_000):
+            f = first[i : i + 50_000]
+            yield send(len(f), a[f].view(np.int64), 1, None, s[f], 1, c[f].view(np.int64), np.minimum(count[i : i + 50_000], 2), dk[f], tag[f])
+        twice = np.repeat(count, count) > 1
+        for d, t, x, y in joined_ranges(dk[twice], tag[twice], s[twice], self.window):
+            yield send(len(d), d, 2, None, x, 0, y, 0, d, t)
 
 
 def joined_ranges(dk, tag, start, window):

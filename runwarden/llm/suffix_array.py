@@ -212,8 +212,9 @@ def _uncovered(window: int):
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of bytes under windows that occur elsewhere; docs as keyed() gives them."""
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = staged(rows.mapInArrow(scan(window, gram, False), STRETCHES).join(census.select("key"), "key", "left_semi"), "stretches")
+    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
+    live = staged(rows.mapInArrow(scan(window, gram, False), STRETCHES).join(census, "key", "left_semi"), "stretches")
     spans = staged(ranked_spans(live, window), "spans")
     packed = F.col("packed")
     serving = live.where("serves").select("dk", R.tag_of(packed).alias("tag"), "key", R.low_of(packed).alias("start"), (R.high_of(packed) + window).alias("stop"), F.lit(0).alias("span"))

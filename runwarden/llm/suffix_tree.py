@@ -114,8 +114,9 @@ def subtree_repeats(window: int, step: int = RANGE):
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of words under windows that occur elsewhere; docs as keyed() gives them."""
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    live = rows.mapInArrow(scan(window, gram, False), ANCHORS).join(census.select("key"), "key", "left_semi")
+    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
+    live = rows.mapInArrow(scan(window, gram, False), ANCHORS).join(census, "key", "left_semi")
     live = staged(live, "anchors")
     stretches = staged(live.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("dk", "packed")).alias("head")), "stretches")
     many = staged(stretches.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
