@@ -1 +1,197 @@
-"""Queries."""
+"""Queries of trust rules over joined rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from ..functions import testviews as V
+from ..operators.normalise import purl_identity
+from .registry import query
+
+IMAGE_SQL = """WITH RECURSIVE i AS (SELECT c_custkey AS image, 'k' || (c_custkey % 6) AS key_id, c_custkey % 40 AS t0, 'b' || (c_custkey % 9) AS builder, c_acctbal >= 0 AS trans, c_nationkey FROM customer),
+ks AS (SELECT * FROM (VALUES ('k0', 'active', 0), ('k1', 'revoked', 0), ('k2', 'disabled', 0), ('k3', 'rotated', 20)) AS x(key_id, state, since)),
+k AS (SELECT i.*, CASE WHEN image % 10 = 0 THEN NULL WHEN state IS NULL THEN false WHEN state = 'active' THEN true WHEN state = 'rotated' THEN t0 < since ELSE false END AS ok_key FROM i LEFT JOIN ks USING (key_id)),
+f AS (SELECT image, bool_or(c_nationkey % 7 = 3) AS bad FROM i GROUP BY 1),
+s AS (SELECT k.*, builder NOT IN ('b4', 'b7') AS ok_builder, NOT f.bad AS ok_comp FROM k JOIN f USING (image))"""
+
+
+def images(spark, d):
+    return V.load(spark, d, "customer").selectExpr("c_custkey AS image", "concat('k', c_custkey % 6) AS key_id", "c_custkey % 40 AS t0", "concat('b', c_custkey % 9) AS builder", "c_acctbal >= 0 AS trans", "c_nationkey")
+
+
+def key_check(state: Column, t0: Column, since: Column, has_key: Column) -> Column:
+    """Null without a key; an unknown key fails; a rotated one holds for what was signed before."""
+    return F.when(has_key, F.when(state == "active", True).when(state == "rotated", t0 < since).otherwise(False))
+
+
+def checked(spark, d) -> DataFrame:
+    states = spark.createDataFrame([("k0", "active", 0), ("k1", "revoked", 0), ("k2", "disabled", 0), ("k3", "rotated", 20)], "key_id string, state string, since long")
+    deny = spark.createDataFrame([("b4",), ("b7",)], "builder string").withColumn("denied", F.lit(True))
+    rows = images(spark, d).join(F.broadcast(states), "key_id", "left").join(F.broadcast(deny), "builder", "left")
+    rows = rows.withColumn("ok_key", key_check(F.col("state"), F.col("t0"), F.col("since"), F.col("image") % 10 != 0))
+    return rows.withColumn("ok_builder", F.col("denied").isNull()).withColumn("ok_comp", F.col("c_nationkey") % 7 != 3)
+
+
+@query("tru_key", IMAGE_SQL + " SELECT image, ok_key FROM s")
+def tru_key(spark, d):
+    return checked(spark, d).select("image", "ok_key")
+
+
+@query("tru_builder", IMAGE_SQL + " SELECT image, ok_builder FROM s")
+def tru_builder(spark, d):
+    return checked(spark, d).select("image", "ok_builder")
+
+
+@query("tru_component", IMAGE_SQL + " SELECT image, ok_comp FROM s")
+def tru_component(spark, d):
+    """A malicious-package advisory on a component fails; others are only reported."""
+    found = images(spark, d).select("image", F.concat(F.when(F.col("c_nationkey") % 7 == 3, "MAL-").otherwise("CVE-"), F.col("c_nationkey")).alias("advisory"))
+    return found.groupBy("image").agg((~F.bool_or(F.col("advisory").startswith("MAL-"))).alias("ok_comp"))
+
+
+@query("tru_evaluate", IMAGE_SQL + " SELECT image, coalesce(ok_key, true) AND trans AND ok_builder AND ok_comp AS trusted, concat_ws(',', CASE WHEN NOT ok_key THEN 'key' END, CASE WHEN NOT trans THEN 'trans' END, CASE WHEN NOT ok_builder THEN 'builder' END, CASE WHEN NOT ok_comp THEN 'comp' END) AS failed FROM s")
+def tru_evaluate(spark, d):
+    """Trusted if no check is false; a null check passes."""
+    names = {"key": "ok_key", "trans": "trans", "builder": "ok_builder", "comp": "ok_comp"}
+    checks = F.array(*(F.col(c) for c in names.values()))
+    failed = F.concat_ws(",", *(F.when(~F.col(c), n) for n, c in names.items()))
+    return checked(spark, d).select("image", (~F.exists(checks, lambda x: F.coalesce(~x, F.lit(False)))).alias("trusted"), failed.alias("failed"))
+
+
+@query("tru_sig_only", IMAGE_SQL + " SELECT image FROM s WHERE NOT (coalesce(ok_key, true) AND trans AND ok_builder AND ok_comp) AND ok_key IS DISTINCT FROM false AND trans")
+def tru_sig_only(spark, d):
+    """Untrusted for reasons other than the key and the log."""
+    rows = checked(spark, d).where("not (coalesce(ok_key, true) and trans and ok_builder and ok_comp)")
+    return rows.where("coalesce(ok_key, true) and trans").select("image")
+
+
+def folded_root(leaf: Column, index: Column, size: Column, hashes: Column) -> Column:
+    """RFC 6962 inclusion: the root that a leaf hash, its index, the tree's size and the audit path give; null if the path's length is wrong."""
+    node = lambda a, b: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)
+    start = F.struct(index.cast("bigint").alias("fn"), (size - 1).cast("bigint").alias("sn"), leaf.alias("r"), F.lit(False).alias("err"))
+
+    def step(s, h):
+        fn, sn = s["fn"], s["sn"]
+        left = (fn.bitwiseAND(F.lit(1)) == 1) | (fn == sn)
+        skip = F.when(left & (fn.bitwiseAND(F.lit(1)) == 0) & (fn != 0), F.bit_count(fn.bitwiseAND(-fn) - 1)).otherwise(0)
+        return F.struct(
+            F.floor(fn / F.pow(F.lit(2.0), skip + 1)).cast("bigint").alias("fn"), F.floor(sn / F.pow(F.lit(2.0), skip + 1)).cast("bigint").alias("sn"), F.when(left, node(h, s["r"])).otherwise(node(s["r"], h)).alias("r"), (s["err"] | (sn == 0)).alias("err")
+        )
+
+    return F.aggregate(hashes, start, step, lambda s: F.when(~s["err"] & (s["sn"] == 0), s["r"]))
+
+
+@query("tru_inclusion", "WITH x AS (SELECT c_custkey AS i, sha256('leaf' || c_custkey) AS a, sha256('leaf' || (c_custkey + 1)) AS b FROM customer WHERE c_custkey % 2 = 0) SELECT i, sha256(unhex('01' || a || b)) AS root FROM x")
+def tru_inclusion(spark, d):
+    """Trees of two leaves; the left leaf's path is the right leaf."""
+    leaf = lambda c: F.sha2(F.concat(F.lit("leaf"), c.cast("string")), 256)
+    c = V.load(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("i"), leaf(F.col("c_custkey")).alias("a"), leaf(F.col("c_custkey") + 1).alias("b"))
+    return c.select("i", folded_root(F.col("a"), F.lit(0), F.lit(2), F.array("b")).alias("root"))
+
+
+@query("tru_evidence_admit", "SELECT c_custkey AS image, c_custkey % 2 = 0 AND c_custkey % 3 <> 1 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 2 AS admitted FROM customer")
+def tru_evidence_admit(spark, d):
+    """Signature entry, both statements with all subjects of the digest, a builder, a commit."""
+    c = V.load(spark, d, "customer").selectExpr("c_custkey AS image", "sha2(CAST(c_custkey AS STRING), 256) AS digest", "c_custkey % 2 = 0 AS signed", "CASE WHEN c_custkey % 3 = 1 THEN 'other' ELSE 'https://cyclonedx.org/bom' END AS predicate",
+        "CASE WHEN c_custkey % 5 = 0 THEN array(sha2(CAST(c_custkey AS STRING), 256), 'x') ELSE array(sha2(CAST(c_custkey AS STRING), 256)) END AS subject", "CASE WHEN c_custkey % 7 = 2 THEN 'main' ELSE sha1(CAST(c_custkey AS STRING)) END AS commit")
+    ok = F.col("signed") & (F.col("predicate") == "https://cyclonedx.org/bom") & F.forall("subject", lambda s: s == F.col("digest")) & F.col("commit").rlike("^[0-9a-f]{40}$")
+    return c.select("image", ok.alias("admitted"))
+
+
+@query("tru_admission_binding", V.with_views("v_binding") + " SELECT container_id, coalesce(run_as_root, privileged, true) AS root, privileged AND verified AS privileged, list_sort(list_distinct(list_concat(mounts, ['/proc', '/dev']))) AS mounts FROM v_binding")
+def tru_admission_binding(spark, d):
+    b = V.v_binding(spark, d)
+    managed = F.array(F.lit("/proc"), F.lit("/dev"))
+    return b.select("container_id", F.coalesce("run_as_root", "privileged", F.lit(True)).alias("root"), (F.col("privileged") & F.col("verified")).alias("privileged"), F.array_sort(F.array_union("mounts", managed)).alias("mounts"))
+
+
+@query("tru_zero_day", "SELECT 'spec_first' AS check_name, CASE WHEN (SELECT min(l_shipdate) FROM lineitem) < (SELECT min(o_orderdate) FROM orders) THEN 'pass' ELSE 'fail' END AS result UNION ALL SELECT 'artefacts_undeclared', CASE WHEN (SELECT count(*) FROM part p JOIN supplier s ON p.p_partkey = s.s_suppkey) = 0 THEN 'pass' ELSE 'fail' END UNION ALL SELECT 'rules_default', 'skip'")
+def tru_zero_day(spark, d):
+    """One small table per leakage check."""
+    first = V.load(spark, d, "lineitem").agg(F.min("l_shipdate").alias("a")).crossJoin(V.load(spark, d, "orders").agg(F.min("o_orderdate").alias("b")))
+    spec = first.select(F.lit("spec_first").alias("check_name"), F.when(F.col("a") < F.col("b"), "pass").otherwise("fail").alias("result"))
+    shared = V.load(spark, d, "part").join(V.load(spark, d, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left_semi").agg(F.count("*").alias("n"))
+    artefacts = shared.select(F.lit("artefacts_undeclared").alias("check_name"), F.when(F.col("n") == 0, "pass").otherwise("fail").alias("result"))
+    return spec.unionByName(artefacts).unionByName(spark.range(1).select(F.lit("rules_default").alias("check_name"), F.lit("skip").alias("result")))
+
+
+@query("tru_digest_audit", "SELECT lang AS digest, count(*) AS n, count(*) FILTER (doc_id % 10 = 0) AS wrong FROM documents GROUP BY 1")
+def tru_digest_audit(spark, d):
+    """Contents against declared digests; every tenth declares another."""
+    rows = V.load(spark, d, "documents").select("lang", F.sha2("text", 256).alias("own"), F.when(F.col("doc_id") % 10 == 0, F.sha2(F.concat("text", F.lit("x")), 256)).otherwise(F.sha2("text", 256)).alias("declared"))
+    return rows.groupBy(F.col("lang").alias("digest")).agg(F.count("*").alias("n"), F.count_if(F.col("own") != F.col("declared")).alias("wrong"))
+
+
+@query("join_advisory_package", "WITH a AS (SELECT s_suppkey AS adv, 'n' || (s_suppkey % 30) AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'ns' || (s_suppkey % 2) END AS ns, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE ['1.' || (s_suppkey % 5), '1.9'] END AS versions FROM supplier), p AS (SELECT p_partkey, 'n' || (p_partkey % 60) AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ns' || (p_partkey % 2) END AS ns, '1.' || (p_size % 10) AS version FROM part) SELECT adv, p_partkey FROM a JOIN p ON a.name = p.name AND (a.ns IS NULL OR p.ns IS NULL OR a.ns = p.ns) AND (versions IS NULL OR list_contains(versions, version))")
+def join_advisory_package(spark, d):
+    """Name equal, namespace equal or either unknown, version listed or none listed."""
+    a = V.load(spark, d, "supplier").selectExpr("s_suppkey AS adv", "concat('n', s_suppkey % 30) AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('ns', s_suppkey % 2) END AS ans", "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE array(concat('1.', s_suppkey % 5), '1.9') END AS versions")
+    purl = V.load(spark, d, "part").selectExpr("p_partkey", "concat('pkg:t/', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('ns', p_partkey % 2, '/') END, 'n', p_partkey % 60, '@1.', p_size % 10) AS purl")
+    p = purl.select("p_partkey", *(c.alias(n) for n, c in purl_identity(F.col("purl")).items()))
+    rows = a.join(p, "name").where("(ans is null or namespace is null or ans = namespace) and (versions is null or array_contains(versions, version))")
+    return rows.select("adv", "p_partkey")
+
+
+@query("join_finding_layers", V.with_views("v_file") + " SELECT digest, package, list_sort(list(DISTINCT layer)) AS layers FROM v_file WHERE package LIKE '%p1@%' GROUP BY 1, 2")
+def join_finding_layers(spark, d):
+    return V.v_file(spark, d).where("package like '%p1@%'").groupBy("digest", "package").agg(F.sort_array(F.collect_set("layer")).alias("layers"))
+
+
+@query("agg_runtime_state", V.with_views("v_alert") + " SELECT ns, bool_or(class <> 'trust' AND bucket IN ('critical', 'high', 'medium')) AS deviating FROM v_alert GROUP BY 1")
+def agg_runtime_state(spark, d):
+    return V.v_alert(spark, d).groupBy("ns").agg(F.bool_or((F.col("class") != "trust") & F.col("bucket").isin("critical", "high", "medium")).alias("deviating"))
+
+
+@query("join_owner_purl", "WITH f AS (SELECT p_partkey AS file, 'n' || (p_partkey % 50) AS name, CASE WHEN p_partkey % 3 = 0 THEN '2:' ELSE '' END || '1.' || (p_size % 6) AS version, CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'all' END AS arch FROM part), s AS (SELECT 'pkg:deb/n' || (s_suppkey % 50) || '@1.' || (s_suppkey % 6) || '?arch=' || CASE WHEN s_suppkey % 4 = 0 THEN 'amd64' ELSE 'all' END AS purl, 'n' || (s_suppkey % 50) AS name, '1.' || (s_suppkey % 6) AS version, CASE WHEN s_suppkey % 4 = 0 THEN 'amd64' ELSE 'all' END AS arch FROM supplier), j AS (SELECT f.file, s.purl, row_number() OVER (PARTITION BY f.file ORDER BY CASE WHEN f.arch = s.arch THEN 0 ELSE 1 END, s.purl) AS r FROM f JOIN s ON f.name = s.name AND (f.version = s.version OR regexp_replace(f.version, '^[0-9]+:', '') = s.version)) SELECT file, purl FROM j WHERE r = 1")
+def join_owner_purl(spark, d):
+    """By name and version, again without the epoch; of several, that of the own architecture, then the least."""
+    f = V.load(spark, d, "part").selectExpr("p_partkey AS file", "concat('n', p_partkey % 50) AS name", "concat(CASE WHEN p_partkey % 3 = 0 THEN '2:' ELSE '' END, '1.', p_size % 6) AS version", "CASE WHEN p_size % 2 = 0 THEN 'amd64' ELSE 'all' END AS arch")
+    s = V.load(spark, d, "supplier").selectExpr("concat('pkg:deb/n', s_suppkey % 50, '@1.', s_suppkey % 6, '?arch=', CASE WHEN s_suppkey % 4 = 0 THEN 'amd64' ELSE 'all' END) AS purl", "concat('n', s_suppkey % 50) AS name", "concat('1.', s_suppkey % 6) AS version", "CASE WHEN s_suppkey % 4 = 0 THEN 'amd64' ELSE 'all' END AS s_arch")
+    f = f.withColumn("version", F.explode(F.array_distinct(F.array(F.col("version"), F.regexp_replace("version", "^[0-9]+:", "")))))
+    return f.join(s, ["name", "version"]).groupBy("file").agg(F.min_by("purl", F.struct(F.col("arch") != F.col("s_arch"), "purl")).alias("purl"))
+
+
+@query("join_library_search", "WITH n AS (SELECT p_partkey AS lib, 'lib' || (p_partkey % 40) AS name, p_partkey % 3 AS dirset FROM part), dirs AS (SELECT ds, unnest([0, 1, 2, 3]) AS rank, unnest(CASE ds WHEN 0 THEN ['/a', '/b', '/lib', '/usr/lib'] WHEN 1 THEN ['/b', '/a', '/lib', '/usr/lib'] ELSE ['/usr/lib', '/lib', '/a', '/b'] END) AS dir FROM (VALUES (0), (1), (2)) AS x(ds)), f AS (SELECT CASE s_suppkey % 4 WHEN 0 THEN '/a' WHEN 1 THEN '/b' WHEN 2 THEN '/lib' ELSE '/usr/lib' END AS dir, 'lib' || (s_suppkey % 40) AS name FROM supplier) SELECT lib, arg_min(dirs.dir || '/' || n.name, rank) AS path FROM n JOIN dirs ON dirs.ds = n.dirset JOIN (SELECT DISTINCT * FROM f) f ON f.dir = dirs.dir AND f.name = n.name GROUP BY 1")
+def join_library_search(spark, d):
+    """The first hit along ordered search directories."""
+    orders = [("/a", "/b", "/lib", "/usr/lib"), ("/b", "/a", "/lib", "/usr/lib"), ("/usr/lib", "/lib", "/a", "/b")]
+    dirs = spark.createDataFrame([(s, r, x) for s, xs in enumerate(orders) for r, x in enumerate(xs)], "ds long, rank int, dir string")
+    n = V.load(spark, d, "part").selectExpr("p_partkey AS lib", "concat('lib', p_partkey % 40) AS name", "p_partkey % 3 AS ds")
+    f = V.load(spark, d, "supplier").selectExpr("element_at(array('/a', '/b', '/lib', '/usr/lib'), CAST(s_suppkey % 4 + 1 AS INT)) AS dir", "concat('lib', s_suppkey % 40) AS name").distinct()
+    hit = n.join(F.broadcast(dirs), "ds").join(f, ["dir", "name"])
+    return hit.groupBy("lib").agg(F.min_by(F.concat_ws("/", "dir", "name"), "rank").alias("path"))
+
+
+@query("join_path_search", "WITH c AS (SELECT c_custkey AS cmd, 'x' || (c_custkey % 30) AS name FROM customer), f AS (SELECT 'x' || (p_partkey % 30) AS name, CASE p_partkey % 3 WHEN 0 THEN '/usr/bin' WHEN 1 THEN '/bin' ELSE '/sbin' END AS dir, p_partkey % 3 AS rank, (p_size * 13) % 512 AS mode FROM part WHERE p_partkey < 90) SELECT cmd, arg_min(dir || '/' || c.name, rank) AS path FROM c JOIN f ON f.name = c.name WHERE mode & 73 <> 0 GROUP BY 1")
+def join_path_search(spark, d):
+    """The first executable along the path."""
+    c = V.load(spark, d, "customer").selectExpr("c_custkey AS cmd", "concat('x', c_custkey % 30) AS name")
+    f = V.load(spark, d, "part").where("p_partkey < 90").selectExpr("concat('x', p_partkey % 30) AS name", "element_at(array('/usr/bin', '/bin', '/sbin'), CAST(p_partkey % 3 + 1 AS INT)) AS dir", "p_partkey % 3 AS rank", "p_size * 13 % 512 AS mode")
+    hit = c.join(f.where(F.col("mode").bitwiseAND(F.lit(0o111)) != 0), "name")
+    return hit.groupBy("cmd").agg(F.min_by(F.concat_ws("/", "dir", "name"), "rank").alias("path"))
+
+
+@query("join_process_counters", "SELECT a.s_suppkey AS pid, CASE WHEN b.s_nationkey IS NULL OR b.s_nationkey <> a.s_nationkey % 20 THEN a.s_acctbal ELSE a.s_acctbal - b.s_acctbal / 2 END AS cpu FROM supplier a LEFT JOIN (SELECT * FROM supplier WHERE s_suppkey % 3 > 0) b ON a.s_suppkey = b.s_suppkey")
+def join_process_counters(spark, d):
+    """Counter differences by pid, only if the group is the same; else the whole value."""
+    s = V.load(spark, d, "supplier")
+    before = s.where("s_suppkey % 3 > 0").selectExpr("s_suppkey AS pid", "s_nationkey AS g0", "s_acctbal / 2 AS cpu0")
+    after = s.selectExpr("s_suppkey AS pid", "s_nationkey % 20 AS g1", "s_acctbal AS cpu1").join(before, "pid", "left")
+    return after.select("pid", F.when(F.col("g0") == F.col("g1"), F.col("cpu1") - F.col("cpu0")).otherwise(F.col("cpu1")).alias("cpu"))
+
+
+@query("join_k_syscalls", "SELECT DISTINCT c_nationkey AS image, 'sys' || (c_custkey % 15 + j) AS call FROM customer, (VALUES (0), (1)) AS x(j) UNION SELECT DISTINCT c_nationkey, 'exit' FROM customer")
+def join_k_syscalls(spark, d):
+    """Imported functions to system calls by a map table, and what every binary needs."""
+    imports = V.load(spark, d, "customer").selectExpr("c_nationkey AS image", "concat('fn', c_custkey % 15) AS fn")
+    table_ = spark.createDataFrame([(f"fn{i}", [f"sys{i}", f"sys{i + 1}"]) for i in range(15)], "fn string, calls array<string>")
+    used = imports.join(F.broadcast(table_), "fn").select("image", F.explode("calls").alias("call"))
+    return used.union(imports.select("image", F.lit("exit"))).distinct()
+
+
+@query("str_binding_upsert", V.with_views("v_binding") + ", u AS (SELECT 'c' || (user_id % 20) AS container_id, event_id AS v, event_type = 'error' AS gone FROM events) SELECT container_id, max(v) AS version FROM u GROUP BY 1 HAVING NOT arg_max(gone, v)")
+def str_binding_upsert(spark, d):
+    """The newest snapshot of each container; deleted ones go."""
+    u = V.load(spark, d, "events").selectExpr("concat('c', user_id % 20) AS container_id", "event_id AS v", "event_type = 'error' AS gone")
+    newest = u.withColumn("r", F.row_number().over(Window.partitionBy("container_id").orderBy(F.desc("v")))).where("r = 1 and not gone")
+    return newest.select("container_id", F.col("v").alias("version"))
