@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import partitions_of, staged, table
 from .components import UnionFind, connected_components
@@ -86,18 +86,18 @@ def _ordered(axes: np.ndarray, eps: float, k: int):
 
 
 def _intervals(axes: np.ndarray, k: int):
-    """Numbers the rows of a sorted partition by interval."""
+    """Numbers the rows of a sorted partition, and adds their leading coordinates."""
 
     def run(batches):
         at, part = 0, TaskContext.get().partitionId()
         for b in batches:
             n = b.num_rows
-            interval = (np.int64(part) << np.int64(32)) + (at + np.arange(n, dtype=np.int64)) // INTERVAL
+            place = at + np.arange(n, dtype=np.int64)
             at += n
             lead = _units(_matrix(b.column(1), k)) @ axes[:, : min(BOX_DIMS, k)] if n else np.zeros((0, min(BOX_DIMS, k)))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(interval), pa.array(list(lead), pa.list_(pa.float64()))],
-                names=["vec_id", "v", "copies", "cells", "interval", "lead"],
+                [b.column(0), b.column(1), b.column(2), b.column(3), pa.array(np.full(n, part), pa.int32()), pa.array(place), pa.array(list(lead), pa.list_(pa.float64()))],
+                names=["vec_id", "v", "copies", "cells", "part", "place", "lead"],
             )
 
     return run
@@ -228,7 +228,12 @@ def _links(reps: DataFrame, k: int, eps: float, cosine: float) -> DataFrame:
     n = partitions_of(reps)
     sorted_ = reps.select("vec_id", "v", "copies").mapInArrow(_ordered(axes, eps, k), "vec_id long, v array<double>, copies long, cells array<int>")
     sorted_ = staged(sorted_, "cells").repartitionByRange(max(1, min(n, 1 + reps.count() // INTERVAL)), "cells").sortWithinPartitions("cells")
-    seq = staged(sorted_.mapInArrow(_intervals(axes, k), "vec_id long, v array<double>, copies long, cells array<int>, interval long, lead array<double>"), "sequence")
+    seq = staged(sorted_.mapInArrow(_intervals(axes, k), "vec_id long, v array<double>, copies long, cells array<int>, part int, place long, lead array<double>"), "sequence")
+    # Intervals run on over the parts of the sorted sequence; one row per part says where it begins.
+    parts = seq.groupBy("part").agg(F.count("*").alias("n"))
+    begin = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = staged(parts.select("part", begin.alias("begin")), "parts")
+    seq = seq.join(F.broadcast(begins), "part").withColumn("interval", F.floor((F.col("begin") + F.col("place")) / INTERVAL))
     dims = min(BOX_DIMS, k)
     box = [f(F.col("lead")[i]).alias(f"{name}{i}") for i in range(dims) for f, name in ((F.min, "lo"), (F.max, "hi"))]
     boxes = staged(seq.groupBy("interval").agg(*box), "boxes")
