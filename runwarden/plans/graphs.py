@@ -1 +1,128 @@
-"""Queries."""
+"""Queries over graphs: dependency depth and paths, closure, links, layers, owners."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import testviews as V
+from ..operators import graph as G
+from .registry import query
+
+EDGE_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 4 AS digest, l_partkey % 400 AS src, l_partkey % 400 + 1 + l_suppkey % 13 AS dst FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 400 % 5 <> 0)"
+
+
+def v_edge(spark, d):
+    """Dependency edges of four images, always from a smaller to a greater node."""
+    return V.load(spark, d, "lineitem").where("l_linenumber <= 2 AND l_partkey % 400 % 5 <> 0").selectExpr("l_suppkey % 4 AS digest", "l_partkey % 400 AS src", "l_partkey % 400 + 1 + l_suppkey % 13 AS dst").distinct()
+
+
+@query("gr_dependency_depth", EDGE_SQL + ", root AS (SELECT DISTINCT digest, src AS node FROM e EXCEPT SELECT digest, dst FROM e), r AS (SELECT digest, node, 1 AS depth FROM root UNION SELECT r.digest, e.dst, r.depth + 1 FROM r JOIN e ON e.digest = r.digest AND e.src = r.node), n AS (SELECT digest, src AS node FROM e UNION SELECT digest, dst FROM e) SELECT n.digest, n.node, min(r.depth) AS depth FROM n LEFT JOIN r ON r.digest = n.digest AND r.node = n.node GROUP BY 1, 2")
+def gr_dependency_depth(spark, d):
+    return G.depths(v_edge(spark, d), ["digest"])
+
+
+@query("gr_sbom_edges", EDGE_SQL + " SELECT digest, src, dst FROM e WHERE src <> dst")
+def gr_sbom_edges(spark, d):
+    return v_edge(spark, d).where("src <> dst")
+
+
+@query("gr_dependency_path", EDGE_SQL + ", root AS (SELECT DISTINCT digest, src AS node FROM e EXCEPT SELECT digest, dst FROM e), r AS (SELECT digest, node, [node] AS path FROM root WHERE node < 40 UNION SELECT r.digest, e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.digest = r.digest AND e.src = r.node WHERE len(r.path) <= 3) SELECT digest, node, min(len(path)) - 1 AS hops FROM r GROUP BY 1, 2")
+def gr_dependency_path(spark, d):
+    """Shortest paths of at most three edges from the roots below 40 (ties by nodes); their lengths are compared."""
+    e = v_edge(spark, d)
+    roots = e.select("digest", F.col("src").alias("node")).distinct().join(e.select("digest", F.col("dst").alias("node")).distinct(), ["digest", "node"], "left_anti").where("node < 40")
+    return G.shortest_paths(roots, e, ["digest"], 3).select("digest", "node", (F.size("path") - 1).alias("hops"))
+
+
+@query("gr_closure_reach", EDGE_SQL + ", r AS (SELECT 7 AS id UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT id FROM r")
+def gr_closure_reach(spark, d):
+    start = spark.range(1).select(F.lit(7).cast("long").alias("id"))
+    return G.reachable(start, v_edge(spark, d).select("src", "dst"))
+
+
+def resolve_links(paths, links, rounds: int = 40):
+    """(digest, path, real): each round replaces the first linked prefix of a path; more than `rounds` hops are a loop: null. Targets are
+    absolute or relative to the link's folder; a link without target gives null."""
+    from ..operators.normalise import normal_path
+
+    todo = paths.select("digest", "path", F.col("path").alias("now"))
+    done = None
+    links = links.select("digest", F.col("path").alias("link"), "target")
+    for _ in range(rounds):
+        parts = F.slice(F.split("now", "/"), 2, 1 << 30)
+        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
+        each = todo.select("digest", "path", "now", F.explode(prefixes).alias("link")).join(links.withColumn("hit", F.lit(True)), ["digest", "link"])
+        first = each.groupBy("digest", "path").agg(F.min_by(F.struct("link", "target"), F.length("link")).alias("l"))
+        rows = todo.join(first, ["digest", "path"], "left")
+        ended = rows.where("l is null").select("digest", "path", F.col("now").alias("real"))
+        dangling = rows.where("l is not null and l.target is null").select("digest", "path", F.lit(None).cast("string").alias("real"))
+        ended = ended.unionByName(dangling)
+        rest = F.substring("now", F.length("l.link") + 1, F.lit(1 << 30))
+        folder = F.regexp_replace("l.link", "/[^/]*$", "")
+        target = F.when(F.col("l.target").startswith("/"), F.col("l.target")).otherwise(F.concat(folder, F.lit("/"), "l.target"))
+        todo = G.written(rows.where("l is not null and l.target is not null").select("digest", "path", normal_path(F.concat(target, rest)).alias("now")), "links")
+        done = ended if done is None else done.unionByName(ended)
+        done = G.written(done, "resolved")
+        if todo.isEmpty():
+            break
+    return done.unionByName(todo.select("digest", "path", F.lit(None).cast("string").alias("real")))
+
+
+@query("gr_symlink_resolve", V.with_views("v_file") + " SELECT digest, replace(path, '/d1/', '/alias/') AS path, CASE WHEN k % 10 = 2 THEN NULL WHEN k % 10 = 4 THEN NULL WHEN k % 10 = 3 THEN '/d5/real/f' || k ELSE path END AS real FROM v_file")
+def gr_symlink_resolve(spark, d):
+    """/alias leads over /hop to /d1; /d3 is relative; /d2 dangles; /d4 is a loop."""
+    links = spark.createDataFrame([("/alias", "hop"), ("/hop", "/d1"), ("/d3", "./d5/x/../real"), ("/d2", None), ("/d4", "/d4x"), ("/d4x", "/d4")], "path string, target string")
+    digests = V.v_file(spark, d).select("digest").distinct()
+    files = V.v_file(spark, d).select("digest", F.replace("path", F.lit("/d1/"), F.lit("/alias/")).alias("path"))
+    return resolve_links(files, digests.crossJoin(F.broadcast(links)))
+
+
+@query("gr_canonical_keys", V.with_views("v_file") + " SELECT digest, '/d' || (k % 5) || '/f' || (k % 20) AS path, max(layer) AS layer FROM v_file GROUP BY 1, 2")
+def gr_canonical_keys(spark, d):
+    """Keys below linked folders move to the real folder (here d5-d9 lead to d0-d4); the higher layer wins, then what was there."""
+    f = V.v_file(spark, d).select("digest", F.concat(F.lit("/d"), F.col("k") % 10, F.lit("/f"), F.col("k") % 20).alias("path"), "layer")
+    folder = F.regexp_extract("path", "^/d([0-9])/", 1).cast("int")
+    real = F.concat(F.lit("/d"), folder % 5, F.regexp_extract("path", "^/d[0-9](/.*)$", 1))
+    return f.groupBy("digest", real.alias("path")).agg(F.max_by("layer", F.struct("layer", folder < 5)).alias("layer"))
+
+
+@query("gr_all_dirs", V.with_views("v_file") + " SELECT DISTINCT digest, '/d' || (k % 10) AS dir FROM v_file UNION SELECT DISTINCT digest, '/' FROM v_file")
+def gr_all_dirs(spark, d):
+    """Every ancestor of a declared file."""
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda n: F.coalesce(F.nullif(F.array_join(F.slice(parts, F.lit(1), n), "/"), F.lit("")), F.lit("/")))
+    return V.v_file(spark, d).select("digest", F.explode(ancestors).alias("dir")).distinct()
+
+
+LAYER_SQL = "WITH x AS (SELECT l_suppkey % 3 AS digest, l_linenumber AS layer, l_orderkey * 10 + l_linenumber AS seq, '/a' || (l_partkey % 7) AS top, '/a' || (l_partkey % 7) || '/b' || (l_partkey % 40) AS path, CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind, l_quantity AS v FROM lineitem WHERE l_orderkey < 3000)"
+
+
+@query("gr_layer_union", LAYER_SQL + ", k AS (SELECT digest, path AS at, max(layer) AS layer FROM x WHERE kind = 'whiteout' GROUP BY 1, 2 UNION ALL SELECT digest, top, max(layer) FROM x WHERE kind = 'opaque' GROUP BY 1, 2), l AS (SELECT * FROM x WHERE kind = 'reg' AND NOT EXISTS (SELECT 1 FROM k WHERE k.digest = x.digest AND k.layer > x.layer AND (k.at = x.path OR k.at = x.top))) SELECT digest, path, arg_max(layer, layer * 1e9 + seq) AS layer, max(layer * 1e9 + seq) AS place FROM l GROUP BY 1, 2")
+def gr_layer_union(spark, d):
+    """Whiteouts and opaque folders hide lower layers; then the highest layer's last entry of a path stays."""
+    x = V.load(spark, d, "lineitem").where("l_orderkey < 3000").selectExpr("l_suppkey % 3 AS digest", "l_linenumber AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('/a', l_partkey % 7, '/b', l_partkey % 40) AS path", "CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind")
+    at = F.when(F.col("kind") == "opaque", F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
+    kills = x.where("kind <> 'reg'").groupBy("digest", at.alias("at")).agg(F.max("layer").alias("kill"))
+    parts = F.split("path", "/")
+    ancestors = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    entries = x.where("kind = 'reg'")
+    dead = entries.withColumn("at", F.explode(ancestors)).join(kills, ["digest", "at"]).where("kill > layer").select("digest", "seq", "path").distinct()
+    left = entries.join(dead, ["digest", "seq", "path"], "left_anti")
+    place = F.col("layer") * F.lit(1e9) + F.col("seq")
+    return left.groupBy("digest", "path").agg(F.max_by("layer", place).alias("layer"), F.max(place).alias("place"))
+
+
+@query("gr_file_owner", V.with_views("v_file") + ", c AS (SELECT digest, '/d' || (k % 10) || '/f' || ((k * 7) % 60) AS path, k AS ord, k % 3 = 0 AS pip, 'own' || k AS name FROM v_file) SELECT f.digest, f.path, arg_max(c.name, (CASE WHEN pip THEN 1000 ELSE 0 END) + ord) AS owner FROM v_file f JOIN c ON c.digest = f.digest AND c.path = f.path GROUP BY 1, 2")
+def gr_file_owner(spark, d):
+    """The last claim wins, pip after dpkg, for paths that exist."""
+    f = V.v_file(spark, d)
+    c = f.selectExpr("digest", "concat('/d', k % 10, '/f', k * 7 % 60) AS path", "k AS ord", "k % 3 = 0 AS pip", "concat('own', k) AS name")
+    return f.select("digest", "path").join(c, ["digest", "path"]).groupBy("digest", "path").agg(F.max_by("name", F.struct("pip", "ord")).alias("owner"))
+
+
+@query("gr_build_envelope", V.with_views("v_file", "v_package") + " SELECT f.digest, f.files, f.closure, p.packages, p.unresolved FROM (SELECT digest, count(*) AS files, count(*) FILTER (in_closure) AS closure FROM v_file GROUP BY 1) f JOIN (SELECT digest, count(*) AS packages, avg(CASE WHEN depth IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS unresolved FROM v_package GROUP BY 1) p ON p.digest = f.digest")
+def gr_build_envelope(spark, d):
+    """One document per image of its dimensions; here its sizes."""
+    f = V.v_file(spark, d).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("path", F.struct("sha256", "layer", "package")))).alias("files"), F.collect_list(F.when(F.col("in_closure"), F.col("path"))).alias("closure"))
+    p = V.v_package(spark, d).groupBy("digest").agg(F.map_from_entries(F.collect_list(F.struct("purl", F.struct("depth")))).alias("packages"), F.avg(F.col("depth").isNull().cast("double")).alias("unresolved"))
+    return f.join(p, "digest").select("digest", F.size("files").cast("long").alias("files"), F.size("closure").cast("long").alias("closure"), F.size("packages").cast("long").alias("packages"), "unresolved")
