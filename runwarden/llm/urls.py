@@ -1,7 +1,7 @@
 """URL filter: rules first; else host names are segmented into words and a multinomial naive Bayes scores host and path tokens.
 
 A host's labels are cut at everything but letters, and each run of letters is segmented by the likeliest sequence of words under a
-unigram model (Viterbi). The unigrams are counted over the words of all pages' urls and html; a short list of words that host names
+unigram model (Viterbi). The unigrams are counted over the words of all pages' paths and html; a short list of words that host names
 are often made of is counted in. Substrings of the distinct runs are joined with the unigram table, so neither is collected, and a run's
 own candidates alone come together for its Viterbi pass.
 
@@ -48,8 +48,11 @@ def rule_of(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 
 
 def unigrams(pages: DataFrame) -> DataFrame:
-    """(word, n): words of two letters or more in all urls and html texts, lower-cased, and the two lists."""
-    text = F.concat_ws(" ", F.coalesce("url", F.lit("")), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
+    """(word, n): words of two letters or more in all paths and html texts, lower-cased, and the two lists.
+
+    Hosts do not count: a concatenated name would be a word of its own.
+    """
+    text = F.concat_ws(" ", path_of(F.col("url")), F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "))
     words = pages.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z])[a-z]{2,20}(?![a-z])"), F.lit(0))).alias("word"))
     known = pages.sparkSession.createDataFrame([(w, PLAIN_COUNT) for w in sorted({*SEEDS, *PLAIN})], "word string, n long")
     return words.groupBy("word").agg(F.count("*").alias("n")).unionByName(known).groupBy("word").agg(F.sum("n").alias("n"))
