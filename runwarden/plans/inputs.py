@@ -297,3 +297,39 @@ def str_hold_cap(spark, d):
     e = V.v_event(spark, d)
     nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("seq")))
     return e.withColumn("nth", nth).groupBy("cid").agg(F.count_if(F.col("nth") > 300).alias("lost"))
+
+
+@query("str_hold_until_envelope", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding WHERE verified AND image_digest <> 'i3') GROUP BY 1")
+def str_hold_until_envelope(spark, d):
+    """Events of verified containers wait for their image's specification; that of i3 never comes."""
+    from ..streaming import hold
+
+    src, out, ck = folder(spark, "wait"), folder(spark, "wait-out"), folder(spark, "ck")
+    b = V.v_binding(spark, d).where("verified").select(F.col("container_id").alias("cid"), "image_digest")
+    e = V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).join(b.select("cid"), "cid", "left_semi")
+    ready = b.where("image_digest <> 'i3'").select("cid", F.lit(70).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
+    e.unionByName(ready).coalesce(1).write.parquet(src)
+    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src)), out, ck)
+    return spark.read.parquet(out).groupBy("cid").agg(F.count("*").alias("released"))
+
+
+@query("str_window_timer", "WITH w AS (SELECT user_id % 20 AS c, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
+def str_window_timer(spark, d):
+    """Windows close when the stream's clock, the watermark, passes their end; those still open at the end are not given."""
+    src, out, ck = folder(spark, "timer"), folder(spark, "timer-out"), folder(spark, "ck")
+    V.load(spark, d, "events").select((F.col("user_id") % 20).alias("c"), F.timestamp_micros(V.micros("ts")).alias("at")).coalesce(1).write.parquet(src)
+    rows = spark.readStream.schema("c long, at timestamp").parquet(src).withWatermark("at", "0 seconds")
+    closed = rows.groupBy("c", F.window("at", "1 hour")).agg(F.count("*").alias("n")).select("c", F.unix_micros("window.start").alias("start_us"), "n")
+    sinks.append(closed, out, ck)
+    return spark.read.schema("c long, start_us long, n long").parquet(out)
+
+
+@query("str_trust_loop", "WITH k AS (SELECT n_nationkey % 6 AS key_id, max(n_nationkey) AS version FROM nation GROUP BY 1) SELECT c_custkey AS image, version % 2 = 0 AS trusted FROM customer JOIN k ON key_id = c_custkey % 6")
+def str_trust_loop(spark, d):
+    """Changes of key states come as a stream; each batch evaluates the images of the changed keys, and the newest evaluation counts."""
+    src, dim, out, ck = (folder(spark, x) for x in ("keys", "images", "trust", "ck"))
+    V.load(spark, d, "nation").select((F.col("n_nationkey") % 6).cast("long").alias("key_id"), F.col("n_nationkey").cast("long").alias("version")).repartition(3).write.parquet(src)
+    V.load(spark, d, "customer").select((F.col("c_custkey") % 6).alias("key_id"), F.col("c_custkey").alias("image")).write.parquet(dim)
+    sinks.joined_batches(spark.readStream.schema("key_id long, version long").parquet(src), dim, ["key_id"], out, ck)
+    newest = spark.read.parquet(out).groupBy("image").agg(F.max("version").alias("version"))
+    return newest.select("image", (F.col("version") % 2 == 0).alias("trusted"))
