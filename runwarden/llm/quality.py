@@ -1,7 +1,7 @@
 """Quality classifier: random-indexing word vectors pooled per document, and a two-layer numpy network with calibrated probabilities.
 
 Words and runs of marks of a text fall into a fixed number of hashed buckets. Each bucket has a sparse random index vector, which
-follows from its number; the vector of a word is the sum of the index vectors of the words around it, so words used
+follows from its number; a word that repeats what stands before it counts as one word of its own; the vector of a word is the sum of the index vectors of the words around it, so words used
 alike have like vectors. A document is the weighted mean of its words' vectors. The network is fitted on a bounded sample of
 labelled rows (MAX_DOCS, MAX_BYTES: lowest hashes of the ids first); a part of the sample is kept back to fit the temperature. The
 model's size is fixed (buckets times dimensions), so it is broadcast; every document's whole text is scored.
@@ -19,9 +19,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .common import small_batches, table, texts
 
 BUCKETS, DIMS, MARKS = 1 << 15, 48, 6
+#: The bucket of words that repeat what stands before them.
+AGAIN = BUCKETS - 1
 REACH = 2
-MAX_DOCS, MAX_BYTES = 3000, 24_000_000
-HIDDEN, EPOCHS, RATE, DECAY = 24, 60, 0.01, 1e-4
+MAX_DOCS, MAX_BYTES = 5000, 40_000_000
+HIDDEN, EPOCHS, RATE, DECAY = 24, 30, 0.01, 1e-2
 THRESHOLD = 0.7
 SEED = 7
 
@@ -33,6 +35,25 @@ _MIX = np.random.default_rng(SEED).integers(1, 1 << 63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
+def repeated(ids: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Tokens that say again what stands right before them in their document: the same token, or the end of a phrase of two to four again."""
+    out = np.zeros(len(ids), bool)
+    out[1:] = (ids[1:] == ids[:-1]) & (doc[1:] == doc[:-1])
+    for k in range(2, 5):
+        if len(ids) > k + 1:
+            same = (ids[k:] == ids[:-k]) & (doc[k:] == doc[:-k])
+            out[k + 1 :] |= same[1:] & same[:-1]
+    return out
+
+
+def document_ids(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, document) of every token of the texts; repetitions share a bucket of their own, as one more word."""
+    joined, offsets = join_texts(items)
+    ids, at = bucket_ids(joined)
+    doc = np.searchsorted(offsets, at, side="right") - 1
+    return np.where(repeated(ids, doc), AGAIN, ids), doc
+
+
 def bucket_ids(joined: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, start) of every token: a run of letters, of digits or of marks. One pass of array operations over the bytes."""
     b = np.frombuffer(joined, np.uint8)
@@ -93,10 +114,8 @@ class Model:
             while end < len(items) and (end == start or size < 1_000_000):
                 size += len(items[end])
                 end += 1
-            joined, offsets = join_texts(items[start:end])
-            ids, at = bucket_ids(joined)
+            ids, doc = document_ids(items[start:end])
             if len(ids):
-                doc = np.searchsorted(offsets, at, side="right") - 1
                 first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
                 sums = np.add.reduceat(self.words[ids], first, axis=0)
                 out[start + doc[first]] = sums / np.add.reduceat(self.weight[ids], first)[:, None]
@@ -115,7 +134,7 @@ def word_vectors(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     index, context, count = index_vectors(), np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS)
     step = 300
     for i in range(0, len(items), step):
-        ids, _ = bucket_ids(join_texts(items[i : i + step])[0])
+        ids, _ = document_ids(items[i : i + step])
         if not len(ids):
             continue
         around = np.zeros((len(ids), DIMS), np.float32)
