@@ -22,7 +22,7 @@ def sampled(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int
     stay. An image with no more rows than a sample gives all of them to each tree."""
     n = rows.groupBy("digest").agg(F.count("*").alias("n"))
     draw = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda i: (F.col("n") <= sample) | (F.pmod(F.xxhash64("id", i, F.lit(seed)), F.col("n")) < int(sample * 4 / 3)))
-    out = rows.join(F.broadcast(n), "digest").withColumn("tree", F.explode(draw))
+    out = rows.join(n, "digest").withColumn("tree", F.explode(draw))
     nth = F.row_number().over(Window.partitionBy("digest", "tree").orderBy(F.xxhash64("id", "tree", F.lit(seed + 1)), "id"))
     return out.withColumn("nth", nth).where(F.col("nth") <= sample).select("digest", "tree", "id", "x")
 

@@ -28,29 +28,28 @@ def chains(rows: DataFrame, window_s: float = 60.0) -> DataFrame:
     """(id, chain): incident chains. A row (container_id, id, t_s, pid, ppid) joins, in order of arrival (id), the first open chain of its container
     that holds its pid or ppid and was last seen at most window_s ago or ahead; else it opens one. Null pids never match.
 
-    State is one container's open chains; containers are dealt to tasks, each a stream of its own rows in order.
+    State is one container's open chains; containers are dealt to tasks, and rows are streamed in order.
     """
 
-    def run(key, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        open_: list[list] = []
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, open_ = None, []
         for pdf in batches:
             out = []
-            for i, t, pid, ppid in zip(pdf["id"], pdf["t_s"], pdf["pid"], pdf["ppid"], strict=True):
+            for c, i, t, pid, ppid in zip(pdf["container_id"], pdf["id"], pdf["t_s"], pdf["pid"], pdf["ppid"], strict=True):
+                if c != now:
+                    now, open_ = c, []
                 pid, ppid = (None if pd.isna(x) else int(x) for x in (pid, ppid))
-                for c in open_:
-                    if abs(t - c[2]) <= window_s and (pid in c[1] or ppid in c[1]):
+                for chain in open_:
+                    if abs(t - chain[2]) <= window_s and (pid in chain[1] or ppid in chain[1]):
                         if pid is not None:
-                            c[1].add(pid)
-                        c[2] = max(c[2], t)
-                        out.append((i, c[0]))
+                            chain[1].add(pid)
+                        chain[2] = max(chain[2], t)
+                        out.append((i, chain[0]))
                         break
                 else:
                     open_.append([i, {pid} if pid is not None else set(), t])
                     out.append((i, i))
             yield pd.DataFrame(out, columns=["id", "chain"])
 
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = list(run(None, iter([pdf.sort_values("id")])))
-        return parts[0]
-
-    return rows.groupBy("container_id").applyInPandas(whole, "id long, chain long")
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.select("container_id", "id", "t_s", "pid", "ppid").repartition(n, "container_id").sortWithinPartitions("container_id", "id").mapInPandas(run, "id long, chain long")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import posixpath
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -73,18 +74,27 @@ class _Process:
 def behaviour_windows(events: DataFrame, window_ns: int = WINDOW_NS, most: int = WINDOW_EVENTS, min_age_ns: int = MIN_AGE_NS) -> DataFrame:
     """One row per closed window. The clock is the whole stream's: a last time column closes windows that only other processes' events pass.
 
-    Groups are processes, so no group holds a container. Windows that are open at an exec, an exit or the end are dropped.
+    Rows are dealt by process, so no task needs a whole container, and are streamed in order. Windows that are open at an exec, an exit or the end are dropped.
     """
     last = events.agg(F.max("t_ns").alias("last_ns"))
-
-    def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        p, out = _Process(window_ns, most, min_age_ns), []
-        pdf = pdf.assign(rank=(pdf["what"] == "child").astype(int)).sort_values(["seq", "rank"])
-        for r in pdf.itertuples(index=False):
-            out += p.add(r)
-        if p.first is not None:
-            out += p.due(int(pdf["last_ns"].iloc[0]))
-        return pd.DataFrame([(*key, *o) for o in out], columns=[c.split()[0] for c in SCHEMA.split(", ")])
-
-    rows = process_rows(events).crossJoin(F.broadcast(last))
-    return rows.groupBy("cid", "pid").applyInPandas(run, SCHEMA)
+    names = [c.split()[0] for c in SCHEMA.split(", ")]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come sorted by process, then arrival; one process's open window is all that is held."""
+        now, p, end = None, None, 0
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                if (r.cid, r.pid) != now:
+                    if p is not None and p.first is not None:
+                        out += [(*now, *o) for o in p.due(end)]
+                    now, p, end = (r.cid, r.pid), _Process(window_ns, most, min_age_ns), int(r.last_ns)
+                out += [(*now, *o) for o in p.add(r)]
+            if out:
+                yield pd.DataFrame(out, columns=names)
+        if p is not None and p.first is not None and (out := [(*now, *o) for o in p.due(end)]):
+            yield pd.DataFrame(out, columns=names)
+
+    rows = process_rows(events).where("pid is not null").withColumn("rank", F.col("what") == "child").crossJoin(F.broadcast(last))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, "cid", "pid").sortWithinPartitions("cid", "pid", "seq", "rank").mapInPandas(run, SCHEMA)

@@ -64,7 +64,7 @@ def ml_percentile_rank(spark, d):
 def guarded(spark, d) -> DataFrame:
     w = windows(spark, d)
     most = w.where("train and f2 < 40 and f1 < 6").groupBy("digest").agg(F.max("f1").alias("m1"), F.max("f2").alias("m2"))
-    w = w.join(F.broadcast(most), "digest").join(F.broadcast(thresholds(w.where("not train"))), "digest")
+    w = w.join(most, "digest").join(thresholds(w.where("not train")), "digest")
     beyond = F.exists(F.array(F.struct(F.col("f1").alias("x"), F.col("m1").alias("m")), F.struct(F.col("f2").alias("x"), F.col("m2").alias("m"))), lambda p: p["x"] > 2 * p["m"])
     return w.withColumn("forest", F.col("score") > F.col("theta")).withColumn("guard", beyond)
 
@@ -189,7 +189,7 @@ def top_unusual_features(spark, d):
     """The features furthest above their training mean, in deviations; three at most."""
     w = windows(spark, d)
     s = w.where("train").groupBy("digest").agg(*(f(c).alias(f"{n}_{c}") for c in ("f1", "f2") for n, f in (("a", F.avg), ("s", F.stddev_pop))))
-    w = w.join(F.broadcast(s), "digest")
+    w = w.join(s, "digest")
     z = lambda c: F.struct((-(F.col(c) - F.col(f"a_{c}")) / F.col(f"s_{c}")).alias("minus_z"), F.lit(c).alias("f"))
     ordered = F.array_sort(F.filter(F.array(z("f1"), z("f2")), lambda x: x["minus_z"] < 0))
     return w.select("id", F.transform(F.slice(ordered, 1, 3), lambda x: x["f"]).alias("top"))

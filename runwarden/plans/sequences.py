@@ -45,7 +45,7 @@ def win_split_chrono(spark, d):
     e = V.v_event(spark, d)
     n = e.groupBy("digest").agg(F.count("*").alias("n"))
     nth = F.row_number().over(Window.partitionBy("digest").orderBy("t_ns", "cid", "pid", "seq"))
-    return e.withColumn("nth", nth).join(F.broadcast(n), "digest").select("seq", "digest", (F.col("nth") <= F.floor(0.7 * F.col("n"))).alias("train"))
+    return e.withColumn("nth", nth).join(n, "digest").select("seq", "digest", (F.col("nth") <= F.floor(0.7 * F.col("n"))).alias("train"))
 
 
 TRACE_SQL = "WITH RECURSIVE t AS (SELECT conv_id AS trace, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS rn, length(text) AS len, left(role, 1) AS cat, count(*) OVER (PARTITION BY conv_id) AS n FROM conversations)"
