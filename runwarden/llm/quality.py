@@ -22,8 +22,10 @@ BUCKETS, DIMS, MARKS = 1 << 15, 48, 6
 #: The bucket of words that repeat what stands before them.
 AGAIN = BUCKETS - 1
 REACH = 2
-MAX_DOCS, MAX_BYTES = 5000, 40_000_000
-HIDDEN, EPOCHS, RATE, DECAY = 24, 30, 0.01, 1e-2
+MAX_DOCS, MAX_BYTES = 5000, 24_000_000
+#: Tokens whose vectors are looked up at once, however long a text is.
+SLICE = 100_000
+HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 0.01, 3e-3
 THRESHOLD = 0.7
 SEED = 7
 
@@ -93,6 +95,18 @@ def join_texts(items: list[str]) -> tuple[bytes, np.ndarray]:
     return b"\n".join(raw) + b"\n" * bool(raw), np.cumsum([0, *(len(r) + 1 for r in raw)])
 
 
+def blocks(items: list[str], limit: int = 1_000_000):
+    """(from, to) of runs of texts of about a megabyte together."""
+    start, held = 0, 0
+    for i, t in enumerate(items):
+        if held and held + len(t) > limit:
+            yield start, i
+            start, held = i, 0
+        held += len(t) + 1
+    if start < len(items):
+        yield start, len(items)
+
+
 @dataclass
 class Model:
     words: np.ndarray  # a row per bucket, weight included
@@ -107,20 +121,15 @@ class Model:
 
     def pooled(self, items: list[str]) -> np.ndarray:
         """A row per text: its words' mean vector, zero for empty texts."""
-        out = np.zeros((len(items), self.words.shape[1]))
-        start = 0
-        while start < len(items):  # blocks of about a megabyte
-            end, size = start, 0
-            while end < len(items) and (end == start or size < 1_000_000):
-                size += len(items[end])
-                end += 1
+        out, total = np.zeros((len(items), self.words.shape[1])), np.zeros(len(items))
+        for start, end in blocks(items):
             ids, doc = document_ids(items[start:end])
-            if len(ids):
-                first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-                sums = np.add.reduceat(self.words[ids], first, axis=0)
-                out[start + doc[first]] = sums / np.add.reduceat(self.weight[ids], first)[:, None]
-            start = end
-        return out
+            for i in range(0, len(ids), SLICE):
+                part, own = ids[i : i + SLICE], start + doc[i : i + SLICE]
+                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+                out[own[first]] += np.add.reduceat(self.words[part], first, axis=0)
+                total[own[first]] += np.add.reduceat(self.weight[part], first)
+        return out / np.maximum(total, 1e-12)[:, None]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
         return np.tanh((x - self.mean) / self.scale @ self.w1 + self.b1) @ self.w2 + self.b2
@@ -132,20 +141,21 @@ class Model:
 def word_vectors(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Random indexing over the texts: unit vectors per bucket, and weights that fall with a word's frequency."""
     index, context, count = index_vectors(), np.zeros((BUCKETS, DIMS), np.float32), np.zeros(BUCKETS)
-    step = 300
-    for i in range(0, len(items), step):
-        ids, _ = document_ids(items[i : i + step])
-        if not len(ids):
-            continue
-        around = np.zeros((len(ids), DIMS), np.float32)
-        for d in range(1, REACH + 1):
-            around[d:] += index[ids[:-d]]
-            around[:-d] += index[ids[d:]]
-        order = np.argsort(ids, kind="stable")
-        s = ids[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
-        context[s[first]] += np.add.reduceat(around[order], first, axis=0)
-        count += np.bincount(ids, minlength=BUCKETS)
+    for start, end in blocks(items):
+        every, _ = document_ids(items[start:end])
+        count += np.bincount(every, minlength=BUCKETS)
+        for i in range(0, len(every), SLICE):
+            near = every[max(0, i - REACH) : i + SLICE + REACH]
+            around = np.zeros((len(near), DIMS), np.float32)
+            for d in range(1, REACH + 1):
+                around[d:] += index[near[:-d]]
+                around[:-d] += index[near[d:]]
+            skip = min(i, REACH)
+            ids = near[skip : skip + SLICE]
+            order = np.argsort(ids, kind="stable")
+            s = ids[order]
+            first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+            context[s[first]] += np.add.reduceat(around[skip : skip + SLICE][order], first, axis=0)
     # Words that the sample has rarely lean on their own index vector.
     vectors = context + index * REACH
     vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-6)
@@ -184,7 +194,7 @@ def fit(items: list[str], labels: np.ndarray) -> Model:
     if len(set(labels[held].tolist())) == 2:
         logit, y = model.logits(x[held]), labels[held]
         loss = lambda s: np.mean(np.logaddexp(0, np.where(y > 0, -logit / s, logit / s)))
-        model.temperature = float(min(np.geomspace(0.5, 8, 60), key=loss))
+        model.temperature = float(min(np.geomspace(0.25, 8, 70), key=loss))
     return model
 
 
