@@ -141,20 +141,22 @@ def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
 def ranked_spans(live: DataFrame, window: int) -> DataFrame:
     """(dk, tag, start, stop, is_head): what prefix doubling over stretches finds repeated, of a window's size or more."""
     first = live.select("dk", R.tag_of(F.col("packed")).alias("tag"), "nth", R.place_of(F.col("packed")).alias("start"), (R.place_of(F.col("packed")) + F.col("size")).alias("stop"), "name", "size")
-    known = _ranked(first, ["name", "size"])
-    spans, offset, level = [known], 1, known
+    level = _ranked(first, ["name", "size"])
+    spans, offset = [level], 1
     while True:
-        active = level.where(F.col("stop") - F.col("start") < 2 * window)
-        ahead = known.select("dk", "tag", (F.col("nth") - offset).alias("nth"), F.col("ra").alias("na"), F.col("rb").alias("nb"), F.col("stop").alias("next_stop"))
-        pairs = active.drop("is_head").join(ahead, ["dk", "tag", "nth"]).withColumn("stop", F.col("next_stop")).drop("next_stop")
+        active = level.where(F.col("stop") - F.col("start") < 2 * window).drop("is_head")
+        # Places that a round has not reached keep their last rank: as a second half it names the same text wherever it stands.
+        ahead = None
+        for i, s in enumerate(spans):
+            own = s.select("dk", "tag", (F.col("nth") - offset).alias("nth"), F.struct("ra", "rb", "stop").alias("second"), F.lit(i).alias("round"))
+            ahead = own if ahead is None else ahead.unionByName(own)
+        pairs = active.join(ahead, ["dk", "tag", "nth"]).groupBy("dk", "tag", "nth", "start", F.col("ra").alias("pa"), F.col("rb").alias("pb")).agg(F.max_by("second", "round").alias("second"))
+        pairs = pairs.select("dk", "tag", "nth", "start", "second.stop", "pa", "pb", F.col("second.ra").alias("na"), F.col("second.rb").alias("nb"))
         # A place may head classes of several rounds; what these have in common differs in size.
-        pairs = pairs.withColumnsRenamed({"ra": "pa", "rb": "pb"}).withColumn("size", F.col("stop") - F.col("start"))
-        level = _ranked(pairs, ["pa", "pb", "na", "nb", "size"])
+        level = _ranked(pairs.withColumn("size", F.col("stop") - F.col("start")), ["pa", "pb", "na", "nb", "size"])
         if level.isEmpty():
             break
         spans.append(level)
-        # Places that this round has not reached keep their last rank: as a second half it names the same text wherever it stands.
-        known = staged(known.join(level.select("dk", "tag", "nth"), ["dk", "tag", "nth"], "left_anti").unionByName(level), "known")
         offset *= 2
     out = spans[0]
     for s in spans[1:]:
