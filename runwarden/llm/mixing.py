@@ -3,7 +3,7 @@
 The sizes of the sources are one aggregate; water-filling clamps sources at their maximum of epochs and gives the excess to the
 others in proportion to their weights, until none is above its maximum. Every document is then repeated as often as its source's
 whole epochs; for the fraction that is left, documents are taken once more in a seeded order until the source has its words:
-a histogram of the order (hashes cut into buckets, summed per source) finds the bucket in which the quota ends, and only that bucket's
+a histogram of the order (seeded hashes, cut into 4,096 buckets by their first digits and summed per source) finds the bucket in which the quota ends, and only that bucket's
 documents are ordered one by one. The document at the very end is taken in part, so each source gets its target to the word.
 """
 
@@ -15,7 +15,6 @@ from .common import WORD, staged, table
 
 WEIGHTS = (5.0, 2.0, 1.0)
 MAX_EPOCHS = 3
-BUCKETS = 4096
 SEED = 20240
 
 
@@ -61,8 +60,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     A null text has size 0 and is taken 0 times; a null source is a source of its own, ordered last; repeated rows are rows of
     their own; a source without words gets target 0; an empty table gives no rows. The same seed gives the same mix.
     """
-    rows = staged(sized(docs, id_col, text_col, source_col).withColumn("bucket_hash", F.xxhash64(F.lit(seed), F.col("doc_id"))), "sizes")
-    rows = rows.withColumn("bucket", F.pmod(F.col("bucket_hash"), F.lit(BUCKETS)).cast("int"))
+    rows = staged(sized(docs, id_col, text_col, source_col).withColumn("place", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)), "sizes")
+    rows = rows.withColumn("bucket", F.conv(F.left("place", F.lit(3)), 16, 10).cast("int"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(cyclic_weights(staged(sources, "sources"), weights), max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -79,7 +78,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     plan = plan.join(edge.withColumnRenamed("source", "edge_source"), same("source", "edge_source"), "left").drop("edge_source")
     rows = rows.join(staged(plan, "edged-plan").withColumnRenamed("source", "plan_source"), same("source", "plan_source")).drop("plan_source")
     at_edge = rows.where(F.col("bucket") == F.col("edge_bucket"))
-    order = Window.partitionBy("source").orderBy("bucket_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy("source").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     at_edge = at_edge.withColumn("sofar", F.col("before") + F.coalesce(F.sum("size").over(order), F.lit(0)))
     at_edge = at_edge.withColumn("part", F.greatest(F.lit(0), F.least("size", F.col("quota") - F.col("sofar")))).drop("sofar")
     others = rows.where(~F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False)))
@@ -88,10 +87,21 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
 
 
-def op6_mixing(spark, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+#: Targets in closed form: by ascending maximum per weight, sources are clamped as long as their share of what is left exceeds their maximum.
+OP6_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, sha256('20240:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS place FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+w AS (SELECT *, [5.0, 2.0, 1.0][CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1 AS INTEGER)]::DOUBLE AS weight, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s),
+r AS (SELECT *, CAST(coalesce(sum(cap) OVER (ORDER BY cap / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS before, sum(weight) OVER (ORDER BY cap / weight, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS share FROM w),
+c AS (SELECT *, CAST(total - before AS DOUBLE) / share AS level, CAST(total - before AS DOUBLE) / share * weight >= cap AS over FROM r),
+l AS (SELECT arg_min(level, cap / weight) FILTER (NOT over) AS level FROM c),
+t AS (SELECT c.source, source_size, CASE WHEN l.level IS NULL OR l.level * weight >= cap THEN CAST(cap AS DOUBLE) ELSE l.level * weight END AS target FROM c, l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+p AS (SELECT *, greatest(0, CAST(round(target) AS BIGINT) - whole * source_size) AS quota FROM q),
+o AS (SELECT d.*, p.source_size, p.target, p.whole, p.quota, coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY place, doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS sofar FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)
+SELECT doc_id, size, source_size, target, CAST(whole * size + greatest(0, least(size, quota - sofar)) AS BIGINT) AS taken FROM o
+"""
 
 
-#: targets in closed form: with sources by ascending maximum per weight, those before the first whose share fits are clamped. `taken` is
-#: checked by its own row here: the seeded order is Spark's hash, which DuckDB has not, so tests hold it against a plain loop.
-OP6_SQL = None
+def op6_mixing(spark, sf_dir: str) -> DataFrame:
+    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
