@@ -145,11 +145,13 @@ def ranked_spans(live: DataFrame, window: int) -> DataFrame:
     spans, offset, level = [known], 1, known
     while True:
         active = level.where(F.col("stop") - F.col("start") < 2 * window)
-        ahead = known.select("dk", "tag", (F.col("nth") - offset).alias("nth"), F.col("ra").alias("na"), F.col("rb").alias("nb"), F.col("stop").alias("next_stop"))
-        pairs = active.drop("is_head").join(ahead, ["dk", "tag", "nth"]).withColumn("stop", F.col("next_stop")).drop("next_stop")
+        ahead = known.select("dk", "tag", (F.col("nth") - offset).alias("nth"), F.col("ra").alias("na"), F.col("rb").alias("nb"), F.col("start").alias("next_start"), F.col("stop").alias("next_stop"))
+        # A first half that took a shorter rank may end before the second begins; what lies between was never compared.
+        pairs = active.drop("is_head").join(ahead, ["dk", "tag", "nth"]).where("next_start <= stop").withColumn("gap", F.col("next_start") - F.col("start"))
         # A place may head classes of several rounds; what these have in common differs in size.
+        pairs = pairs.withColumn("stop", F.col("next_stop")).drop("next_start", "next_stop")
         pairs = pairs.withColumnsRenamed({"ra": "pa", "rb": "pb"}).withColumn("size", F.col("stop") - F.col("start"))
-        level = _ranked(pairs, ["pa", "pb", "na", "nb", "size"])
+        level = _ranked(pairs, ["pa", "pb", "na", "nb", "gap", "size"])
         if level.isEmpty():
             break
         spans.append(level)

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 
 import numpy as np
 import pytest
@@ -43,6 +44,21 @@ def test_prefix_doubling(docs, rows, monkeypatch, window, gram, crowd):
     assert got == by_bytes(rows, window)
 
 
+def test_substitutions_of_equal_length(spark):
+    """Near copies whose edits keep lengths and most sampled places: what lies between two equal stretches may differ."""
+    rng = random.Random(11)
+    base = [rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(4000)]
+    rows = []
+    for i in range(24):
+        edited = list(base)
+        for at in rng.sample(range(len(base)), 1 + i % 12):
+            edited[at] = rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        rows.append((i, "".join(edited), "", "", 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(map(tuple, suffix_array.deduplicated(docs, 400, 20).collect())) == by_bytes(rows, 400)
+    assert sorted(map(tuple, suffix_array.deduplicated(docs, 90, 20).collect())) == by_bytes(rows, 90)
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     monkeypatch.setattr(repeats, "BLOCK", 500)
