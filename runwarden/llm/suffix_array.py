@@ -65,10 +65,10 @@ def scan(window: int, gram: int, keys_only: bool):
         for b in batches:
             raw = [_bytes(t) for t in b.column(2).to_pylist()]
             dk, tag = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
+            for k in [k for k, r in enumerate(raw) if len(r) > R.PIECE]:
+                yield from long_text(raw[k], dk[k : k + 1], tag[k : k + 1])
+                raw[k] = b""
             for i, j in R.blocks([len(r) for r in raw]):
-                if j - i == 1 and len(raw[i]) > R.PIECE:
-                    yield from long_text(raw[i], dk[i : i + 1], tag[i : i + 1])
-                    continue
                 units = R.byte_units(b"".join(raw[i:j]))
                 cols = one(units, np.cumsum([0, *(len(r) for r in raw[i:j])]), dk[i:j], tag[i:j])
                 if cols:
@@ -211,8 +211,23 @@ def _uncovered(window: int):
     return run
 
 
+def one_of_each(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+    """One row of each (dk, tag), and ranges (dk, tag, start, stop) over the whole texts that several rows share, if of a window's size.
+
+    Ranks are joined on (dk, tag): m rows of one text would become m^2 in the first round, m^4 in the next. Shorter texts hold no place.
+    """
+    size = F.octet_length("text").cast("long")
+    again = docs.where(size >= window).groupBy("dk", "tag").agg(F.count("*").alias("n"), F.max(size).alias("stop")).where("n > 1")
+    again = staged(again.select("dk", "tag", F.lit(0).cast("long").alias("start"), "stop"), "again")
+    if not again.isEmpty():
+        own = again.select("dk", "tag")
+        docs = docs.join(own, ["dk", "tag"], "left_anti").unionByName(docs.join(own, ["dk", "tag"], "left_semi").dropDuplicates(["dk", "tag"]))
+    return docs, again
+
+
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of bytes under windows that occur elsewhere; docs as keyed() gives them."""
+    docs, again = one_of_each(docs, window)
     rows = docs.select("dk", "tag", "text")
     census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
@@ -230,7 +245,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     sent = chosen.mapInArrow(R.Sender(window, _Bytes, _window_names(window)), R.SENT)
     sent = sent.repartition(partitions_of(docs), "key").sortWithinPartitions("key")
     found = sent.mapInArrow(R.Receiver(window, doubled_repeats(window, gram)), R.RANGES)
-    return staged(spans.select("dk", "tag", "start", "stop").unionByName(found), "ranges")
+    return staged(spans.select("dk", "tag", "start", "stop").unionByName(found).unionByName(again), "ranges")
 
 
 def _assembled(batches):

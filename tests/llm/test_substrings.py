@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from runwarden.llm import repeats, suffix_array, suffix_tree
@@ -59,6 +60,32 @@ def test_substitutions_of_equal_length(spark):
     assert sorted(map(tuple, suffix_array.deduplicated(docs, 90, 20).collect())) == by_bytes(rows, 90)
 
 
+def test_rows_that_repeat_id_and_text(spark):
+    """Ten rows of one text of many stretches, whose ranks must not multiply."""
+    rng = random.Random(12)
+    text, other = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (12_000, 3000))
+    rows = [(1, text, "", "", 0)] * 10 + [(2, text[2000:4000] + other, "", "", 0)] * 3 + [(3, text[:399], "", "", 0)] * 2 + [(4, None, "", "", 0)] * 2 + [(5, text[500:1500] + "tail", "", "", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    found = suffix_array.repeated_ranges(repeats.keyed(docs))
+    assert found.count() < 500
+    assert sorted(map(tuple, suffix_array.deduplicated(docs).collect())) == by_bytes(rows, 400)
+
+
+def test_a_long_text_after_empty_ones_is_cut(monkeypatch):
+    """What stands beside a long text in a batch does not change how it is cut."""
+    monkeypatch.setattr(repeats, "PIECE", 700)
+    rng = random.Random(13)
+    long_, short = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5000, 600))
+    for names in (True, False):
+        run = suffix_array.scan(400, 128, names)
+        found = []
+        for texts in (["", "", long_, short, ""], [long_], [short]):
+            ids = {"": 1, long_: 2, short: 3}
+            b = pa.RecordBatch.from_arrays([pa.array([ids[t] for t in texts], pa.int64()), pa.array([ids[t] for t in texts], pa.int32()), pa.array(texts)], names=["dk", "tag", "text"])
+            found.append(sorted(tuple(r.values()) for out in run(iter([b])) for r in out.to_pylist()))
+        assert found[0] == sorted(found[1] + found[2])
+
+
 def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     monkeypatch.setattr(repeats, "BLOCK", 500)
