@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import testviews as V
 from ..operators import normalise as N
@@ -244,10 +244,10 @@ def str_hold_until_bound(spark, d):
     src, out, ck = folder(spark, "hold"), folder(spark, "hold-out"), folder(spark, "ck")
     e = V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what"))
     b = V.v_binding(spark, d).select(F.col("container_id").alias("cid"), F.lit(50).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
-    e.unionByName(b).coalesce(1).write.parquet(src)
+    e.unionByName(b).repartition("cid").write.parquet(src)
     rows = spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src)
     sinks.append(hold.until_bound(rows), out, ck)
-    return spark.read.parquet(out).groupBy("cid").agg(F.count("*").alias("released"))
+    return spark.read.schema(hold.OUT).parquet(out).where("seq is not null").groupBy("cid").agg(F.count("*").alias("released"))
 
 
 @query("str_clock", V.with_views("v_event") + " SELECT cid, max(t_ns) AS clock FROM v_event GROUP BY 1")
@@ -294,9 +294,13 @@ def str_close(spark, d):
 @query("str_hold_cap", V.with_views("v_event") + " SELECT cid, greatest(count(*) - 300, 0) AS lost FROM v_event GROUP BY 1")
 def str_hold_cap(spark, d):
     """At most 300 held per container; the oldest are lost, and counted."""
-    e = V.v_event(spark, d)
-    nth = F.row_number().over(Window.partitionBy("cid").orderBy(F.desc("seq")))
-    return e.withColumn("nth", nth).groupBy("cid").agg(F.count_if(F.col("nth") > 300).alias("lost"))
+    from ..streaming import hold
+
+    src, out, ck = folder(spark, "cap"), folder(spark, "cap-out"), folder(spark, "ck")
+    V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).repartition("cid").write.parquet(src)
+    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src), 300), out, ck)
+    lost = spark.read.schema(hold.OUT).parquet(out).groupBy("cid").agg(F.sum("lost").alias("lost"))
+    return spark.read.parquet(src).select("cid").distinct().join(lost, "cid", "left").select("cid", F.coalesce("lost", F.lit(0)).alias("lost"))
 
 
 @query("str_hold_until_envelope", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding WHERE verified AND image_digest <> 'i3') GROUP BY 1")
@@ -308,16 +312,16 @@ def str_hold_until_envelope(spark, d):
     b = V.v_binding(spark, d).where("verified").select(F.col("container_id").alias("cid"), "image_digest")
     e = V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).join(b.select("cid"), "cid", "left_semi")
     ready = b.where("image_digest <> 'i3'").select("cid", F.lit(70).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
-    e.unionByName(ready).coalesce(1).write.parquet(src)
+    e.unionByName(ready).repartition("cid").write.parquet(src)
     sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src)), out, ck)
-    return spark.read.parquet(out).groupBy("cid").agg(F.count("*").alias("released"))
+    return spark.read.schema(hold.OUT).parquet(out).where("seq is not null").groupBy("cid").agg(F.count("*").alias("released"))
 
 
 @query("str_window_timer", "WITH w AS (SELECT user_id % 20 AS c, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
 def str_window_timer(spark, d):
     """Windows close when the stream's clock, the watermark, passes their end; those still open at the end are not given."""
     src, out, ck = folder(spark, "timer"), folder(spark, "timer-out"), folder(spark, "ck")
-    V.load(spark, d, "events").select((F.col("user_id") % 20).alias("c"), F.timestamp_micros(V.micros("ts")).alias("at")).coalesce(1).write.parquet(src)
+    V.load(spark, d, "events").select((F.col("user_id") % 20).alias("c"), F.timestamp_micros(V.micros("ts")).alias("at")).write.parquet(src)
     rows = spark.readStream.schema("c long, at timestamp").parquet(src).withWatermark("at", "0 seconds")
     closed = rows.groupBy("c", F.window("at", "1 hour")).agg(F.count("*").alias("n")).select("c", F.unix_micros("window.start").alias("start_us"), "n")
     sinks.append(closed, out, ck)

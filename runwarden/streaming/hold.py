@@ -4,29 +4,36 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
 MOST = 100_000
-OUT = "cid string, seq long, t_ns long"
+#: Rows that are given at once.
+SLICE = 50_000
+OUT = "cid string, seq long, t_ns long, lost long"
 
 
 def until_bound(rows: DataFrame, most: int = MOST) -> DataFrame:
-    """rows (cid, seq, t_ns, what): `bound` opens a container; `event` rows pass once it is open and are held before. At most `most` are held per
-    container: the oldest go first. State is one container's own."""
+    """rows (cid, seq, t_ns, what): `bound` opens a container; `event` rows pass once it is open and are held before, without expiry. At most
+    `most` stay held per container: the oldest go first, and a row without seq says how many were `lost`. State is one container's own."""
 
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         bound, held = state.get if state.exists else (False, [])
-        held = [(x["seq"], x["t_ns"]) if isinstance(x, dict) else (x[0], x[1]) for x in held]
+        parts = [np.array([(x["seq"], x["t_ns"]) if isinstance(x, dict) else (x[0], x[1]) for x in held], np.int64).reshape(-1, 2)]
         for pdf in batches:
             bound = bound or bool((pdf["what"] == "bound").any())
-            e = pdf[pdf["what"] == "event"]
-            held += list(zip(e["seq"].tolist(), e["t_ns"].tolist(), strict=True))
-        held = held[-most:]
-        if bound and held:
-            held.sort()
-            yield pd.DataFrame({"cid": [key[0]] * len(held), "seq": [h[0] for h in held], "t_ns": [h[1] for h in held]})
-            held = []
-        state.update((bound, held))
+            parts.append(pdf.loc[pdf["what"] == "event", ["seq", "t_ns"]].to_numpy(np.int64))
+        at = np.concatenate(parts)
+        at = at[np.lexsort((at[:, 1], at[:, 0]))]
+        if bound:
+            for i in range(0, len(at), SLICE):
+                seq, t_ns = at[i : i + SLICE].T
+                yield pd.DataFrame({"cid": key[0], "seq": seq, "t_ns": t_ns, "lost": 0})
+            at = at[:0]
+        elif len(at) > most:
+            yield pd.DataFrame({"cid": [key[0]], "seq": pd.array([None], "Int64"), "t_ns": pd.array([None], "Int64"), "lost": [len(at) - most]})
+            at = at[len(at) - most :]
+        state.update((bound, [tuple(x) for x in at.tolist()]))
 
     return rows.groupBy("cid").applyInPandasWithState(run, OUT, "bound boolean, held array<struct<seq: long, t_ns: long>>", "append", "NoTimeout")

@@ -205,6 +205,21 @@ def test_hold_keeps_order(spark, tmp_path):
     assert [(r.cid, r.seq) for r in spark.read.parquet(out).orderBy("seq").collect()] == [("a", 1), ("a", 2), ("a", 5)]
 
 
+def test_hold_releases_before_it_trims(spark, tmp_path):
+    """A bound container gives all its events, however many come at once; what an unbound one loses is counted."""
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    schema = "cid string, seq long, t_ns long, what string"
+    rows = [(c, i, i, "event") for c in "abd" for i in range(5 if c != "d" else 3)] + [("a", 9, 9, "bound")]
+    spark.createDataFrame(rows, schema).write.parquet(src)
+    stream = lambda: hold.until_bound(spark.readStream.schema(schema).parquet(src), 3)
+    sinks.append(stream(), out, ck)
+    spark.createDataFrame([("b", 9, 9, "bound"), ("d", 9, 9, "bound")], schema).write.mode("append").parquet(src)
+    sinks.append(stream(), out, ck)
+    got = spark.read.parquet(out).collect()
+    assert sorted((r.cid, r.seq) for r in got if r.seq is not None) == [("a", i) for i in range(5)] + [("b", i) for i in (2, 3, 4)] + [("d", i) for i in range(3)]
+    assert [(r.cid, r.lost) for r in got if r.seq is None] == [("b", 2)]
+
+
 def test_windows_batch_equals_any_partitioning(spark):
     rng = np.random.default_rng(4)
     n = 400
