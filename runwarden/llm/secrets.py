@@ -1,14 +1,16 @@
 """Secret scans: three fixed kinds of spans, and strings in a sensitive context that zstandard finds nothing like.
 
-Beyond the fixed kinds, every long string near a word such as key, secret or credential is a candidate. It is compressed with a raw
-dictionary made of common identifiers and the text around it, without itself. What it adds in compressed bytes, against its
+Beyond the fixed kinds, every long string on the line of a word such as secret, api key or credential, before or after it, or on the lines below is a candidate. It is compressed with a raw
+dictionary made of common identifiers and the text around it, without itself and its copies. What it adds in compressed bytes, against its
 length, is its novelty: names, paths and words that the code around has repeated cost little; random strings cost nearly their entropy.
 Candidates of high novelty are reported as spans of kind `novel`. Fixed spans are never changed or dropped.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 
 import pyarrow as pa
@@ -25,10 +27,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-CONTEXT = re.compile(r"(?i:secret|token|passw|pwd|credential|api[_-]?key|access[_-]?key|private[_-]?key|bearer|authorization|auth[_-]?key|client[_-]?id|signature|encryption[_-]?key)")
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,512}")
-#: Code points after a context word in which candidates begin, and text around a candidate that goes into its dictionary.
-NEAR, AROUND = 48, 1024
+CONTEXT = re.compile(r"(?i:secret|token|passw|pwd|credential|api[ \t_-]{0,3}key|access[ \t_-]{0,3}key|private[ \t_-]{0,3}key|bearer|authorization|auth[ \t_-]{0,3}key|client[ \t_-]{0,3}id|signature|encryption[ \t_-]{0,3}key)")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
+PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
+#: Lines without a candidate that may stand between a context word, or the last candidate below it, and the next; text around a candidate that goes into its dictionary.
+NEXT, AROUND = 3, 1024
 #: Marginal compressed bytes a byte, from which a candidate is reported, and different characters it has at least.
 NOVELTY, VARIETY = 0.72, 10
 IDENTIFIERS = " ".join(
@@ -57,9 +60,19 @@ def _compressed(data: bytes, dictionary: bytes) -> int:
 
 
 def novelty(text: str, start: int, end: int) -> float:
-    """Marginal compressed bytes a byte of text[start:end], primed with the identifiers and the text around it."""
-    dictionary = IDENTIFIERS + b" " + (text[max(0, start - AROUND) : start] + " " + text[end : end + AROUND]).encode("utf-8", "surrogatepass")
-    own = text[start:end].encode()
+    """Marginal compressed bytes a byte of text[start:end], primed with the identifiers and the text around it but equal copies.
+
+    Copies of a name, whose parts are as long as words are, stay: names are what repeats in code.
+    """
+    copy, size = text[start:end], end - start
+    parts = [len(p) for p in PART.findall(copy)]
+    if parts and sum(parts) >= 3 * len(parts) and max(parts) <= 12:
+        before, after = text[max(0, start - AROUND) : start], text[end : end + AROUND]
+    else:
+        before = text[max(0, start - AROUND - size) : start].replace(copy, " ")[-AROUND:]
+        after = text[end : end + AROUND + size].replace(copy, " ")[:AROUND]
+    dictionary = IDENTIFIERS + b" " + (before + " " + after).encode("utf-8", "surrogatepass")
+    own = copy.encode()
     return (_compressed(own, dictionary) - _compressed(b"", dictionary)) / len(own)
 
 
@@ -72,21 +85,40 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
+def candidates(text: str):
+    """(start, end) of the runs between context words, whole, on lines that have such a word and on those below, as long as candidates go on."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    if not words:
+        return
+    low, nth, left = text.rfind("\n", 0, words[0][0]) + 1, 0, 0
+    while low < len(text) and (left or nth < len(words)):
+        if not left:
+            low = max(low, text.rfind("\n", 0, words[nth][0]) + 1)
+        high = text.find("\n", low)
+        high = len(text) if high < 0 else high
+        at, left = low, left - 1
+        while True:
+            own = nth < len(words) and words[nth][0] < high
+            for m in CANDIDATE.finditer(text, at, words[nth][0] if own else high):
+                left = NEXT
+                if at == low or m.start() > at or not text[at].isalpha():
+                    yield m.span()
+            if not own:
+                break
+            at, nth, left = words[nth][1], nth + 1, NEXT
+        low = high + 1
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Candidates of high novelty near a context word that overlap no fixed span."""
-    out, seen = [], set()
-    for w in CONTEXT.finditer(text):
-        for m in CANDIDATE.finditer(text, w.end(), min(len(text), w.end() + NEAR + 512)):
-            s, e = m.span()
-            if s > w.end() + NEAR:
-                break
-            if (s, e) in seen or s == w.end() and text[s : s + 1].isalpha():
-                continue
-            seen.add((s, e))
-            if len(set(text[s:e])) < VARIETY or any(s < b[2] and b[0] < e for b in base) or any(s < o[2] and o[0] < e for o in out):
-                continue
-            if novelty(text, s, e) >= NOVELTY:
-                out.append((s, 3, e))
+    out = []
+    ends = list(itertools.accumulate((b[2] for b in base), max))
+    for s, e in candidates(text):
+        i = bisect.bisect_left(base, (e,))
+        if len(set(text[s:e])) < VARIETY or i and ends[i - 1] > s:
+            continue
+        if novelty(text, s, e) >= NOVELTY:
+            out.append((s, 3, e))
     return out
 
 
