@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import testviews as V
 from ..operators import forest
+from .inputs import folder
 from .registry import query
 from .scenarios import confusion, metrics
 
@@ -17,18 +18,18 @@ def v_feature(spark, d) -> DataFrame:
 
 @query("ml_iforest_train")
 def ml_iforest_train(spark, d):
-    return forest.train(v_feature(spark, d), trees=20)
+    return forest.train(v_feature(spark, d))
 
 
 @query("ml_iforest_score")
 def ml_iforest_score(spark, d):
     rows = v_feature(spark, d)
-    return forest.score(rows, forest.train(rows.where("id % 10 < 7"), trees=20))
+    return forest.score(rows, forest.train(rows.where("id % 10 < 7")))
 
 
 @query("ml_forest_check", "SELECT DISTINCT 'i' || (label % 4) AS digest, true AS ok FROM embeddings")
 def ml_forest_check(spark, d):
-    return forest.usable(forest.train(v_feature(spark, d), trees=5), 20)
+    return forest.usable(forest.train(v_feature(spark, d)), 20)
 
 
 WINDOWS_SQL = "WITH w AS (SELECT event_id AS id, 'i' || (user_id % 4) AS digest, value AS score, event_id % 10 < 7 AS train, event_type = 'error' AS attack, value / 3 AS f1, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS f2 FROM events), th AS (SELECT digest, CASE WHEN count(*) < 100 THEN quantile_cont(score, 0.95) ELSE quantile_cont(score, 0.99) END AS theta FROM w WHERE NOT train GROUP BY 1), mx AS (SELECT digest, max(f1) AS m1, max(f2) AS m2 FROM w WHERE train AND f2 < 40 AND f1 < 6 GROUP BY 1), j AS (SELECT w.*, theta, m1, m2, score > theta AS forest, f1 > 2 * m1 OR f2 > 2 * m2 AS guard FROM w JOIN th USING (digest) JOIN mx USING (digest))"
@@ -144,21 +145,32 @@ def assembled(rows: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=["n_chars", "has_the", "has_que"], outputCol="features", handleInvalid="keep").transform(rows)
 
 
-def predicted(spark, d) -> DataFrame:
-    """One boosted model per label with three positives or more, fitted on folds 1-4 and applied to fold 0."""
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.functions import vector_to_array
+LABELS = ("quality", "toxic")
+
 
-    rows = folds(features(spark, d).join(V.load(spark, d, "labels"), "doc_id"), "doc_id", repeats=1)
-    rows = assembled(rows)
+def predicted(spark, d, repeats: int = 1) -> DataFrame:
+    """(repeat, fold, doc_id, label, p, truth): for each label a boosted model per fold of each repetition, fitted on the other folds and applied to it."""
+    src = folder(spark, "folds")
+    folds(features(spark, d).join(V.load(spark, d, "labels"), "doc_id"), "doc_id", repeats=repeats).write.parquet(src)
+    rows = assembled(spark.read.parquet(src))
     out = None
-    for label in ("quality", "toxic"):
-        fit = GBTClassifier(labelCol=label, maxIter=5, maxDepth=3, seed=0).fit(rows.where("fold > 0").withColumn(label, F.col(label).cast("double")))
-        p = fit.transform(rows.where("fold = 0")).select("doc_id", F.lit(label).alias("label"), vector_to_array("probability")[1].alias("p"), (F.col(label) == 1).alias("truth"))
-        out = p if out is None else out.unionByName(p)
+    for repeat in range(repeats):
+        for fold in range(5):
+            own = rows.where(f"repeat = {repeat}")
+            for label in LABELS:
+                p = applied(own.where(f"fold <> {fold}"), own.where(f"fold = {fold}"), label, "repeat", "fold").withColumn("truth", F.col("truth") == 1)
+                out = p if out is None else out.unionByName(p)
     return out
 
 
+def applied(train: DataFrame, rows: DataFrame, label: str, *keys: str) -> DataFrame:
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.functions import vector_to_array
+
+    fit = GBTClassifier(labelCol=label, maxIter=5, maxDepth=3, seed=0).fit(train.withColumn(label, F.col(label).cast("double")))
+    return fit.transform(rows).select(*keys, "doc_id", F.lit(label).alias("label"), vector_to_array("probability")[1].alias("p"), F.col(label).alias("truth"))
+
+
 @query("ml_cap_train")
 def ml_cap_train(spark, d):
     return predicted(spark, d).groupBy("label").agg(F.count("*").alias("n"), F.avg("p").alias("mean_p"))
@@ -166,14 +178,30 @@ def ml_cap_train(spark, d):
 
 @query("ml_cap_predict")
 def ml_cap_predict(spark, d):
-    return predicted(spark, d).select("doc_id", "label", "p")
+    """Every document: out of fold where it has labels, else by a model of all that have."""
+    labels = V.load(spark, d, "labels")
+    known, rest = features(spark, d).join(labels, "doc_id"), features(spark, d).join(labels, "doc_id", "left_anti")
+    out = predicted(spark, d).select("doc_id", "label", "p")
+    for label in LABELS:
+        own = applied(assembled(known), assembled(rest).withColumn(label, F.lit(None).cast("double")), label)
+        out = out.unionByName(own.select("doc_id", "label", "p"))
+    return out
 
 
 @query("ml_cv_evaluate")
 def ml_cv_evaluate(spark, d):
-    """Out-of-fold predictions of one repetition, as confusion and metrics per label."""
-    rows = predicted(spark, d).select("label", F.when(F.col("truth"), "malicious").otherwise("benign").alias("t"), (F.col("p") >= 0.5).alias("hit"))
-    return metrics(confusion(rows.withColumnRenamed("label", "which").withColumnRenamed("t", "label"), "which"))
+    """Metrics of out-of-fold predictions, five folds by three repetitions: mean and population deviation over repetitions, per label, for the
+    model and for three baselines: nothing, everything, and what most rows of the other folds are."""
+    out = folder(spark, "out-of-fold")
+    predicted(spark, d, repeats=3).write.parquet(out)
+    rows = spark.read.parquet(out)
+    n = rows.groupBy("repeat", "label", "fold").agg(F.count("*").alias("n"), F.count_if("truth").alias("pos"))
+    others = lambda c: F.sum(c).over(Window.partitionBy("repeat", "label")) - F.col(c)
+    rows = rows.join(n.select("repeat", "label", "fold", (2 * others("pos") > others("n")).alias("most")), ["repeat", "label", "fold"])
+    methods = {"model": F.col("p") >= 0.5, "nothing": F.lit(False), "everything": F.lit(True), "majority": F.col("most")}
+    hits = rows.select("repeat", F.col("label").alias("which"), F.when(F.col("truth"), "malicious").otherwise("benign").alias("label"), F.inline(F.array(*(F.struct(F.lit(m).alias("method"), h.alias("hit")) for m, h in methods.items()))))
+    each = metrics(confusion(hits, "repeat", "which", "method"))
+    return each.groupBy("which", "method").agg(F.count("*").alias("repeats"), F.sum(F.expr("tp + fp + fn + tn")).alias("n"), *(f(c).alias(f"{a}_{c}") for c in ("precision", "recall", "f1", "fpr", "accuracy") for a, f in (("mean", F.avg), ("std", F.stddev_pop))))
 
 
 @query("ml_theta_sweep", WINDOWS_SQL + ", t AS (SELECT unnest([0.2, 0.25, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]) AS theta) SELECT CAST(t.theta AS DOUBLE) AS theta, count(*) FILTER (attack AND score / 100 >= t.theta) AS tp, count(*) FILTER (NOT attack AND score / 100 >= t.theta) AS fp FROM w, t GROUP BY 1")

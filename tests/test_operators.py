@@ -226,3 +226,15 @@ def test_windows_batch_equals_any_partitioning(spark):
     pdf = pd.DataFrame({"cid": rng.choice(["x", "y"], n), "pid": rng.integers(1, 4, n), "ppid": rng.integers(1, 4, n), "seq": np.arange(n), "t_ns": np.sort(rng.integers(0, 600, n)) * 1_000_000_000, "kind": rng.choice(["exec", "write", "load", "exit"], n, p=[0.1, 0.6, 0.25, 0.05]), "path": rng.choice(["/a/1", "/b/2"], n)})
     e = spark.createDataFrame(pdf).selectExpr("*", "path AS exe", "'d' AS daddr", "1 AS dport", "false AS new_file", "true AS counted")
     assert sorted(map(str, behaviour_windows(e).collect())) == sorted(map(str, behaviour_windows(e.repartition(7, "path")).collect()))
+
+
+def test_every_document_is_predicted_and_every_fold_evaluated(spark):
+    from runwarden.plans import modelling
+
+    d = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet").select("doc_id") for t in ("documents", "labels"))
+    got = modelling.ml_cap_predict(spark, d).groupBy("label").agg({"doc_id": "count"}).collect()
+    assert sorted(map(tuple, got)) == [(label, docs.count()) for label in ("quality", "toxic")]
+    rows = {(r.which, r.method): r for r in modelling.ml_cv_evaluate(spark, d).collect()}
+    assert len(rows) == 8 and all(r.repeats == 3 and r.n == 3 * labels.count() for r in rows.values())
+    assert rows["quality", "everything"].mean_recall == 1 and rows["quality", "nothing"].mean_recall == 0
