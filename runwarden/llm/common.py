@@ -18,16 +18,15 @@ def session(df: DataFrame) -> SparkSession:
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path below spark.checkpoint.dir, which driver and executors share.
 
-    The setting is read from the session; a temporary folder is set only where there is none, as in tests.
+    The setting is read from the session. Where there is none, a temporary folder is set if the session is local; on a cluster that would be
+    a folder which the executors do not share, so it is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        if found is None:
-            root = tempfile.mkdtemp(prefix="runwarden-shared-")
-            spark.sparkContext.setCheckpointDir(root)
-        else:
-            root = found
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="runwarden-shared-")
+        spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -39,6 +38,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of one run in a folder of its own. One that nothing reads any more can be dropped before the run ends."""
+
+    def __init__(self, spark: SparkSession, name: str):
+        self.spark, self.root, self.count = spark, shared_dir(spark, name), 0
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self.count += 1
+        path = f"{self.root}/{name}-{self.count}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out.scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Only tables whose readers have all been written themselves: lost executors then have nothing to read here again."""
+        jvm, conf = self.spark._jvm, self.spark._jsparkSession.sessionState().newHadoopConf()
+        for t in tables:
+            path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

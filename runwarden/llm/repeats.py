@@ -1,14 +1,19 @@
-"""Array operations that both substring operators share: sequences of units (words or bytes), rolling names and sampled places.
+"""Array operations that both substring operators share: sequences of units (words or bytes), names of stretches and sampled places.
 
 A window is W consecutive units of one document. Each window is filed under its lowest-named gram of K units (its anchor; the first of
 equals): two windows that are equal have equal anchors at equal places in them. So only anchors, a few hundredths of all places,
 need to meet in a shuffle, and an anchor whose gram occurs once can be dropped with all the windows it serves.
 
-Names are polynomials over random 64-bit values of the units, modulo 2^64, with their bits mixed.
+Grams are named by polynomials modulo 2^64: texts can be made whose grams share a name, which costs time and decides nothing. What is
+decided, is decided by names modulo the prime 2^61 - 1 over bases that are drawn anew for each run: whatever the texts are, two
+stretches of n units share a name with a chance of n / 2^61.
 """
 
 from __future__ import annotations
 
+import hashlib
+import random
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,18 +21,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .common import texts
 
 U = np.uint64
+PRIME = (1 << 61) - 1
+_P, _61, _32, _31, _30 = U(PRIME), U(61), U(32), U(31), U(30)
+_M32, _M31, _M30 = U((1 << 32) - 1), U((1 << 31) - 1), U((1 << 30) - 1)
 _RNG = np.random.default_rng(1009)
-#: Random values of bytes, twice: for names and for second names.
+#: Random values of bytes and a base with its inverse modulo 2^64, for grams.
 BYTES = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-BYTES_2 = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * U(2) + U(1)
-#: A base and its inverse modulo 2^64.
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
 PLACE_BITS = 24
 #: Units of a document that are looked at together; longer documents are cut into overlapping pieces.
 PIECE = 4_000_000
 #: Bytes of documents that are looked at together.
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _powers = [np.ones(1, U), np.ones(1, U)]
 
 
@@ -49,15 +55,91 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(32))
 
 
-def sums(units: np.ndarray) -> np.ndarray:
-    """Prefix sums from which names() takes the name of any stretch."""
-    out = np.zeros(len(units) + 1, U)
-    np.cumsum(units * powers(len(units))[0][: len(units)], out=out[1:])
-    return out
+def reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo the prime."""
+    x = (x & _P) + (x >> _61)
+    return np.where(x >= _P, x - _P, x)
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo the prime, of numbers below it, by halves of 31 bits."""
+    au, ad, bu, bd = a >> _31, a & _M31, b >> _31, b & _M31
+    mid = ad * bu + au * bd
+    return reduced(au * bu * U(2) + (mid >> _30) + ((mid & _M30) << _31) + ad * bd)
+
+
+def _joined_halves(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """high * 2^32 + low modulo the prime; multiplying by 2^32 is a rotation of 61 bits."""
+    high = reduced(high)
+    return reduced(((high << _32) & _P) + (high >> U(29)) + reduced(low))
+
+
+class Names:
+    """Names of stretches of units, over one random base. Bytes count as their value and one, words as their own names."""
+
+    def __init__(self, base: int | None = None):
+        self.base = base or random.SystemRandom().randrange(1 << 40, PRIME)
+
+    def __reduce__(self):
+        return Names, (self.base,)
+
+    def powers(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Powers of the base as high and low halves, and of its inverse."""
+        own = self.__dict__.get("own")
+        if own is None or len(own[0]) <= n:
+            size, both = 1 << max(12, int(n).bit_length()), []
+            for b in (self.base, pow(self.base, -1, PRIME)):
+                p = np.ones(1, U)
+                while len(p) < size:
+                    p = np.concatenate([p, product(p, U(pow(b, len(p), PRIME)))])
+                both.append(p)
+            self.own = own = (both[0] >> _32, both[0] & _M32, both[1])
+        return own
+
+    def sums(self, units: np.ndarray) -> np.ndarray:
+        """Prefix sums from which of() takes the name of any stretch; units: bytes, or names of words."""
+        n, out = len(units), np.zeros(len(units) + 1, U)
+        high, low, _ = self.powers(n)
+        if units.dtype == np.uint8:
+            v = units.astype(U) + U(1)
+            out[1:] = _joined_halves(np.cumsum(v * high[:n]), np.cumsum(v * low[:n]))
+        else:
+            t = product(units, (high[:n] << _32) | low[:n])
+            out[1:] = _joined_halves(np.cumsum(t >> _32), np.cumsum(t & _M32))
+        return out
+
+    def of(self, total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        a, b = total[end], total[start]
+        return product(np.where(a >= b, a - b, a + _P - b), self.powers(len(total))[2][start])
+
+    def words(self, joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(names, first bytes, ends) of the words of joined bytes, which are looked at piece by piece."""
+        b = np.frombuffer(joined, np.uint8)
+        parts, at = [], 0
+        while at < len(b):
+            end = min(len(b), at + PIECE)
+            if end < len(b):
+                gap = np.flatnonzero(_SPACE[b[at:end]])
+                if len(gap):
+                    end = at + int(gap[-1]) + 1
+                else:
+                    end = next((i + 1 for i in range(end, len(b)) if _SPACE[b[i]]), len(b))
+            piece = b[at:end]
+            edge = np.flatnonzero(np.diff(np.concatenate([[True], _SPACE[piece], [True]]).astype(np.int8)))
+            start, stop = edge[::2], edge[1::2]
+            if len(piece) <= PIECE:
+                name = self.of(self.sums(piece), start, stop)
+            else:  # one word longer than a piece
+                name = np.array([int.from_bytes(hashlib.blake2b(piece[s:e].tobytes(), digest_size=8, key=self.base.to_bytes(8, "big")).digest(), "big") % PRIME for s, e in zip(start, stop, strict=True)], U)
+            parts.append((name, start + at, stop + at))
+            at = end
+        if not parts:
+            return np.empty(0, U), np.empty(0, np.int64), np.empty(0, np.int64)
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
-def names(total: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mixed((total[end] - total[start]) * powers(len(total))[1][start])
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
 def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
@@ -70,14 +152,15 @@ def sliding_min(v: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
-    """(total, place, low, high, key): for each anchor the first and the last window it serves, and its gram's name.
+    """(place, low, high, key): for each anchor the first and the last window it serves, and its gram's name.
 
     bounds: where documents begin in units, and the end. Windows never cross documents.
     """
-    n, total = len(units), sums(units)
+    n, none = len(units), np.empty(0, np.int64)
     if n < window:
-        none = np.empty(0, np.int64)
-        return total, none, none, none, np.empty(0, U)
+        return none, none, none, np.empty(0, U)
+    total = np.zeros(n + 1, U)
+    np.cumsum(units * powers(n)[0][:n], out=total[1:])
     at = np.arange(n - gram + 1)
     g = mixed((total[gram:] - total[:-gram]) * powers(n)[1][: n - gram + 1])
     mask = U((1 << PLACE_BITS) - 1)
@@ -85,12 +168,11 @@ def anchors(units: np.ndarray, bounds: np.ndarray, window: int, gram: int):
     until = np.repeat(bounds[1:], np.diff(bounds))[: n - window + 1]
     p = np.flatnonzero(at[: n - window + 1] + window <= until)
     if not len(p):
-        none = np.empty(0, np.int64)
-        return total, none, none, none, np.empty(0, U)
+        return none, none, none, np.empty(0, U)
     x = (least[p] & mask).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
     last = np.append(first[1:], len(p)) - 1
-    return total, x[first], p[first], p[last], g[x[first]]
+    return x[first], p[first], p[last], g[x[first]]
 
 
 def blocks(sizes: list[int], limit: int = BLOCK):
@@ -111,31 +193,15 @@ def pieces(units: np.ndarray, window: int):
         yield s, units[s : s + PIECE + window - 1]
 
 
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-def word_units(joined: bytes, second: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(names, first bytes, ends) of the words of joined bytes."""
-    b = np.frombuffer(joined, np.uint8)
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
-    start, end = edge[::2], edge[1::2]
-    return names(sums((BYTES_2 if second else BYTES)[b]), start, end), start, end
-
-
-def byte_units(joined: bytes, second: bool = False) -> np.ndarray:
-    return (BYTES_2 if second else BYTES)[np.frombuffer(joined, np.uint8)]
-
-
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, dk, tag, text): dk and tag tell documents apart, 78 bits of hashes of id and text.
+    """(doc_id, dk, tag, text): dk and tag tell documents apart, 78 bits of hashes of id and text that begin with numbers drawn for this run.
 
     Rows that repeat id and text share them, and what holds for one of these holds for the other.
     """
     t = texts(docs, id_col, text_col)
-    dk = F.xxhash64("doc_id", "text")
-    tag = F.hash(F.lit(77), F.col("text"), F.col("doc_id")).bitwiseAND(F.lit((1 << 14) - 1))
+    drawn = [F.lit(random.SystemRandom().getrandbits(62)) for _ in range(3)]
+    dk = F.xxhash64(drawn[0], drawn[1], F.col("doc_id"), F.col("text"))
+    tag = F.hash(drawn[2], F.col("text"), F.col("doc_id")).bitwiseAND(F.lit((1 << 14) - 1))
     return t.select("doc_id", dk.alias("dk"), tag.alias("tag"), "text")
 
 

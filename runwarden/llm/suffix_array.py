@@ -20,46 +20,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import repeats as R
-from .common import partitions_of, staged, table
+from .common import Scratch, partitions_of, table
 
 WINDOW, GRAM = 400, 128
-STRETCHES = "key long, name long, size long, nth long, dk long, packed long, serves boolean"
+STRETCHES = "key long, name long, size long, nth long, hop int, reach int, dk long, packed long, serves boolean"
 
 
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def scan(window: int, gram: int, keys_only: bool):
+def scan(window: int, gram: int, names: R.Names, keys_only: bool):
     """Sampled places of every whole text, in order: gram, name and size of the stretch that begins there, document and place.
 
     A stretch runs to the end of the next place's gram, the last one to the end of the text. A first row that serves no window begins
-    at byte 0 unless a sampled place does.
+    at byte 0 unless a sampled place does. Where one stretch follows itself again and again (a run of one byte, a repeated phrase) it is
+    lengthened by as many of its successors as `reach` asks for. `hop` says how many places on the next half begins; `reach` is how far
+    from the place ranks matter: to the end of the last window that the next place serves.
     """
 
-    def one(units, bounds, dk, tag):
-        total, place, low, high, key = R.anchors(units, bounds, window, gram)
+    def one(raw, bounds, dk, tag):
+        place, low, high, key = R.anchors(R.BYTES[raw], bounds, window, gram)
         if not len(place):
             return None
+        if keys_only:
+            return [pa.array(key.view(np.int64))]
         doc = np.searchsorted(bounds, place, side="right") - 1
         first = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         begin = first[place[first] > bounds[doc[first]]]
         at = bounds[doc[begin]]
-        extra = R.names(total, at, at + gram)
         serves = np.insert(np.ones(len(place), bool), begin, False)
-        place, low, high, key, doc = np.insert(place, begin, at), np.insert(low, begin, at), np.insert(high, begin, at), np.insert(key, begin, extra), np.insert(doc, begin, doc[begin])
-        if keys_only:
-            return [pa.array(key.view(np.int64))]
+        place, low, high, doc = np.insert(place, begin, at), np.insert(low, begin, at), np.insert(high, begin, at), np.insert(doc, begin, doc[begin])
+        total = names.sums(raw)
+        # The gram of a first row must repeat too if the row is to live; the key is only looked up.
+        key = np.insert(key, begin, key[begin])
         last = np.append(doc[1:] != doc[:-1], True)
-        stop = np.where(last, bounds[doc + 1], np.append(place[1:], 0) + gram)
-        name = R.names(total, place, stop) ^ (last.astype(R.U) * R.U(0x5851F42D4C957F2D))
+        ahead = np.append(place[1:], 0)
+        stop = np.where(last, bounds[doc + 1], ahead + gram)
+        name = names.of(total, place, stop)
+        gap = np.where(last, 1, ahead - place)
+        reach = np.where(last, stop - place, gap + window)
+        i = np.arange(len(place))
+        same = np.append((name[1:] == name[:-1]) & ((stop - place)[1:] == (stop - place)[:-1]) & ~last[:-1] & ~last[1:], False)
+        ends = np.flatnonzero(~same)
+        more = np.minimum(ends[np.searchsorted(ends, i)] - i, -(-(window - gram) // gap))
+        long_ = np.flatnonzero(more > 0)
+        stop = stop[i + more]
+        name[long_] = names.of(total, place[long_], stop[long_])
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
-        nth = np.arange(len(doc)) - np.repeat(start, np.diff(np.append(start, len(doc))))
+        nth = i - np.repeat(start, np.diff(np.append(start, len(doc))))
         base = bounds[doc]
         p = R.packed(place - base, low - base, high - base, tag[doc])
-        return [pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), pa.array(stop - place), pa.array(nth), pa.array(dk[doc]), pa.array(p), pa.array(serves)]
+        return [pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), pa.array(stop - place), pa.array(nth), pa.array((more + 1).astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(dk[doc]), pa.array(p), pa.array(serves)]
 
-    names = ["key"] if keys_only else [c.split()[0] for c in STRETCHES.split(", ")]
+    columns = ["key"] if keys_only else [c.split()[0] for c in STRETCHES.split(", ")]
 
     def run(batches):
         for b in batches:
@@ -69,20 +83,19 @@ def scan(window: int, gram: int, keys_only: bool):
                 yield from long_text(raw[k], dk[k : k + 1], tag[k : k + 1])
                 raw[k] = b""
             for i, j in R.blocks([len(r) for r in raw]):
-                units = R.byte_units(b"".join(raw[i:j]))
-                cols = one(units, np.cumsum([0, *(len(r) for r in raw[i:j])]), dk[i:j], tag[i:j])
+                cols = one(np.frombuffer(b"".join(raw[i:j]), np.uint8), np.cumsum([0, *(len(r) for r in raw[i:j])]), dk[i:j], tag[i:j])
                 if cols:
-                    yield pa.RecordBatch.from_arrays(cols, names=names)
+                    yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     def long_text(raw, dk, tag):
         """Pieces number their places from far apart, so that pairs of ranks never join places of two pieces."""
         for s, u in R.pieces(np.frombuffer(raw, np.uint8), window):
-            cols = one(R.BYTES[u], np.array([0, len(u)]), dk, tag)
+            cols = one(u, np.array([0, len(u)]), dk, tag)
             if cols and not keys_only:
                 cols[3] = pa.array(cols[3].to_numpy() + s * 2)
-                cols[5] = pa.array(cols[5].to_numpy() + (np.int64(s) << 32))
+                cols[7] = pa.array(cols[7].to_numpy() + (np.int64(s) << 32))
             if cols:
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols, names=columns)
 
     return run
 
@@ -95,19 +108,29 @@ class _Bytes:
         return self.raw[low:high]
 
 
-def _window_names(window: int):
+def _window_names(window: int, names: tuple[R.Names, R.Names]):
     def run(text: str, starts: np.ndarray):
-        raw = _bytes(text)
-        return tuple(R.names(R.sums(R.byte_units(raw, second)), starts, starts + window) for second in (False, True))
+        raw = np.frombuffer(_bytes(text), np.uint8)
+        return tuple(_names_at(n, raw, starts, window) for n in names)
 
     return run
 
 
-def doubled_repeats(window: int, gram: int):
+def _names_at(names: R.Names, raw: np.ndarray, starts: np.ndarray, window: int) -> np.ndarray:
+    """Names of windows at sorted starts; a long text is summed piece by piece."""
+    out = np.empty(len(starts), R.U)
+    for s, piece in R.pieces(raw, window):
+        a, b = np.searchsorted(starts, [s, s + R.PIECE])
+        if b > a:
+            out[a:b] = names.of(names.sums(piece), starts[a:b] - s, starts[a:b] - s + window)
+    return out
+
+
+def doubled_repeats(window: int, gram: int, names: R.Names):
     """Ranks the windows of a block's contexts by doubling; tells which share their rank at the window's depth."""
 
     def run(ctxs: list[bytes], wins: np.ndarray, group: np.ndarray) -> np.ndarray:
-        total = R.sums(R.byte_units(b"".join(ctxs)))
+        total = names.sums(np.frombuffer(b"".join(ctxs), np.uint8))
         size = wins + window - 1
         first = np.cumsum(size) - size
         row = np.repeat(np.arange(len(wins)), wins)
@@ -115,7 +138,7 @@ def doubled_repeats(window: int, gram: int):
         active, rank, depth = np.arange(len(row)), group[row].astype(np.int64), 0
         while depth < window and len(active):
             reach = min(max(depth, gram), window - depth)
-            second = R.names(total, place[active] + depth, place[active] + depth + reach)
+            second = names.of(total, place[active] + depth, place[active] + depth + reach)
             order = np.lexsort((second, rank))
             r, s = rank[order], second[order]
             new = np.concatenate([[True], (r[1:] != r[:-1]) | (s[1:] != s[:-1])])
@@ -130,38 +153,49 @@ def doubled_repeats(window: int, gram: int):
     return run
 
 
-def _ranked(pairs: DataFrame, by: list[str]) -> DataFrame:
-    """Spark sorts by the pair: each place gets the first place of its class as rank (ra, rb); places alone in their class are done."""
-    classes = staged(pairs.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("dk", "tag", "nth")).alias("head")).where("n > 1"), "classes")
-    out = pairs.join(classes, by)
+LEVEL = ("dk", "tag", "nth", "start", "stop", "next", "reach")
+
+
+def _ranked(scratch: Scratch, pairs: DataFrame, by: list[str]) -> DataFrame:
+    """Spark sorts by the pair: each place gets the first place of its class as rank (ra, rb); places alone in their class are done.
+
+    pairs must be a table of its own: so a join with a hot class can be split.
+    """
+    classes = scratch.put(pairs.groupBy(*by).agg(F.count("*").alias("n"), F.min(F.struct("dk", "tag", "nth")).alias("head")).where("n > 1").drop("n"), "classes")
     head = (F.col("dk") == F.col("head.dk")) & (F.col("tag") == F.col("head.tag")) & (F.col("nth") == F.col("head.nth"))
-    return staged(out.select("dk", "tag", "nth", "start", "stop", F.col("head.dk").alias("ra"), F.shiftleft("head.nth", 14).bitwiseOR(F.col("head.tag")).alias("rb"), head.alias("is_head")), "ranks")
+    out = pairs.join(classes, by).select(*LEVEL, F.col("head.dk").alias("ra"), F.shiftleft("head.nth", 14).bitwiseOR(F.col("head.tag")).alias("rb"), head.alias("is_head"))
+    out = scratch.put(out, "ranks")
+    scratch.drop(classes)
+    return out
+
 
+def ranked_spans(scratch: Scratch, live: DataFrame, window: int) -> DataFrame:
+    """(dk, tag, start, stop, is_head): what prefix doubling over stretches finds repeated, of a window's size or more.
 
-def ranked_spans(live: DataFrame, window: int) -> DataFrame:
-    """(dk, tag, start, stop, is_head): what prefix doubling over stretches finds repeated, of a window's size or more."""
-    first = live.select("dk", R.tag_of(F.col("packed")).alias("tag"), "nth", R.place_of(F.col("packed")).alias("start"), (R.place_of(F.col("packed")) + F.col("size")).alias("stop"), "name", "size")
-    known = _ranked(first, ["name", "size"])
-    spans, offset, level = [known], 1, known
+    A place's first half is what it shares with its class; the second half is what the place where that ends (`next`) shares with its own.
+    """
+    start = R.place_of(F.col("packed"))
+    first = live.select("dk", R.tag_of(F.col("packed")).alias("tag"), "nth", start.alias("start"), (start + F.col("size")).alias("stop"), (F.col("nth") + F.col("hop")).alias("next"), "reach", "name", "size")
+    levels = [_ranked(scratch, first, ["name", "size"])]
+    known = levels[0]
     while True:
-        active = level.where(F.col("stop") - F.col("start") < 2 * window)
-        ahead = known.select("dk", "tag", (F.col("nth") - offset).alias("nth"), F.col("ra").alias("na"), F.col("rb").alias("nb"), F.col("start").alias("next_start"), F.col("stop").alias("next_stop"))
+        active = levels[-1].where(F.col("stop") - F.col("start") < F.col("reach"))
+        # The longest rank of each place. A place that a round has not reached keeps its last one: as a second half it names the same text wherever it stands.
+        ahead = known.groupBy("dk", "tag", F.col("nth").alias("next")).agg(F.max_by(F.struct(F.col("ra").alias("na"), F.col("rb").alias("nb"), F.col("start").alias("next_start"), F.col("stop").alias("next_stop"), F.col("next").alias("after")), "stop").alias("a"))
         # A first half that took a shorter rank may end before the second begins; what lies between was never compared.
-        pairs = active.drop("is_head").join(ahead, ["dk", "tag", "nth"]).where("next_start <= stop").withColumn("gap", F.col("next_start") - F.col("start"))
+        pairs = active.drop("is_head").join(ahead, ["dk", "tag", "next"]).select("*", "a.*").where("next_start <= stop").withColumn("gap", F.col("next_start") - F.col("start"))
         # A place may head classes of several rounds; what these have in common differs in size.
-        pairs = pairs.withColumn("stop", F.col("next_stop")).drop("next_start", "next_stop")
-        pairs = pairs.withColumnsRenamed({"ra": "pa", "rb": "pb"}).withColumn("size", F.col("stop") - F.col("start"))
-        level = _ranked(pairs, ["pa", "pb", "na", "nb", "gap", "size"])
+        pairs = pairs.select("dk", "tag", "nth", "start", F.col("next_stop").alias("stop"), F.col("after").alias("next"), "reach", F.col("ra").alias("pa"), F.col("rb").alias("pb"), "na", "nb", "gap", (F.col("next_stop") - F.col("start")).alias("size"))
+        pairs = scratch.put(pairs, "pairs")
+        level = _ranked(scratch, pairs, ["pa", "pb", "na", "nb", "gap", "size"])
+        scratch.drop(pairs)
         if level.isEmpty():
             break
-        spans.append(level)
-        # Places that this round has not reached keep their last rank: as a second half it names the same text wherever it stands.
-        known = staged(known.join(level.select("dk", "tag", "nth"), ["dk", "tag", "nth"], "left_anti").unionByName(level), "known")
-        offset *= 2
-    out = spans[0]
-    for s in spans[1:]:
-        out = out.unionByName(s)
-    return out.where(F.col("stop") - F.col("start") >= window).select("dk", "tag", "start", "stop", "is_head")
+        levels.append(level)
+        known = known.unionByName(level)
+    spans = scratch.put(known.where(F.col("stop") - F.col("start") >= window).select("dk", "tag", "start", "stop", "is_head"), "spans")
+    scratch.drop(level, *levels)
+    return spans
 
 
 SHIPPED = "dk long, tag int, key long, low long, high long"
@@ -211,14 +245,14 @@ def _uncovered(window: int):
     return run
 
 
-def one_of_each(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
+def one_of_each(scratch: Scratch, docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
     """One row of each (dk, tag), and ranges (dk, tag, start, stop) over the whole texts that several rows share, if of a window's size.
 
     Ranks are joined on (dk, tag): m rows of one text would become m^2 in the first round, m^4 in the next. Shorter texts hold no place.
     """
     size = F.octet_length("text").cast("long")
     again = docs.where(size >= window).groupBy("dk", "tag").agg(F.count("*").alias("n"), F.max(size).alias("stop")).where("n > 1")
-    again = staged(again.select("dk", "tag", F.lit(0).cast("long").alias("start"), "stop"), "again")
+    again = scratch.put(again.select("dk", "tag", F.lit(0).cast("long").alias("start"), "stop"), "again")
     if not again.isEmpty():
         own = again.select("dk", "tag")
         docs = docs.join(own, ["dk", "tag"], "left_anti").unionByName(docs.join(own, ["dk", "tag"], "left_semi").dropDuplicates(["dk", "tag"]))
@@ -227,25 +261,30 @@ def one_of_each(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame]:
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of bytes under windows that occur elsewhere; docs as keyed() gives them."""
-    docs, again = one_of_each(docs, window)
+    scratch, names, other = Scratch(docs.sparkSession, "suffix-array"), R.Names(), R.Names()
+    docs, again = one_of_each(scratch, docs, window)
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
-    live = staged(rows.mapInArrow(scan(window, gram, False), STRETCHES).join(census, "key", "left_semi"), "stretches")
-    spans = staged(ranked_spans(live, window), "spans")
+    census = rows.mapInArrow(scan(window, gram, names, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    census = scratch.put(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
+    live = scratch.put(rows.mapInArrow(scan(window, gram, names, False), STRETCHES).join(census, "key", "left_semi"), "stretches")
+    scratch.drop(census)
+    spans = ranked_spans(scratch, live, window)
     packed = F.col("packed")
     serving = live.where("serves").select("dk", R.tag_of(packed).alias("tag"), "key", R.low_of(packed).alias("start"), (R.high_of(packed) + window).alias("stop"), F.lit(0).alias("span"))
     others = spans.where("not is_head").select("dk", "tag", F.lit(0).cast("long").alias("key"), "start", "stop", F.lit(1).alias("span"))
     both = serving.unionByName(others).repartition(partitions_of(docs), "dk", "tag").sortWithinPartitions("dk", "tag")
-    left = staged(both.mapInArrow(_uncovered(window), SHIPPED), "uncovered")
-    many = staged(left.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
+    left = scratch.put(both.mapInArrow(_uncovered(window), SHIPPED), "uncovered")
+    scratch.drop(live)
+    many = scratch.put(left.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
     picks = left.join(many, "key").select("dk", "tag", F.struct("key", "low", "high", (F.col("different") > R.CROWD).alias("crowded")).alias("pick"))
     picks = picks.groupBy("dk", "tag").agg(F.collect_list("pick").alias("picks"))
     chosen = docs.join(picks, ["dk", "tag"]).select("dk", "tag", "text", "picks")
-    sent = chosen.mapInArrow(R.Sender(window, _Bytes, _window_names(window)), R.SENT)
+    sent = chosen.mapInArrow(R.Sender(window, _Bytes, _window_names(window, (names, other))), R.SENT)
     sent = sent.repartition(partitions_of(docs), "key").sortWithinPartitions("key")
-    found = sent.mapInArrow(R.Receiver(window, doubled_repeats(window, gram)), R.RANGES)
-    return staged(spans.select("dk", "tag", "start", "stop").unionByName(found).unionByName(again), "ranges")
+    found = sent.mapInArrow(R.Receiver(window, doubled_repeats(window, gram, names)), R.RANGES)
+    ranges = scratch.put(spans.select("dk", "tag", "start", "stop").unionByName(found).unionByName(again), "ranges")
+    scratch.drop(spans, left, many)
+    return ranges
 
 
 def _assembled(batches):

@@ -31,14 +31,18 @@ def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def scan(window: int, gram: int, keys_only: bool):
-    """Anchors of every whole text: (key) alone, or with the name of the stretch that it serves, its document and its place."""
+def scan(window: int, gram: int, names: R.Names, keys_only: bool):
+    """Anchors of every whole text: (key) alone, or with the name of the stretch that it serves, its document and its place.
+
+    A stretch's name counts how many windows it has and where the anchor is, too.
+    """
 
     def found(units, bounds):
-        total, place, low, high, key = R.anchors(units, bounds, window, gram)
+        place, low, high, key = R.anchors(units, bounds, window, gram)
         if keys_only or not len(place):
             return place, low, high, key, None
-        ctx = R.mixed(R.names(total, low, high + window) + (high - low).astype(R.U) * R.U(0x632BE59BD9B4E019) + (place - low).astype(R.U) * R.U(0x9E6C63D0876A9A47))
+        shape = (high - low).astype(R.U) << R.U(10) | (place - low).astype(R.U)
+        ctx = R.reduced(R.product(names.of(names.sums(units), low, high + window), R.U(names.base)) + shape)
         return place, low, high, key, ctx
 
     def run(batches):
@@ -47,7 +51,7 @@ def scan(window: int, gram: int, keys_only: bool):
             dk, tag = b.column(0).to_numpy(), b.column(1).to_numpy().astype(np.int64)
             for i, j in R.blocks([len(r) for r in raw]):
                 joined = b"\n".join(raw[i:j]) + b"\n"
-                units, start, _ = R.word_units(joined)
+                units, start, _ = names.words(joined)
                 edges = np.cumsum([0, *(len(r) + 1 for r in raw[i:j])])
                 bounds = np.searchsorted(start, edges)
                 parts = [(0, units, bounds)] if len(units) <= R.PIECE else [(bounds[d] + s, u, np.array([0, len(u)])) for d in range(j - i) for s, u in R.pieces(units[bounds[d] : bounds[d + 1]], window)]
@@ -69,26 +73,27 @@ def scan(window: int, gram: int, keys_only: bool):
 class _Words:
     def __init__(self, text: str):
         self.raw = _bytes(text)
-        self.units, self.start, self.end = R.word_units(self.raw)
+        space = R._SPACE[np.frombuffer(self.raw, np.uint8)]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
+        self.start, self.end = edge[::2], edge[1::2]
 
     def cut(self, low: int, high: int) -> bytes:
         return self.raw[self.start[low] : self.end[high - 1]]
 
 
-def _window_names(window: int):
+def _window_names(window: int, names: tuple[R.Names, R.Names]):
     def run(text: str, starts: np.ndarray):
         raw = _bytes(text)
-        return tuple(R.names(R.sums(R.word_units(raw, second)[0]), starts, starts + window) for second in (False, True))
+        return tuple(n.of(n.sums(n.words(raw)[0]), starts, starts + window) for n in names)
 
     return run
 
 
-def subtree_repeats(window: int, step: int = RANGE):
+def subtree_repeats(window: int, names: R.Names, step: int = RANGE):
     """Grows subtrees, all groups of a block at once; tells which suffixes end below a node of the window's depth."""
 
     def run(ctxs: list[bytes], wins: np.ndarray, group: np.ndarray) -> np.ndarray:
-        units, _, _ = R.word_units(b"\n".join(ctxs))
-        total = R.sums(units)
+        total = names.sums(names.words(b"\n".join(ctxs))[0])
         words = wins + window - 1
         first = np.cumsum(words) - words
         row = np.repeat(np.arange(len(wins)), wins)
@@ -96,7 +101,7 @@ def subtree_repeats(window: int, step: int = RANGE):
         active, node, depth = np.arange(len(row)), group[row].astype(np.int64), 0
         while depth < window and len(active):
             reach = min(step, window - depth)
-            edge = R.names(total, suffix[active] + depth, suffix[active] + depth + reach)
+            edge = names.of(total, suffix[active] + depth, suffix[active] + depth + reach)
             order = np.lexsort((edge, node))
             n, e = node[order], edge[order]
             new = np.concatenate([[True], (n[1:] != n[:-1]) | (e[1:] != e[:-1])])
@@ -114,9 +119,10 @@ def subtree_repeats(window: int, step: int = RANGE):
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of words under windows that occur elsewhere; docs as keyed() gives them."""
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    names, other = R.Names(), R.Names()
+    census = rows.mapInArrow(scan(window, gram, names, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
-    live = rows.mapInArrow(scan(window, gram, False), ANCHORS).join(census, "key", "left_semi")
+    live = rows.mapInArrow(scan(window, gram, names, False), ANCHORS).join(census, "key", "left_semi")
     live = staged(live, "anchors")
     stretches = staged(live.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("dk", "packed")).alias("head")), "stretches")
     many = staged(stretches.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
@@ -127,9 +133,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     picks = heads.select("dk", tag.alias("tag"), F.struct("key", low.alias("low"), high.alias("high"), (F.col("different") > R.CROWD).alias("crowded")).alias("pick"))
     picks = picks.groupBy("dk", "tag").agg(F.collect_list("pick").alias("picks"))
     chosen = docs.join(picks, ["dk", "tag"]).select("dk", "tag", "text", "picks")
-    sent = chosen.mapInArrow(R.Sender(window, _Words, _window_names(window)), R.SENT)
+    sent = chosen.mapInArrow(R.Sender(window, _Words, _window_names(window, (names, other))), R.SENT)
     sent = sent.repartition(partitions_of(docs), "key").sortWithinPartitions("key")
-    found = sent.mapInArrow(R.Receiver(window, subtree_repeats(window)), R.RANGES)
+    found = sent.mapInArrow(R.Receiver(window, subtree_repeats(window, names)), R.RANGES)
     return staged(whole.unionByName(found), "ranges")
 
 

@@ -76,8 +76,9 @@ def test_a_long_text_after_empty_ones_is_cut(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     rng = random.Random(13)
     long_, short = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5000, 600))
-    for names in (True, False):
-        run = suffix_array.scan(400, 128, names)
+    names = repeats.Names()
+    for keys_only in (True, False):
+        run = suffix_array.scan(400, 128, names, keys_only)
         found = []
         for texts in (["", "", long_, short, ""], [long_], [short]):
             ids = {"": 1, long_: 2, short: 3}
@@ -96,6 +97,59 @@ def test_long_texts_are_cut_into_pieces(spark, monkeypatch):
     assert sorted(map(tuple, suffix_array.deduplicated(docs).collect())) == by_bytes(rows, 400)
 
 
+def table_of(spark, texts):
+    rows = [(i, t, "", "", 0) for i, t in enumerate(texts)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+
+
+def test_words_that_a_polynomial_modulo_two_to_the_64_confuses(spark):
+    """Two Thue-Morse words of 1,024 letters, and each beside 34 shared words: nothing repeats."""
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    twin = word.translate(str.maketrans("ab", "ba"))
+    tail = " ".join(f"t{i}" for i in range(34))
+    rows, docs = table_of(spark, [f"{word} {tail}", f"{twin} {tail}"])
+    assert sorted(map(tuple, suffix_tree.deduplicated(docs).collect())) == by_words(rows, 35)
+    rows, docs = table_of(spark, ["x" * 300 + word + "y" * 300, "x" * 300 + twin + "y" * 300, word, twin])
+    assert sorted(map(tuple, suffix_array.deduplicated(docs).collect())) == by_bytes(rows, 400)
+
+
+def test_runs_and_periods(spark):
+    """Long runs of one byte or phrase, whole, cut short, and with one byte changed."""
+    rng = random.Random(14)
+    noise = lambda n: "".join(rng.choice("abcdefghijklmnop") for _ in range(n))
+    phrase, long_phrase = noise(37), noise(260)
+    texts = ["-" * 3000, noise(500) + "-" * 2000 + noise(90), "-" * 410, "-" * 399, noise(50) + "-" * 700 + "+" + "-" * 900, phrase * 60, noise(300) + phrase * 20 + noise(300), long_phrase * 9, noise(7) + long_phrase * 4, (phrase + "-" * 450) * 5, long_phrase * 3 + "-" * 800 + long_phrase * 3]
+    rows, docs = table_of(spark, texts)
+    assert sorted(map(tuple, suffix_array.deduplicated(docs).collect())) == by_bytes(rows, 400)
+    assert sorted(map(tuple, suffix_array.deduplicated(docs, 90, 20).collect())) == by_bytes(rows, 90)
+    rows, docs = table_of(spark, ["- " * 300, "- " * 90 + "end", "a b c " * 40, "x " + "a b c " * 30, "- " * 34, "- " * 35])
+    assert sorted(map(tuple, suffix_tree.deduplicated(docs).collect())) == by_words(rows, 35)
+
+
+def test_names_are_those_of_plain_arithmetic():
+    names = repeats.Names()
+    raw = np.frombuffer(bytes(range(256)) * 3, np.uint8)
+    total = names.sums(raw)
+    start, end = np.array([0, 5, 100, 700]), np.array([400, 5, 768, 768])
+    want = [sum((int(v) + 1) * pow(names.base, i, repeats.PRIME) for i, v in enumerate(raw[s:e])) % repeats.PRIME for s, e in zip(start, end, strict=True)]
+    assert names.of(total, start, end).tolist() == want
+    words, first, stop = names.words(b"  one two\tone \x0bthree")
+    assert words[0] == words[2] and len(set(words.tolist())) == 3
+    assert [(int(a), int(b)) for a, b in zip(first, stop, strict=True)] == [(2, 5), (6, 9), (10, 13), (15, 20)]
+
+
+def test_words_of_long_texts_do_not_depend_on_pieces(monkeypatch):
+    names = repeats.Names()
+    raw = b" ".join(b"w%d" % (i * i) for i in range(900))
+    want = names.words(raw)
+    monkeypatch.setattr(repeats, "PIECE", 50)
+    assert all((a == b).all() for a, b in zip(names.words(raw), want, strict=True))
+    long_ = names.words(raw[:300].replace(b" ", b"") + b" x " + raw[:300].replace(b" ", b""))[0]
+    assert len(long_) == 3 and long_[0] == long_[2] != long_[1]
+
+
 def test_empty_table(no_docs):
     assert suffix_tree.deduplicated(no_docs).collect() == []
     assert suffix_array.deduplicated(no_docs).collect() == []
