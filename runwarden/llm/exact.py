@@ -5,9 +5,9 @@ files and keeps, per digest, in RocksDB-backed state without expiry: the largest
 rows have come. State is checkpointed in the shared folder, so a restarted query goes on where it stopped, and rows
 that come later meet what is kept.
 
-Hits (digests with more than one row) are then checked in full: the normalised texts of the group's rows are compared with that
-of the row that stays. A row whose text differs from it is regrouped by its whole text, so that a digest that two texts share
-(tests use a weak one) never merges them.
+Hits (digests with more than one row) are then checked in full: the rows of hits alone are read back, and of each digest the least and the
+greatest normalised text are taken, in every task first, so that a group of copies is one row when it is shuffled. Where these two are the same bytes,
+all are. A digest that different texts share (tests use a weak one) is regrouped by whole texts.
 """
 
 from __future__ import annotations
@@ -26,6 +26,9 @@ STORE = {
     f"{_STORE}.rocksdb.allowFAllocate": "false",
 }
 STATE = "digest string, keep_id long, locator string, group_size long"
+LANDED = "doc_id long, digest string, locator string, text_sha256 string"
+#: Hits whose 64-bit hashes are broadcast to find their rows without a shuffle of the texts; beyond it the rows are joined by shuffling them once.
+BROADCAST_HITS = 1_000_000
 
 
 def sha256_digest(text: Column) -> Column:
@@ -33,8 +36,9 @@ def sha256_digest(text: Column) -> Column:
 
 
 def land(docs: DataFrame, path: str, digest: Callable[[Column], Column] = sha256_digest) -> None:
-    """Append docs (doc_id, norm, locator) to the landing folder, without texts."""
-    docs.select("doc_id", digest(F.col("norm")).alias("digest"), "locator").write.mode("append").parquet(path)
+    """Append docs (doc_id, norm, locator) to the landing folder, without texts; a SHA-256 is landed beside another digest only."""
+    sha = F.lit(None).cast("string") if digest is sha256_digest else F.sha2("norm", 256)
+    docs.select("doc_id", digest(F.col("norm")).alias("digest"), "locator", sha.alias("text_sha256")).write.mode("append").parquet(path)
 
 
 def state_of(spark: SparkSession, landed: str, checkpoint: str, out: str) -> DataFrame:
@@ -46,7 +50,7 @@ def state_of(spark: SparkSession, landed: str, checkpoint: str, out: str) -> Dat
     for k, v in STORE.items():
         spark.conf.set(k, v)
     try:
-        rows = spark.readStream.schema("doc_id long, digest string, locator string").parquet(landed)
+        rows = spark.readStream.schema(LANDED).parquet(landed)
         kept = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order"), "doc_id", "locator")).alias("keep")
         changed = rows.groupBy("digest").agg(kept, F.count("*").alias("group_size"))
         changed = changed.select("digest", F.col("keep.doc_id").alias("keep_id"), "keep.locator", "group_size")
@@ -69,12 +73,23 @@ def state_of(spark: SparkSession, landed: str, checkpoint: str, out: str) -> Dat
     return states.groupBy("digest").agg(newest.alias("s")).select("digest", "s.*")
 
 
+def shared_digests(keyed: DataFrame, hits: DataFrame, name: str = "collisions") -> DataFrame:
+    """(digest) of hits whose rows in keyed (digest, norm) are not all the same bytes."""
+    if hits.count() <= BROADCAST_HITS:
+        # Rows of other digests with the same 64 bits come too, and are found to be alone.
+        near = F.broadcast(hits.select(F.xxhash64("digest").alias("hit")).distinct())
+        rows = keyed.join(near, F.xxhash64("digest") == F.col("hit"), "left_semi")
+    else:
+        rows = staged(keyed.join(hits, "digest", "left_semi"), "hit-rows")
+    return staged(rows.groupBy("digest").agg(F.min("norm").alias("least"), F.max("norm").alias("greatest")).where("least <> greatest").select("digest"), name)
+
+
 def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_digest) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, text_sha256), one row per row of docs, dropped ones too.
 
-    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest id stays;
-    ids are unique (rows that repeat an id with an equal text count in group_size, and each has kept true). A null id sorts
-    lowest. An empty table gives no rows. Other columns of docs are not looked at.
+    Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the row with the largest id stays.
+    Rows that repeat an id are rows of their own: those with an equal text count in group_size, and each of them has kept true. A null id sorts
+    lowest. An empty table gives no rows. Other columns of docs are not looked at; long texts are whole, one at a time.
     """
     spark = docs.sparkSession
     norm = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
@@ -82,28 +97,19 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     home = shared_dir(spark, "exact")
     land(rows, f"{home}/landed", digest)
     state = staged(state_of(spark, f"{home}/landed", f"{home}/checkpoint", f"{home}/state"), "exact-state")
-    landed = spark.read.schema("doc_id long, digest string, locator string").parquet(f"{home}/landed")
+    landed = spark.read.schema(LANDED).parquet(f"{home}/landed")
 
-    hits = state.where("group_size > 1").select("digest", "keep_id")
     keyed = rows.select("doc_id", digest(F.col("norm")).alias("digest"), "norm")
-    keepers = keyed.join(hits.select("digest", F.col("keep_id").alias("doc_id")), ["digest", "doc_id"], "left_semi").select("digest", F.col("norm").alias("kept_norm"))
-    keepers = staged(keepers.groupBy("digest").agg(F.first("kept_norm").alias("kept_norm")), "keepers")
-    odd = keyed.join(keepers, "digest").where("norm <> kept_norm").select("doc_id", "digest", "norm")
-    odd = staged(odd, "collisions")
-    grouped = landed.join(state.select("digest", "keep_id", "group_size"), "digest")
-    if odd.isEmpty():
-        out = grouped.select("doc_id", "keep_id", "group_size", "digest")
-    else:
-        less = staged(odd.groupBy("digest").agg(F.count("*").alias("less")), "collision-sizes")
-        own = staged(odd.groupBy("norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")), "collision-groups")
-        right = grouped.join(odd.select("doc_id", "digest").distinct(), ["doc_id", "digest"], "left_anti").join(less, "digest", "left")
-        right = right.select("doc_id", "keep_id", (F.col("group_size") - F.coalesce("less", F.lit(0))).alias("group_size"), "digest")
-        out = right.unionByName(odd.join(own, "norm").select("doc_id", "keep_id", "group_size", "digest"))
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    if digest is sha256_digest:
-        return out.select("doc_id", "keep_id", "group_size", kept, F.col("digest").alias("text_sha256"))
-    shas = rows.select("doc_id", F.sha2("norm", 256).alias("text_sha256"))
-    return out.join(shas, "doc_id").select("doc_id", "keep_id", "group_size", kept, "text_sha256")
+    shared = shared_digests(keyed.select("digest", "norm"), state.where("group_size > 1").select("digest"))
+    out = landed.join(state.select("digest", "keep_id", "group_size"), "digest").select("doc_id", "keep_id", "group_size", "digest", "text_sha256")
+    if not shared.isEmpty():
+        odd = staged(keyed.join(shared, "digest"), "collision-rows")
+        keep = F.max(F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("order"), "doc_id")).alias("keep")
+        own = staged(odd.groupBy("norm").agg(keep, F.count("*").alias("group_size")), "collision-groups")
+        regrouped = odd.join(own, "norm").select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", "digest", F.sha2("norm", 256).alias("text_sha256"))
+        out = out.join(shared, "digest", "left_anti").unionByName(regrouped)
+    sha = F.coalesce("text_sha256", "digest").alias("text_sha256")
+    return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), sha)
 
 
 def op9_exact_dedup(spark, sf_dir: str) -> DataFrame:

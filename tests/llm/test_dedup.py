@@ -30,6 +30,24 @@ def test_exact_with_a_digest_that_texts_share(docs, rows):
     unique = {r[0]: r for r in rows}.values()
     some = docs.dropDuplicates(["doc_id"])
     assert sorted(map(tuple, exact.exact_groups(some, digest=weak).collect())) == exact_brute(unique)
+    assert sorted(map(tuple, exact.exact_groups(docs, digest=weak).collect())) == exact_brute(rows)
+
+
+def test_exact_beyond_the_broadcast(docs, rows, monkeypatch):
+    monkeypatch.setattr(exact, "BROADCAST_HITS", 2)
+    weak = lambda t: F.pmod(F.length(t), F.lit(3)).cast("string")
+    assert sorted(map(tuple, exact.exact_groups(docs, digest=weak).collect())) == exact_brute(rows)
+    assert sorted(map(tuple, exact.exact_groups(docs).collect())) == exact_brute(rows)
+
+
+def test_exact_with_repeated_and_null_ids_whose_digest_is_shared(spark):
+    rows = [(1, "a"), (1, "b"), (1, "A"), (None, "b"), (None, "c"), (2, "c"), (None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = lambda t: F.lit("same")
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    want = [(1, 1, 2, True, sha("a"))] * 2 + [(1, 1, 2, True, sha("b")), (None, 1, 2, False, sha("b")), (None, 2, 2, False, sha("c")), (2, 2, 2, True, sha("c"))] + [(None, None, 2, True, sha(""))] * 2
+    for digest in (one, exact.sha256_digest):
+        assert sorted(map(tuple, exact.exact_groups(docs, digest=digest).collect()), key=str) == sorted(want, key=str)
 
 
 def test_state_goes_on(spark, tmp_path):
