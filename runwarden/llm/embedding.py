@@ -26,8 +26,10 @@ from .components import UnionFind, connected_components
 COSINE = 0.9
 #: Leading principal dimensions: those that cells are cut on, and those that boxes and first comparisons use.
 CELL_DIMS, BOX_DIMS = 4, 16
-#: Vectors in an interval of the sequence, and in a block of the recursion.
-INTERVAL, BLOCK = 2048, 256
+#: Vectors in an interval of the sequence at least, parts of the sequence until intervals are that small, bytes of an interval at most, and vectors in a block of the recursion.
+INTERVAL, PARTS, INTERVAL_BYTES, BLOCK = 2048, 6, 64_000_000, 256
+#: Partitions that pairs of intervals are dealt to at most; where there are more pairs, a task joins several, one after another.
+TASKS = 20_000
 #: Slack of the distances that skip: rounding never hides a link.
 SLACK = 1e-6
 
@@ -223,17 +225,24 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"), (F.col("vec_id") == comp).alias("kept"))
 
 
+def interval_size(count: int, k: int) -> int:
+    """Vectors of k dimensions in an interval, of `count`. An interval goes to every interval that may be near, so a vector is sent about PARTS times as
+    long as two intervals of that size fit into a task; beyond it intervals stay as large as fits."""
+    return min(max(INTERVAL, -(-count // PARTS)), max(BLOCK, INTERVAL_BYTES // (8 * (2 * k + BOX_DIMS))))
+
+
 def _links(reps: DataFrame, k: int, eps: float, cosine: float) -> DataFrame:
     axes = principal_axes(reps, k)
-    n = partitions_of(reps)
+    n, count = partitions_of(reps), reps.count()
+    size = interval_size(count, k)
     sorted_ = reps.select("vec_id", "v", "copies").mapInArrow(_ordered(axes, eps, k), "vec_id long, v array<double>, copies long, cells array<int>")
-    sorted_ = staged(sorted_, "cells").repartitionByRange(max(1, min(n, 1 + reps.count() // INTERVAL)), "cells").sortWithinPartitions("cells")
+    sorted_ = staged(sorted_, "cells").repartitionByRange(max(1, min(n, 1 + count // INTERVAL)), "cells").sortWithinPartitions("cells")
     seq = staged(sorted_.mapInArrow(_intervals(axes, k), "vec_id long, v array<double>, copies long, cells array<int>, part int, place long, lead array<double>"), "sequence")
     # Intervals run on over the parts of the sorted sequence; one row per part says where it begins.
     parts = seq.groupBy("part").agg(F.count("*").alias("n"))
     begin = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = staged(parts.select("part", begin.alias("begin")), "parts")
-    seq = seq.join(F.broadcast(begins), "part").withColumn("interval", F.floor((F.col("begin") + F.col("place")) / INTERVAL))
+    seq = seq.join(F.broadcast(begins), "part").withColumn("interval", F.floor((F.col("begin") + F.col("place")) / size))
     dims = min(BOX_DIMS, k)
     box = [f(F.col("lead")[i]).alias(f"{name}{i}") for i in range(dims) for f, name in ((F.min, "lo"), (F.max, "hi"))]
     boxes = staged(seq.groupBy("interval").agg(*box), "boxes")
@@ -248,8 +257,7 @@ def _links(reps: DataFrame, k: int, eps: float, cosine: float) -> DataFrame:
     pairs = staged(pairs.join(left, "p").join(right, "q").where(apart <= (eps + SLACK) ** 2).select("p", "q"), "interval-pairs")
     sides = pairs.select("p", "q", F.col("p").alias("interval"), F.lit(0).alias("side")).unionByName(pairs.where("p <> q").select("p", "q", F.col("q").alias("interval"), F.lit(1).alias("side")))
     dealt = sides.join(seq.select("interval", "vec_id", "v", "copies", "lead"), "interval").select("p", "q", "side", "vec_id", "copies", "v", "lead")
-    tasks = max(n, min(4096, pairs.count()))
-    dealt = dealt.repartition(tasks, "p", "q").sortWithinPartitions("p", "q", "side")
+    dealt = dealt.repartition(max(n, min(TASKS, pairs.count())), "p", "q").sortWithinPartitions("p", "q", "side")
     return dealt.mapInArrow(_compare(eps, cosine, k), "vec_id long, other long, n long")
 
 
