@@ -3,7 +3,7 @@
 Words and runs of marks of a text fall into a fixed number of hashed buckets. Each bucket has a sparse random index vector, which
 follows from its number; a word that repeats what stands before it counts as one word of its own; the vector of a word is the sum of the index vectors of the words around it, so words used
 alike have like vectors. A document is the weighted mean of its words' vectors. The network is fitted on a bounded sample of
-labelled rows (MAX_DOCS, MAX_BYTES: lowest hashes of the ids first); a part of the sample is kept back to fit the temperature. The
+labelled rows (MAX_DOCS, MAX_BYTES, MAX_TEXT: lowest hashes of the ids first, texts over MAX_TEXT left out); a part of the sample is kept back to fit the temperature. The
 model's size is fixed (buckets times dimensions), so it is broadcast; every document's whole text is scored.
 """
 
@@ -22,7 +22,8 @@ BUCKETS, DIMS, MARKS = 1 << 15, 48, 6
 #: The bucket of words that repeat what stands before them.
 AGAIN = BUCKETS - 1
 REACH = 2
-MAX_DOCS, MAX_BYTES = 5000, 24_000_000
+#: Bounds of the sample that the model is fitted on: rows, bytes together, bytes of one text. Every text is scored, whatever its size.
+MAX_DOCS, MAX_BYTES, MAX_TEXT = 5000, 24_000_000, 1_000_000
 #: Tokens whose vectors are looked up at once, however long a text is.
 SLICE = 100_000
 HIDDEN, EPOCHS, RATE, DECAY = 24, 40, 0.01, 3e-3
@@ -164,7 +165,7 @@ def word_vectors(items: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit(items: list[str], labels: np.ndarray) -> Model:
-    """Fits word vectors, network and temperature. Without rows of both labels every score is the labels' mean (or a half)."""
+    """Fits word vectors, network and temperature. Rows of one label alone teach nothing: every score is then 0.98 or 0.02 by that label, without rows 0.5."""
     labels = np.asarray(labels, float)
     vectors, weight = word_vectors(items)
     model = Model((vectors * weight[:, None]).astype(np.float32), weight, np.zeros(DIMS), np.ones(DIMS), np.zeros((DIMS, HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0)
@@ -199,12 +200,13 @@ def fit(items: list[str], labels: np.ndarray) -> Model:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality") -> tuple[list[str], np.ndarray]:
-    """The bounded sample: labelled rows outside the held-out fold, lowest hashes first, up to MAX_DOCS rows and MAX_BYTES."""
+    """The bounded sample: labelled rows outside the held-out fold with texts of MAX_TEXT at most, lowest hashes first, up to MAX_DOCS rows and MAX_BYTES."""
     learnt = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     learnt = learnt.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
-    pick = learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
-    rows = texts(docs).join(F.broadcast(pick), "doc_id")
-    before = F.sum(F.octet_length("text")).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    size = F.octet_length("text")
+    pick = learnt.join(texts(docs).where(size <= MAX_TEXT).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
+    rows = texts(docs).where(size <= MAX_TEXT).join(F.broadcast(pick), "doc_id")
+    before = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_DOCS).withColumn("sofar", before).where(F.col("sofar") <= MAX_BYTES)
     got = rows.select("text", "y").toArrow()
     return got.column("text").to_pylist(), np.array(got.column("y").to_pylist(), float)

@@ -109,19 +109,22 @@ def candidates(text: str):
         low = high + 1
 
 
-def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Candidates of high novelty near a context word that overlap no fixed span."""
+def measured(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, float, bool]]:
+    """(start, end, novelty, whether it overlaps a fixed span) of every candidate with enough different characters."""
     out = []
     ends = list(itertools.accumulate((b[2] for b in base), max))
     for s, e in candidates(text):
-        i = bisect.bisect_left(base, (e,))
-        if len(set(text[s:e])) < VARIETY or i and ends[i - 1] > s:
-            continue
-        if novelty(text, s, e) >= NOVELTY:
-            out.append((s, 3, e))
+        if len(set(text[s:e])) >= VARIETY:
+            i = bisect.bisect_left(base, (e,))
+            out.append((s, e, novelty(text, s, e), bool(i and ends[i - 1] > s)))
     return out
 
 
+def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Candidates of high novelty near a context word that overlap no fixed span."""
+    return [(s, 3, e) for s, e, n, fixed in measured(text, base) if n >= NOVELTY and not fixed]
+
+
 def written(spans) -> str:
     return ",".join(f"{KINDS[k]}:{s}:{e}" for s, k, e in sorted(spans))
 
@@ -152,21 +155,26 @@ def redacted(text: str) -> str:
 
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel), a row per row of docs."""
+    """(doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_novel, n_candidates, n_confirmed), a row per row of docs.
+
+    n_candidates counts the strings whose novelty was measured, n_confirmed those of them with a high one that fixed spans have already. Null texts
+    count as empty and have no spans; an empty table gives no rows; other columns than id and text are not looked at.
+    """
 
     def run(batches):
         for b in batches:
             rows = []
             for t in b.column(1).to_pylist():
                 base = base_spans(t)
-                novel = novel_spans(t, base)
+                every = measured(t, base)
+                novel = [(s, 3, e) for s, e, x, fixed in every if x >= NOVELTY and not fixed]
                 n = [sum(k == i for _, k, _ in base) for i in (0, 1, 2)]
-                rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(base + novel), len(novel)))
-            cols = list(zip(*rows, strict=True)) or [()] * 6
-            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel"])
+                rows.append((*n, hashlib.sha256(written(base).encode()).hexdigest(), written(base + novel), len(novel), len(every), sum(x >= NOVELTY and fixed for _, _, x, fixed in every)))
+            cols = list(zip(*rows, strict=True)) or [()] * 8
+            types = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, t) for c, t in zip(cols, types, strict=True))], names=["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_novel", "n_candidates", "n_confirmed"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long")
+    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_novel long, n_candidates long, n_confirmed long")
 
 
 def op5_secrets(spark, sf_dir: str) -> DataFrame:

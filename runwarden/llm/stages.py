@@ -5,42 +5,64 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import tokenized
-from .common import staged, table
+from .common import ascii_lower, staged, table
 from .exact import exact_groups
 from .mixing import mix
 from .quality import THRESHOLD, fit, scored, training_rows
 from .simhash import near_duplicates
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents of these ids, one row for each id: rows that repeat an id are the same document."""
-    first = Window.partitionBy("doc_id").orderBy("doc_id")
-    rows = docs.join(staged(ids.select("doc_id").distinct(), "kept-ids"), "doc_id", "left_semi")
-    return rows.select("*", F.row_number().over(first).alias("nth_of_id")).where("nth_of_id = 1").select(*docs.columns)
+#: Every stage: null texts count as empty; null ids are ids like any other; extra columns stay as they are; an empty table gives an empty table.
+#: Rows that repeat an id and a text are one document, which the two dedup stages keep once. Rows that repeat an id with different texts are told apart by exact dedup; near-dedup, mixing
+#: and tokens go by ids, and near-dedup keeps the row with the least text of an id.
+
+
+def _own(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
+def _first(rows: DataFrame, columns: list[str], *by) -> DataFrame:
+    """The row with the least text of each key."""
+    nth = _own(rows, "nth")
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").asc_nulls_first()))
+    return rows.withColumn(nth, place).where(F.col(nth) == 1).select(*columns)
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier predicts 1 for; it is fitted on the labelled rows of these documents."""
-    model = fit(*training_rows(docs, table(spark, sf_dir, "labels")))
-    return scored(docs, model).where(F.col("score") >= THRESHOLD).select(*docs.columns)
+    """Documents that the quality classifier predicts 1 for; it is fitted on the labelled rows of these documents. Without labels of both kinds there is
+    nothing to reject by, and every document stays."""
+    items, y = training_rows(docs, table(spark, sf_dir, "labels"))
+    if len(set(y.tolist())) < 2:
+        return docs
+    return scored(docs, fit(items, y)).where(F.col("score") >= THRESHOLD).select(*docs.columns)
 
 
 def drop_exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, that with the largest id."""
-    return _only(docs, exact_groups(docs).where("kept"))
+    kept = staged(exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct(), "kept-rows")
+    sha = _own(docs, "sha")
+    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
+    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[sha] == kept["text_sha256"]), "left_semi")
+    return _first(rows, docs.columns, "doc_id", sha)
 
 
 def drop_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of fingerprints, that with the smallest id."""
-    return _only(docs, near_duplicates(docs).where("doc_id = component_id"))
+    kept = staged(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
+    return _first(docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"), docs.columns, "doc_id")
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix repeats it; a repetition in part counts from half the document on."""
     times = (F.col("whole") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
     plan = mix(docs).select("doc_id", times.alias("times")).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    rows = docs.join(staged(plan, "repetitions"), "doc_id")
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("times"))).alias("repetition_")).drop("repetition_")
+    plan = staged(plan, "repetitions")
+    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"]))
+    nth = _own(docs, "nth")
+    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), plan["times"])).alias(nth)).drop(nth)
 
 
 def to_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
