@@ -8,12 +8,13 @@ from ..functions import testviews as V
 from ..operators import graph as G
 from .registry import query
 
-EDGE_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT l_suppkey % 4 AS digest, l_partkey % 400 AS src, l_partkey % 400 + 1 + l_suppkey % 13 AS dst FROM lineitem WHERE l_linenumber <= 2 AND l_partkey % 400 % 5 <> 0)"
+EDGE_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT digest, src, src + 1 + s % 13 AS dst FROM (SELECT l_partkey // 60 AS digest, l_partkey % 60 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS src, l_suppkey AS s FROM lineitem))"
 
 
 def v_edge(spark, d):
-    """Dependency edges of four images, always from a smaller to a greater node."""
-    return V.load(spark, d, "lineitem").where("l_linenumber <= 2 AND l_partkey % 400 % 5 <> 0").selectExpr("l_suppkey % 4 AS digest", "l_partkey % 400 AS src", "l_partkey % 400 + 1 + l_suppkey % 13 AS dst").distinct()
+    """Dependency edges of images of 60 parts, always from a smaller to a greater node; nodes 0, 5, 10, ... depend on nothing."""
+    e = V.load(spark, d, "lineitem").selectExpr("l_partkey div 60 AS digest", "l_partkey % 60 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS src", "l_suppkey AS s")
+    return e.selectExpr("digest", "src", "src + 1 + s % 13 AS dst").distinct()
 
 
 @query("gr_dependency_depth", EDGE_SQL + ", root AS (SELECT DISTINCT digest, src AS node FROM e EXCEPT SELECT digest, dst FROM e), r AS (SELECT digest, node, 1 AS depth FROM root UNION SELECT r.digest, e.dst, r.depth + 1 FROM r JOIN e ON e.digest = r.digest AND e.src = r.node), n AS (SELECT digest, src AS node FROM e UNION SELECT digest, dst FROM e) SELECT n.digest, n.node, min(r.depth) AS depth FROM n LEFT JOIN r ON r.digest = n.digest AND r.node = n.node GROUP BY 1, 2")
@@ -26,18 +27,21 @@ def gr_sbom_edges(spark, d):
     return v_edge(spark, d).where("src <> dst")
 
 
-@query("gr_dependency_path", EDGE_SQL + ", root AS (SELECT DISTINCT digest, src AS node FROM e EXCEPT SELECT digest, dst FROM e), r AS (SELECT digest, node, [node] AS path FROM root WHERE node < 40 UNION SELECT r.digest, e.dst, list_append(r.path, e.dst) FROM r JOIN e ON e.digest = r.digest AND e.src = r.node WHERE len(r.path) <= 3) SELECT digest, node, min(len(path)) - 1 AS hops FROM r GROUP BY 1, 2")
+@query("gr_dependency_path", EDGE_SQL + ", root AS (SELECT DISTINCT digest, src AS node FROM e EXCEPT SELECT digest, dst FROM e), r AS (SELECT digest, node, 0 AS hops FROM root UNION SELECT r.digest, e.dst, r.hops + 1 FROM r JOIN e ON e.digest = r.digest AND e.src = r.node WHERE r.hops < 8) SELECT digest, node, min(hops) AS hops FROM r GROUP BY 1, 2")
 def gr_dependency_path(spark, d):
-    """Shortest paths of at most three edges from the roots below 40 (ties by nodes); their lengths are compared."""
+    """Shortest paths of at most eight edges from all roots (ties by nodes); their lengths are compared."""
     e = v_edge(spark, d)
-    roots = e.select("digest", F.col("src").alias("node")).distinct().join(e.select("digest", F.col("dst").alias("node")).distinct(), ["digest", "node"], "left_anti").where("node < 40")
-    return G.shortest_paths(roots, e, ["digest"], 3).select("digest", "node", (F.size("path") - 1).alias("hops"))
+    roots = e.select("digest", F.col("src").alias("node")).distinct().join(e.select("digest", F.col("dst").alias("node")).distinct(), ["digest", "node"], "left_anti")
+    return G.shortest_paths(roots, e, ["digest"]).select("digest", "node", (F.size("path") - 1).alias("hops"))
 
 
-@query("gr_closure_reach", EDGE_SQL + ", r AS (SELECT 7 AS id UNION SELECT e.dst FROM r JOIN e ON e.src = r.id) SELECT id FROM r")
+@query("gr_closure_reach", EDGE_SQL + ", r AS (SELECT DISTINCT digest, 7 AS node FROM e UNION SELECT r.digest, e.dst FROM r JOIN e ON e.digest = r.digest AND e.src = r.node) SELECT digest, node FROM r")
 def gr_closure_reach(spark, d):
-    start = spark.range(1).select(F.lit(7).cast("long").alias("id"))
-    return G.reachable(start, v_edge(spark, d).select("src", "dst"))
+    """What each image's entry point, its node 7, leads to."""
+    e = v_edge(spark, d)
+    node = lambda c: F.struct("digest", F.col(c).cast("long").alias("node"))
+    start = e.select("digest").distinct().select(F.struct("digest", F.lit(7).cast("long").alias("node")).alias("id"))
+    return G.reachable(start, e.select(node("src").alias("src"), node("dst").alias("dst"))).select("id.digest", "id.node")
 
 
 def resolve_links(paths, links, rounds: int = 40):
@@ -94,13 +98,13 @@ def gr_all_dirs(spark, d):
     return V.v_file(spark, d).select("digest", F.explode(ancestors).alias("dir")).distinct()
 
 
-LAYER_SQL = "WITH x AS (SELECT l_suppkey % 3 AS digest, l_linenumber AS layer, l_orderkey * 10 + l_linenumber AS seq, '/a' || (l_partkey % 7) AS top, '/a' || (l_partkey % 7) || '/b' || (l_partkey % 40) AS path, CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind, l_quantity AS v FROM lineitem WHERE l_orderkey < 3000)"
+LAYER_SQL = "WITH x AS (SELECT l_partkey // 60 AS digest, l_linenumber AS layer, l_orderkey * 10 + l_linenumber AS seq, '/a' || (l_partkey % 7) AS top, '/a' || (l_partkey % 7) || '/b' || (l_partkey % 40) AS path, CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind, l_quantity AS v FROM lineitem)"
 
 
 @query("gr_layer_union", LAYER_SQL + ", k AS (SELECT digest, path AS at, max(layer) AS layer FROM x WHERE kind = 'whiteout' GROUP BY 1, 2 UNION ALL SELECT digest, top, max(layer) FROM x WHERE kind = 'opaque' GROUP BY 1, 2), l AS (SELECT * FROM x WHERE kind = 'reg' AND NOT EXISTS (SELECT 1 FROM k WHERE k.digest = x.digest AND k.layer > x.layer AND (k.at = x.path OR k.at = x.top))) SELECT digest, path, arg_max(layer, layer * 1e9 + seq) AS layer, max(layer * 1e9 + seq) AS place FROM l GROUP BY 1, 2")
 def gr_layer_union(spark, d):
     """Whiteouts and opaque folders hide lower layers; then the highest layer's last entry of a path stays."""
-    x = V.load(spark, d, "lineitem").where("l_orderkey < 3000").selectExpr("l_suppkey % 3 AS digest", "l_linenumber AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('/a', l_partkey % 7, '/b', l_partkey % 40) AS path", "CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind")
+    x = V.load(spark, d, "lineitem").selectExpr("l_partkey div 60 AS digest", "l_linenumber AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('/a', l_partkey % 7, '/b', l_partkey % 40) AS path", "CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind")
     at = F.when(F.col("kind") == "opaque", F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
     kills = x.where("kind <> 'reg'").groupBy("digest", at.alias("at")).agg(F.max("layer").alias("kill"))
     parts = F.split("path", "/")

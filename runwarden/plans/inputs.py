@@ -57,20 +57,20 @@ def src_replay(spark, d):
     return back.where("kind is not null and pid is not null").groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("src_envelopes", V.with_views("v_file") + " SELECT digest, count(*) AS files FROM v_file WHERE digest <> 'i3' GROUP BY 1")
+@query("src_envelopes", V.with_views("v_file") + f" SELECT digest, count(*) AS files FROM v_file WHERE NOT ({V.NO_ENVELOPE.format('digest')}) GROUP BY 1")
 def src_envelopes(spark, d):
-    """Documents count if complete and named by their own digest; i3's is not."""
+    """Documents count if complete and named by their own digest; every fourth is not."""
     path = folder(spark, "envelopes")
     docs = V.v_file(spark, d).groupBy("digest").agg(F.to_json(F.struct(F.first("digest").alias("image"), F.collect_list(F.struct("path", "sha256", "layer")).alias("files"))).alias("value"))
-    docs.select(F.when(F.col("digest") == "i3", "other").otherwise(F.col("digest")).alias("name"), "value").write.partitionBy("name").text(path)
+    docs.select(F.when(F.expr(V.NO_ENVELOPE.format("digest")), "other").otherwise(F.col("digest")).alias("name"), "value").write.partitionBy("name").text(path)
     return R.named_documents(spark, path, "image string, files array<struct<path: string, sha256: string, layer: int>>").select(F.col("image").alias("digest"), F.size("files").cast("long").alias("files"))
 
 
 @query("src_bindings", V.with_views("v_binding") + " SELECT container_id, image_digest, verified FROM v_binding")
 def src_bindings(spark, d):
-    """One object keyed by container."""
-    b = V.v_binding(spark, d).select(F.struct("container_id", F.struct("image_digest", "verified")).alias("e"))
-    path = lines_file(b.agg(F.to_json(F.map_from_entries(F.collect_list("e")))), "bindings")
+    """Objects keyed by container, one a line."""
+    b = V.v_binding(spark, d).select(F.to_json(F.create_map("container_id", F.struct("image_digest", "verified"))))
+    path = lines_file(b, "bindings")
     doc = spark.read.text(path).select(F.from_json("value", "map<string, struct<image_digest: string, verified: boolean>>").alias("m"))
     return doc.select(F.explode("m").alias("container_id", "b")).select("container_id", "b.*")
 
@@ -146,13 +146,13 @@ def src_sbom_components(spark, d):
     s = V.load(spark, d, "supplier")
     child = F.struct(F.when(F.col("s_suppkey") % 2 == 0, "library").otherwise("file").alias("type"), F.concat(F.lit("pkg:t/b"), "s_suppkey").alias("purl"))
     doc = F.to_json(F.struct(F.array(F.struct(F.lit("application").alias("type"), F.concat(F.lit("pkg:t/a"), "s_suppkey").alias("purl"), F.array(child).alias("components"))).alias("components")))
-    return R.sbom_components(s.select(F.col("s_suppkey").alias("sbom"), doc.alias("doc")), depth=3)
+    return R.sbom_components(s.select(F.col("s_suppkey").alias("sbom"), doc.alias("doc")))
 
 
-@query("src_image_manifest", "SELECT c_custkey AS image, j AS idx, 'sha256:' || sha256('l' || c_custkey || '-' || j) AS layer FROM customer, (VALUES (0), (1)) AS x(j) WHERE c_custkey < 300")
+@query("src_image_manifest", "SELECT c_custkey AS image, j AS idx, 'sha256:' || sha256('l' || c_custkey || '-' || j) AS layer FROM customer, (VALUES (0), (1)) AS x(j)")
 def src_image_manifest(spark, d):
     """An index leads to the linux/amd64 manifest, whose layers come in order."""
-    c = V.load(spark, d, "customer").where("c_custkey < 300").select(F.col("c_custkey").alias("image"))
+    c = V.load(spark, d, "customer").select(F.col("c_custkey").alias("image"))
     digest = lambda p: F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit(p), F.col("image").cast("string")), 256))
     layers = F.transform(F.array(F.lit(0), F.lit(1)), lambda j: F.struct(F.concat(F.lit("sha256:"), F.sha2(F.concat(F.lit("l"), F.col("image").cast("string"), F.lit("-"), j.cast("string")), 256)).alias("digest")))
     index = c.select("image", digest("x").alias("digest"), F.to_json(F.struct(F.array(F.struct(digest("arm").alias("digest"), F.struct(F.lit("linux").alias("os"), F.lit("arm64").alias("architecture")).alias("platform")), F.struct(digest("m").alias("digest"), F.struct(F.lit("linux").alias("os"), F.lit("amd64").alias("architecture")).alias("platform"))).alias("manifests"))).alias("doc"), F.lit(True).alias("top"))
@@ -171,13 +171,14 @@ def snk_append_jsonl(spark, d):
     return spark.read.parquet(out)
 
 
-@query("snk_detection_ids", V.with_views("v_event") + " SELECT seq, 'det-' || lpad(CAST(row_number() OVER (ORDER BY t_ns, seq) AS VARCHAR), 4, '0') AS id FROM v_event WHERE kind = 'exec' AND seq < 4000")
+@query("snk_detection_ids", V.with_views("v_event") + " SELECT seq, 'det-' || lpad(CAST(row_number() OVER (ORDER BY t_ns, seq) AS VARCHAR), 4, '0') AS id FROM v_event WHERE kind = 'exec'")
 def snk_detection_ids(spark, d):
-    """Two batches; the second goes on from the greatest number so far."""
-    e = V.v_event(spark, d).where("kind = 'exec' and seq < 4000")
-    first = sinks.numbered(e.where("seq < 2000"), 0, "t_ns", "seq")
+    """Two batches, the earlier and the later events; the second goes on from the greatest number so far."""
+    e = V.v_event(spark, d).where("kind = 'exec'")
+    half = e.agg(F.expr("percentile_approx(t_ns, 0.5)")).first()[0] or 0
+    first = sinks.numbered(e.where(F.col("t_ns") < half), 0, "t_ns", "seq")
     last = first.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
-    return first.unionByName(sinks.numbered(e.where("seq >= 2000"), last, "t_ns", "seq")).select("seq", F.concat(F.lit("det-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"))
+    return first.unionByName(sinks.numbered(e.where(F.col("t_ns") >= half), last, "t_ns", "seq")).select("seq", F.concat(F.lit("det-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"))
 
 
 @query("snk_alert_once", V.with_views("v_event") + " SELECT seq FROM v_event WHERE kind = 'exec'")
@@ -209,22 +210,22 @@ def snk_atomic_replace(spark, d):
     return spark.read.parquet(out).groupBy("digest").agg(F.count("*").alias("n"), F.max("version").alias("version"))
 
 
-@query("snk_graph_upsert", V.with_views("v_file") + " SELECT 'file' AS kind, count(DISTINCT path) AS n FROM v_file UNION ALL SELECT 'package', count(DISTINCT package) FROM v_file UNION ALL SELECT 'owns', count(DISTINCT package || path) FROM v_file")
+@query("snk_graph_upsert", V.with_views("v_file") + " SELECT 'file' AS kind, count(DISTINCT digest || path) AS n FROM v_file UNION ALL SELECT 'package', count(DISTINCT package) FROM v_file UNION ALL SELECT 'owns', count(DISTINCT package || digest || path) FROM v_file")
 def snk_graph_upsert(spark, d):
     """Nodes and edges written twice stay once."""
     out = folder(spark, "graph")
-    f = V.v_file(spark, d)
+    f = V.v_file(spark, d).withColumn("path", F.concat("digest", "path"))
     rows = f.select(F.lit("file").alias("kind"), F.col("path").alias("a"), F.lit("").alias("b")).unionByName(f.where("package is not null").select(F.lit("package").alias("kind"), F.col("package").alias("a"), F.lit("").alias("b"))).unionByName(f.where("package is not null").select(F.lit("owns").alias("kind"), F.col("package").alias("a"), F.col("path").alias("b")))
     for _ in range(2):
         sinks.append_new(rows.distinct(), out, ["kind", "a", "b"])
     return spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("snk_log_append", "WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, sha256(text) AS c FROM conversations WHERE conv_id < 5), h AS (SELECT k, sha256(unhex(repeat('0', 64) || c)) AS hash FROM r WHERE k = 1 UNION ALL SELECT r.k, sha256(unhex(h.hash || r.c)) FROM r JOIN h ON r.k = h.k + 1) SELECT k, hash FROM h")
+@query("snk_log_append", "WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY conv_id, turn) AS k, sha256(text) AS c FROM conversations), h AS (SELECT k, sha256(unhex(repeat('0', 64) || c)) AS hash FROM r WHERE k = 1 UNION ALL SELECT r.k, sha256(unhex(h.hash || r.c)) FROM r JOIN h ON r.k = h.k + 1) SELECT k, hash FROM h")
 def snk_log_append(spark, d):
-    """Small batches of records are appended to one chain, each going on from the head; a batch that comes again adds nothing."""
+    """Batches of records are appended to one chain, each going on from the head; a batch that comes again adds nothing."""
     out = folder(spark, "log")
-    c = V.load(spark, d, "conversations").where("conv_id < 5").select((F.col("conv_id") * 1000 + F.col("turn")).alias("order"), F.col("text").alias("canon"))
+    c = V.load(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("order"), F.col("text").alias("canon"))
     for i, batch in enumerate((c.where("order < 2000"), c.where("order < 2000"), c.where("order >= 2000"))):
         sinks.append_chain(batch, out, batch_id=max(0, i - 1))
     return spark.read.parquet(out).select("k", "hash")
@@ -239,15 +240,23 @@ def snk_report_tables(spark, d):
 @query("str_hold_until_bound", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding) GROUP BY 1")
 def str_hold_until_bound(spark, d):
     """Events wait in state per container until its binding comes (here at event 50); those of containers never bound stay held."""
+    _, released = bound_stream(spark, d, V.v_event(spark, d), V.v_binding(spark, d).select(F.col("container_id").alias("cid")), 50)
+    return released.groupBy("cid").agg(F.count("*").alias("released"))
+
+
+SOURCE = "cid string, seq long, t_ns long, what string"
+
+
+def bound_stream(spark, d, events: DataFrame, bound: DataFrame, at: int) -> tuple[str, DataFrame]:
+    """(folder of the source, released rows) of a stream of events and of bindings (cid) that come at event `at`."""
     from ..streaming import hold
 
     src, out, ck = folder(spark, "hold"), folder(spark, "hold-out"), folder(spark, "ck")
-    e = V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what"))
-    b = V.v_binding(spark, d).select(F.col("container_id").alias("cid"), F.lit(50).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
+    e = events.select("cid", "seq", "t_ns", F.lit("event").alias("what"))
+    b = bound.select("cid", F.lit(at).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
     e.unionByName(b).repartition("cid").write.parquet(src)
-    rows = spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src)
-    sinks.append(hold.until_bound(rows), out, ck)
-    return spark.read.schema(hold.OUT).parquet(out).where("seq is not null").groupBy("cid").agg(F.count("*").alias("released"))
+    sinks.append(hold.until_bound(spark.readStream.schema(SOURCE).parquet(src)), out, ck)
+    return src, spark.read.schema(hold.OUT).parquet(out).where("seq is not null")
 
 
 @query("str_clock", V.with_views("v_event") + " SELECT cid, max(t_ns) AS clock FROM v_event GROUP BY 1")
@@ -278,50 +287,51 @@ def str_alert_tail(spark, d):
     return spark.read.parquet(out).groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("str_live_latency", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+@query("str_live_latency", "SELECT event_type, count(*) AS n, min(CAST(floor(value * 1000) AS BIGINT)) AS least_us, max(CAST(floor(value * 1000) AS BIGINT)) AS most_us, avg(CAST(floor(value * 1000) AS BIGINT)) AS mean_us FROM events WHERE value IS NOT NULL GROUP BY 1")
 def str_live_latency(spark, d):
-    """Arrival less event time, as far as it is not negative; counts are compared, for arrival differs."""
-    e = V.load(spark, d, "events").withColumn("late", F.unix_micros(F.current_timestamp()) - V.micros("ts"))
-    return e.where("late is not null").groupBy("event_type").agg(F.count("*").alias("n"))
+    """Arrival less event time of a stream as it runs. Rows carry when they arrived (here `value` milliseconds after the event), as a source's ingest time would say."""
+    src, out, ck = (folder(spark, x) for x in ("arrivals", "latencies", "ck"))
+    e = V.load(spark, d, "events").where("value is not null").withColumn("at_us", V.micros("ts"))
+    e.select("event_type", "at_us", (F.col("at_us") + F.floor(F.col("value") * 1000)).alias("arrived_us")).write.parquet(src)
+    rows = spark.readStream.schema("event_type string, at_us long, arrived_us long").parquet(src)
+    sinks.append(rows.select("event_type", (F.col("arrived_us") - F.col("at_us")).alias("us")), out, ck)
+    return spark.read.schema("event_type string, us long").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.min("us").alias("least_us"), F.max("us").alias("most_us"), F.avg("us").alias("mean_us"))
 
 
 @query("str_close", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS failed FROM v_event WHERE cid NOT IN (SELECT container_id FROM v_binding) GROUP BY 1")
 def str_close(spark, d):
-    """At the end of the stream events of containers never bound fail."""
-    return V.v_event(spark, d).join(V.v_binding(spark, d).select(F.col("container_id").alias("cid")), "cid", "left_anti").groupBy("cid").agg(F.count("*").alias("failed"))
+    """At the end of the stream the events that it has not let go fail: those of containers never bound."""
+    src, released = bound_stream(spark, d, V.v_event(spark, d), V.v_binding(spark, d).select(F.col("container_id").alias("cid")), 50)
+    rest = spark.read.schema(SOURCE).parquet(src).where("what = 'event'").join(released.select("cid", "seq"), ["cid", "seq"], "left_anti")
+    return rest.groupBy("cid").agg(F.count("*").alias("failed"))
 
 
-@query("str_hold_cap", V.with_views("v_event") + " SELECT cid, greatest(count(*) - 300, 0) AS lost FROM v_event GROUP BY 1")
+@query("str_hold_cap", V.with_views("v_event") + " SELECT cid, greatest(count(*) - 30, 0) AS lost FROM v_event GROUP BY 1")
 def str_hold_cap(spark, d):
-    """At most 300 held per container; the oldest are lost, and counted."""
+    """At most 30 held per container; the oldest are lost, and counted."""
     from ..streaming import hold
 
     src, out, ck = folder(spark, "cap"), folder(spark, "cap-out"), folder(spark, "ck")
     V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).repartition("cid").write.parquet(src)
-    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src), 300), out, ck)
+    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src), 30), out, ck)
     lost = spark.read.schema(hold.OUT).parquet(out).groupBy("cid").agg(F.sum("lost").alias("lost"))
     return spark.read.parquet(src).select("cid").distinct().join(lost, "cid", "left").select("cid", F.coalesce("lost", F.lit(0)).alias("lost"))
 
 
-@query("str_hold_until_envelope", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding WHERE verified AND image_digest <> 'i3') GROUP BY 1")
+@query("str_hold_until_envelope", V.with_views("v_event", "v_binding") + f" SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding WHERE verified AND NOT ({V.NO_ENVELOPE.format('image_digest')})) GROUP BY 1")
 def str_hold_until_envelope(spark, d):
-    """Events of verified containers wait for their image's specification; that of i3 never comes."""
-    from ..streaming import hold
-
-    src, out, ck = folder(spark, "wait"), folder(spark, "wait-out"), folder(spark, "ck")
+    """Events of verified containers wait for their image's specification; that of every fourth image never comes."""
     b = V.v_binding(spark, d).where("verified").select(F.col("container_id").alias("cid"), "image_digest")
-    e = V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).join(b.select("cid"), "cid", "left_semi")
-    ready = b.where("image_digest <> 'i3'").select("cid", F.lit(70).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
-    e.unionByName(ready).repartition("cid").write.parquet(src)
-    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src)), out, ck)
-    return spark.read.schema(hold.OUT).parquet(out).where("seq is not null").groupBy("cid").agg(F.count("*").alias("released"))
+    e = V.v_event(spark, d).join(b.select("cid"), "cid", "left_semi")
+    _, released = bound_stream(spark, d, e, b.where(f"NOT ({V.NO_ENVELOPE.format('image_digest')})"), 70)
+    return released.groupBy("cid").agg(F.count("*").alias("released"))
 
 
-@query("str_window_timer", "WITH w AS (SELECT user_id % 20 AS c, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
+@query("str_window_timer", "WITH w AS (SELECT user_id AS c, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
 def str_window_timer(spark, d):
     """Windows close when the stream's clock, the watermark, passes their end; those still open at the end are not given."""
     src, out, ck = folder(spark, "timer"), folder(spark, "timer-out"), folder(spark, "ck")
-    V.load(spark, d, "events").select((F.col("user_id") % 20).alias("c"), F.timestamp_micros(V.micros("ts")).alias("at")).write.parquet(src)
+    V.load(spark, d, "events").select(F.col("user_id").cast("long").alias("c"), F.timestamp_micros(V.micros("ts")).alias("at")).write.parquet(src)
     rows = spark.readStream.schema("c long, at timestamp").parquet(src).withWatermark("at", "0 seconds")
     closed = rows.groupBy("c", F.window("at", "1 hour")).agg(F.count("*").alias("n")).select("c", F.unix_micros("window.start").alias("start_us"), "n")
     sinks.append(closed, out, ck)

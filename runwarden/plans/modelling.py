@@ -32,13 +32,13 @@ def ml_forest_check(spark, d):
     return forest.usable(forest.train(v_feature(spark, d)), 20)
 
 
-WINDOWS_SQL = "WITH w AS (SELECT event_id AS id, 'i' || (user_id % 4) AS digest, value AS score, event_id % 10 < 7 AS train, event_type = 'error' AS attack, value / 3 AS f1, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS f2 FROM events), th AS (SELECT digest, CASE WHEN count(*) < 100 THEN quantile_cont(score, 0.95) ELSE quantile_cont(score, 0.99) END AS theta FROM w WHERE NOT train GROUP BY 1), mx AS (SELECT digest, max(f1) AS m1, max(f2) AS m2 FROM w WHERE train AND f2 < 40 AND f1 < 6 GROUP BY 1), j AS (SELECT w.*, theta, m1, m2, score > theta AS forest, f1 > 2 * m1 OR f2 > 2 * m2 AS guard FROM w JOIN th USING (digest) JOIN mx USING (digest))"
+WINDOWS_SQL = "WITH w AS (SELECT event_id AS id, 'i' || (user_id // 5) AS digest, value AS score, event_id % 10 < 7 AS train, event_type = 'error' AS attack, value / 3 AS f1, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS f2 FROM events), th AS (SELECT digest, CASE WHEN count(*) < 100 THEN quantile_cont(score, 0.95) ELSE quantile_cont(score, 0.99) END AS theta FROM w WHERE NOT train GROUP BY 1), mx AS (SELECT digest, max(f1) AS m1, max(f2) AS m2 FROM w WHERE train AND f2 < 40 AND f1 < 6 GROUP BY 1), j AS (SELECT w.*, theta, m1, m2, score > theta AS forest, f1 > 2 * m1 OR f2 > 2 * m2 AS guard FROM w JOIN th USING (digest) JOIN mx USING (digest))"
 
 
 def windows(spark, d) -> DataFrame:
     """Scored windows with two features, from events."""
     e = V.load(spark, d, "events")
-    return e.selectExpr("event_id AS id", "concat('i', user_id % 4) AS digest", "value AS score", "event_id % 10 < 7 AS train", "event_type = 'error' AS attack", "value / 3 AS f1", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS f2")
+    return e.selectExpr("event_id AS id", "concat('i', user_id div 5) AS digest", "value AS score", "event_id % 10 < 7 AS train", "event_type = 'error' AS attack", "value / 3 AS f1", "CAST(regexp_extract(props, '[0-9]+', 0) AS DOUBLE) AS f2")
 
 
 def thresholds(validation: DataFrame) -> DataFrame:
@@ -52,10 +52,10 @@ def ml_threshold(spark, d):
     return thresholds(windows(spark, d).where("not train"))
 
 
-@query("ml_percentile_rank", WINDOWS_SQL + ", v AS (SELECT digest, score FROM w WHERE NOT train), n AS (SELECT digest, count(*) AS n FROM v GROUP BY 1) SELECT w.id, (SELECT count(*) FROM v WHERE v.digest = w.digest AND v.score <= w.score) / n.n AS g FROM w JOIN n USING (digest) WHERE w.train AND w.id < 2000")
+@query("ml_percentile_rank", WINDOWS_SQL + ", v AS (SELECT digest, score FROM w WHERE NOT train), n AS (SELECT digest, count(*) AS n FROM v GROUP BY 1) SELECT w.id, (SELECT count(*) FROM v WHERE v.digest = w.digest AND v.score <= w.score) / n.n AS g FROM w JOIN n USING (digest) WHERE w.train")
 def ml_percentile_rank(spark, d):
     """Share of validation scores at or below: one sorted pass over both, counting what has gone before, not a range join."""
-    w = windows(spark, d).where("not train or id < 2000")
+    w = windows(spark, d)
     own = F.col("train").cast("int")
     below = F.sum(1 - own).over(Window.partitionBy("digest").orderBy("score").rangeBetween(Window.unboundedPreceding, 0))
     n = F.sum(1 - own).over(Window.partitionBy("digest"))

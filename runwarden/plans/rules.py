@@ -81,12 +81,17 @@ def folded_root(leaf: Column, index: Column, size: Column, hashes: Column) -> Co
     return F.aggregate(hashes, start, step, lambda s: F.when(~s["err"] & (s["sn"] == 0), s["r"]))
 
 
-@query("tru_inclusion", "WITH x AS (SELECT c_custkey AS i, sha256('leaf' || c_custkey) AS a, sha256('leaf' || (c_custkey + 1)) AS b FROM customer WHERE c_custkey % 2 = 0) SELECT i, sha256(unhex('01' || a || b)) AS root FROM x")
+@query("tru_inclusion", "WITH l AS (SELECT c_custkey AS i, c_custkey // 5 AS tree, sha256('leaf' || c_custkey) AS h FROM customer), t AS (SELECT tree, arg_min(h, i) FILTER (i % 5 = 0) AS a, arg_min(h, i) FILTER (i % 5 = 1) AS b, arg_min(h, i) FILTER (i % 5 = 2) AS c, arg_min(h, i) FILTER (i % 5 = 3) AS d, arg_min(h, i) FILTER (i % 5 = 4) AS e FROM l GROUP BY 1) SELECT i, sha256(unhex('01' || sha256(unhex('01' || sha256(unhex('01' || a || b)) || sha256(unhex('01' || c || d)))) || e)) AS root FROM l JOIN t USING (tree)")
 def tru_inclusion(spark, d):
-    """Trees of two leaves; the left leaf's path is the right leaf."""
-    leaf = lambda c: F.sha2(F.concat(F.lit("leaf"), c.cast("string")), 256)
-    c = V.load(spark, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("i"), leaf(F.col("c_custkey")).alias("a"), leaf(F.col("c_custkey") + 1).alias("b"))
-    return c.select("i", folded_root(F.col("a"), F.lit(0), F.lit(2), F.array("b")).alias("root"))
+    """Trees of five leaves, an odd number: every leaf's own audit path must fold to the tree's root."""
+    c = V.load(spark, d, "customer").select(F.col("c_custkey").alias("i"), F.expr("c_custkey div 5").alias("tree"), F.sha2(F.concat(F.lit("leaf"), F.col("c_custkey").cast("string")), 256).alias("h"))
+    leaves = c.groupBy("tree").agg(*(F.max(F.when(F.col("i") % 5 == j, F.col("h"))).alias(f"h{j}") for j in range(5)))
+    node = lambda a, b: F.sha2(F.concat(F.unhex(F.lit("01")), F.unhex(a), F.unhex(b)), 256)
+    t = leaves.withColumn("h01", node(F.col("h0"), F.col("h1"))).withColumn("h23", node(F.col("h2"), F.col("h3"))).withColumn("h0123", node(F.col("h01"), F.col("h23")))
+    paths = F.array(*(F.array(*p) for p in (("h1", "h23", "h4"), ("h0", "h23", "h4"), ("h3", "h01", "h4"), ("h2", "h01", "h4"), ("h0123",))))
+    at = F.col("i") % 5
+    rows = c.join(t.select("tree", paths.alias("paths")), "tree")
+    return rows.select("i", folded_root(F.col("h"), at, F.lit(5), F.element_at("paths", (at + 1).cast("int"))).alias("root"))
 
 
 @query("tru_evidence_admit", "SELECT c_custkey AS image, c_custkey % 2 = 0 AND c_custkey % 3 <> 1 AND c_custkey % 5 <> 0 AND c_custkey % 7 <> 2 AS admitted FROM customer")
@@ -162,11 +167,11 @@ def join_library_search(spark, d):
     return hit.groupBy("lib").agg(F.min_by(F.concat_ws("/", "dir", "name"), "rank").alias("path"))
 
 
-@query("join_path_search", "WITH c AS (SELECT c_custkey AS cmd, 'x' || (c_custkey % 30) AS name FROM customer), f AS (SELECT 'x' || (p_partkey % 30) AS name, CASE p_partkey % 3 WHEN 0 THEN '/usr/bin' WHEN 1 THEN '/bin' ELSE '/sbin' END AS dir, p_partkey % 3 AS rank, (p_size * 13) % 512 AS mode FROM part WHERE p_partkey < 90) SELECT cmd, arg_min(dir || '/' || c.name, rank) AS path FROM c JOIN f ON f.name = c.name WHERE mode & 73 <> 0 GROUP BY 1")
+@query("join_path_search", "WITH c AS (SELECT c_custkey AS cmd, 'x' || c_custkey AS name FROM customer), f AS (SELECT 'x' || (p_partkey // 3) AS name, CASE p_partkey % 3 WHEN 0 THEN '/usr/bin' WHEN 1 THEN '/bin' ELSE '/sbin' END AS dir, p_partkey % 3 AS rank, (p_size * 13) % 512 AS mode FROM part) SELECT cmd, arg_min(dir || '/' || c.name, rank) AS path FROM c JOIN f ON f.name = c.name WHERE mode & 73 <> 0 GROUP BY 1")
 def join_path_search(spark, d):
     """The first executable along the path."""
-    c = V.load(spark, d, "customer").selectExpr("c_custkey AS cmd", "concat('x', c_custkey % 30) AS name")
-    f = V.load(spark, d, "part").where("p_partkey < 90").selectExpr("concat('x', p_partkey % 30) AS name", "element_at(array('/usr/bin', '/bin', '/sbin'), CAST(p_partkey % 3 + 1 AS INT)) AS dir", "p_partkey % 3 AS rank", "p_size * 13 % 512 AS mode")
+    c = V.load(spark, d, "customer").selectExpr("c_custkey AS cmd", "concat('x', c_custkey) AS name")
+    f = V.load(spark, d, "part").selectExpr("concat('x', p_partkey div 3) AS name", "element_at(array('/usr/bin', '/bin', '/sbin'), CAST(p_partkey % 3 + 1 AS INT)) AS dir", "p_partkey % 3 AS rank", "p_size * 13 % 512 AS mode")
     hit = c.join(f.where(F.col("mode").bitwiseAND(F.lit(0o111)) != 0), "name")
     return hit.groupBy("cmd").agg(F.min_by(F.concat_ws("/", "dir", "name"), "rank").alias("path"))
 
@@ -189,9 +194,15 @@ def join_k_syscalls(spark, d):
     return used.union(imports.select("image", F.lit("exit"))).distinct()
 
 
-@query("str_binding_upsert", V.with_views("v_binding") + ", u AS (SELECT 'c' || (user_id % 20) AS container_id, event_id AS v, event_type = 'error' AS gone FROM events) SELECT container_id, max(v) AS version FROM u GROUP BY 1 HAVING NOT arg_max(gone, v)")
+@query("str_binding_upsert", V.with_views("v_binding") + ", u AS (SELECT 'c' || user_id AS container_id, event_id AS v, event_type = 'error' AS gone FROM events) SELECT container_id, max(v) AS version FROM u GROUP BY 1 HAVING NOT arg_max(gone, v)")
 def str_binding_upsert(spark, d):
-    """The newest snapshot of each container; deleted ones go."""
-    u = V.load(spark, d, "events").selectExpr("concat('c', user_id % 20) AS container_id", "event_id AS v", "event_type = 'error' AS gone")
-    newest = u.withColumn("r", F.row_number().over(Window.partitionBy("container_id").orderBy(F.desc("v")))).where("r = 1 and not gone")
-    return newest.select("container_id", F.col("v").alias("version"))
+    """Snapshots come as a stream: state keeps each container's newest; deleted ones go."""
+    from ..streaming import sinks
+    from .inputs import folder
+
+    src, out, ck = (folder(spark, x) for x in ("snapshots", "bindings", "ck"))
+    V.load(spark, d, "events").selectExpr("concat('c', user_id) AS container_id", "event_id AS v", "event_type = 'error' AS gone").repartition(3).write.parquet(src)
+    rows = spark.readStream.schema("container_id string, v long, gone boolean").parquet(src)
+    sinks.latest(rows.groupBy("container_id").agg(F.max(F.struct("v", "gone")).alias("newest")), out, ck)
+    newest = spark.read.schema("container_id string, newest struct<v: long, gone: boolean>").parquet(out).groupBy("container_id").agg(F.max("newest").alias("newest"))
+    return newest.where("not newest.gone").select("container_id", F.col("newest.v").alias("version"))

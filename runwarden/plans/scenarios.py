@@ -208,24 +208,25 @@ def join_interval_overlap(spark, d):
     return hit.select("line").distinct()
 
 
-@query("join_trace_to_run", V.with_views("v_truth") + """, tr AS (SELECT o_orderpriority || '-' || row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) || '.txt' AS name FROM orders WHERE o_custkey < 40),
- p AS (SELECT name, regexp_extract(name, '^(.*)-([0-9]+)\\.txt$', 1) AS scenario, CAST(regexp_extract(name, '^(.*)-([0-9]+)\\.txt$', 2) AS BIGINT) AS k FROM tr), g AS (SELECT line, scenario, row_number() OVER (PARTITION BY scenario ORDER BY line) AS k FROM v_truth)
+@query("join_trace_to_run", V.with_views("v_truth") + """, tr AS (SELECT o_orderpriority || '-ns' || (o_custkey // 15) || '-' || row_number() OVER (PARTITION BY o_orderpriority, o_custkey // 15 ORDER BY o_orderkey) || '.txt' AS name FROM orders),
+ p AS (SELECT name, regexp_extract(name, '^(.*)-([0-9]+)\\.txt$', 1) AS scenario, CAST(regexp_extract(name, '^(.*)-([0-9]+)\\.txt$', 2) AS BIGINT) AS k FROM tr), g AS (SELECT line, scenario || '-' || namespace AS scenario, row_number() OVER (PARTITION BY scenario, namespace ORDER BY line) AS k FROM v_truth)
  SELECT name, line FROM p JOIN g USING (scenario, k)""")
 def join_trace_to_run(spark, d):
-    """The k-th trace of a scenario belongs to its k-th run."""
-    o = V.load(spark, d, "orders").where("o_custkey < 40")
-    k = F.row_number().over(Window.partitionBy("o_orderpriority").orderBy("o_orderkey"))
-    traces = o.select(F.concat("o_orderpriority", F.lit("-"), k, F.lit(".txt")).alias("name"))
+    """The k-th trace of a scenario in a namespace belongs to its k-th run there."""
+    o = V.load(spark, d, "orders").selectExpr("concat(o_orderpriority, '-ns', o_custkey div 15) AS own", "o_orderkey")
+    k = F.row_number().over(Window.partitionBy("own").orderBy("o_orderkey"))
+    traces = o.select(F.concat("own", F.lit("-"), k, F.lit(".txt")).alias("name"))
     pattern = r"^(.*)-([0-9]+)\.txt$"
     traces = traces.select("name", F.regexp_extract("name", pattern, 1).alias("scenario"), F.regexp_extract("name", pattern, 2).cast("long").alias("k"))
-    runs = V.v_truth(spark, d).select("line", "scenario", F.row_number().over(Window.partitionBy("scenario").orderBy("line")).cast("long").alias("k"))
+    runs = V.v_truth(spark, d).select("line", F.concat_ws("-", "scenario", "namespace").alias("scenario"))
+    runs = runs.select("line", "scenario", F.row_number().over(Window.partitionBy("scenario").orderBy("line")).cast("long").alias("k"))
     return traces.join(runs, ["scenario", "k"]).select("name", "line")
 
 
-@query("join_snapshot_asof", V.with_views("v_truth") + " SELECT t.line, count(c.c_custkey) AS bindings FROM v_truth t LEFT JOIN (SELECT c_custkey, 'ns' || (c_custkey % 3) AS ns, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 2400 AS INTEGER)) END AS at FROM customer WHERE c_custkey < 3000) c ON c.ns = t.namespace AND (c.at IS NULL OR c.at BETWEEN t.start AND t.stop) GROUP BY 1")
+@query("join_snapshot_asof", V.with_views("v_truth") + " SELECT t.line, count(c.c_custkey) AS bindings FROM v_truth t LEFT JOIN (SELECT c_custkey, 'ns' || (c_custkey // 15) AS ns, CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE TIMESTAMP '1995-01-01' + to_days(CAST(c_custkey % 2400 AS INTEGER)) END AS at FROM customer) c ON c.ns = t.namespace AND (c.at IS NULL OR c.at BETWEEN t.start AND t.stop) GROUP BY 1")
 def join_snapshot_asof(spark, d):
     """Saved rows count for the run whose interval holds them, live rows (no time) for every run of their namespace: one by bins, the other as a count."""
-    c = V.load(spark, d, "customer").where("c_custkey < 3000").selectExpr("concat('ns', c_custkey % 3) AS namespace", "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '1995-01-01' + make_interval(0, 0, 0, CAST(c_custkey % 2400 AS INT)) END AS at")
+    c = V.load(spark, d, "customer").selectExpr("concat('ns', c_custkey div 15) AS namespace", "CASE WHEN c_custkey % 2 = 0 THEN NULL ELSE TIMESTAMP_NTZ '1995-01-01' + make_interval(0, 0, 0, CAST(c_custkey % 2400 AS INT)) END AS at")
     t = V.v_truth(spark, d).select("line", "namespace", "start", "stop")
     day = lambda x: F.floor(V.micros(x) / 86_400_000_000)
     saved = t.withColumn("bin", F.explode(F.sequence(day("start"), day("stop")))).join(c.where("at is not null").withColumn("bin", day("at")), ["namespace", "bin"]).where("at between start and stop").groupBy("line").agg(F.count("*").alias("saved"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from ..functions import testviews as V
-from ..operators.sequence import chains
+from ..operators.sequence import chained, chains
 from ..operators.windows import behaviour_windows
 from .registry import query
 
@@ -40,7 +40,7 @@ def win_chain(spark, d):
     return chains(e.selectExpr("cid AS container_id", "seq AS id", "t_ns / 6e10 AS t_s", "pid", "ppid"))
 
 
-@query("win_split_chrono", V.with_views("v_event") + ", n AS (SELECT digest, count(*) AS n FROM v_event GROUP BY 1) SELECT seq, digest, row_number() OVER (PARTITION BY digest ORDER BY t_ns, cid, pid, seq) <= floor(0.7 * n) AS train FROM v_event JOIN n USING (digest)")
+@query("win_split_chrono", V.with_views("v_event") + ", n AS (SELECT digest, count(*) AS n FROM v_event GROUP BY 1) SELECT seq, digest, row_number() OVER (PARTITION BY digest ORDER BY t_ns, cid, pid, seq) <= floor(0.7::DOUBLE * n) AS train FROM v_event JOIN n USING (digest)")
 def win_split_chrono(spark, d):
     e = V.v_event(spark, d)
     n = e.groupBy("digest").agg(F.count("*").alias("n"))
@@ -112,13 +112,9 @@ h AS (SELECT log, k, sha256(unhex(repeat('0', 64) || c)) AS hash FROM r WHERE k
 
 
 def hash_chain(records, log: str, k: str, canon: str):
-    """(log, k, hash): texts are hashed in parallel; only their digests are folded, per log, in order."""
-    digest = records.select(F.col(log).alias("log"), F.struct(F.col(k).alias("k"), F.sha2(F.col(canon), 256).alias("c")).alias("r"))
-    listed = digest.groupBy("log").agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    start = F.array(F.repeat(F.lit("0"), 64))
-    step = lambda acc, x: F.array_append(acc, F.sha2(F.concat(F.unhex(F.element_at(acc, -1)), F.unhex(x["c"])), 256))
-    folded = listed.select("log", F.slice(F.aggregate("rs", start, step), 2, 1 << 30).alias("hs"))
-    return folded.select("log", F.posexplode("hs").alias("pos", "hash")).select("log", (F.col("pos") + 1).alias("k"), "hash")
+    """(log, k, hash): texts are hashed in parallel; only their digests are folded, per log, as they stream by in order."""
+    digest = records.select(F.col(log).cast("long").alias("log"), F.col(k).cast("long").alias("place"), F.sha2(F.col(canon), 256).alias("c"))
+    return chained(digest).select("log", "k", "hash")
 
 
 @query("win_hash_chain", CHAIN_SQL + " SELECT log, k, hash FROM h")
@@ -159,10 +155,13 @@ def win_checkpoint_audit(spark, d):
     return rows.groupBy("log").agg((F.coalesce(F.max(F.when(F.col("ok") & (F.col("k") < F.col("f")), F.col("k"))), F.lit(0)) + 1).alias("first_bad"))
 
 
-@query("win_cold_start", V.with_views("v_event", "v_binding") + " SELECT e.cid, min(e.t_ns) AS first_ns, count(*) AS held FROM v_event e JOIN v_binding b ON b.container_id = e.cid WHERE e.seq < 500 GROUP BY 1")
+@query("win_cold_start", V.with_views("v_event", "v_binding") + ", r AS (SELECT container_id AS cid, (epoch_us(TIMESTAMP '2024-01-01') + CAST(substr(container_id, 2) AS BIGINT) % 48 * 3600000000) * 1000 AS ready_ns FROM v_binding) SELECT cid, min(t_ns) AS first_ns, min(ready_ns) AS ready_ns, count(*) AS held, (min(ready_ns) - min(t_ns)) / 1e9 AS window_s FROM v_event JOIN r USING (cid) WHERE t_ns < ready_ns GROUP BY 1")
 def win_cold_start(spark, d):
-    b = V.v_binding(spark, d).select(F.col("container_id").alias("cid"))
-    return V.v_event(spark, d).where("seq < 500").join(b, "cid", "left_semi").groupBy("cid").agg(F.min("t_ns").alias("first_ns"), F.count("*").alias("held"))
+    """Per container: the first event held before its specification was ready (here the first two days, by the container's number), how many, and for how long."""
+    start = V.MICROS.format("TIMESTAMP_NTZ'2024-01-01 00:00:00'")
+    b = V.v_binding(spark, d).selectExpr("container_id AS cid", f"({start} + CAST(substr(container_id, 2) AS BIGINT) % 48 * 3600000000) * 1000 AS ready_ns")
+    held = V.v_event(spark, d).join(b, "cid").where("t_ns < ready_ns")
+    return held.groupBy("cid").agg(F.min("t_ns").alias("first_ns"), F.min("ready_ns").alias("ready_ns"), F.count("*").alias("held"), ((F.min("ready_ns") - F.min("t_ns")) / F.lit(1e9)).alias("window_s"))
 
 
 @query("win_layer_of", V.with_views("v_file") + " SELECT digest, 'pkg' || (k % 9) AS path, arg_max(layer, layer * 1000 + k) AS layer FROM v_file GROUP BY 1, 2")

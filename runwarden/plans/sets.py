@@ -47,11 +47,11 @@ def set_cap_allowlist(spark, d):
     return named.union(ports).groupBy("image").agg(F.array_sort(F.collect_set("cap")).alias("caps"))
 
 
-@query("set_allow_final", "((SELECT DISTINCT l_partkey % 100 AS call FROM lineitem WHERE l_linenumber = 1 UNION SELECT DISTINCT l_suppkey FROM lineitem) INTERSECT SELECT DISTINCT CAST(p_partkey AS BIGINT) FROM part WHERE p_size < 40) EXCEPT (SELECT DISTINCT CAST(s_suppkey AS BIGINT) FROM supplier WHERE s_suppkey % 10 = 3 EXCEPT SELECT DISTINCT p_partkey FROM part WHERE p_size < 5)")
+@query("set_allow_final", "((SELECT DISTINCT l_partkey AS call FROM lineitem UNION SELECT DISTINCT l_suppkey FROM lineitem) INTERSECT SELECT DISTINCT CAST(p_partkey AS BIGINT) FROM part WHERE p_size < 40) EXCEPT (SELECT DISTINCT CAST(s_suppkey AS BIGINT) FROM supplier WHERE s_suppkey % 10 = 3 EXCEPT SELECT DISTINCT p_partkey FROM part WHERE p_size < 5)")
 def set_allow_final(spark, d):
     """((static or dynamic) and template) without (blocked without template)."""
     li, p, s = (V.load(spark, d, t) for t in ("lineitem", "part", "supplier"))
-    either = li.where("l_linenumber = 1").selectExpr("l_partkey % 100 AS call").union(li.select("l_suppkey"))
+    either = li.selectExpr("l_partkey AS call").union(li.select("l_suppkey"))
     blocked = s.where("s_suppkey % 10 = 3").select("s_suppkey").subtract(p.where("p_size < 5").select("p_partkey"))
     return either.intersect(p.where("p_size < 40").select("p_partkey")).subtract(blocked)
 

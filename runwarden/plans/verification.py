@@ -145,18 +145,18 @@ def vfy_connect(spark, d):
 PREFIX = 12
 
 
-@query("join_event_binding", """WITH e AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'runtime://' || sha256('c' || (user_id % 20)) WHEN 1 THEN sha256('c' || (user_id % 20)) WHEN 2 THEN left(sha256('c' || (user_id % 20)), 14) ELSE left(sha256('c' || (user_id % 20)), 8) END AS cid FROM events),
-b AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'runtime://' ELSE '' END || sha256('c' || c_custkey) AS container_id FROM customer WHERE c_custkey < 18),
+@query("join_event_binding", """WITH e AS (SELECT event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'runtime://' || sha256('c' || user_id) WHEN 1 THEN sha256('c' || user_id) WHEN 2 THEN left(sha256('c' || user_id), 14) ELSE left(sha256('c' || user_id), 8) END AS cid FROM events),
+b AS (SELECT CASE WHEN c_custkey % 2 = 0 THEN 'runtime://' ELSE '' END || sha256('c' || (c_custkey + c_custkey // 9)) AS container_id FROM customer),
 bb AS (SELECT container_id, regexp_replace(container_id, '^.*://', '') AS bare FROM b), ee AS (SELECT seq, cid, regexp_replace(cid, '^.*://', '') AS bare FROM e),
 p AS (SELECT ee.seq, min(bb.container_id) AS c FROM ee JOIN bb ON length(ee.bare) >= 12 AND starts_with(bb.bare, ee.bare) GROUP BY 1 HAVING count(*) = 1)
 SELECT ee.seq, coalesce(f.container_id, g.container_id, p.c) AS container_id FROM ee LEFT JOIN bb f ON f.container_id = ee.cid LEFT JOIN bb g ON g.bare = ee.bare LEFT JOIN p ON p.seq = ee.seq""")
 def join_event_binding(spark, d):
     """By full id, else bare id, else a unique prefix of twelve or more characters."""
-    sha = F.sha2(F.concat(F.lit("c"), F.col("user_id") % 20), 256)
+    sha = F.sha2(F.concat(F.lit("c"), F.col("user_id")), 256)
     m = F.col("event_id") % 4
     e = V.load(spark, d, "events").select(F.col("event_id").alias("seq"), F.when(m == 0, F.concat(F.lit("runtime://"), sha)).when(m == 1, sha).when(m == 2, F.left(sha, F.lit(14))).otherwise(F.left(sha, F.lit(8))).alias("cid"))
-    own = F.sha2(F.concat(F.lit("c"), F.col("c_custkey")), 256)
-    b = V.load(spark, d, "customer").where("c_custkey < 18").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "runtime://").otherwise(""), own).alias("container_id"))
+    own = F.sha2(F.concat(F.lit("c"), F.expr("c_custkey + c_custkey div 9")), 256)
+    b = V.load(spark, d, "customer").select(F.concat(F.when(F.col("c_custkey") % 2 == 0, "runtime://").otherwise(""), own).alias("container_id"))
     bare = lambda c: F.regexp_replace(c, "^.*://", "")
     e, b = e.withColumn("bare", bare("cid")), b.withColumn("b_bare", bare("container_id"))
     near = e.where(F.length("bare") >= PREFIX).join(b.withColumn("short", F.left("b_bare", F.lit(PREFIX))), F.left("bare", F.lit(PREFIX)) == F.col("short")).where(F.col("b_bare").startswith(F.col("bare")))
@@ -202,12 +202,12 @@ def join_was_bound(spark, d):
     return rows.groupBy("cid").agg(F.count("*").alias("n"))
 
 
-@query("join_binding_failure", V.with_views("v_event", "v_binding") + """, j AS (SELECT e.seq, e.cid, CASE WHEN b.container_id IS NULL THEN 'unknown_container' WHEN NOT b.verified THEN 'unverified' WHEN b.image_digest = 'i3' THEN 'no_envelope' END AS subclass
+@query("join_binding_failure", V.with_views("v_event", "v_binding") + """, j AS (SELECT e.seq, e.cid, CASE WHEN b.container_id IS NULL THEN 'unknown_container' WHEN NOT b.verified THEN 'unverified' WHEN """ + V.NO_ENVELOPE.format("b.image_digest") + """ THEN 'no_envelope' END AS subclass
  FROM v_event e LEFT JOIN v_binding b ON b.container_id = e.cid) SELECT cid, subclass, min(seq) AS seq, count(*) AS n FROM j WHERE subclass IS NOT NULL GROUP BY 1, 2""")
 def join_binding_failure(spark, d):
-    """The first event of each (container, failure) and how many there are; image i3 has no envelope."""
+    """The first event of each (container, failure) and how many there are; every fourth image has no envelope."""
     b = V.v_binding(spark, d).select(F.col("container_id").alias("cid"), "verified", "image_digest", F.lit(True).alias("bound"))
-    sub = F.when(F.col("bound").isNull(), "unknown_container").when(~F.col("verified"), "unverified").when(F.col("image_digest") == "i3", "no_envelope")
+    sub = F.when(F.col("bound").isNull(), "unknown_container").when(~F.col("verified"), "unverified").when(F.expr(V.NO_ENVELOPE.format("image_digest")), "no_envelope")
     rows = V.v_event(spark, d).join(b, "cid", "left").select("seq", "cid", sub.alias("subclass")).where("subclass is not null")
     return rows.groupBy("cid", "subclass").agg(F.min("seq").alias("seq"), F.count("*").alias("n"))
 

@@ -63,14 +63,26 @@ def statements(rows: DataFrame) -> DataFrame:
     return rows.withColumn("predicate_type", F.try_variant_get(v, "$.predicateType", "string")).withColumn("subject", F.try_variant_get(v, "$.subject", "array<variant>"))
 
 
-def sbom_components(rows: DataFrame, depth: int = 8) -> DataFrame:
-    """(sbom, purl) of documents (sbom, doc): each round takes the components one level further down."""
-    level = rows.select("sbom", F.explode(F.try_variant_get(F.try_parse_json("doc"), "$.components", "array<variant>")).alias("c"))
-    out = level
-    for _ in range(depth - 1):
-        level = level.select("sbom", F.explode(F.try_variant_get("c", "$.components", "array<variant>")).alias("c"))
+def _walked(level: DataFrame, step, name: str):
+    """Every level of a nesting, one after another, until there is none further down: step(level) gives the next. A level is a table of its own, in text form."""
+    from ..operators.graph import written
+
+    while True:
+        level = written(level, name)
+        if level.isEmpty():
+            return
+        yield level
+        level = step(level)
+
+
+def sbom_components(rows: DataFrame) -> DataFrame:
+    """(sbom, purl) of documents (sbom, doc): each round takes the components one level further down, as deep as they go."""
+    inner = lambda doc: F.explode(F.transform(F.try_variant_get(F.try_parse_json(doc), "$.components", "array<variant>"), lambda c: F.to_json(c))).alias("c")
+    out = rows.sparkSession.createDataFrame([], "sbom long, c string")
+    for level in _walked(rows.select("sbom", inner("doc")), lambda x: x.select("sbom", inner("c")), "components"):
         out = out.unionByName(level)
-    kind, purl = F.try_variant_get("c", "$.type", "string"), F.try_variant_get("c", "$.purl", "string")
+    c = F.try_parse_json("c")
+    kind, purl = F.try_variant_get(c, "$.type", "string"), F.try_variant_get(c, "$.purl", "string")
     return out.where(kind.isin("library", "application", "framework") & purl.isNotNull()).select("sbom", purl.alias("purl"))
 
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..operators.sequence import chained
+
 
 def append(rows: DataFrame, out: str, checkpoint: str) -> None:
     """Runs a stream over all there is and appends it to a table; the checkpoint makes a second run add only what is new."""
@@ -58,15 +60,13 @@ CHAIN = "batch long, k long, prev string, hash string, canon string"
 
 
 def append_chain(batch: DataFrame, out: str, batch_id: int) -> None:
-    """Appends a small batch (order, canon) to one chain: h = sha256(previous h, sha256(canon)). Texts are hashed in parallel; the batch's
-    digests are folded in one row. A batch id that is there already adds nothing."""
+    """Appends a batch (order, canon) to one chain: h = sha256(previous h, sha256(canon)). Texts are hashed in parallel and joined back by order; only
+    the batch's digests stream through one task, as a chain must. A batch id that is there already adds nothing; orders are unique."""
     spark = batch.sparkSession
     log = existing(spark, out, CHAIN)
     if not log.where(F.col("batch") == batch_id).isEmpty():
         return
-    head = log.agg(F.max_by(F.struct("k", "hash"), "k").alias("h")).select(F.coalesce("h.k", F.lit(0)).alias("k0"), F.coalesce("h.hash", F.repeat(F.lit("0"), 64)).alias("h0"))
-    listed = batch.agg(F.array_sort(F.collect_list(F.struct("order", F.sha2("canon", 256).alias("c"), "canon"))).alias("rs")).crossJoin(head)
-    step = lambda acc, x: F.array_append(acc, F.sha2(F.concat(F.unhex(F.element_at(acc, -1)), F.unhex(x["c"])), 256))
-    folded = listed.select("k0", "rs", F.aggregate("rs", F.array("h0"), step).alias("hs"))
-    rows = folded.select("k0", "hs", F.posexplode("rs").alias("i", "r"))
-    rows.select(F.lit(batch_id).cast("long").alias("batch"), (F.col("k0") + F.col("i") + 1).alias("k"), F.element_at("hs", F.col("i") + 1).alias("prev"), F.element_at("hs", F.col("i") + 2).alias("hash"), F.col("r.canon").alias("canon")).write.mode("append").parquet(out)
+    head = log.agg(F.max_by(F.struct("k", "hash"), "k").alias("h")).select(F.coalesce("h.k", F.lit(0)), F.coalesce("h.hash", F.repeat(F.lit("0"), 64))).first()
+    links = chained(batch.select(F.lit(0).cast("long").alias("log"), F.col("order").cast("long").alias("place"), F.sha2("canon", 256).alias("c")), head[0], head[1])
+    rows = batch.withColumn("place", F.col("order").cast("long")).join(links, "place")
+    rows.select(F.lit(batch_id).cast("long").alias("batch"), "k", "prev", "hash", "canon").write.mode("append").parquet(out)
