@@ -45,11 +45,11 @@ def gr_closure_reach(spark, d):
 
 
 def resolve_links(paths, links, rounds: int = 40):
-    """(digest, path, real): each round replaces the first linked prefix of a path; more than `rounds` hops are a loop: null. Targets are
-    absolute or relative to the link's folder; a link without target gives null."""
+    """(digest, path, real): each round replaces the first linked prefix of a path; a path that comes back to where it was, or needs more than
+    `rounds` hops, is a loop: null. Targets are absolute or relative to the link's folder; a link without target gives null."""
     from ..operators.normalise import normal_path
 
-    todo = paths.select("digest", "path", F.col("path").alias("now"))
+    todo = paths.select("digest", "path", F.col("path").alias("now"), F.array("path").alias("been"))
     done = None
     links = links.select("digest", F.col("path").alias("link"), "target")
     for _ in range(rounds):
@@ -61,12 +61,15 @@ def resolve_links(paths, links, rounds: int = 40):
         ended = rows.where("l is null").select("digest", "path", F.col("now").alias("real"))
         dangling = rows.where("l is not null and l.target is null").select("digest", "path", F.lit(None).cast("string").alias("real"))
         ended = ended.unionByName(dangling)
+        target_of = "l is not null and l.target is not null"
         rest = F.substring("now", F.length("l.link") + 1, F.lit(1 << 30))
         folder = F.regexp_replace("l.link", "/[^/]*$", "")
         target = F.when(F.col("l.target").startswith("/"), F.col("l.target")).otherwise(F.concat(folder, F.lit("/"), "l.target"))
-        todo = G.written(rows.where("l is not null and l.target is not null").select("digest", "path", normal_path(F.concat(target, rest)).alias("now")), "links")
-        done = ended if done is None else done.unionByName(ended)
-        done = G.written(done, "resolved")
+        moved = G.written(rows.where(target_of).select("digest", "path", normal_path(F.concat(target, rest)).alias("now"), "been"), "links")
+        again = F.array_contains("been", F.col("now"))
+        ended = ended.unionByName(moved.where(again).select("digest", "path", F.lit(None).cast("string").alias("real")))
+        todo = moved.where(~again).withColumn("been", F.array_append("been", F.col("now")))
+        done = G.written(ended, "resolved") if done is None else done.unionByName(G.written(ended, "resolved"))
         if todo.isEmpty():
             break
     return done.unionByName(todo.select("digest", "path", F.lit(None).cast("string").alias("real")))
