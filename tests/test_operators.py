@@ -238,3 +238,61 @@ def test_every_document_is_predicted_and_every_fold_evaluated(spark):
     rows = {(r.which, r.method): r for r in modelling.ml_cv_evaluate(spark, d).collect()}
     assert len(rows) == 8 and all(r.repeats == 3 and r.n == 3 * labels.count() for r in rows.values())
     assert rows["quality", "everything"].mean_recall == 1 and rows["quality", "nothing"].mean_recall == 0
+
+
+def test_one_key_of_many_rows(spark):
+    """A hundred thousand rows of one key stream by: greedy starts, a hash chain and incident chains against plain loops."""
+    import hashlib
+    import random
+
+    rng = random.Random(3)
+    n = 100_000
+    times = sorted(rng.randrange(5_000_000) for _ in range(n))
+    df = spark.range(n).selectExpr("'one' AS k", "id AS i").join(spark.createDataFrame(list(enumerate(times)), "i long, t long"), "i").repartition(5)
+    want, last = [], -(10**9)
+    for i, t in enumerate(times):
+        if t >= last + 60:
+            want.append(i)
+            last = t
+    assert sorted(r.i for r in greedy_starts(df, ["k"], "t", "i", 60).collect()) == want
+    from runwarden.operators.sequence import chained
+
+    digests = df.selectExpr("1L AS log", "i AS place", "sha2(cast(t AS string), 256) AS c")
+    h, got = bytes(32), chained(digests).orderBy("place").select("k", "hash").collect()
+    for i, (t, r) in enumerate(zip(times, got, strict=True)):
+        h = hashlib.sha256(h + hashlib.sha256(str(t).encode()).digest()).digest()
+        assert r.k == i + 1 and r.hash == h.hex()
+    rows = [("c", i, float(rng.randrange(4000)), rng.randrange(40) if i % 9 else None, rng.randrange(60)) for i in range(6000)]
+    open_, expected = [], {}
+    for _, i, t, pid, ppid in rows:
+        for chain in open_:
+            if abs(t - chain[2]) <= 60 and (pid in chain[1] or ppid in chain[1]):
+                chain[1] |= {pid} - {None}
+                chain[2] = max(chain[2], t)
+                break
+        else:
+            chain = [i, {pid} - {None}, t]
+            open_.append(chain)
+        expected[i] = chain[0]
+    got = chains(spark.createDataFrame(rows, "container_id string, id long, t_s double, pid long, ppid long").repartition(3))
+    assert {r.id: r.chain for r in got.collect()} == expected
+
+
+def test_components_as_deep_as_they_go(spark):
+    from runwarden.sources.readers import sbom_components
+
+    doc = "[]"
+    for i in range(14, 0, -1):
+        doc = f'[{{"type": "{"library" if i % 5 else "file"}", "purl": "pkg:t/{i}", "components": {doc}}}]'
+    rows = spark.createDataFrame([(1, f'{{"components": {doc}}}'), (2, "{}"), (3, "no json")], "sbom long, doc string")
+    assert sorted((r.sbom, r.purl) for r in sbom_components(rows).collect()) == sorted((1, f"pkg:t/{i}") for i in range(1, 15) if i % 5)
+
+
+def test_a_line_of_odd_types(spark):
+    """Values of another kind than expected are null, whatever else the line has."""
+    from runwarden.operators.normalise import normalised
+
+    lines = ['{"process_exec": {"process": "text"}}', '[1]', '"x"', "null", '{"process_kprobe": {"function_name": "cap_capable", "args": {"a": 1}}}', '{"process_exec": {"process": {"pid": true, "pod": {"namespace": "n", "container": {"id": "c"}}, "start_time": "2024-01-01T00:00:00Z"}}, "time": 5}']
+    got = {r.seq: r for r in normalised(spark.createDataFrame(list(enumerate(lines)), "seq long, line string")).collect()}
+    assert [got[i].reason for i in range(6)] == ["no_process", "bad_json", "bad_json", "bad_json", "no_capability", None]
+    assert got[5].pid is None and got[5].t_ns == 1704067200 * 10**9
