@@ -21,9 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import repeats as R
-from .common import partitions_of, staged, table
+from .common import Scratch, partitions_of, table
 
 WINDOW, GRAM, RANGE = 35, 8, 7
+#: Parts of a partition's share of the rows, from which on copies of one stretch are not shuffled.
+HOT_SHARE = 4
 ANCHORS = "key long, ctx long, dk long, packed long"
 
 
@@ -118,25 +120,30 @@ def subtree_repeats(window: int, names: R.Names, step: int = RANGE):
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of words under windows that occur elsewhere; docs as keyed() gives them."""
-    rows = docs.select("dk", "tag", "text")
-    names, other = R.Names(), R.Names()
+    rows, n = docs.select("dk", "tag", "text"), partitions_of(docs)
+    scratch, names, other = Scratch(docs.sparkSession, "suffix-tree"), R.Names(), R.Names()
     census = rows.mapInArrow(scan(window, gram, names, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    census = staged(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
-    live = rows.mapInArrow(scan(window, gram, names, False), ANCHORS).join(census, "key", "left_semi")
-    live = staged(live, "anchors")
-    stretches = staged(live.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("dk", "packed")).alias("head")), "stretches")
-    many = staged(stretches.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
-    joined = live.join(stretches, ["key", "ctx"])
+    census = scratch.put(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
+    live = scratch.put(rows.mapInArrow(scan(window, gram, names, False), ANCHORS).join(census, "key", "left_semi"), "anchors")
+    scratch.drop(census)
+    stretches = scratch.put(live.groupBy("key", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("dk", "packed")).alias("head")), "stretches")
+    many = scratch.put(stretches.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
+    # Stretches with more than a quarter of a partition's share of the rows are four for each partition at most: small enough to be broadcast, and their rows stay where they are.
+    hot = live.count() // (HOT_SHARE * n) + 1
+    apart = F.broadcast(stretches.where(F.col("n") > hot).where("n > 1").select("key", "ctx"))
+    copies = live.join(apart, ["key", "ctx"], "left_semi").unionByName(live.join(apart, ["key", "ctx"], "left_anti").join(stretches.where((F.col("n") > 1) & (F.col("n") <= hot)).select("key", "ctx"), ["key", "ctx"], "left_semi"))
     low, high, tag = R.low_of(F.col("packed")), R.high_of(F.col("packed")), R.tag_of(F.col("packed"))
-    whole = joined.where("n > 1").select("dk", tag.alias("tag"), low.alias("start"), (high + window).alias("stop"))
+    whole = copies.select("dk", tag.alias("tag"), low.alias("start"), (high + window).alias("stop"))
     heads = stretches.select("key", "head.dk", "head.packed").join(many, "key")
     picks = heads.select("dk", tag.alias("tag"), F.struct("key", low.alias("low"), high.alias("high"), (F.col("different") > R.CROWD).alias("crowded")).alias("pick"))
     picks = picks.groupBy("dk", "tag").agg(F.collect_list("pick").alias("picks"))
     chosen = docs.join(picks, ["dk", "tag"]).select("dk", "tag", "text", "picks")
     sent = chosen.mapInArrow(R.Sender(window, _Words, _window_names(window, (names, other))), R.SENT)
-    sent = sent.repartition(partitions_of(docs), "key").sortWithinPartitions("key")
+    sent = sent.repartition(n, "key").sortWithinPartitions("key")
     found = sent.mapInArrow(R.Receiver(window, subtree_repeats(window, names)), R.RANGES)
-    return staged(whole.unionByName(found), "ranges")
+    ranges = scratch.put(whole.unionByName(found), "ranges")
+    scratch.drop(live, stretches, many)
+    return ranges
 
 
 def _assembled(batches):

@@ -34,6 +34,7 @@ def by_bytes(rows, window):
 @pytest.mark.parametrize(("window", "gram", "crowd"), [(35, 8, 96), (35, 8, 1), (12, 3, 3)])
 def test_suffix_tree(docs, rows, monkeypatch, window, gram, crowd):
     monkeypatch.setattr(repeats, "CROWD", crowd)
+    monkeypatch.setattr(suffix_tree, "HOT_SHARE", 4 if crowd > 1 else 60)
     got = sorted(map(tuple, suffix_tree.deduplicated(docs, window, gram).collect()))
     assert got == by_words(rows, window)
 
