@@ -24,6 +24,11 @@ def _own(docs: DataFrame, name: str) -> str:
     return name
 
 
+def _key(*columns):
+    """One text for several columns, nulls included: joins and windows on it share one shuffle."""
+    return F.concat_ws(":", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in columns))
+
+
 def _first(rows: DataFrame, columns: list[str], *by) -> DataFrame:
     """The row with the least text of each key."""
     nth = _own(rows, "nth")
@@ -42,17 +47,18 @@ def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, that with the largest id."""
-    kept = staged(exact_groups(docs).where("kept").select("doc_id", "text_sha256").distinct(), "kept-rows")
-    sha = _own(docs, "sha")
-    rows = docs.withColumn(sha, F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256))
-    rows = rows.join(kept, rows["doc_id"].eqNullSafe(kept["doc_id"]) & (rows[sha] == kept["text_sha256"]), "left_semi")
-    return _first(rows, docs.columns, "doc_id", sha)
+    kept = staged(exact_groups(docs).where("kept").select(_key("doc_id", "text_sha256").alias("own_key")).distinct(), "kept-rows")
+    key, sha = _own(docs, "key"), F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
+    rows = docs.withColumn(key, _key("doc_id", sha))
+    return _first(rows.join(kept, rows[key] == kept["own_key"], "left_semi"), docs.columns, key)
 
 
 def drop_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents joined by links of fingerprints, that with the smallest id."""
-    kept = staged(near_duplicates(docs).where("doc_id <=> component_id").select("doc_id").distinct(), "kept-ids")
-    return _first(docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi"), docs.columns, "doc_id")
+    kept = staged(near_duplicates(docs).where("doc_id <=> component_id").select(_key("doc_id").alias("own_key")).distinct(), "kept-ids")
+    key = _own(docs, "key")
+    rows = docs.withColumn(key, _key("doc_id"))
+    return _first(rows.join(kept, rows[key] == kept["own_key"], "left_semi"), docs.columns, key)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
