@@ -204,8 +204,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label_col: str = "quality"
     learnt = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     learnt = learnt.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("y").alias("y"))
     size = F.octet_length("text")
-    pick = learnt.join(texts(docs).where(size <= MAX_TEXT).select("doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
-    rows = texts(docs).where(size <= MAX_TEXT).join(F.broadcast(pick), "doc_id")
+    pick = learnt.orderBy(F.xxhash64("doc_id"), "doc_id").limit(MAX_DOCS)
+    rows = texts(docs).join(F.broadcast(pick), "doc_id").where(size <= MAX_TEXT)
     before = F.sum(size).over(Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(MAX_DOCS).withColumn("sofar", before).where(F.col("sofar") <= MAX_BYTES)
     got = rows.select("text", "y").toArrow()
