@@ -242,15 +242,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
+#: Rows whose ids are held at once.
+ROWS = 100
+
+
 def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_tokens, ids, decoded_sha256): the training rows, with the digest of what their ids decode to."""
     shared = _shared(docs, path, pattern)
 
     def run(batches):
         t = tokenizer(*shared.value)
-        for b in batches:
-            ids = [t.encode(x) for x in b.column(1).to_pylist()]
-            shas = [hashlib.sha256(t.decode(x)).hexdigest() for x in ids]
+        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+            ids, shas = [], []
+            for x in b.column(1).to_pylist():
+                own = t.encode(x)
+                shas.append(hashlib.sha256(t.decode(own)).hexdigest())
+                ids.append(np.array(own, np.int32))
             cols = [pa.array(list(map(len, ids)), pa.int64()), pa.array(ids, pa.list_(pa.int32())), pa.array(shas, pa.string())]
             yield pa.RecordBatch.from_arrays([b.column(0), *cols], names=["doc_id", "n_tokens", "ids", "decoded_sha256"])
 
