@@ -7,6 +7,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 TREES, SAMPLE = 100, 256
+#: Trees that one task group grows, and rows of an image that one group scores.
+BLOCK, PART_ROWS = 20, 20_000
 EULER = 0.5772156649015329
 NODES = "digest string, tree int, lefts array<int>, rights array<int>, features array<int>, thresholds array<double>, sizes array<int>"
 
@@ -50,16 +52,24 @@ def grow(x: np.ndarray, rng: np.random.Generator, depth: int):
     return lefts, rights, features, thresholds, sizes
 
 
+def spread(rows: DataFrame, *by: str) -> DataFrame:
+    """rows in as many partitions as shuffles of the session have: their bytes are few and their work is much, so they are not to be coalesced."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *by)
+
+
 def train(rows: DataFrame, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> DataFrame:
     """A row per (digest, tree); the same seed gives the same forest."""
     depth = int(np.ceil(np.log2(max(sample, 2))))
 
-    def one(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.stack(pdf.sort_values("id")["x"].to_numpy()).astype(np.float64)
-        rng = np.random.default_rng([seed, int(key[1])])
-        return pd.DataFrame([(key[0], int(key[1]), *grow(x, rng, depth))], columns=[c.split()[0] for c in NODES.split(", ")])
+    def some(key, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["tree", "id"])
+        x, tree = np.stack(pdf["x"].to_numpy()).astype(np.float64), pdf["tree"].to_numpy()
+        own, first = np.unique(tree, return_index=True)
+        grown = [(key[0], int(t), *grow(part, np.random.default_rng([seed, int(t)]), depth)) for t, part in zip(own, np.split(x, first[1:]))]
+        return pd.DataFrame(grown, columns=[c.split()[0] for c in NODES.split(", ")])
 
-    return sampled(rows, trees, sample, seed).groupBy("digest", "tree").applyInPandas(one, NODES)
+    drawn = sampled(rows, trees, sample, seed).withColumn("block", F.floor(F.col("tree") / BLOCK))
+    return spread(drawn, "digest", "block").groupBy("digest", "block").applyInPandas(some, NODES)
 
 
 def usable(forest: DataFrame, width: int) -> DataFrame:
@@ -86,11 +96,11 @@ def path_lengths(tree, x: np.ndarray) -> np.ndarray:
 
 
 def score(rows: DataFrame, forest: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """(digest, id, score): rows meet their image's trees by a join on digest, in (digest, part) groups: forests of any number of images never
-    come to the driver. Rows of images without a forest have no score."""
-    parts = 16
-    keyed = rows.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(parts)).cast("int"))
-    trees = forest.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    """(digest, id, score): rows meet their image's trees by a join on digest, in (digest, part) groups of about PART_ROWS rows: forests of any number of
+    images never come to the driver, and a large image is many groups. Rows of images without a forest have no score."""
+    parts = rows.groupBy("digest").agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts"))
+    keyed = rows.join(parts, "digest").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+    trees = forest.join(parts, "digest").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
 
     def both(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
@@ -102,5 +112,5 @@ def score(rows: DataFrame, forest: DataFrame, sample: int = SAMPLE) -> DataFrame
         s = 2.0 ** (-total / (len(right) * max(float(average_path(size)), 1e-9)))
         return pd.DataFrame({"digest": left["digest"].to_list(), "id": left["id"].to_numpy(), "score": s})
 
-    return keyed.groupBy("digest", "part").cogroup(trees.groupBy("digest", "part")).applyInPandas(both, "digest string, id long, score double")
+    return spread(keyed, "digest", "part").groupBy("digest", "part").cogroup(spread(trees, "digest", "part").groupBy("digest", "part")).applyInPandas(both, "digest string, id long, score double")
 

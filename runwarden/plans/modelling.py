@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import testviews as V
-from ..operators import forest
+from ..operators import detector, forest
 from .inputs import folder
 from .registry import query
 from .scenarios import confusion, metrics
@@ -96,14 +96,15 @@ def ml_global_vs_image(spark, d):
     return w.groupBy("digest").agg(fpr("theta").alias("own_fpr"), fpr("pooled").alias("pooled_fpr"), hits("theta").alias("own_hits"), hits("pooled").alias("pooled_hits"))
 
 
-@query("ml_seq_detector", "WITH f AS (SELECT o_custkey AS trace, avg(CASE WHEN o_totalprice > 400000 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) AS f FROM orders GROUP BY 1), held AS (SELECT * FROM f WHERE trace % 4 = 0), o AS (SELECT a.trace, max(b.f) AS loo FROM held a JOIN held b ON a.trace <> b.trace GROUP BY 1) SELECT held.trace, held.f > o.loo AS anomalous FROM held JOIN o USING (trace)")
+@query("ml_seq_detector")
 def ml_seq_detector(spark, d):
-    """A trace is anomalous if its fraction is above the greatest of all others: the greatest, or the second for whoever has it."""
-    f = V.load(spark, d, "orders").groupBy(F.col("o_custkey").alias("trace")).agg(F.avg((F.col("o_totalprice") > 400000).cast("double")).alias("f")).where("trace % 4 = 0")
-    top = f.agg(F.max_by(F.struct("trace", "f"), F.struct("f", "trace")).alias("t"), F.max(F.struct("f", "trace")).alias("m"))
-    second = f.join(F.broadcast(top), F.col("trace") != F.col("t.trace")).agg(F.max("f").alias("second"))
-    rows = f.crossJoin(F.broadcast(top)).crossJoin(F.broadcast(second))
-    return rows.select("trace", (F.col("f") > F.when(F.col("trace") == F.col("t.trace"), F.col("second")).otherwise(F.col("t.f"))).alias("anomalous"))
+    """Calls of a container are two traces: the earlier half is a baseline of its image, the later half is judged."""
+    e = V.v_event(spark, d)
+    w = Window.partitionBy("digest", "cid")
+    early = F.row_number().over(w.orderBy("t_ns", "seq")) * 2 <= F.count("*").over(w)
+    calls = e.select("digest", F.col("cid").alias("trace"), "seq", "t_ns", "kind", early.alias("early"))
+    windows = lambda rows: detector.call_windows(rows, ["exec", "write", "load", "connect", "cap"])
+    return detector.judge(windows(calls.where("early")), windows(calls.where("not early")))
 
 
 FEATURE_SQL = "WITH f AS (SELECT doc_id, n_chars, CASE WHEN doc_id % 9 = 0 THEN NULL ELSE n_chars / 100.0::DOUBLE END AS size, CASE WHEN contains(text, 'the') THEN 1 ELSE 0 END AS has_the, CASE WHEN contains(text, 'que') THEN 1 ELSE 0 END AS has_que FROM documents)"

@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from runwarden.operators import forest, graph, normalise, score, verify
+from runwarden.operators import detector, forest, graph, normalise, score, verify
 from runwarden.operators.sequence import chains, greedy_starts
 from runwarden.operators.windows import behaviour_windows
 from runwarden.plans.graphs import resolve_links
@@ -193,6 +193,38 @@ def test_forest(spark):
     assert float(forest.average_path(1)) == 0 and float(forest.average_path(2)) == 1
 
 
+def test_detector_windows(spark):
+    rng = np.random.default_rng(1)
+    calls = [("i", f"t{n}", 1000 * n + k, int(t), str(rng.choice(["a", "b"]))) for n in (1, 14, 15, 17, 18, 40) for k, t in enumerate(rng.integers(0, 90, n))]
+    df = spark.createDataFrame(calls, "digest string, trace string, seq long, t_ns long, kind string")
+    got = {(r.trace, r.id): r.x for r in detector.call_windows(df, ["a", "b"]).collect()}
+    want = {}
+    for trace in {c[1] for c in calls}:
+        rows = sorted((c for c in calls if c[1] == trace), key=lambda c: (c[3], c[2]))
+        for i in range(0, len(rows) - 14, 3) if len(rows) >= 15 else [0]:
+            w = rows[i : i + 15]
+            waits = np.diff([c[3] for c in w]) if len(w) > 1 else np.zeros(1)
+            want[trace, w[0][2]] = [sum(c[4] == k for c in w) / len(w) for k in "ab"] + [waits.mean(), waits.std(), waits.max()]
+    assert got.keys() == want.keys()
+    assert all(np.allclose(got[k], want[k]) for k in want)
+    assert detector.call_windows(df.limit(0), ["a", "b"]).count() == 0
+
+
+def test_detector_judges(spark):
+    scores = spark.createDataFrame([("a", float(i)) for i in range(401)] + [("b", 5.0)], "digest string, score double")
+    assert {r.digest: r.theta for r in detector.nearest_rank(scores).collect()} == {"a": 398.0, "b": 5.0}
+    rng = np.random.default_rng(2)
+    rows = lambda n, at, first: [("i", f"t{n}", first + k, (rng.normal(size=3) + at).tolist()) for k in range(30)]
+    frame = lambda parts: spark.createDataFrame([r for p in parts for r in p], "digest string, trace string, id long, x array<double>")
+    base = frame([rows(n, 0, 100 * n) for n in range(4)])
+    out = detector.judge(base, frame([rows(7, 30, 700), rows(8, 0, 800)[:1]]), trees=20).collect()
+    got = {r.trace: r for r in out}
+    assert got["t7"].anomalous and got["t7"].windows == 30 and got["t7"].above == 30 and got["t8"].windows == 1
+    most = {r.digest: r.most for r in detector.trace_thresholds(base, trees=20).collect()}
+    assert 0 <= most["i"] < 1
+    assert detector.judge(base.limit(1), base, trees=20).count() == 0
+
+
 def test_hold_keeps_order(spark, tmp_path):
     src = str(tmp_path / "in")
     spark.createDataFrame([("a", 2, 2, "event"), ("a", 1, 1, "event"), ("b", 1, 1, "event")], "cid string, seq long, t_ns long, what string").write.parquet(src)
