@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import testviews as V
 from ..operators.sequence import chained, chains
@@ -89,14 +89,50 @@ def win_newest_statement(spark, d):
     return c.groupBy("digest").agg(F.max_by("line", F.struct(F.col("ts").isNotNull(), F.coalesce("ts", F.lit(-1)), "line")).alias("line"))
 
 
-@query("prj_log_index", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey * 10 WHEN 1 THEN c_custkey WHEN 2 THEN NULL ELSE 7 END AS log_index FROM customer")
+#: The predicate type of a signature's statement.
+SIGN_V1 = "https://sigstore.dev/cosign/sign/v1"
+#: A member named logIndex or log_index whose value is a whole number or a string of digits. Quotes within strings are escaped in JSON, so what follows a brace or
+#: comma and an unescaped quote is a member's name; members stand in the text in the order of a depth-first walk.
+LOG_INDEX = r'[{,]\s*"(?:logIndex|log_index)"\s*:\s*("?)([0-9]+)\1\s*(?=[,}])'
+
+
+def log_index(doc: Column) -> Column:
+    """The first log index of a JSON text, depth-first in document order; null for none, and for texts that are no JSON."""
+    found = F.regexp_extract(doc, LOG_INDEX, 2)
+    return F.when(F.try_parse_json(doc).isNotNull() & (found != ""), found.try_cast("bigint"))
+
+
+def signature_index(bundles: DataFrame) -> DataFrame:
+    """(image, log_index) of bundles (image, line, bundle): the entry of the newest signature that binds to the image; of equal times the last line."""
+    entry = "struct<verificationMaterial: struct<tlogEntries: array<struct<logIndex: string, integratedTime: string>>>, dsseEnvelope: struct<payload: string>>"
+    statement = "struct<predicateType: string, subject: array<struct<digest: struct<sha256: string>>>>"
+    number = lambda c: F.when(c.rlike("^[0-9]+$"), c.try_cast("bigint"))
+    rows = bundles.select("image", "line", F.from_json("bundle", entry).alias("b"))
+    signed = F.from_json(F.try_to_binary("b.dsseEnvelope.payload", F.lit("base64")).cast("string"), statement)
+    first = F.get("b.verificationMaterial.tlogEntries", F.lit(0))
+    rows = rows.select("image", "line", signed.alias("s"), number(first["logIndex"]).alias("log_index"), F.coalesce(number(first["integratedTime"]), F.lit(-1)).alias("time"))
+    rows = rows.where((F.col("s.predicateType") == SIGN_V1) & F.exists("s.subject", lambda x: x["digest"]["sha256"] == F.col("image")) & F.col("log_index").isNotNull())
+    return rows.groupBy("image").agg(F.max_by("log_index", F.struct("time", "line")).alias("log_index"))
+
+
+@query(
+    "prj_log_index",
+    "WITH s AS (SELECT o_custkey AS k, arg_max(o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN -1 ELSE year(o_orderdate) END * 10000000000 + o_orderkey) AS i FROM orders WHERE o_orderkey % 3 <> 0 AND o_orderkey % 7 <> 0 GROUP BY 1) "
+    "SELECT c_custkey, CASE c_custkey % 6 WHEN 0 THEN c_custkey * 10 WHEN 1 THEN c_custkey WHEN 3 THEN 7 WHEN 4 THEN c_custkey + 1 ELSE s.i END AS log_index FROM customer LEFT JOIN s ON s.k = c_custkey",
+)
 def prj_log_index(spark, d):
-    """Integers or strings of digits; booleans and negatives are not indexes."""
-    doc = "CASE c_custkey % 4 WHEN 0 THEN concat('{\"logIndex\": ', c_custkey * 10, '}') WHEN 1 THEN concat('{\"log_index\": \"', c_custkey, '\"}') WHEN 2 THEN '{\"logIndex\": true, \"log_index\": -4}' ELSE '{\"v\": [{\"logIndex\": 7}]}' END AS doc"
+    """The provenance document's own index, else that of the image's newest signature bundle."""
+    doc = """CASE c_custkey % 6 WHEN 0 THEN concat('{"logIndex": ', c_custkey * 10, '}') WHEN 1 THEN concat('{"v": 1.5, "log_index" : "', c_custkey, '"}')
+ WHEN 2 THEN '{"logIndex": true, "log_index": -4, "x": {"logIndex": 4.5}}' WHEN 3 THEN '{"v": [1, {"a": {"logIndex": 7}}], "logIndex": 8}'
+ WHEN 4 THEN concat('{"logIndex": "x", "z": {"b": [[{"logIndex": ', c_custkey + 1, '}]]}, "a": {"logIndex": 9}}') ELSE '{"note": "{\\\\"logIndex\\\\": 5}"}' END AS doc"""
     rows = V.load(spark, d, "customer").selectExpr("c_custkey", doc)
-    v = F.try_parse_json("doc")
-    paths = [F.try_variant_get(v, p, "string") for p in ("$.logIndex", "$.log_index", "$.v[0].logIndex")]
-    return rows.select("c_custkey", F.coalesce(*(F.when(p.rlike("^[0-9]+$"), p.cast("bigint")) for p in paths)).alias("log_index"))
+    statement = f"""concat('{{"predicateType": "', CASE WHEN o_orderkey % 3 = 0 THEN 'other' ELSE '{SIGN_V1}' END, '", "subject": [{{"digest": {{"sha256": "', CASE WHEN o_orderkey % 7 = 0 THEN 'x' ELSE '' END, o_custkey, '"}}}}]}}')"""
+    time = """CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE concat(', "integratedTime": "', year(o_orderdate), '"') END"""
+    bundle = f"""concat('{{"verificationMaterial": {{"tlogEntries": [{{"inclusionProof": {{"logIndex": "1"}}, "logIndex": "', o_orderkey, '"', {time}, '}}]}}, "dsseEnvelope": {{"payload": "', translate(base64({statement}), concat(chr(13), chr(10)), ''), '"}}}}')"""
+    bundles = V.load(spark, d, "orders").selectExpr("CAST(o_custkey AS STRING) AS image", "o_orderkey AS line", f"{bundle} AS bundle")
+    signed = signature_index(bundles).withColumnRenamed("log_index", "signed")
+    rows = rows.join(signed, F.col("c_custkey").cast("string") == F.col("image"), "left")
+    return rows.select("c_custkey", F.coalesce(log_index(F.col("doc")), "signed").alias("log_index"))
 
 
 @query("win_transition", V.with_views("v_event") + ", t AS (SELECT seq, cid, kind <> 'cap' AS trusted, lag(kind <> 'cap', 1, true) OVER (PARTITION BY cid ORDER BY seq) AS before FROM v_event) SELECT seq, cid FROM t WHERE before AND NOT trusted")

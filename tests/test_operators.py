@@ -13,7 +13,7 @@ from runwarden.operators.windows import behaviour_windows
 from runwarden.plans.graphs import resolve_links
 from runwarden.plans.rules import folded_root
 from runwarden.plans.scenarios import metrics
-from runwarden.plans.sequences import verify_chain
+from runwarden.plans.sequences import log_index, verify_chain
 from runwarden.streaming import hold, sinks
 
 
@@ -193,6 +193,16 @@ def test_forest(spark):
     assert float(forest.average_path(1)) == 0 and float(forest.average_path(2)) == 1
 
 
+def test_log_index(spark):
+    cases = {
+        '{"logIndex": 5}': 5, '{"a": {"log_index": "12"}, "logIndex": 3}': 12, '{"logIndex": true, "b": [{"logIndex": -1}, {"x": 1, "logIndex" : 4}]}': 4,
+        '{"logIndex": [1, 2]}': None, '{"note": "{\\"logIndex\\": 5}"}': None, '{"logIndex": 5.5}': None, '{"logIndex": "5a", "log_index": "0"}': 0,
+        '{"logIndex": 5': None, "": None, '{"xlogIndex": 5}': None, '{"logIndex": {"logIndex": 9}}': 9, '{"logIndex": "99999999999999999999"}': None, None: None,
+    }
+    df = spark.createDataFrame([(c,) for c in cases], "doc string")
+    assert {r.doc: r.i for r in df.select("doc", log_index(F.col("doc")).alias("i")).collect()} == cases
+
+
 def test_detector_windows(spark):
     rng = np.random.default_rng(1)
     calls = [("i", f"t{n}", 1000 * n + k, int(t), str(rng.choice(["a", "b"]))) for n in (1, 14, 15, 17, 18, 40) for k, t in enumerate(rng.integers(0, 90, n))]
