@@ -110,14 +110,68 @@ def tru_admission_binding(spark, d):
     return b.select("container_id", F.coalesce("run_as_root", "privileged", F.lit(True)).alias("root"), (F.col("privileged") & F.col("verified")).alias("privileged"), F.array_sort(F.array_union("mounts", managed)).alias("mounts"))
 
 
-@query("tru_zero_day", "SELECT 'spec_first' AS check_name, CASE WHEN (SELECT min(l_shipdate) FROM lineitem) < (SELECT min(o_orderdate) FROM orders) THEN 'pass' ELSE 'fail' END AS result UNION ALL SELECT 'artefacts_undeclared', CASE WHEN (SELECT count(*) FROM part p JOIN supplier s ON p.p_partkey = s.s_suppkey) = 0 THEN 'pass' ELSE 'fail' END UNION ALL SELECT 'rules_default', 'skip'")
+#: What the unknown attacks leave behind, the helper that no package owns, and the address that they call.
+ARTEFACTS, ARTEFACT_DIR = ["/tmp/.x9", "/tmp/.inj.so"], "/tmp/.cache/"
+HELPER, CALLED = "/usr/local/bin/helperd", "203.0.113.9"
+
+
+def _address(ip: Column) -> Column:
+    part = F.split(ip, r"\.")
+    return sum(F.get(part, F.lit(i)).cast("long") * (1 << (24 - 8 * i)) for i in range(4))
+
+
+def zero_day(runs, specs, files, egress, windows, models, baselines, advisories, known: str, rules_changed: bool | None = None) -> DataFrame:
+    """(check_name, result) of seven leakage checks, each pass, fail or skip; each table is one aggregate, and only those meet.
+
+    runs (start), specs (compiled_at), files (path, package), egress (cidr), windows (stop), models (written), baselines (written), advisories (package).
+    A window that overlaps an attack ends after the first run, so its end alone is compared. Times that are null are passed over, but in specs and models one must be known.
+    """
+    first = runs.agg(F.min("start").alias("first"))
+    none, undated = F.col("n") == 0, F.col("first").isNull()
+
+    def check(name: str, found: DataFrame, ok: Column, skip: Column) -> DataFrame:
+        return found.crossJoin(F.broadcast(first)).select(F.lit(name).alias("check_name"), F.when(skip, "skip").when(F.coalesce(ok, F.lit(False)), "pass").otherwise("fail").alias("result"))
+
+    count = F.count("*").alias("n")
+    last = lambda t, c: t.agg(count, F.max(c).alias("last"))
+    left = F.col("path").isin(ARTEFACTS) | F.startswith("path", F.lit(ARTEFACT_DIR)) | ((F.col("path") == HELPER) & F.col("package").isNotNull())
+    width = F.lit(32) - F.coalesce(F.get(F.split("cidr", "/"), F.lit(1)).cast("int"), F.lit(32))
+    held = F.expr("shiftright(own, width) = shiftright(called, width)")
+    nets = egress.select(_address(F.get(F.split("cidr", "/"), F.lit(0))).alias("own"), width.alias("width"), _address(F.lit(CALLED)).alias("called"))
+    declared = files.agg(count, F.count_if(left).alias("declared")).crossJoin(nets.agg(F.count_if(held).alias("allowed")))
+    other = F.count_if((F.col("package") != "") & (F.col("package") != known)).alias("other")
+    checks = [
+        check("spec_first", specs.agg(count, F.min("compiled_at").alias("t")), F.col("t") < F.col("first"), none | undated),
+        check("artefacts_undeclared", declared, (F.col("declared") == 0) & (F.col("allowed") == 0), none),
+        check("training_windows", last(windows, "stop"), ~none & F.coalesce(F.col("last") <= F.col("first"), F.lit(True)), undated),
+        check("model_first", last(models, "written"), F.col("last") < F.col("first"), none | undated),
+        check("baselines_first", last(baselines, "written"), F.coalesce(F.col("last") <= F.col("first"), F.lit(True)), none | undated),
+        check("advisories_known", advisories.agg(other), F.col("other") == 0, F.lit(False)),
+        check("rules_default", runs.agg(count), F.lit(rules_changed is False), F.lit(rules_changed is None)),
+    ]
+    out = checks[0]
+    for c in checks[1:]:
+        out = out.unionByName(c)
+    return out
+
+
+@query(
+    "tru_zero_day",
+    V.with_views("v_file") + ", f AS (SELECT min(o_orderdate) AS first FROM orders), c AS (SELECT 'spec_first' AS check_name, (SELECT min(l_shipdate) FROM lineitem) < first AS ok FROM f "
+    "UNION ALL SELECT 'artefacts_undeclared', (SELECT count(*) FROM v_file WHERE path IN ('/tmp/.x9', '/tmp/.inj.so') OR starts_with(path, '/tmp/.cache/')) + (SELECT count(*) FROM supplier WHERE s_suppkey % 300 = 203) = 0 "
+    "UNION ALL SELECT 'training_windows', (SELECT max(ts) FROM events) - INTERVAL 40 YEAR <= first FROM f UNION ALL SELECT 'model_first', (SELECT max(ts) FROM events) - INTERVAL 40 YEAR < first FROM f "
+    "UNION ALL SELECT 'baselines_first', (SELECT max(ts) FROM events) <= first FROM f UNION ALL SELECT 'advisories_known', (SELECT count(*) FROM supplier WHERE s_suppkey % 30 <> 0) = 0) "
+    "SELECT check_name, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS result FROM c UNION ALL SELECT 'rules_default', 'skip'",
+)
 def tru_zero_day(spark, d):
-    """One small table per leakage check."""
-    first = V.load(spark, d, "lineitem").agg(F.min("l_shipdate").alias("a")).crossJoin(V.load(spark, d, "orders").agg(F.min("o_orderdate").alias("b")))
-    spec = first.select(F.lit("spec_first").alias("check_name"), F.when(F.col("a") < F.col("b"), "pass").otherwise("fail").alias("result"))
-    shared = V.load(spark, d, "part").join(V.load(spark, d, "supplier"), F.col("p_partkey") == F.col("s_suppkey"), "left_semi").agg(F.count("*").alias("n"))
-    artefacts = shared.select(F.lit("artefacts_undeclared").alias("check_name"), F.when(F.col("n") == 0, "pass").otherwise("fail").alias("result"))
-    return spec.unionByName(artefacts).unionByName(spark.range(1).select(F.lit("rules_default").alias("check_name"), F.lit("skip").alias("result")))
+    """Scenario runs against specifications, training data forty years older, baselines that came later, and advisories of many packages."""
+    events = V.load(spark, d, "events").selectExpr("user_id", "ts", "ts - make_interval(40) AS old")
+    of = lambda name, *columns: V.load(spark, d, name).selectExpr(*columns)
+    return zero_day(
+        V.v_truth(spark, d), of("lineitem", "l_shipdate AS compiled_at"), V.v_file(spark, d), of("supplier", "concat(s_suppkey % 300, '.0.0.0/8') AS cidr"),
+        events.selectExpr("old AS stop"), events.groupBy((F.col("user_id") / 5).cast("int")).agg(F.max("old").alias("written")), events.groupBy("user_id").agg(F.max("ts").alias("written")),
+        of("supplier", "concat('n', s_suppkey % 30) AS package"), "n0",
+    )
 
 
 @query("tru_digest_audit", "SELECT lang AS digest, count(*) AS n, count(*) FILTER (doc_id % 10 = 0) AS wrong FROM documents GROUP BY 1")

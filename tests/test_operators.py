@@ -11,7 +11,7 @@ from runwarden.operators import detector, forest, graph, normalise, score, verif
 from runwarden.operators.sequence import chains, greedy_starts
 from runwarden.operators.windows import behaviour_windows
 from runwarden.plans.graphs import resolve_links
-from runwarden.plans.rules import folded_root
+from runwarden.plans.rules import folded_root, zero_day
 from runwarden.plans.scenarios import metrics
 from runwarden.plans.sequences import log_index, verify_chain
 from runwarden.streaming import hold, sinks
@@ -193,6 +193,26 @@ def test_forest(spark):
     assert float(forest.average_path(1)) == 0 and float(forest.average_path(2)) == 1
 
 
+def test_zero_day(spark):
+    frame = lambda schema, *values: spark.createDataFrame([v if isinstance(v, tuple) else (v,) for v in values], schema)
+    good = {
+        "runs": frame("start long", 10, 20), "specs": frame("compiled_at long", 5, 15), "files": frame("path string, package string", ("/bin/ls", "p"), ("/usr/local/bin/helperd", None)),
+        "egress": frame("cidr string", "203.0.114.0/24", "203.0.113.8/32"), "windows": frame("stop long", 3, 10), "models": frame("written long", 9), "baselines": frame("written long", 10),
+        "advisories": frame("package string", "known", None, ""),
+    }
+    result = lambda rules=None, **other: {r.check_name: r.result for r in zero_day(**{**good, **other}, known="known", rules_changed=rules).collect()}
+    assert set(result(False).values()) == {"pass"} and len(result(False)) == 7
+    bad = result(
+        True, specs=frame("compiled_at long", 10), files=frame("path string, package string", ("/tmp/.cache/a", None)), windows=frame("stop long", 3, 11), models=frame("written long", 10),
+        baselines=frame("written long", 11), advisories=frame("package string", "known", "other"),
+    )
+    assert set(bad.values()) == {"fail"} and len(bad) == 7
+    assert result(egress=frame("cidr string", "203.0.112.0/23"))["artefacts_undeclared"] == "fail"
+    assert result(files=frame("path string, package string", ("/usr/local/bin/helperd", "p")))["artefacts_undeclared"] == "fail"
+    empty = result(**{k: v.limit(0) for k, v in good.items()})
+    assert empty == {"spec_first": "skip", "artefacts_undeclared": "skip", "training_windows": "skip", "model_first": "skip", "baselines_first": "skip", "advisories_known": "pass", "rules_default": "skip"}
+
+
 def test_log_index(spark):
     cases = {
         '{"logIndex": 5}': 5, '{"a": {"log_index": "12"}, "logIndex": 3}': 12, '{"logIndex": true, "b": [{"logIndex": -1}, {"x": 1, "logIndex" : 4}]}': 4,
