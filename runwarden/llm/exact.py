@@ -19,11 +19,16 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from .common import ascii_lower, shared_dir, staged, table
 
 _STORE = "spark.sql.streaming.stateStore"
-#: State on disk; changes are uploaded as logs. Many small stores would each reserve megabytes if RocksDB could allocate ahead.
+#: State on disk; changes are uploaded as logs. All stores of an executor share one bound of native memory, do not allocate ahead, and are
+#: closed soon after the stream has ended.
 STORE = {
     f"{_STORE}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     f"{_STORE}.rocksdb.changelogCheckpointing.enabled": "true",
     f"{_STORE}.rocksdb.allowFAllocate": "false",
+    f"{_STORE}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORE}.rocksdb.maxMemoryUsageMB": "128",
+    f"{_STORE}.rocksdb.writeBufferSizeMB": "4",
+    f"{_STORE}.maintenanceInterval": "10s",
 }
 STATE = "digest string, keep_id long, locator string, group_size long"
 LANDED = "doc_id long, digest string, locator string, text_sha256 string"

@@ -18,10 +18,10 @@ MAX_EPOCHS = 3
 SEED = 20240
 
 
-def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size): size counts the words of the whole text, 0 for null."""
+def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size) and the columns `keep`: size counts the words of the whole text, 0 for null."""
     size = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), *keep)
 
 
 def cyclic_weights(sources: DataFrame, weights=WEIGHTS) -> DataFrame:
@@ -53,14 +53,14 @@ def water_fill(weighted: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return weighted.withColumn("target", amount)
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, source_size, target, whole, part, taken): the mix takes `whole` full repetitions of a document
+def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, source, size, source_size, target, whole, part, taken) and the columns `keep` of docs, whose names must be none of these: the mix takes `whole` full repetitions of a document
     and `part` of its words once more; taken = whole * size + part.
 
     A null text has size 0 and is taken 0 times; a null source is a source of its own, ordered last; repeated rows are rows of
     their own; a source without words gets target 0; an empty table gives no rows. The same seed gives the same mix.
     """
-    rows = staged(sized(docs, id_col, text_col, source_col).withColumn("place", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)), "sizes")
+    rows = staged(sized(docs, id_col, text_col, source_col, keep).withColumn("place", F.sha2(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)), "sizes")
     rows = rows.withColumn("bucket", F.conv(F.left("place", F.lit(3)), 16, 10).cast("int"))
     sources = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = water_fill(cyclic_weights(staged(sources, "sources"), weights), max_epochs)
@@ -84,7 +84,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: in
     others = rows.where(~F.coalesce(F.col("bucket") == F.col("edge_bucket"), F.lit(False)))
     others = others.withColumn("part", F.when(F.col("bucket") < F.col("edge_bucket"), F.col("size")).otherwise(F.lit(0)))
     out = at_edge.unionByName(others)
-    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "whole", "part", (F.col("whole") * F.col("size") + F.col("part")).alias("taken"), *keep)
 
 
 #: Targets in closed form: by ascending maximum per weight, sources are clamped as long as their share of what is left exceeds their maximum.

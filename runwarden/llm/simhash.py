@@ -48,15 +48,15 @@ def fingerprint_of(text: str, seed: int = SEED, shingle: int = SHINGLE) -> int:
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed long. Null texts count as empty, whose fingerprint is zero."""
+def fingerprints(rows: DataFrame) -> DataFrame:
+    """(doc_id, fp) of (doc_id, text): ids of any type; fp is the fingerprint's 64 bits as a signed long. The empty text's fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             values = np.array([fingerprint_of(t) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
-    return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def _columns_of_check() -> np.ndarray:
@@ -166,9 +166,15 @@ def fingerprint_links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp, component_id): documents whose fingerprints are joined by links of at most three differing bits.
 
-    Null ids are dropped from links but stay as rows of their own fingerprint's component; an empty table gives no rows.
+    Null ids are dropped from links but stay as rows of their own fingerprint's component; an empty table gives no rows. Rows that repeat an id
+    are rows of their own. Texts are read whole, one at a time.
     """
-    prints = staged(fingerprints(docs, id_col, text_col), "fingerprints")
+    return near_groups(texts(docs, id_col, text_col))
+
+
+def near_groups(rows: DataFrame) -> DataFrame:
+    """near_duplicates of (doc_id, text) with ids of any type that has an order; component_id is of that type too."""
+    prints = staged(fingerprints(rows), "fingerprints")
     firsts = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
     comps = connected_components(fingerprint_links(firsts)).withColumnRenamed("id", "fp").withColumnRenamed("component_id", "root")
     rooted = firsts.join(comps, "fp", "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))

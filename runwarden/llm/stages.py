@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bpe import tokenized
-from .common import ascii_lower, staged, table
+from .common import ascii_lower, small_batches, staged, table
 from .exact import exact_groups
 from .mixing import mix
 from .quality import THRESHOLD, fit, scored, training_rows
-from .simhash import near_duplicates
+from .simhash import near_groups
 
 
-#: Every stage: null texts count as empty; null ids are ids like any other; extra columns stay as they are; an empty table gives an empty table.
-#: Rows that repeat an id and a text are one document, which the two dedup stages keep once. Rows that repeat an id with different texts are told apart by exact dedup; near-dedup, mixing
-#: and tokens go by ids, and near-dedup keeps the row with the least text of an id.
+#: Every stage: null texts count as empty; null ids are ids like any other; extra columns stay as they are; an empty table gives an empty table; texts are whole.
+#: Rows that repeat an id with different texts are documents of their own in all stages. Rows that repeat an id and a text are one document, which the two dedup stages keep once.
 
 
 def _own(docs: DataFrame, name: str) -> str:
@@ -25,15 +24,31 @@ def _own(docs: DataFrame, name: str) -> str:
 
 
 def _key(*columns):
-    """One text for several columns, nulls included: joins and windows on it share one shuffle."""
+    """One text for several columns, nulls included, so that joins on it have one key."""
     return F.concat_ws(":", *(F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), F.lit("null")) for c in columns))
 
 
-def _first(rows: DataFrame, columns: list[str], *by) -> DataFrame:
-    """The row with the least text of each key."""
-    nth = _own(rows, "nth")
-    place = F.row_number().over(Window.partitionBy(*by).orderBy(F.col("text").asc_nulls_first()))
-    return rows.withColumn(nth, place).where(F.col(nth) == 1).select(*columns)
+def _sha(text: str = "text"):
+    return F.sha2(F.coalesce(text, F.lit("")), 256)
+
+
+def _with(docs: DataFrame, key, small: DataFrame) -> DataFrame:
+    """docs joined with small (own_key, one column more), which has one narrow row a key: the texts are shuffled once and not sorted. Columns of small get names that docs does not have."""
+    small = small.select(*(F.col(c).alias(_own(docs, c)) for c in small.columns))
+    return docs.join(small.hint("shuffle_hash"), key == F.col(small.columns[0]))
+
+
+def _one_of_each(docs: DataFrame, key, kept: DataFrame) -> DataFrame:
+    """The row with the least text of each key in kept (own_key, one row for each row of docs that stays)."""
+    kept = staged(kept.groupBy("own_key").agg(F.count("*").alias("own_rows")), "kept-rows")
+    rows, n = _with(docs, key, kept), F.col(_own(docs, "own_rows"))
+    if kept.where("own_rows > 1").isEmpty():
+        return rows.select(*docs.columns)
+    # Only rows that share a key are ranked.
+    nth = _own(docs, "nth")
+    place = F.row_number().over(Window.partitionBy(_own(docs, "own_key")).orderBy(F.col("text").asc_nulls_first()))
+    first = rows.where(n > 1).withColumn(nth, place).where(F.col(nth) == 1)
+    return rows.where(n == 1).select(*docs.columns).unionByName(first.select(*docs.columns))
 
 
 def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,28 +62,28 @@ def keep_quality(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_exact(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents with equal texts, that with the largest id."""
-    kept = staged(exact_groups(docs).where("kept").select(_key("doc_id", "text_sha256").alias("own_key")).distinct(), "kept-rows")
-    key, sha = _own(docs, "key"), F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)
-    rows = docs.withColumn(key, _key("doc_id", sha))
-    return _first(rows.join(kept, rows[key] == kept["own_key"], "left_semi"), docs.columns, key)
+    kept = exact_groups(docs).where("kept").select(_key("doc_id", "text_sha256").alias("own_key"))
+    return _one_of_each(docs, _key("doc_id", F.sha2(ascii_lower(F.coalesce("text", F.lit(""))), 256)), kept)
 
 
 def drop_near(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents joined by links of fingerprints, that with the smallest id."""
-    kept = staged(near_duplicates(docs).where("doc_id <=> component_id").select(_key("doc_id").alias("own_key")).distinct(), "kept-ids")
-    key = _own(docs, "key")
-    rows = docs.withColumn(key, _key("doc_id"))
-    return _first(rows.join(kept, rows[key] == kept["own_key"], "left_semi"), docs.columns, key)
+    """Of documents joined by links of fingerprints, that with the smallest id (null first), and of rows of that id that with the least digest."""
+    small_batches(spark)
+    rows = docs.select(F.struct(F.col("doc_id").cast("long").alias("id"), _sha().alias("sha")).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    kept = near_groups(rows).where("doc_id <=> component_id").select(_key("doc_id.id", "doc_id.sha").alias("own_key"))
+    return _one_of_each(docs, _key("doc_id", _sha()), kept)
 
 
 def mix_sources(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix repeats it; a repetition in part counts from half the document on."""
+    """Every document as often as the mix repeats it; a repetition in part counts from half the document on.
+
+    Rows with one id, text and source are taken equally often: as often as that of them which the mix takes most."""
     times = (F.col("whole") + F.when((F.col("part") > 0) & (F.col("part") * 2 >= F.col("size")), 1).otherwise(0)).cast("int")
-    plan = mix(docs).select("doc_id", times.alias("times")).where("times > 0").groupBy("doc_id").agg(F.max("times").alias("times"))
-    plan = staged(plan, "repetitions")
-    rows = docs.join(plan, docs["doc_id"].eqNullSafe(plan["doc_id"]))
+    key = _key("doc_id", _sha(), "source")
+    plan = mix(docs.withColumn("own_key", key), keep=("own_key",)).select("own_key", times.alias("own_times")).where("own_times > 0")
+    plan = staged(plan.groupBy("own_key").agg(F.max("own_times").alias("own_times")), "repetitions")
     nth = _own(docs, "nth")
-    return rows.select(*(docs[c] for c in docs.columns), F.explode(F.sequence(F.lit(1), plan["times"])).alias(nth)).drop(nth)
+    return _with(docs, key, plan).select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col(_own(docs, "own_times")))).alias(nth)).drop(nth)
 
 
 def to_tokens(spark, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -355,9 +355,13 @@ def test_stages_on_repeated_and_null_ids_and_empty_tables(spark, no_docs, tmp_pa
     exact = stages.drop_exact(spark, docs, "")
     assert exact.columns == docs.columns
     assert sorted(((r.doc_id, r.text) for r in exact.collect()), key=str) == sorted([(1, a.upper()), (1, b), (None, c), (3, "")], key=str)
-    near = stages.drop_near(spark, docs, "").collect()
-    assert len({r.doc_id for r in near}) == len(near) and all(r.text is None or r.text in {t for _, t in rows} for r in near)
-    assert stages.mix_sources(spark, docs, "").columns == docs.columns
+    near = stages.drop_near(spark, docs.withColumn("own_rows", F.lit(0)).withColumn("own_key", F.lit("")), "").collect()
+    # b is a near-duplicate of nothing, so it stays beside other texts of its id.
+    assert sorted(((r.doc_id, r.text) for r in near), key=str) == sorted([(None, a), (1, b), (None, c), (2, None)], key=str)
+    mixed = stages.mix_sources(spark, docs.withColumn("own_times", F.lit(0)), "")
+    assert mixed.columns == [*docs.columns, "own_times"]
+    # One source alone: the mix takes each document once, whatever other rows have its id.
+    assert sorted(((r.doc_id, r.text) for r in mixed.collect()), key=str) == sorted(rows, key=str)
     spark.createDataFrame([], "doc_id long, quality int").write.parquet(f"{tmp_path}/labels.parquet")
     for f in (stages.keep_quality, stages.drop_exact, stages.drop_near, stages.mix_sources, stages.to_tokens):
         assert f(spark, no_docs, str(tmp_path)).collect() == []
