@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from .alignment import op11_alignment
 from .bpe import op7_bpe
 from .embedding import op4_embedding_ego
 from .exact import OP9_SQL, op9_exact_dedup
 from .mixing import OP6_SQL, op6_mixing
 from .quality import op8_quality
+from .runs import op13_periodic_runs
 from .secrets import op5_secrets
 from .simhash import op10_simhash
 from .suffix_array import op2_substring_suffix_array
 from .suffix_tree import op1_substring_suffix_tree
+from .toxicity import op12_toxicity
 from .urls import op3_url_filter
 
 QUERIES = {
@@ -24,6 +27,9 @@ QUERIES = {
     "op8_quality": op8_quality,
     "op9_exact_dedup": op9_exact_dedup,
     "op10_simhash": op10_simhash,
+    "op11_alignment": op11_alignment,
+    "op12_toxicity": op12_toxicity,
+    "op13_periodic_runs": op13_periodic_runs,
 }
 
 ORACLE = {"op6_mixing": OP6_SQL, "op9_exact_dedup": OP9_SQL}
