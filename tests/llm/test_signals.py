@@ -206,6 +206,16 @@ def plainly_aligned(rows, a_path, b_path):
 TEXTS = ["", None, "Hello world", " leading", "trailing ", "two  spaces\n\nand lines\t", "naïve café 日本語 🙂", "<|endoftext|> and <s>", "▁under", "\x00zero", "the the the", "don't stop", "a" * 300, "ß" * 50, "of the and the of the"]
 
 
+def test_ranks_give_the_ids_of_the_tokenizer(paths):
+    """The quicker reading of A against the library that its file belongs to."""
+    pair = alignment.Pair(*paths)
+    assert pair.a_fast
+    rng = random.Random(8)
+    alphabet = ["the", "ing", " ", "  ", "\n", "\r\n", "a", "é", "日本", "ا", "्", "<|endoftext|>", "123", "½", "'s", "'LL", "'ve", "!!", "x", "\t", "\u200b", "\u00a0", "\u2028", "🙂", "zz", "_", "\x00", "\x85"]
+    items = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(60))) for _ in range(3000)] + ["ab" * 5000, " " * 3000 + "x"]
+    assert [pair.a_fast.encode_ordinary(" " + t) for t in items] == [e.ids for e in pair.a.encode_batch([" " + t for t in items], add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("block", [2048, 3])
 def test_alignment_against_plain_loops(spark, paths, block, monkeypatch):
     monkeypatch.setattr(alignment, "BLOCK", block)
