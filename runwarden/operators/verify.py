@@ -66,39 +66,3 @@ def cap_outcome(granted: Column, cap: Column, allowed: Column) -> Column:
     """Null granted counts as used."""
     conforms = (F.coalesce(granted, F.lit(True)) == F.lit(False)) | cap.isNull() | F.coalesce(F.array_contains(allowed, cap), F.lit(False))
     return F.when(conforms, "conforming").otherwise("D_cap/not_in_envelope")
-
-
-def ipv4(address: Column) -> Column:
-    """An IPv4 address as a number; null if it is none."""
-    parts = F.split(address, r"\.")
-    ok = address.rlike(r"^((25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(25[0-5]|2[0-4]\d|1?\d?\d)$")
-    number = sum((F.try_element_at(parts, F.lit(i + 1)).try_cast("bigint") * (256 ** (3 - i)) for i in range(4)), F.lit(0).cast("bigint"))
-    return F.when(ok, number)
-
-
-def egress_rules(entries: DataFrame) -> DataFrame:
-    """(lo, hi, port) of IPv4 entries cidr, cidr:port, *:port; lo and hi null for any address."""
-    e = F.trim("entry")
-    port = F.regexp_extract(e, r"^[^:]*:(\d+)$", 1)
-    net = F.regexp_extract(e, r"^([^:]*)", 1)
-    bits = F.coalesce(F.nullif(F.regexp_extract(net, r"/(\d+)$", 1), F.lit("")).cast("int"), F.lit(32))
-    base = ipv4(F.regexp_extract(net, r"^([^/]*)", 1))
-    size = F.pow(F.lit(2.0), 32 - bits).cast("bigint")
-    lo = (base - F.pmod(base, size)).alias("lo")
-    return entries.select(lo, (base - F.pmod(base, size) + size - 1).alias("hi"), F.nullif(port, F.lit("")).cast("int").alias("port"))
-
-
-def egress_allowed(connects: DataFrame, rules: DataFrame) -> DataFrame:
-    """connects plus allowed: a rule has their port, or none, and their address, or any. Rules are few; they are broadcast as an array
-    only after a count has shown at most 10,000 of them, else joined by /16."""
-    n = rules.count()
-    ip = ipv4(F.col("daddr"))
-    if n <= 10_000:
-        packed = rules.agg(F.collect_list(F.struct("lo", "hi", "port")).alias("rules"))
-        fits = F.exists("rules", lambda r: (r["port"].isNull() | (r["port"] == F.col("dport"))) & (r["lo"].isNull() | ((F.col("ip") >= r["lo"]) & (F.col("ip") <= r["hi"]))))
-        return connects.withColumn("ip", ip).crossJoin(F.broadcast(packed)).withColumn("allowed", F.coalesce(fits, F.lit(False))).drop("rules", "ip")
-    wide = rules.withColumn("net", F.explode(F.when(F.col("lo").isNull(), F.array(F.lit(-1).cast("bigint"))).otherwise(F.sequence(F.shiftright("lo", 16), F.shiftright("hi", 16)))))
-    keyed = connects.withColumn("ip", ip).withColumn("row", F.monotonically_increasing_id())
-    hit = keyed.withColumn("net", F.explode(F.array(F.lit(-1).cast("bigint"), F.shiftright("ip", 16)))).join(wide, "net")
-    hit = hit.where((F.col("port").isNull() | (F.col("port") == F.col("dport"))) & (F.col("lo").isNull() | F.col("ip").between(F.col("lo"), F.col("hi")))).select("row").distinct()
-    return keyed.join(hit.withColumn("allowed", F.lit(True)), "row", "left").withColumn("allowed", F.coalesce("allowed", F.lit(False))).drop("row", "ip")

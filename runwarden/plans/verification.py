@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import testviews as V
-from ..operators import score as S, verify as VF
+from ..operators import egress as EG, score as S, verify as VF
+from ..operators.ranks import ordered_places
 from .registry import query
 
 DECIDED_SQL = """, base AS (
@@ -121,24 +122,44 @@ def vfy_cap(spark, d):
     return e.join(allowed, "digest", "left").select("seq", VF.cap_outcome(F.col("granted"), F.col("cap"), F.col("caps")).alias("outcome"))
 
 
-EGRESS = ["10.0.0.0/15", "10.2.0.0/16:3080", "*:1080", "10.3.7.9"]
-CONNECT_SQL = """SELECT seq, split_part(daddr, '.', 2) IN ('0', '1') OR (split_part(daddr, '.', 2) = '2' AND dport = 3080) OR dport = 1080 OR daddr = '10.3.7.9' AS allowed FROM v_event WHERE kind = 'connect'"""
+#: Entries of an egress list, one for each supplier: networks and addresses of both versions, with and without ports, in brackets, for any address, and malformed ones.
+ENTRIES = """CASE s_suppkey % 10 WHEN 0 THEN '10.' || s_suppkey % 4 || '.0.9/' || (16 + s_suppkey % 3) WHEN 1 THEN '10.0.' || s_suppkey % 50 || '.7'
+ WHEN 2 THEN '10.1.' || s_suppkey % 50 || '.128/25:1080' WHEN 3 THEN 'fd00::' || lower(hex(s_suppkey % 16)) || ':0/112' WHEN 4 THEN '[fd00::' || lower(hex(s_suppkey % 16)) || ':' || lower(hex(s_suppkey % 256)) || ']:3080'
+ WHEN 5 THEN 'FD00:0:0:0:0:0:' || hex(s_suppkey % 16) || ':80/121' WHEN 6 THEN '*:' || CASE WHEN s_suppkey % 20 = 6 THEN 5080 ELSE 9999 END
+ WHEN 7 THEN '10.0.0.300/24' WHEN 8 THEN CASE s_suppkey % 3 WHEN 0 THEN '[::1' WHEN 1 THEN 'host.example:443' ELSE '10.0.0.0/33' END ELSE CASE WHEN s_suppkey % 2 = 0 THEN ' ' ELSE 'fd00::/129' END END"""
+#: Connects to addresses of both versions, in several forms.
+ADDRESSES = """CASE WHEN seq % 97 = 0 THEN 'not-an-ip' WHEN seq % 4 = 3 THEN CASE WHEN seq % 8 = 7 THEN 'FD00:0:0:0:0:0:' || hex(k % 16) || ':' || hex(seq % 256) ELSE 'fd00::' || lower(hex(k % 16)) || ':' || lower(hex(seq % 256)) END ELSE daddr END"""
+#: The same lists as numbers, not read from texts: version, first and last address (the lower 32 bits), port.
+CONNECT_SQL = """, r AS (SELECT m, CASE WHEN m IN (0, 1, 2) THEN 4 WHEN m = 6 THEN 0 ELSE 6 END AS version, CASE m WHEN 2 THEN 1080 WHEN 4 THEN 3080 WHEN 6 THEN CASE WHEN i % 20 = 6 THEN 5080 ELSE 9999 END END AS port,
+ CASE m WHEN 0 THEN (10 << 24) + ((i % 4) << 16) WHEN 1 THEN (10 << 24) + ((i % 50) << 8) + 7 WHEN 2 THEN (10 << 24) + (1 << 16) + ((i % 50) << 8) + 128 WHEN 3 THEN (i % 16) << 16 WHEN 4 THEN ((i % 16) << 16) + i % 256 WHEN 5 THEN ((i % 16) << 16) + 128 END AS lo,
+ CASE m WHEN 0 THEN 1 << (16 - i % 3) WHEN 1 THEN 1 WHEN 2 THEN 128 WHEN 3 THEN 65536 WHEN 4 THEN 1 WHEN 5 THEN 128 END AS size
+ FROM (SELECT CAST(s_suppkey AS BIGINT) AS i, s_suppkey % 10 AS m FROM supplier) WHERE m < 7),
+c AS (SELECT seq, dport, CASE WHEN seq % 97 = 0 THEN NULL WHEN seq % 4 = 3 THEN 6 ELSE 4 END AS version,
+ CASE WHEN seq % 4 = 3 THEN ((k % 16) << 16) + seq % 256 ELSE (10 << 24) + ((k % 4) << 16) + ((k % 50) << 8) + seq % 250 END AS ip FROM (SELECT * REPLACE (CAST(k AS BIGINT) AS k) FROM v_event) WHERE kind = 'connect'),
+a AS (SELECT seq, EXISTS (SELECT 1 FROM r WHERE (r.port IS NULL OR r.port = c.dport) AND (r.version = 0 OR (r.version = c.version AND c.ip >= r.lo AND c.ip < r.lo + r.size))) AS allowed FROM c)"""
+
+
+def egress_entries(spark, d):
+    return V.load(spark, d, "supplier").select(F.expr(ENTRIES).alias("entry"))
 
 
 def connects(spark, d):
-    rules = VF.egress_rules(spark.createDataFrame([(e,) for e in EGRESS], "entry string"))
-    return VF.egress_allowed(V.v_event(spark, d).where("kind = 'connect'"), rules)
+    """Connects with `allowed`; entries that are not understood allow nothing."""
+    rows = V.v_event(spark, d).where("kind = 'connect'").withColumn("daddr", F.expr(ADDRESSES))
+    return EG.allowed(rows, EG.rules_of(egress_entries(spark, d), strict=False))
 
 
-@query("pred_egress_allow", V.with_views("v_event") + " " + CONNECT_SQL)
+@query("pred_egress_allow", V.with_views("v_event") + CONNECT_SQL + " SELECT seq, allowed FROM a")
 def pred_egress_allow(spark, d):
     return connects(spark, d).select("seq", "allowed")
 
 
-@query("vfy_connect", V.with_views("v_event") + f" SELECT CASE WHEN allowed THEN 'conforming' ELSE 'D_net/not_allowed' END AS outcome, CASE WHEN allowed THEN NULL ELSE 'CONFIGURED' END AS origin, count(*) AS n FROM ({CONNECT_SQL}) GROUP BY 1, 2")
+@query("vfy_connect", V.with_views("v_event") + CONNECT_SQL + " SELECT CASE WHEN allowed THEN 'conforming' ELSE 'D_net/not_allowed' END AS outcome, CASE WHEN allowed THEN NULL ELSE 'CONFIGURED' END AS origin, count(*) AS n, (SELECT count(*) FROM supplier WHERE s_suppkey % 10 > 6) AS refused_entries FROM a GROUP BY 1, 2")
 def vfy_connect(spark, d):
+    """Outcomes of connects, and how many entries of the list were refused."""
     rows = connects(spark, d).select(F.when(F.col("allowed"), "conforming").otherwise("D_net/not_allowed").alias("outcome"), F.when(~F.col("allowed"), "CONFIGURED").alias("origin"))
-    return rows.groupBy("outcome", "origin").agg(F.count("*").alias("n"))
+    refused = EG.parsed(egress_entries(spark, d)).agg(F.count_if("refused").alias("refused_entries"))
+    return rows.groupBy("outcome", "origin").agg(F.count("*").alias("n")).crossJoin(F.broadcast(refused))
 
 
 # ---- bindings ------------------------------------------------------------------------------------------------------------------
@@ -270,11 +291,10 @@ def scr_behaviour(spark, d):
     return e.select("seq", S.behaviour(S.g_of(F.col("detail")), 0.5 * F.lit(0.5) + 0.5 * F.lit(0.2)).alias("score"))
 
 
-@query("top_alert_rank", ALL_VIEWS + SCORED_SQL + " SELECT seq, score, row_number() OVER (ORDER BY score DESC, s DESC, t_ns, seq) AS place FROM scored ORDER BY place LIMIT 50")
+@query("top_alert_rank", ALL_VIEWS + SCORED_SQL + " SELECT seq, score, row_number() OVER (ORDER BY score DESC, s DESC, t_ns, seq) AS place FROM scored")
 def top_alert_rank(spark, d):
-    """The fifty highest alerts: score, then unrounded severity, then time."""
-    top = scored(spark, d).orderBy(F.desc("score"), F.desc("s"), "t_ns", "seq").limit(50)
-    return top.select("seq", "score", F.row_number().over(Window.orderBy(F.desc("score"), F.desc("s"), "t_ns", "seq")).alias("place"))
+    """Every alert's place: score, then unrounded severity, then time."""
+    return ordered_places(scored(spark, d).select("seq", "score", "s", "t_ns"), [F.desc("score"), F.desc("s"), "t_ns", "seq"]).select("seq", "score", "place")
 
 
 @query("att_alert_row", ALL_VIEWS + SCORED_SQL + f""" SELECT 'alr-' || seq AS alert_id, class, subclass, path AS violated_clause, score, {BUCKET_SQL} AS bucket, f_package AS package, depth, 'sha256:' || f_layer AS layer,
