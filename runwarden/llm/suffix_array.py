@@ -23,15 +23,15 @@ from . import repeats as R
 from .common import Scratch, partitions_of, table
 
 WINDOW, GRAM = 400, 128
-STRETCHES = "key long, name long, size long, nth long, hop int, reach int, dk long, packed long, serves boolean"
+STRETCHES = "key long, name long, name2 long, size long, nth long, hop int, reach int, dk long, packed long, serves boolean"
 
 
 def _bytes(text: str) -> bytes:
     return text.encode("utf-8", "surrogatepass")
 
 
-def scan(window: int, gram: int, names: R.Names, keys_only: bool):
-    """Sampled places of every whole text, in order: gram, name and size of the stretch that begins there, document and place.
+def scan(window: int, gram: int, names: tuple[R.Names, R.Names], keys_only: bool):
+    """Sampled places of every whole text, in order: gram, two names and size of the stretch that begins there, document and place.
 
     A stretch runs to the end of the next place's gram, the last one to the end of the text. A first row that serves no window begins
     at byte 0 unless a sampled place does. Where one stretch follows itself again and again (a run of one byte, a repeated phrase) it is
@@ -51,27 +51,28 @@ def scan(window: int, gram: int, names: R.Names, keys_only: bool):
         at = bounds[doc[begin]]
         serves = np.insert(np.ones(len(place), bool), begin, False)
         place, low, high, doc = np.insert(place, begin, at), np.insert(low, begin, at), np.insert(high, begin, at), np.insert(doc, begin, doc[begin])
-        total = names.sums(raw)
+        totals = [n.sums(raw) for n in names]
         # The gram of a first row must repeat too if the row is to live; the key is only looked up.
         key = np.insert(key, begin, key[begin])
         last = np.append(doc[1:] != doc[:-1], True)
         ahead = np.append(place[1:], 0)
         stop = np.where(last, bounds[doc + 1], ahead + gram)
-        name = names.of(total, place, stop)
+        both = [n.of(t, place, stop) for n, t in zip(names, totals, strict=True)]
         gap = np.where(last, 1, ahead - place)
         reach = np.where(last, stop - place, gap + window)
         i = np.arange(len(place))
-        same = np.append((name[1:] == name[:-1]) & ((stop - place)[1:] == (stop - place)[:-1]) & ~last[:-1] & ~last[1:], False)
+        same = np.append((both[0][1:] == both[0][:-1]) & (both[1][1:] == both[1][:-1]) & ((stop - place)[1:] == (stop - place)[:-1]) & ~last[:-1] & ~last[1:], False)
         ends = np.flatnonzero(~same)
         more = np.minimum(ends[np.searchsorted(ends, i)] - i, -(-(window - gram) // gap))
         long_ = np.flatnonzero(more > 0)
         stop = stop[i + more]
-        name[long_] = names.of(total, place[long_], stop[long_])
+        for own, n, t in zip(both, names, totals, strict=True):
+            own[long_] = n.of(t, place[long_], stop[long_])
         start = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1]]))
         nth = i - np.repeat(start, np.diff(np.append(start, len(doc))))
         base = bounds[doc]
         p = R.packed(place - base, low - base, high - base, tag[doc])
-        return [pa.array(key.view(np.int64)), pa.array(name.view(np.int64)), pa.array(stop - place), pa.array(nth), pa.array((more + 1).astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(dk[doc]), pa.array(p), pa.array(serves)]
+        return [pa.array(key.view(np.int64)), *(pa.array(n.view(np.int64)) for n in both), pa.array(stop - place), pa.array(nth), pa.array((more + 1).astype(np.int32)), pa.array(reach.astype(np.int32)), pa.array(dk[doc]), pa.array(p), pa.array(serves)]
 
     columns = ["key"] if keys_only else [c.split()[0] for c in STRETCHES.split(", ")]
 
@@ -92,8 +93,8 @@ def scan(window: int, gram: int, names: R.Names, keys_only: bool):
         for s, u in R.pieces(np.frombuffer(raw, np.uint8), window):
             cols = one(u, np.array([0, len(u)]), dk, tag)
             if cols and not keys_only:
-                cols[3] = pa.array(cols[3].to_numpy() + s * 2)
-                cols[7] = pa.array(cols[7].to_numpy() + (np.int64(s) << 32))
+                cols[4] = pa.array(cols[4].to_numpy() + s * 2)
+                cols[8] = pa.array(cols[8].to_numpy() + (np.int64(s) << 32))
             if cols:
                 yield pa.RecordBatch.from_arrays(cols, names=columns)
 
@@ -175,8 +176,8 @@ def ranked_spans(scratch: Scratch, live: DataFrame, window: int) -> DataFrame:
     A place's first half is what it shares with its class; the second half is what the place where that ends (`next`) shares with its own.
     """
     start = R.place_of(F.col("packed"))
-    first = live.select("dk", R.tag_of(F.col("packed")).alias("tag"), "nth", start.alias("start"), (start + F.col("size")).alias("stop"), (F.col("nth") + F.col("hop")).alias("next"), "reach", "name", "size")
-    levels = [_ranked(scratch, first, ["name", "size"])]
+    first = live.select("dk", R.tag_of(F.col("packed")).alias("tag"), "nth", start.alias("start"), (start + F.col("size")).alias("stop"), (F.col("nth") + F.col("hop")).alias("next"), "reach", "name", "name2", "size")
+    levels = [_ranked(scratch, first, ["name", "name2", "size"])]
     known = levels[0]
     while True:
         active = levels[-1].where(F.col("stop") - F.col("start") < F.col("reach"))
@@ -264,9 +265,9 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     scratch, names, other = Scratch(docs.sparkSession, "suffix-array"), R.Names(), R.Names()
     docs, again = one_of_each(scratch, docs, window)
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, names, True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    census = rows.mapInArrow(scan(window, gram, (names, other), True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     census = scratch.put(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
-    live = scratch.put(rows.mapInArrow(scan(window, gram, names, False), STRETCHES).join(census, "key", "left_semi"), "stretches")
+    live = scratch.put(rows.mapInArrow(scan(window, gram, (names, other), False), STRETCHES).join(census, "key", "left_semi"), "stretches")
     scratch.drop(census)
     spans = ranked_spans(scratch, live, window)
     packed = F.col("packed")

@@ -77,7 +77,7 @@ def test_a_long_text_after_empty_ones_is_cut(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 700)
     rng = random.Random(13)
     long_, short = ("".join(rng.choice("abcdefgh") for _ in range(n)) for n in (5000, 600))
-    names = repeats.Names()
+    names = repeats.Names(), repeats.Names()
     for keys_only in (True, False):
         run = suffix_array.scan(400, 128, names, keys_only)
         found = []
@@ -151,6 +151,21 @@ def test_words_of_long_texts_do_not_depend_on_pieces(monkeypatch):
     assert len(long_) == 3 and long_[0] == long_[2] != long_[1]
 
 
+def test_stretches_that_share_one_name_only_are_not_one(spark):
+    """A class has both names: a stretch that shares the first name alone with others repeats none of them."""
+    packed = int(repeats.packed(np.array([0]), np.array([0]), np.array([100]), np.array([0]))[0])
+    rows = [(1, 77, second, 500, 0, 1, 500, dk, packed, True) for dk, second in ((11, 5), (12, 5), (13, 6))]
+    live = spark.createDataFrame(rows, suffix_array.STRETCHES)
+    spans = suffix_array.ranked_spans(repeats_scratch(spark), live, 400)
+    assert sorted(r.dk for r in spans.collect()) == [11, 12]
+
+
+def repeats_scratch(spark):
+    from runwarden.llm.common import Scratch
+
+    return Scratch(spark, "test-ranks")
+
+
 def test_empty_table(no_docs):
     assert suffix_tree.deduplicated(no_docs).collect() == []
     assert suffix_array.deduplicated(no_docs).collect() == []
