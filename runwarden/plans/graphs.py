@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import testviews as V
 from ..operators import graph as G
@@ -101,22 +101,57 @@ def gr_all_dirs(spark, d):
     return V.v_file(spark, d).select("digest", F.explode(ancestors).alias("dir")).distinct()
 
 
-LAYER_SQL = "WITH x AS (SELECT l_partkey // 60 AS digest, l_linenumber AS layer, l_orderkey * 10 + l_linenumber AS seq, '/a' || (l_partkey % 7) AS top, '/a' || (l_partkey % 7) || '/b' || (l_partkey % 40) AS path, CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind, l_quantity AS v FROM lineitem)"
-
-
-@query("gr_layer_union", LAYER_SQL + ", k AS (SELECT digest, path AS at, max(layer) AS layer FROM x WHERE kind = 'whiteout' GROUP BY 1, 2 UNION ALL SELECT digest, top, max(layer) FROM x WHERE kind = 'opaque' GROUP BY 1, 2), l AS (SELECT * FROM x WHERE kind = 'reg' AND NOT EXISTS (SELECT 1 FROM k WHERE k.digest = x.digest AND k.layer > x.layer AND (k.at = x.path OR k.at = x.top))) SELECT digest, path, arg_max(layer, layer * 1e9 + seq) AS layer, max(layer * 1e9 + seq) AS place FROM l GROUP BY 1, 2")
-def gr_layer_union(spark, d):
-    """Whiteouts and opaque folders hide lower layers; then the highest layer's last entry of a path stays."""
-    x = V.load(spark, d, "lineitem").selectExpr("l_partkey div 60 AS digest", "l_linenumber AS layer", "l_orderkey * 10 + l_linenumber AS seq", "concat('/a', l_partkey % 7, '/b', l_partkey % 40) AS path", "CASE WHEN l_partkey % 50 = 1 THEN 'whiteout' WHEN l_partkey % 50 = 2 THEN 'opaque' ELSE 'reg' END AS kind")
-    at = F.when(F.col("kind") == "opaque", F.regexp_replace("path", "/[^/]*$", "")).otherwise(F.col("path"))
-    kills = x.where("kind <> 'reg'").groupBy("digest", at.alias("at")).agg(F.max("layer").alias("kill"))
+#: Entries of layers: files, whiteouts, opaque folders, hard links to the file of another entry's path, folders in place of files and files in place of folders.
+LAYER_ENTRIES = """SELECT l_partkey {div} 60 AS digest, CAST(l_linenumber AS INT) AS layer, l_orderkey * 10 + l_linenumber AS seq,
+ CASE WHEN l_partkey % 50 = 3 THEN '/a' || l_partkey % 7 ELSE '/a' || l_partkey % 7 || '/b' || l_partkey % 40 || CASE WHEN l_partkey % 11 = 0 THEN '/c' || l_suppkey % 3 ELSE '' END END AS path,
+ CASE l_partkey % 50 WHEN 1 THEN 'whiteout' WHEN 2 THEN 'opaque' WHEN 5 THEN 'hardlink' WHEN 6 THEN 'hardlink' WHEN 7 THEN 'dir' ELSE 'file' END AS kind,
+ CASE WHEN l_partkey % 50 IN (5, 6) THEN '/a' || (l_partkey + l_suppkey) % 7 || '/b' || (l_partkey * 3) % 40 END AS target, 'h' || l_suppkey AS sha256 FROM lineitem"""
+
+LAYER_SQL = "WITH x AS (" + LAYER_ENTRIES.format(div="//") + """),
+k AS (SELECT digest, path AS at, layer, seq, kind FROM x WHERE kind IN ('whiteout', 'opaque', 'file', 'hardlink')),
+p AS (SELECT * FROM x WHERE kind NOT IN ('whiteout', 'opaque')),
+alive AS (SELECT p.* FROM p WHERE NOT EXISTS (SELECT 1 FROM k WHERE k.digest = p.digest AND k.kind = 'whiteout' AND k.layer > p.layer AND (k.at = p.path OR starts_with(p.path, k.at || '/')))
+ AND NOT EXISTS (SELECT 1 FROM x k WHERE k.digest = p.digest AND k.kind = 'opaque' AND k.layer > p.layer AND starts_with(p.path, regexp_replace(k.path, '/[^/]*$', '') || '/'))
+ AND NOT EXISTS (SELECT 1 FROM k WHERE k.digest = p.digest AND k.kind IN ('file', 'hardlink') AND (k.layer, k.seq) > (p.layer, p.seq) AND starts_with(p.path, k.at || '/'))),
+last AS (SELECT *, row_number() OVER (PARTITION BY digest, path ORDER BY layer DESC, seq DESC) AS nth FROM alive),
+top AS (SELECT * FROM last WHERE nth = 1),
+f AS (SELECT digest, path, layer, sha256 FROM top WHERE kind = 'file'),
+h AS (SELECT t.digest, t.path, t.layer, (SELECT arg_max(s.sha256, (s.layer, s.seq)) FROM alive s WHERE s.digest = t.digest AND s.path = t.target AND s.kind = 'file' AND s.layer <= t.layer) AS sha256 FROM top t WHERE kind = 'hardlink')
+SELECT * FROM f UNION ALL SELECT * FROM h WHERE sha256 IS NOT NULL"""
+
+
+def layer_union(entries: DataFrame) -> DataFrame:
+    """(digest, path, layer, sha256): the files of an image of entries (digest, layer, seq, path, kind, target, sha256).
+
+    A whiteout hides what lower layers have at its path and below it; an opaque entry what they have in its folder; a file (or hard link) at a path hides what came before it
+    below that path, and a folder the file that was there. Of entries with one path the last by (layer, seq) counts. Hard links are copied at the
+    end: they get the content that the last file at their target had in their own or a lower layer, and vanish if there was none.
+    """
+    x = G.written(entries, "layer-entries")
+    own = F.struct("layer", "seq")
+    live = x.where("kind not in ('whiteout', 'opaque')")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    whole = x.where("kind = 'whiteout'").groupBy("digest", F.col("path").alias("at")).agg(F.max("layer").alias("below"))
+    inside = x.where("kind = 'opaque'").groupBy("digest", folder.alias("at")).agg(F.max("layer").alias("below_in"))
+    files = x.where("kind in ('file', 'hardlink')").groupBy("digest", F.col("path").alias("at")).agg(F.max(own).alias("file_at"))
+    marks = whole.join(inside, ["digest", "at"], "full").join(files, ["digest", "at"], "full")
     parts = F.split("path", "/")
-    ancestors = F.transform(F.sequence(F.lit(2), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
-    entries = x.where("kind = 'reg'")
-    dead = entries.withColumn("at", F.explode(ancestors)).join(kills, ["digest", "at"]).where("kill > layer").select("digest", "seq", "path").distinct()
-    left = entries.join(dead, ["digest", "seq", "path"], "left_anti")
-    place = F.col("layer") * F.lit(1e9) + F.col("seq")
-    return left.groupBy("digest", "path").agg(F.max_by("layer", place).alias("layer"), F.max(place).alias("place"))
+    ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    above = live.withColumn("at", F.explode(ancestors)).join(marks, ["digest", "at"])
+    self_ = F.col("at") == F.col("path")
+    dead = above.where((F.col("below") > F.col("layer")) | (~self_ & (F.col("below_in") > F.col("layer"))) | (~self_ & (F.col("file_at") > own))).select("digest", "layer", "seq", "path").distinct()
+    alive = G.written(live.join(dead, ["digest", "layer", "seq", "path"], "left_anti"), "layers-alive")
+    top = alive.groupBy("digest", "path").agg(F.max_by(F.struct("layer", "kind", "target", "sha256"), own).alias("t")).select("digest", "path", "t.*")
+    links = top.where("kind = 'hardlink'").select("digest", "path", "layer", "target")
+    sources = alive.where("kind = 'file'").select("digest", F.col("path").alias("target"), F.col("layer").alias("from_layer"), "seq", "sha256")
+    copied = links.join(sources, ["digest", "target"]).where("from_layer <= layer").groupBy("digest", "path", "layer").agg(F.max_by("sha256", F.struct("from_layer", "seq")).alias("sha256"))
+    return top.where("kind = 'file'").select("digest", "path", "layer", "sha256").unionByName(copied)
+
+
+@query("gr_layer_union", LAYER_SQL)
+def gr_layer_union(spark, d):
+    columns, _ = LAYER_ENTRIES.format(div="div").removeprefix("SELECT ").rsplit(" FROM ", 1)
+    return layer_union(V.load(spark, d, "lineitem").select(F.expr(f"struct({columns})").alias("e")).select("e.*"))
 
 
 @query("gr_file_owner", V.with_views("v_file") + ", c AS (SELECT digest, '/d' || (k % 10) || '/f' || ((k * 7) % 60) AS path, k AS ord, k % 3 = 0 AS pip, 'own' || k AS name FROM v_file) SELECT f.digest, f.path, arg_max(c.name, (CASE WHEN pip THEN 1000 ELSE 0 END) + ord) AS owner FROM v_file f JOIN c ON c.digest = f.digest AND c.path = f.path GROUP BY 1, 2")

@@ -2,29 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import testviews as V
 from ..operators import normalise as N
+from ..operators.graph import shared_folder as folder
 from ..sources import readers as R
 from ..streaming import sinks
 from .normalising import RAW_SQL, v_raw
 from .registry import query
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        root = tempfile.mkdtemp(prefix="runwarden-")
-        spark.sparkContext.setCheckpointDir(root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def lines_file(df: DataFrame, name: str) -> str:
     """One text column written as lines."""
     path = folder(df.sparkSession, name)
@@ -239,28 +227,6 @@ def snk_report_tables(spark, d):
     return n.select("name", F.format_string("| %s | %d |", "name", "n").alias("line"))
 
 
-@query("str_hold_until_bound", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding) GROUP BY 1")
-def str_hold_until_bound(spark, d):
-    """Events wait in state per container until its binding comes (here at event 50); those of containers never bound stay held."""
-    _, released = bound_stream(spark, d, V.v_event(spark, d), V.v_binding(spark, d).select(F.col("container_id").alias("cid")), 50)
-    return released.groupBy("cid").agg(F.count("*").alias("released"))
-
-
-SOURCE = "cid string, seq long, t_ns long, what string"
-
-
-def bound_stream(spark, d, events: DataFrame, bound: DataFrame, at: int) -> tuple[str, DataFrame]:
-    """(folder of the source, released rows) of a stream of events and of bindings (cid) that come at event `at`."""
-    from ..streaming import hold
-
-    src, out, ck = folder(spark, "hold"), folder(spark, "hold-out"), folder(spark, "ck")
-    e = events.select("cid", "seq", "t_ns", F.lit("event").alias("what"))
-    b = bound.select("cid", F.lit(at).cast("long").alias("seq"), F.lit(0).cast("long").alias("t_ns"), F.lit("bound").alias("what"))
-    e.unionByName(b).repartition("cid").write.parquet(src)
-    sinks.append(hold.until_bound(spark.readStream.schema(SOURCE).parquet(src)), out, ck)
-    return src, spark.read.schema(hold.OUT).parquet(out).where("seq is not null")
-
-
 @query("str_clock", V.with_views("v_event") + " SELECT cid, max(t_ns) AS clock FROM v_event GROUP BY 1")
 def str_clock(spark, d):
     """The clock is the greatest time seen, however late rows come."""
@@ -300,35 +266,6 @@ def str_live_latency(spark, d):
     return spark.read.schema("event_type string, us long").parquet(out).groupBy("event_type").agg(F.count("*").alias("n"), F.min("us").alias("least_us"), F.max("us").alias("most_us"), F.avg("us").alias("mean_us"))
 
 
-@query("str_close", V.with_views("v_event", "v_binding") + " SELECT cid, count(*) AS failed FROM v_event WHERE cid NOT IN (SELECT container_id FROM v_binding) GROUP BY 1")
-def str_close(spark, d):
-    """At the end of the stream the events that it has not let go fail: those of containers never bound."""
-    src, released = bound_stream(spark, d, V.v_event(spark, d), V.v_binding(spark, d).select(F.col("container_id").alias("cid")), 50)
-    rest = spark.read.schema(SOURCE).parquet(src).where("what = 'event'").join(released.select("cid", "seq"), ["cid", "seq"], "left_anti")
-    return rest.groupBy("cid").agg(F.count("*").alias("failed"))
-
-
-@query("str_hold_cap", V.with_views("v_event") + " SELECT cid, greatest(count(*) - 30, 0) AS lost FROM v_event GROUP BY 1")
-def str_hold_cap(spark, d):
-    """At most 30 held per container; the oldest are lost, and counted."""
-    from ..streaming import hold
-
-    src, out, ck = folder(spark, "cap"), folder(spark, "cap-out"), folder(spark, "ck")
-    V.v_event(spark, d).select("cid", "seq", "t_ns", F.lit("event").alias("what")).repartition("cid").write.parquet(src)
-    sinks.append(hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src), 30), out, ck)
-    lost = spark.read.schema(hold.OUT).parquet(out).groupBy("cid").agg(F.sum("lost").alias("lost"))
-    return spark.read.parquet(src).select("cid").distinct().join(lost, "cid", "left").select("cid", F.coalesce("lost", F.lit(0)).alias("lost"))
-
-
-@query("str_hold_until_envelope", V.with_views("v_event", "v_binding") + f" SELECT cid, count(*) AS released FROM v_event WHERE cid IN (SELECT container_id FROM v_binding WHERE verified AND NOT ({V.NO_ENVELOPE.format('image_digest')})) GROUP BY 1")
-def str_hold_until_envelope(spark, d):
-    """Events of verified containers wait for their image's specification; that of every fourth image never comes."""
-    b = V.v_binding(spark, d).where("verified").select(F.col("container_id").alias("cid"), "image_digest")
-    e = V.v_event(spark, d).join(b.select("cid"), "cid", "left_semi")
-    _, released = bound_stream(spark, d, e, b.where(f"NOT ({V.NO_ENVELOPE.format('image_digest')})"), 70)
-    return released.groupBy("cid").agg(F.count("*").alias("released"))
-
-
 @query("str_window_timer", "WITH w AS (SELECT user_id AS c, (epoch_us(ts) // 3600000000) * 3600000000 AS start_us, count(*) AS n FROM events GROUP BY 1, 2) SELECT * FROM w WHERE start_us + 3600000000 <= (SELECT max(epoch_us(ts)) FROM events)")
 def str_window_timer(spark, d):
     """Windows close when the stream's clock, the watermark, passes their end; those still open at the end are not given."""

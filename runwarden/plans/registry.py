@@ -22,5 +22,5 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-for _m in ("verification", "scenarios", "normalising", "sequences", "graphs", "rules", "sets", "modelling", "inputs"):
+for _m in ("verification", "scenarios", "normalising", "sequences", "graphs", "rules", "sets", "modelling", "inputs", "holding"):
     importlib.import_module(f"{__package__}.{_m}")

@@ -74,14 +74,14 @@ def set_baselines(spark, d):
 
 
 # ---- aggregates ----------------------------------------------------------------------------------------------------------------
-@query("agg_overhead_table", "WITH o AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'none' ELSE l_returnflag END AS config, l_linestatus AS kind, l_quantity AS v FROM lineitem), m AS (SELECT config, kind, quantile_cont(v, 0.5) AS median, min(v) AS low, max(v) AS high, avg(v) AS mean FROM o GROUP BY 1, 2) SELECT m.config, m.kind, m.median, m.low, m.high, (m.mean - b.mean) / b.mean * 100 * CASE WHEN m.kind = 'F' THEN -1 ELSE 1 END AS overhead FROM m LEFT JOIN m b ON b.config = 'none' AND b.kind = m.kind")
+@query("agg_overhead_table", "WITH o AS (SELECT CASE WHEN l_returnflag = 'A' THEN 'none' ELSE l_returnflag END AS config, l_linestatus AS kind, l_quantity AS v FROM lineitem), m AS (SELECT config, kind, quantile_cont(v, 0.5) AS median, min(v) AS low, max(v) AS high FROM o GROUP BY 1, 2) SELECT m.config, m.kind, m.median, m.low, m.high, round_even((m.median - b.median) / b.median * 100 * CASE WHEN m.kind = 'F' THEN -1 ELSE 1 END, 1) AS overhead FROM m LEFT JOIN m b ON b.config = 'none' AND b.kind = m.kind")
 def agg_overhead_table(spark, d):
     """Median, least and greatest per configuration; overhead against `none`, its sign turned for throughput."""
     o = V.load(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "none").otherwise(F.col("l_returnflag")).alias("config"), F.col("l_linestatus").alias("kind"), F.col("l_quantity").alias("v"))
-    m = o.groupBy("config", "kind").agg(F.percentile("v", 0.5).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"), F.avg("v").alias("mean"))
-    base = m.where("config = 'none'").select("kind", F.col("mean").alias("base"))
+    m = o.groupBy("config", "kind").agg(F.percentile("v", 0.5).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
+    base = m.where("config = 'none'").select("kind", F.col("median").alias("base"))
     sign = F.when(F.col("kind") == "F", -1).otherwise(1)
-    return m.join(base, "kind", "left").select("config", "kind", "median", "low", "high", ((F.col("mean") - F.col("base")) / F.col("base") * 100 * sign).alias("overhead"))
+    return m.join(base, "kind", "left").select("config", "kind", "median", "low", "high", F.bround((F.col("median") - F.col("base")) / F.col("base") * 100 * sign, 1).alias("overhead"))
 
 
 @query("agg_overhead_verdict", "WITH m AS (SELECT l_returnflag AS config, l_linestatus AS kind, avg(l_discount) AS v, count(DISTINCT l_linenumber) AS reps FROM lineitem GROUP BY 1, 2), b AS (SELECT kind, v FROM m WHERE config = 'A') SELECT config, round_even(max((m.v - b.v) / b.v), 6) AS worst, max((m.v - b.v) / b.v) <= 0.05::DOUBLE AS within, max(reps) AS reps FROM m JOIN b USING (kind) GROUP BY 1")
@@ -199,11 +199,11 @@ def agg_workload_filter(spark, d):
     return c.crossJoin(F.broadcast(present)).where(kept).groupBy("image").agg(F.count("*").alias("kept"))
 
 
-@query("agg_vocabulary", V.with_views("v_file") + " SELECT package, count(DISTINCT digest || layer) AS df FROM v_file WHERE package IS NOT NULL GROUP BY 1 ORDER BY df DESC, package LIMIT 10")
+@query("agg_vocabulary", V.with_views("v_file") + " SELECT package, count(DISTINCT digest) AS df FROM v_file WHERE package IS NOT NULL GROUP BY 1 ORDER BY df DESC, package LIMIT 100")
 def agg_vocabulary(spark, d):
-    """The packages in most images, ties by name: a top list."""
+    """The hundred packages in most images, ties by name."""
     f = V.v_file(spark, d).where("package is not null")
-    return f.groupBy("package").agg(F.count_distinct(F.concat("digest", "layer")).alias("df")).orderBy(F.desc("df"), "package").limit(10)
+    return f.groupBy("package").agg(F.count_distinct("digest").alias("df")).orderBy(F.desc("df"), "package").limit(100)
 
 
 @query("agg_image_features", V.with_views("v_file") + " SELECT digest, count(*) AS files, count(DISTINCT package) AS packages, count(*) FILTER (in_closure) AS closure, bool_or(package LIKE '%/p3@%') AS has_p3, bool_or(package LIKE '%/p7@%') AS has_p7 FROM v_file GROUP BY 1")
@@ -250,6 +250,6 @@ def pred_real_result(spark, d):
 @query("join_features_labels", "WITH l AS (SELECT doc_id % 300 AS digest, max(doc_id) AS line FROM labels GROUP BY 1), f AS (SELECT vec_id % 400 AS digest, max(vec_id) AS fline FROM embeddings GROUP BY 1) SELECT digest, CASE WHEN fline IS NULL THEN 'left' WHEN line IS NULL THEN 'right' ELSE 'both' END AS side FROM l FULL JOIN f USING (digest)")
 def join_features_labels(spark, d):
     """The last line of each digest counts; rows of one side only are reported."""
-    last = lambda t, c, m, n: V.load(spark, d, t).select((F.col(c) % m).alias("digest"), F.col(c).alias(n)).withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy(F.desc(n)))).where("r = 1").drop("r")
+    last = lambda t, c, m, n: V.load(spark, d, t).groupBy((F.col(c) % m).alias("digest")).agg(F.max(c).alias(n))
     rows = last("labels", "doc_id", 300, "line").join(last("embeddings", "vec_id", 400, "fline"), "digest", "full")
     return rows.select("digest", F.when(F.col("fline").isNull(), "left").when(F.col("line").isNull(), "right").otherwise("both").alias("side"))
