@@ -76,3 +76,21 @@ def kth(own: DataFrame, want: DataFrame, keys: list[str], few: int = FEW, steps:
         at = F.col("k") - F.col("before")
         todo = written(todo.join(hist, ["g", "lo", "hi"]).where((at < F.col("till")) & (at >= F.col("till") - F.col("c"))).select("g", "k", (F.col("before") + F.col("till") - F.col("c")).alias("before"), F.col("c").alias("held"), F.col("a").alias("lo"), F.col("b").alias("hi")), "wanted")
     return done.join(names, "g").select(*keys, "k", "v")
+
+
+def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:
+    """rows plus running sums and maxima of each key's rows up to and with each row, in order; keys must not be null.
+
+    Rows are dealt by ranges of (keys, order), so that a hot key is many partitions' work: each partition has its own running values, and takes over what the partitions before it came to.
+    """
+    sums, maxes = sums or {}, maxes or {}
+    wanted = {n: F.sum(c) for n, c in sums.items()} | {n: F.max(c) for n, c in maxes.items()}
+    ranged = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    kept = written(ranged.withColumn("part_", F.spark_partition_id()), "ranges")
+    pieces = kept.groupBy(*keys, "part_").agg(*(c.alias(n) for n, c in wanted.items()))
+    before = Window.partitionBy(*keys).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)
+    carry = pieces.select(*keys, "part_", *((F.sum if n in sums else F.max)(n).over(before).alias(f"{n}_before") for n in wanted))
+    till = Window.partitionBy(*keys, "part_").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = kept.select("*", *(c.over(till).alias(n) for n, c in wanted.items())).join(carry, [*keys, "part_"])
+    both = {n: F.coalesce(F.col(f"{n}_before"), F.lit(0)) + F.col(n) if n in sums else F.greatest(f"{n}_before", n) for n in wanted}
+    return out.withColumns(both).drop("part_", *(f"{n}_before" for n in wanted))

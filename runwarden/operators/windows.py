@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import posixpath
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .graph import written
+from .ranks import running
+
 WINDOW_NS, WINDOW_EVENTS, MIN_AGE_NS = 30_000_000_000, 200, 10_000_000_000
 COUNTS = ("exec", "write", "load", "cap", "connect", "new_files", "dirs_written", "distinct_exes", "distinct_daddrs", "distinct_dports")
-SCHEMA = "cid string, pid long, start_ns long, end_ns long, events long, closed_by string, age_ns long, " + ", ".join(f"{c} double, {c}_per_s double" for c in COUNTS)
 
 
 def process_rows(events: DataFrame) -> DataFrame:
@@ -23,78 +21,70 @@ def process_rows(events: DataFrame) -> DataFrame:
     return own.unionByName(child)
 
 
-class _Process:
-    """One process's open window; add() and due() give the windows that close."""
-
-    def __init__(self, window_ns, most, min_age):
-        self.window_ns, self.most, self.min_age = window_ns, most, min_age
-        self.first = self.t0 = None
-        self.items = []
-
-    def due(self, now):
-        if self.t0 is not None and now >= self.t0 + self.window_ns:
-            return self.close(self.t0 + self.window_ns, "time")
-        return []
-
-    def close(self, end, by):
-        rows, t0 = self.items, self.t0
-        self.items, self.t0 = [], None
-        if end - self.first < self.min_age:
-            return []
-        span = self.window_ns / 1e9 if by == "time" else max((rows[-1].t_ns - t0) / 1e9, 1.0)
-        writes = [r for r in rows if r.what == "write"]
-        n = {k: float(sum(r.what == w for r in rows)) for k, w in (("exec", "child"), ("write", "write"), ("load", "load"), ("cap", "cap"), ("connect", "connect"))}
-        n["new_files"] = float(len({r.path for r in writes if r.new_file}))
-        n["dirs_written"] = float(len({posixpath.dirname(r.path) for r in writes}))
-        n["distinct_exes"] = float(len({r.path for r in rows if r.what == "child"}))
-        n["distinct_daddrs"] = float(len({r.daddr for r in rows if r.what == "connect"}))
-        n["distinct_dports"] = float(len({r.dport for r in rows if r.what == "connect"}))
-        feats = [x for c in COUNTS for x in (n[c], round(n[c] / span, 6))]
-        return [(int(t0), int(end), len(rows), by, int(end - self.first), *feats)]
-
-    def add(self, r):
-        out = self.due(r.t_ns)
-        if r.what == "child" and self.first is None:
-            return out  # its parent is not known here
-        if r.what in ("birth", "exit") or self.first is None:
-            self.t0, self.items = None, []
-            self.first = None if r.what == "exit" else r.t_ns
-            if r.what in ("birth", "exit"):
-                return out
-        if not r.counted:
-            return out
-        if self.t0 is None:
-            self.t0 = r.t_ns
-        self.items.append(r)
-        if len(self.items) >= self.most:
-            out += self.close(r.t_ns, "count")
-        return out
+def successors(counted: DataFrame, window_ns: int, most: int) -> DataFrame:
+    """counted (epoch, j, t) plus by_time and next: the first row of the epoch that is `window_ns` or more later, and where a window that begins here is followed by the next.
+
+    Times do not fall with j, so the first later row's number is one more than the rows before that time, which are counted in one order of rows and of asked times.
+    """
+    rows = counted.select("epoch", F.col("t").alias("at"), F.lit(1).alias("kind"), "j", F.lit(1).alias("one"))
+    asked = counted.select("epoch", (F.col("t") + window_ns).alias("at"), F.lit(0).alias("kind"), "j", F.lit(0).alias("one"))
+    told = running(rows.unionByName(asked), ["epoch"], ["at", "kind", "j"], {"before": F.col("one")}).where("kind = 0")
+    return counted.join(told.select("epoch", "j", (F.col("before") + 1).alias("by_time")), ["epoch", "j"]).withColumn("next", F.least(F.col("j") + most, F.col("by_time")))
+
+
+def starts(jumps: DataFrame) -> DataFrame:
+    """(epoch, j): where windows begin, from row 1 on along jumps (epoch, j, next), found by doubling: what is reached in 2^k steps is joined with jumps of 2^k, whose own jumps then are twice as long."""
+    last = jumps.groupBy("epoch").agg(F.max("j").alias("last"))
+    step = written(jumps.join(last, "epoch").where("next <= last").select("epoch", "j", "next"), "jumps")
+    found = written(jumps.where("j = 1").select("epoch", "j"), "starts")
+    while not step.isEmpty():
+        more = found.join(step, ["epoch", "j"]).select("epoch", F.col("next").alias("j"))
+        found = written(found.unionByName(more), "starts")
+        far = step.select("epoch", F.col("j").alias("next"), F.col("next").alias("far"))
+        step = written(step.join(far, ["epoch", "next"]).select("epoch", "j", F.col("far").alias("next")), "jumps")
+    return found
 
 
 def behaviour_windows(events: DataFrame, window_ns: int = WINDOW_NS, most: int = WINDOW_EVENTS, min_age_ns: int = MIN_AGE_NS) -> DataFrame:
-    """One row per closed window. The clock is the whole stream's: a last time column closes windows that only other processes' events pass.
+    """One row per closed window: built-in aggregates only, and no task has to hold a process.
 
-    Rows are dealt by process, so no task needs a whole container, and are streamed in order. Windows that are open at an exec, an exit or the end are dropped.
+    A process's rows, in order of arrival, fall into epochs, each from an exec or exit to the next. A window begins at the first counted row that the one before has not, and has those less than
+    `window_ns` later, `most` at most. It closes with its `most`-th row, or once the stream has passed its end; where an exec, an exit or the end of the stream comes first it is dropped, as are
+    windows of processes younger than `min_age_ns`. A process that is not seen to begin is as old as its first own row. A time that runs back within a process counts as the greatest before it.
     """
-    last = events.agg(F.max("t_ns").alias("last_ns"))
-    names = [c.split()[0] for c in SCHEMA.split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Rows come sorted by process, then arrival; one process's open window is all that is held."""
-        now, p, end = None, None, 0
-        for pdf in batches:
-            out = []
-            for r in pdf.itertuples(index=False):
-                if (r.cid, r.pid) != now:
-                    if p is not None and p.first is not None:
-                        out += [(*now, *o) for o in p.due(end)]
-                    now, p, end = (r.cid, r.pid), _Process(window_ns, most, min_age_ns), int(r.last_ns)
-                out += [(*now, *o) for o in p.add(r)]
-            if out:
-                yield pd.DataFrame(out, columns=names)
-        if p is not None and p.first is not None and (out := [(*now, *o) for o in p.due(end)]):
-            yield pd.DataFrame(out, columns=names)
-
-    rows = process_rows(events).where("pid is not null").withColumn("rank", F.col("what") == "child").crossJoin(F.broadcast(last))
-    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "cid", "pid").sortWithinPartitions("cid", "pid", "seq", "rank").mapInPandas(run, SCHEMA)
+    last_ns = events.agg(F.max("t_ns").alias("last_ns"))
+    rows = process_rows(events).where("pid is not null").withColumn("process", F.to_json(F.struct("cid", "pid"))).withColumn("rank", (F.col("what") == "child").cast("int"))
+    edge, own = F.col("what").isin("birth", "exit"), ~F.col("what").isin("birth", "exit", "child")
+    rows = running(rows, ["process"], ["seq", "rank"], {"nth_epoch": edge.cast("int")}, {"t": F.col("t_ns")})
+    rows = written(rows.withColumn("epoch", F.concat_ws("#", "process", "nth_epoch")), "epochs")
+    place = F.struct("seq", "rank")
+    born = F.min(F.when(F.col("what") == "birth", F.struct(place.alias("place"), "t")))
+    seen = F.min(F.when(own, F.struct(place.alias("place"), "t")))
+    epochs = rows.groupBy("process", "nth_epoch", "epoch").agg(F.coalesce(born, seen).alias("first"), F.min("t").alias("begins"))
+    after = epochs.select("process", (F.col("nth_epoch") - 1).alias("nth_epoch"), F.col("begins").alias("ended"))
+    epochs = epochs.join(after, ["process", "nth_epoch"], "left").crossJoin(F.broadcast(last_ns))
+    epochs = written(epochs.select("epoch", "first", F.coalesce("ended", "last_ns").alias("ends")).where("first is not null"), "epoch-ends")
+    counted = rows.where(~edge & F.col("counted")).join(epochs.select("epoch", F.col("first.place").alias("from_")), "epoch").where(place >= F.col("from_"))
+    counted = written(running(counted.drop("from_"), ["epoch"], ["seq", "rank"], {"j": F.lit(1)}), "counted")
+    jumps = written(successors(counted.select("epoch", "j", "t"), window_ns, most), "successors")
+    begun = starts(jumps.select("epoch", "j", "next")).join(jumps.select("epoch", "j", "by_time"), ["epoch", "j"]).select("epoch", "j", "by_time", F.col("j").alias("start"))
+    marked = counted.join(begun, ["epoch", "j"], "left")
+    marked = running(marked, ["epoch"], ["j"], maxes={"own_start": F.col("start")})
+
+    is_ = lambda w: F.col("what") == w
+    kinds = ("exec", "child"), ("write", "write"), ("load", "load"), ("cap", "cap"), ("connect", "connect")
+    different = lambda condition, value: F.size(F.collect_set(F.when(condition, value)))  # noqa: E731 - a window has `most` rows
+    folder = F.coalesce(F.nullif(F.regexp_replace("path", "/[^/]*$", ""), F.lit("")), F.lit("/"))
+    w = marked.groupBy("epoch", "own_start", "cid", "pid").agg(
+        F.min("t").alias("start_ns"), F.max("t").alias("last_t"), F.count("*").alias("events"), F.max("by_time").alias("by_time"),
+        *(F.count_if(is_(k)).alias(n) for n, k in kinds),
+        different(is_("write") & F.col("new_file"), F.col("path")).alias("new_files"), different(is_("write"), folder).alias("dirs_written"), different(is_("child"), F.col("path")).alias("distinct_exes"),
+        different(is_("connect"), F.col("daddr")).alias("distinct_daddrs"), different(is_("connect"), F.col("dport")).alias("distinct_dports"),
+    )
+    w = w.join(epochs.select("epoch", F.col("first.t").alias("first_t"), "ends"), "epoch")
+    by_count = F.col("events") >= most
+    w = w.withColumn("closed_by", F.when(by_count, "count").when(F.col("ends") >= F.col("start_ns") + window_ns, "time")).where("closed_by is not null")
+    w = w.withColumn("end_ns", F.when(by_count, F.col("last_t")).otherwise(F.col("start_ns") + window_ns)).withColumn("age_ns", F.col("end_ns") - F.col("first_t")).where(F.col("age_ns") >= min_age_ns)
+    span = F.when(by_count, F.greatest((F.col("last_t") - F.col("start_ns")) / 1e9, F.lit(1.0))).otherwise(F.lit(window_ns / 1e9))
+    features = [x for c in COUNTS for x in (F.col(c).cast("double").alias(c), F.round(F.col(c) / span, 6).alias(f"{c}_per_s"))]
+    return w.select("cid", "pid", "start_ns", "end_ns", "events", "closed_by", "age_ns", *features)

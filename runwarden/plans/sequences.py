@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import testviews as V
 from ..operators.sequence import chained, chains
-from ..operators.windows import behaviour_windows
+from ..operators.windows import COUNTS, behaviour_windows
 from .registry import query
 
 
@@ -16,13 +16,33 @@ def behaviour_input(spark, d):
     return e.selectExpr("cid", "pid", "CAST(ppid AS BIGINT) AS ppid", "seq", "t_ns", "kind", "path", "exe", "daddr", "dport", "k >= 60 AS new_file", "NOT (kind = 'cap' AND granted IS NOT DISTINCT FROM false) AS counted")
 
 
-@query("win_behaviour")
+#: The same windows one after another, each begun where the one before ends. Hours stand for seconds: 30 of them, 8 rows, 10 of age.
+WINDOWS_SQL = V.with_views("v_event") + """, c AS (SELECT *, k >= 60 AS new_file, NOT (kind = 'cap' AND granted IS NOT DISTINCT FROM false) AS counted FROM v_event),
+ r AS (SELECT cid, pid, seq, 0 AS rank, t_ns, CASE WHEN kind = 'exec' THEN 'birth' ELSE kind END AS what, path, daddr, dport, new_file, counted FROM c
+  UNION ALL SELECT cid, ppid, seq, 1, t_ns, 'child', path, daddr, dport, new_file, counted FROM c WHERE kind = 'exec' AND counted),
+ e AS (SELECT *, count(*) FILTER (what IN ('birth', 'exit')) OVER p AS ep, max(t_ns) OVER p AS t FROM r WINDOW p AS (PARTITION BY cid, pid ORDER BY seq, rank ROWS UNBOUNDED PRECEDING)),
+ f AS (SELECT cid, pid, ep, coalesce(min(seq * 2 + rank) FILTER (what = 'birth'), min(seq * 2 + rank) FILTER (what NOT IN ('birth', 'exit', 'child'))) AS first_place, min(t) AS begins FROM e GROUP BY 1, 2, 3),
+ g AS (SELECT f.*, e.t AS first_t, coalesce(lead(begins) OVER (PARTITION BY f.cid, f.pid ORDER BY f.ep), (SELECT max(t_ns) FROM v_event)) AS ends FROM f LEFT JOIN e ON e.cid = f.cid AND e.pid = f.pid AND e.ep = f.ep AND e.seq * 2 + e.rank = f.first_place),
+ n AS (SELECT e.*, row_number() OVER (PARTITION BY e.cid, e.pid, e.ep ORDER BY e.seq, e.rank) AS j FROM e JOIN g USING (cid, pid, ep) WHERE e.counted AND what NOT IN ('birth', 'exit') AND e.seq * 2 + e.rank >= g.first_place),
+ x AS (SELECT a.cid, a.pid, a.ep, a.j, least(a.j + 8, coalesce((SELECT min(b.j) FROM n b WHERE b.cid = a.cid AND b.pid = a.pid AND b.ep = a.ep AND b.t >= a.t + 108000000000000), 1000000000)) AS nxt FROM n a),
+ s AS (SELECT cid, pid, ep, j, nxt FROM x WHERE j = 1 UNION ALL SELECT x.cid, x.pid, x.ep, x.j, x.nxt FROM s JOIN x ON x.cid = s.cid AND x.pid = s.pid AND x.ep = s.ep AND x.j = s.nxt),
+ w AS (SELECT s.cid, s.pid, s.ep, s.j, min(n.t) AS start_ns, max(n.t) AS last_t, count(*) AS events, count(*) FILTER (what = 'child') AS exec, count(*) FILTER (what = 'write') AS write, count(*) FILTER (what = 'load') AS load,
+  count(*) FILTER (what = 'cap') AS cap, count(*) FILTER (what = 'connect') AS connect, count(DISTINCT path) FILTER (what = 'write' AND new_file) AS new_files, count(DISTINCT regexp_extract(path, '^(.*)/[^/]*$', 1)) FILTER (what = 'write') AS dirs_written,
+  count(DISTINCT path) FILTER (what = 'child') AS distinct_exes, count(DISTINCT daddr) FILTER (what = 'connect') AS distinct_daddrs, count(DISTINCT dport) FILTER (what = 'connect') AS distinct_dports
+  FROM s JOIN n ON n.cid = s.cid AND n.pid = s.pid AND n.ep = s.ep AND n.j >= s.j AND n.j < s.nxt GROUP BY 1, 2, 3, 4),
+ o AS (SELECT w.*, CASE WHEN events >= 8 THEN 'count' WHEN ends >= start_ns + 108000000000000 THEN 'time' END AS closed_by, CASE WHEN events >= 8 THEN last_t ELSE start_ns + 108000000000000 END AS end_ns, first_t,
+  CASE WHEN events >= 8 THEN greatest((last_t - start_ns) / 1e9::DOUBLE, 1.0::DOUBLE) ELSE 108000.0::DOUBLE END AS span FROM w JOIN g USING (cid, pid, ep)),
+ q AS (SELECT *, end_ns - first_t AS age_ns FROM o WHERE closed_by IS NOT NULL AND end_ns - first_t >= 36000000000000)"""
+FEATURES_SQL = ", ".join(f"{c}::DOUBLE AS {c}, round({c} / span, 6) AS {c}_per_s" for c in COUNTS)
+
+
+@query("win_behaviour", WINDOWS_SQL + " SELECT cid, pid, start_ns, end_ns, events, closed_by FROM q")
 def win_behaviour(spark, d):
     hour = 3_600_000_000_000
     return behaviour_windows(behaviour_input(spark, d), 30 * hour, 8, 10 * hour).select("cid", "pid", "start_ns", "end_ns", "events", "closed_by")
 
 
-@query("win_features")
+@query("win_features", WINDOWS_SQL + f" SELECT cid, pid, start_ns, end_ns, events, closed_by, age_ns, {FEATURES_SQL} FROM q")
 def win_features(spark, d):
     hour = 3_600_000_000_000
     return behaviour_windows(behaviour_input(spark, d), 30 * hour, 8, 10 * hour)
