@@ -75,6 +75,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, BATCH_ROWS)
 
 
+def batches_by_bytes(spark: SparkSession, size: str = "8m") -> None:
+    """Bounds the bytes of a batch that goes to Python, too, unless the session has another bound than Spark's default of 64 MB."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) in (None, "67108864b", "64MB"):
+        spark.conf.set(name, size)
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone, null texts as empty: extra columns of the input cannot clash with an operator's own."""
     small_batches(docs.sparkSession)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import repeats as R
-from .common import Scratch, partitions_of, table
+from .common import Scratch, batches_by_bytes, partitions_of, table
 
 WINDOW, GRAM = 400, 128
 STRETCHES = "key long, name long, name2 long, size long, nth long, hop int, reach int, dk long, packed long, serves boolean"
@@ -262,6 +262,7 @@ def one_of_each(scratch: Scratch, docs: DataFrame, window: int) -> tuple[DataFra
 
 def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """(dk, tag, start, stop): ranges of bytes under windows that occur elsewhere; docs as keyed() gives them."""
+    batches_by_bytes(docs.sparkSession)
     scratch, names, other = Scratch(docs.sparkSession, "suffix-array"), R.Names(), R.Names()
     docs, again = one_of_each(scratch, docs, window)
     rows = docs.select("dk", "tag", "text")
