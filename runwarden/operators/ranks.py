@@ -27,55 +27,68 @@ def ordered_places(rows: DataFrame, order: list) -> DataFrame:
 STEPS, FEW = 1024, 100_000
 
 
-def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float], weight: Column | None = None) -> DataFrame:
-    """(keys, p, value) for each p in `at`: the linear quantile of the finite doubles of each group, exact.
+def _counted(rows: DataFrame, keys: list[str], value: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(group, v) of the values that are not null, as a table, (group, n, lo, hi), and (group, keys): a group is its keys as one text, nulls included."""
+    group = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"}).alias("group")
+    own = written(rows.where(F.col(value).isNotNull()).select(group, F.col(value).cast("double").alias("v"), F.struct(*keys).alias("keys")), "values")
+    counted = own.groupBy("group").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"), F.any_value("keys").alias("keys"))
+    counted = written(counted, "groups")
+    return own.select("group", "v"), counted.drop("keys"), counted.select("group", "keys.*")
 
-    The place (n - 1) * p lies between two values, which are found as the k-th and next smallest; nulls are left out, groups without values have no rows.
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, *at: float) -> DataFrame:
+    """(keys, n, p, value) for each p in `at`: the linear quantile of the finite doubles of each group, exact. Nulls are left out; groups without values have no rows.
+
+    The place (n - 1) * p lies between two values, which are found as the k-th and the next smallest.
     """
-    own = written(rows.select(*keys, F.col(value).cast("double").alias("v")).where("v is not null"), "values")
-    counted = own.groupBy(*keys).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+    own, counted, names = _counted(rows, keys, value)
     place = (F.col("n") - 1) * F.col("p")
-    wanted = counted.select("*", F.explode(F.array(*map(F.lit, at))).alias("p")).withColumn("k0", F.floor(place)).withColumn("part", place - F.floor(place))
-    want = wanted.select(*keys, "n", "lo", "hi", F.explode(F.array_distinct(F.array("k0", F.least(F.col("k0") + 1, F.col("n") - 1)))).alias("k")).distinct()
-    found = kth(own, want, keys)
+    wanted = counted.select("*", F.explode(F.array(*map(F.lit, at))).alias("p")).withColumn("k0", F.floor(place)).withColumn("k1", F.ceil(place)).withColumn("share", place - F.floor(place))
+    found = kth(own, wanted.select("group", "n", "lo", "hi", F.explode(F.array("k0", "k1")).alias("k")))
     low, high = found.withColumnsRenamed({"k": "k0", "v": "v0"}), found.withColumnsRenamed({"k": "k1", "v": "v1"})
-    asked = wanted.withColumn("k1", F.least(F.col("k0") + 1, F.col("n") - 1))
-    out = asked.join(low, [*keys, "k0"]).join(high, [*keys, "k1"])
     # Between equal values nothing is added, so that what is exact stays exact.
-    return out.select(*keys, "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("part")).alias("value"))
+    out = wanted.join(low, ["group", "k0"]).join(high, ["group", "k1"]).select("group", "n", "p", (F.col("v0") + (F.col("v1") - F.col("v0")) * F.col("share")).alias("value"))
+    return names.join(out, "group").drop("group")
+
+
+def nearest_ranks(rows: DataFrame, keys: list[str], value: str, **at: float) -> DataFrame:
+    """(keys, mean) and, by name, the value at place round-half-even(p * (n - 1)) of each group."""
+    own, counted, names = _counted(rows, keys, value)
+    wanted = counted.select("*", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in at.items()))).alias("w"))
+    wanted = wanted.select("group", "n", "lo", "hi", F.col("w.name").alias("name"), F.bround(F.col("w.p") * (F.col("n") - 1), 0).cast("long").alias("k"))
+    named = wanted.join(kth(own, wanted.select("group", "n", "lo", "hi", "k")), ["group", "k"]).groupBy("group").agg(*(F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in at))
+    return names.join(named.join(own.groupBy("group").agg(F.avg("v").alias("mean")), "group"), "group").drop("group")
 
 
-def kth(own: DataFrame, want: DataFrame, keys: list[str], few: int = FEW, steps: int = STEPS) -> DataFrame:
-    """(keys, k, v): the value at place k (from 0) of each group of own (keys, v); want has (keys, k, n, lo, hi). Group keys are joined null-safely as one text."""
-    key = F.to_json(F.struct(*keys), {"ignoreNullFields": "false"})
-    own = own.select(key.alias("g"), "v")
-    names = want.select(key.alias("g"), *keys).distinct()
-    todo = written(want.select(key.alias("g"), "k", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"), "lo", "hi"), "wanted")
+def kth(own: DataFrame, want: DataFrame, few: int = FEW, steps: int = STEPS) -> DataFrame:
+    """(group, k, v): the value at place k (from 0) of each group of own (group, v); want has (group, k, n, lo, hi)."""
+    todo = written(want.distinct().select("group", "k", F.lit(0).cast("long").alias("before"), F.col("n").alias("held"), "lo", "hi"), "wanted")
     done = None
     for _ in range(200):
         # One value alone, or few rows: settled. Else the step that holds the place.
         ready = todo.where((F.col("lo") == F.col("hi")) | (F.col("held") <= few))
-        flat = ready.where("lo = hi").select("g", "k", F.col("lo").alias("v"))
-        spans = ready.where("lo < hi").select("g", "lo", "hi", "before").distinct()
-        inside = own.join(spans, "g").where("v >= lo and v <= hi").groupBy("g", "lo", "hi", "before", "v").agg(F.count("*").alias("c"))
-        w = Window.partitionBy("g", "lo", "hi").orderBy("v")
-        inside = inside.withColumn("till", F.col("before") + F.sum("c").over(w))
-        hit = ready.where("lo < hi").join(inside, ["g", "lo", "hi", "before"]).where("k < till and k >= till - c").select("g", "k", "v")
+        flat = ready.where("lo = hi").select("group", "k", F.col("lo").alias("v"))
+        spans = ready.where("lo < hi").select("group", "lo", "hi", "before").distinct()
+        inside = own.join(spans, "group").where("v >= lo and v <= hi").groupBy("group", "lo", "hi", "before", "v").agg(F.count("*").alias("c"))
+        inside = inside.withColumn("till", F.col("before") + F.sum("c").over(Window.partitionBy("group", "lo", "hi").orderBy("v")))
+        hit = ready.where("lo < hi").join(inside, ["group", "lo", "hi", "before"]).where("k < till and k >= till - c").select("group", "k", "v")
         settled = written(flat.unionByName(hit), "settled")
         done = settled if done is None else done.unionByName(settled)
         todo = written(todo.where((F.col("lo") < F.col("hi")) & (F.col("held") > few)), "wanted")
         if todo.isEmpty():
             break
-        # The upper half of a step may be all its upper end: that the ends are values keeps steps shrinking.
-        spans = todo.select("g", "lo", "hi").distinct()
+        # Both ends of a span are values, so that every round shrinks it.
+        spans = todo.select("group", "lo", "hi").distinct()
         width = F.col("hi") / steps - F.col("lo") / steps
         step = F.when(width > 0, F.least(F.lit(steps - 1), F.floor((F.col("v") - F.col("lo")) / width))).otherwise((F.col("v") > F.col("lo")).cast("long")).cast("long")
-        hist = own.join(spans, "g").where("v >= lo and v <= hi").groupBy("g", "lo", "hi", step.alias("step")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
-        w = Window.partitionBy("g", "lo", "hi").orderBy("step")
-        hist = hist.withColumn("till", F.sum("c").over(w))
+        hist = own.join(spans, "group").where("v >= lo and v <= hi").groupBy("group", "lo", "hi", step.alias("step")).agg(F.count("*").alias("c"), F.min("v").alias("a"), F.max("v").alias("b"))
+        hist = hist.withColumn("till", F.sum("c").over(Window.partitionBy("group", "lo", "hi").orderBy("step")))
         at = F.col("k") - F.col("before")
-        todo = written(todo.join(hist, ["g", "lo", "hi"]).where((at < F.col("till")) & (at >= F.col("till") - F.col("c"))).select("g", "k", (F.col("before") + F.col("till") - F.col("c")).alias("before"), F.col("c").alias("held"), F.col("a").alias("lo"), F.col("b").alias("hi")), "wanted")
-    return done.join(names, "g").select(*keys, "k", "v")
+        narrower = todo.join(hist, ["group", "lo", "hi"]).where((at < F.col("till")) & (at >= F.col("till") - F.col("c")))
+        todo = written(narrower.select("group", "k", (F.col("before") + F.col("till") - F.col("c")).alias("before"), F.col("c").alias("held"), F.col("a").alias("lo"), F.col("b").alias("hi")), "wanted")
+    else:
+        raise RuntimeError("places were not found")
+    return done
 
 
 def running(rows: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column] | None = None, maxes: dict[str, Column] | None = None) -> DataFrame:

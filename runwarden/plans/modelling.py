@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import testviews as V
 from ..operators import detector, forest
+from ..operators.ranks import quantiles
 from .inputs import folder
 from .registry import query
 from .scenarios import confusion, metrics
@@ -13,7 +14,7 @@ from .scenarios import confusion, metrics
 
 def v_feature(spark, d) -> DataFrame:
     """Vectors of four images."""
-    return V.load(spark, d, "embeddings").select(F.concat(F.lit("i"), F.coalesce("label", F.lit(0)) % 4).alias("digest"), F.col("vec_id").alias("id"), F.slice(F.col("embedding").cast("array<double>"), 1, 20).alias("x"))
+    return V.load(spark, d, "embeddings").select(F.concat(F.lit("i"), F.coalesce("label", F.lit(0)) % 4).alias("digest"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("x"))
 
 
 @query("ml_iforest_train")
@@ -27,9 +28,23 @@ def ml_iforest_score(spark, d):
     return forest.score(rows, forest.train(rows.where("id % 10 < 7")))
 
 
-@query("ml_forest_check", "SELECT DISTINCT 'i' || (label % 4) AS digest, true AS ok FROM embeddings")
+@query("ml_forest_check", "SELECT DISTINCT CASE kind WHEN 0 THEN '' ELSE 'bad' || kind || '-' END || 'i' || (coalesce(label, 0) % 4) AS digest, kind = 0 AS ok FROM embeddings, generate_series(0, 4) AS g(kind)")
 def ml_forest_check(spark, d):
-    return forest.usable(forest.train(v_feature(spark, d)), 20)
+    """Grown forests are usable; each altered in one tree of one way (a child outside the tree, an unknown feature, arrays of different lengths, a child before its root) is not."""
+    good = forest.train(v_feature(spark, d))
+    first = F.row_number().over(Window.partitionBy("digest").orderBy("tree")) == 1
+    altered = {
+        1: ("lefts", F.transform("lefts", lambda c, i: F.when(i == 0, F.size("lefts") + 5).otherwise(c).cast("int"))),
+        2: ("features", F.transform("features", lambda f, i: F.when(i == 0, 10_000).otherwise(f).cast("int"))),
+        3: ("thresholds", F.slice("thresholds", 1, F.size("thresholds") - 1)),
+        4: ("rights", F.transform("rights", lambda c, i: F.when(i == 0, -7).otherwise(c).cast("int"))),
+    }
+    width = v_feature(spark, d).select(F.max(F.size("x"))).first()[0] or 0
+    rows = good.withColumn("one", first)
+    for n, (column, change) in altered.items():
+        bad = good.withColumn("one", first).withColumn(column, F.when(F.col("one"), change).otherwise(F.col(column)).cast(good.schema[column].dataType)).withColumn("digest", F.concat(F.lit(f"bad{n}-"), "digest"))
+        rows = rows.unionByName(bad)
+    return forest.usable(rows.drop("one"), width)
 
 
 WINDOWS_SQL = "WITH w AS (SELECT event_id AS id, 'i' || (user_id // 5) AS digest, value AS score, event_id % 10 < 7 AS train, event_type = 'error' AS attack, value / 3 AS f1, CAST(regexp_extract(props, '[0-9]+') AS DOUBLE) AS f2 FROM events), th AS (SELECT digest, CASE WHEN count(*) < 100 THEN quantile_cont(score, 0.95) ELSE quantile_cont(score, 0.99) END AS theta FROM w WHERE NOT train GROUP BY 1), mx AS (SELECT digest, max(f1) AS m1, max(f2) AS m2 FROM w WHERE train AND f2 < 40 AND f1 < 6 GROUP BY 1), j AS (SELECT w.*, theta, m1, m2, score > theta AS forest, f1 > 2 * m1 OR f2 > 2 * m2 AS guard FROM w JOIN th USING (digest) JOIN mx USING (digest))"
@@ -43,8 +58,7 @@ def windows(spark, d) -> DataFrame:
 
 def thresholds(validation: DataFrame) -> DataFrame:
     """The 99th percentile of the validation scores, linearly interpolated; the 95th below 100 windows."""
-    q = F.when(F.count("*") < 100, F.percentile("score", 0.95)).otherwise(F.percentile("score", 0.99))
-    return validation.groupBy("digest").agg(q.alias("theta"))
+    return quantiles(validation, ["digest"], "score", 0.95, 0.99).where("(n < 100) = (p = 0.95)").select("digest", F.col("value").alias("theta"))
 
 
 @query("ml_threshold", WINDOWS_SQL + " SELECT * FROM th")

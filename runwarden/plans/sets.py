@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import testviews as V
+from ..operators.ranks import nearest_ranks, quantiles
 from .registry import query
 
 ALLOWED = ["CAP_0", "CAP_1", "CAP_2", "CAP_3", "CAP_4", "CAP_5"]
@@ -78,7 +79,7 @@ def set_baselines(spark, d):
 def agg_overhead_table(spark, d):
     """Median, least and greatest per configuration; overhead against `none`, its sign turned for throughput."""
     o = V.load(spark, d, "lineitem").select(F.when(F.col("l_returnflag") == "A", "none").otherwise(F.col("l_returnflag")).alias("config"), F.col("l_linestatus").alias("kind"), F.col("l_quantity").alias("v"))
-    m = o.groupBy("config", "kind").agg(F.percentile("v", 0.5).alias("median"), F.min("v").alias("low"), F.max("v").alias("high"))
+    m = o.groupBy("config", "kind").agg(F.min("v").alias("low"), F.max("v").alias("high")).join(quantiles(o, ["config", "kind"], "v", 0.5).select("config", "kind", F.col("value").alias("median")), ["config", "kind"])
     base = m.where("config = 'none'").select("kind", F.col("median").alias("base"))
     sign = F.when(F.col("kind") == "F", -1).otherwise(1)
     return m.join(base, "kind", "left").select("config", "kind", "median", "low", "high", F.bround((F.col("median") - F.col("base")) / F.col("base") * 100 * sign, 1).alias("overhead"))
@@ -122,36 +123,27 @@ def agg_event_rate(spark, d):
     return n.crossJoin(F.broadcast(requests)).select("category", (F.col("n") / F.col("requests")).alias("per_request"))
 
 
-def nearest_ranks(rows: DataFrame, key: str, value: str, **percents: float) -> DataFrame:
-    """key and, per name, the value at place round-half-even(q / 100 * (n - 1)): values are counted first, so a key's distinct values are ordered
-    and not its rows."""
-    counts = rows.groupBy(key, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(key)
-    counts = counts.withColumn("n", F.sum("c").over(w)).withColumn("upto", F.sum("c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    at = lambda q: F.min(F.when(F.col("upto") > F.bround(F.lit(q / 100) * (F.col("n") - 1), 0), F.col(value)))
-    return counts.groupBy(key).agg(*(at(q).alias(name) for name, q in percents.items()), (F.sum(F.col(value) * F.col("c")) / F.sum("c")).alias("mean"))
-
-
 @query("agg_latency_percentiles", "WITH r AS (SELECT o_orderpriority AS system, o_totalprice AS v, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice) - 1 AS i, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM orders) SELECT system, max(v) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, max(v) FILTER (i = round_even(0.99 * (n - 1), 0)) AS p99, avg(v) AS mean FROM r GROUP BY 1")
 def agg_latency_percentiles(spark, d):
-    return nearest_ranks(V.load(spark, d, "orders").withColumnRenamed("o_orderpriority", "system"), "system", "o_totalprice", p50=50, p99=99)
+    return nearest_ranks(V.load(spark, d, "orders").withColumnRenamed("o_orderpriority", "system"), ["system"], "o_totalprice", p50=0.5, p99=0.99)
 
 
 @query("agg_trust_latency", "WITH r AS (SELECT CASE WHEN c_mktsegment = 'BUILDING' THEN 'key' WHEN c_mktsegment = 'MACHINERY' THEN 'comp' ELSE 'other' END AS changed, c_acctbal AS v FROM customer), n AS (SELECT changed, v, row_number() OVER (PARTITION BY changed ORDER BY v) - 1 AS i, count(*) OVER (PARTITION BY changed) AS n FROM r) SELECT changed, max(v) FILTER (i = round_even(0.5 * (n - 1), 0)) AS p50, avg(v) AS mean FROM n GROUP BY 1")
 def agg_trust_latency(spark, d):
     changed = F.when(F.col("c_mktsegment") == "BUILDING", "key").when(F.col("c_mktsegment") == "MACHINERY", "comp").otherwise("other")
-    return nearest_ranks(V.load(spark, d, "customer").withColumn("changed", changed), "changed", "c_acctbal", p50=50)
+    return nearest_ranks(V.load(spark, d, "customer").withColumn("changed", changed), ["changed"], "c_acctbal", p50=0.5)
 
 
 @query("agg_verify_cost", "SELECT event_type, quantile_cont(value, 0.5) AS p50, quantile_cont(value, 0.99) AS p99 FROM events GROUP BY 1")
 def agg_verify_cost(spark, d):
-    return V.load(spark, d, "events").groupBy("event_type").agg(F.percentile("value", 0.5).alias("p50"), F.percentile("value", 0.99).alias("p99"))
+    q = quantiles(V.load(spark, d, "events"), ["event_type"], "value", 0.5, 0.99)
+    return q.groupBy("event_type").agg(F.max(F.when(F.col("p") == 0.5, F.col("value"))).alias("p50"), F.max(F.when(F.col("p") == 0.99, F.col("value"))).alias("p99"))
 
 
 @query("agg_compile_steps", "SELECT p_type AS step, quantile_cont(p_retailprice, 0.5) AS median_ms FROM part GROUP BY 1")
 def agg_compile_steps(spark, d):
     steps = V.load(spark, d, "part").select(F.explode(F.create_map("p_type", "p_retailprice")).alias("step", "ms"))
-    return steps.groupBy("step").agg(F.percentile("ms", 0.5).alias("median_ms"))
+    return quantiles(steps, ["step"], "ms", 0.5).select("step", F.col("value").alias("median_ms"))
 
 
 @query("agg_prep_summary", "SELECT o_orderpriority AS system, arg_max(o_totalprice, o_orderkey) AS seconds, max(o_orderkey) AS line, count(*) AS n FROM orders GROUP BY 1")
