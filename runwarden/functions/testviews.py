@@ -61,6 +61,23 @@ def v_binding(spark, d) -> DataFrame:
     )
 
 
+#: Links of every image: absolute, relative, chained with `..` after a link, a loop, one over a folder that has declared files, one at a declared file.
+LINKS = [("/lnk0", "/d0"), ("/lnk1", "/d1"), ("/lnk2", "/d2"), ("/lnk3", "/d3"), ("/lnk4", "/d4"), ("/rel", "d5"), ("/hop", "./rel/../d6"), ("/chain", "/hop"), ("/deep", "/d8/sub"), ("/up", "/deep/../own"), ("/loop1", "/loop2"), ("/loop2", "loop1"), ("/d9", "d2"), ("/lnk2/f12", "/elsewhere")]
+
+
+def v_link(spark, d) -> DataFrame:
+    """Symlinks of the images, all in layer 1."""
+    links = F.explode(F.array(*(F.struct(F.lit(a).alias("path"), F.lit(b).alias("target")) for a, b in LINKS)))
+    return load(spark, d, "part").selectExpr("concat('i', p_partkey div 60) AS digest").distinct().select("digest", links.alias("l")).select("digest", "l.path", "l.target", F.lit(1).cast("bigint").alias("layer"))
+
+
+#: What a path of v_link's images really is, for DuckDB.
+REAL = r"""CASE WHEN regexp_matches({p}, '^/loop[12](/|$)') THEN NULL WHEN {p} IN ('/lnk2/f12', '/d2/f12', '/d9/f12') THEN '/elsewhere' ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({p}, '^/lnk([0-4])(/.*)?$', '/d\1\2'),
+ '^/rel(/.*)?$', '/d5\1'), '^/(hop|chain)(/.*)?$', '/d6\2'), '^/deep(/.*)?$', '/d8/sub\1'), '^/up(/.*)?$', '/d8/own\1'), '^/d9(/.*)?$', '/d2\1') END"""
+#: The same for a key: only its folder is resolved.
+KEY = REAL.replace(" WHEN {p} IN ('/lnk2/f12', '/d2/f12', '/d9/f12') THEN '/elsewhere'", "")
+
+
 def v_alert(spark, d) -> DataFrame:
     """Alerts: one per line item."""
     return load(spark, d, "lineitem").selectExpr(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import testviews as V
-from ..operators import graph as G
+from ..operators import graph as G, links as L
+from ..operators.links import resolve_links
 from .registry import query
 
 EDGE_SQL = "WITH RECURSIVE e AS (SELECT DISTINCT digest, src, src + 1 + s % 13 AS dst FROM (SELECT l_partkey // 60 AS digest, l_partkey % 60 + CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS src, l_suppkey AS s FROM lineitem))"
@@ -44,37 +45,6 @@ def gr_closure_reach(spark, d):
     return G.reachable(start, e.select(node("src").alias("src"), node("dst").alias("dst"))).select("id.digest", "id.node")
 
 
-def resolve_links(paths, links, rounds: int = 40):
-    """(digest, path, real): each round replaces the first linked prefix of a path; a path that comes back to where it was, or needs more than
-    `rounds` hops, is a loop: null. Targets are absolute or relative to the link's folder; a link without target gives null."""
-    from ..operators.normalise import normal_path
-
-    todo = paths.select("digest", "path", F.col("path").alias("now"), F.array("path").alias("been"))
-    done = None
-    links = links.select("digest", F.col("path").alias("link"), "target")
-    for _ in range(rounds):
-        parts = F.slice(F.split("now", "/"), 2, 1 << 30)
-        prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.concat(F.lit("/"), F.array_join(F.slice(parts, F.lit(1), n), "/")))
-        each = todo.select("digest", "path", "now", F.explode(prefixes).alias("link")).join(links.withColumn("hit", F.lit(True)), ["digest", "link"])
-        first = each.groupBy("digest", "path").agg(F.min_by(F.struct("link", "target"), F.length("link")).alias("l"))
-        rows = todo.join(first, ["digest", "path"], "left")
-        ended = rows.where("l is null").select("digest", "path", F.col("now").alias("real"))
-        dangling = rows.where("l is not null and l.target is null").select("digest", "path", F.lit(None).cast("string").alias("real"))
-        ended = ended.unionByName(dangling)
-        target_of = "l is not null and l.target is not null"
-        rest = F.substring("now", F.length("l.link") + 1, F.lit(1 << 30))
-        folder = F.regexp_replace("l.link", "/[^/]*$", "")
-        target = F.when(F.col("l.target").startswith("/"), F.col("l.target")).otherwise(F.concat(folder, F.lit("/"), "l.target"))
-        moved = G.written(rows.where(target_of).select("digest", "path", normal_path(F.concat(target, rest)).alias("now"), "been"), "links")
-        again = F.array_contains("been", F.col("now"))
-        ended = ended.unionByName(moved.where(again).select("digest", "path", F.lit(None).cast("string").alias("real")))
-        todo = moved.where(~again).withColumn("been", F.array_append("been", F.col("now")))
-        done = G.written(ended, "resolved") if done is None else done.unionByName(G.written(ended, "resolved"))
-        if todo.isEmpty():
-            break
-    return done.unionByName(todo.select("digest", "path", F.lit(None).cast("string").alias("real")))
-
-
 @query("gr_symlink_resolve", V.with_views("v_file") + " SELECT digest, replace(path, '/d1/', '/alias/') AS path, CASE WHEN k % 10 = 2 THEN NULL WHEN k % 10 = 4 THEN NULL WHEN k % 10 = 3 THEN '/d5/real/f' || k ELSE path END AS real FROM v_file")
 def gr_symlink_resolve(spark, d):
     """/alias leads over /hop to /d1; /d3 is relative; /d2 dangles; /d4 is a loop."""
@@ -84,13 +54,24 @@ def gr_symlink_resolve(spark, d):
     return resolve_links(files, digests.crossJoin(F.broadcast(links)))
 
 
-@query("gr_canonical_keys", V.with_views("v_file") + " SELECT digest, '/d' || (k % 5) || '/f' || (k % 20) AS path, max(layer) AS layer FROM v_file GROUP BY 1, 2")
+#: Files under their own names, through linked folders, and in a folder that is a link.
+GIVEN_SQL = "SELECT digest, k, layer, CASE k % 3 WHEN 0 THEN path WHEN 1 THEN '/lnk' || (k % 5) || '/f' || (k % 20) ELSE '/d' || (k % 10) || '/f' || (k % 20) END AS path FROM v_file"
+
+
+def given_files(spark, d):
+    path = F.expr("CASE k % 3 WHEN 0 THEN path WHEN 1 THEN concat('/lnk', k % 5, '/f', k % 20) ELSE concat('/d', k % 10, '/f', k % 20) END")
+    return V.v_file(spark, d).select("digest", "k", "layer", path.alias("path"))
+
+
+@query(
+    "gr_canonical_keys",
+    V.with_views("v_file") + f", g AS ({GIVEN_SQL}), l AS (SELECT digest, path, 1 AS layer FROM (SELECT DISTINCT digest FROM v_file), (SELECT unnest([{', '.join(repr(a) for a, _ in V.LINKS)}]) AS path)),"
+    + f" o AS (SELECT digest, {V.KEY.format(p='path')} AS key, layer, path, 0 AS link FROM g UNION ALL SELECT digest, CASE path WHEN '/lnk2/f12' THEN '/d2/f12' ELSE path END, layer, path, 1 FROM l)"
+    + " SELECT digest, key AS path, max(layer) AS layer, CASE arg_max(link, layer * 4 + CASE WHEN key = path THEN 2 ELSE 0 END + link) WHEN 1 THEN 'link' ELSE 'file' END AS kind FROM o WHERE key IS NOT NULL GROUP BY 1, 2",
+)
 def gr_canonical_keys(spark, d):
-    """Keys below linked folders move to the real folder (here d5-d9 lead to d0-d4); the higher layer wins, then what was there."""
-    f = V.v_file(spark, d).select("digest", F.concat(F.lit("/d"), F.col("k") % 10, F.lit("/f"), F.col("k") % 20).alias("path"), "layer")
-    folder = F.regexp_extract("path", "^/d([0-9])/", 1).cast("int")
-    real = F.concat(F.lit("/d"), folder % 5, F.regexp_extract("path", "^/d[0-9](/.*)$", 1))
-    return f.groupBy("digest", real.alias("path")).agg(F.max_by("layer", F.struct("layer", folder < 5)).alias("layer"))
+    """Keys below linked folders move to the real folder; of those that meet the higher layer wins, then what was there, then a link."""
+    return L.canonical(given_files(spark, d), V.v_link(spark, d))
 
 
 @query("gr_all_dirs", V.with_views("v_file") + " SELECT DISTINCT digest, '/d' || (k % 10) AS dir FROM v_file UNION SELECT DISTINCT digest, '/' FROM v_file")
@@ -154,11 +135,13 @@ def gr_layer_union(spark, d):
     return layer_union(V.load(spark, d, "lineitem").select(F.expr(f"struct({columns})").alias("e")).select("e.*"))
 
 
-@query("gr_file_owner", V.with_views("v_file") + ", c AS (SELECT digest, '/d' || (k % 10) || '/f' || ((k * 7) % 60) AS path, k AS ord, k % 3 = 0 AS pip, 'own' || k AS name FROM v_file) SELECT f.digest, f.path, arg_max(c.name, (CASE WHEN pip THEN 1000 ELSE 0 END) + ord) AS owner FROM v_file f JOIN c ON c.digest = f.digest AND c.path = f.path GROUP BY 1, 2")
+@query("gr_file_owner", V.with_views("v_file") + f", c0 AS (SELECT digest, CASE k % 4 WHEN 0 THEN '/lnk' || (k % 5) || '/f' || ((k * 7) % 60) WHEN 1 THEN '/rel/f' || ((k * 7) % 60) WHEN 2 THEN '/loop1/f' || k ELSE '/d' || (k % 10) || '/f' || ((k * 7) % 60) END AS path, k AS ord, k % 3 = 0 AS pip, 'own' || k AS name FROM v_file), c AS (SELECT *, {V.KEY.format(p='path')} AS key FROM c0) SELECT f.digest, f.path, arg_max(c.name, (CASE WHEN pip THEN 1000 ELSE 0 END) + ord) AS owner FROM v_file f JOIN c ON c.digest = f.digest AND c.key = f.path GROUP BY 1, 2")
 def gr_file_owner(spark, d):
-    """The last claim wins, pip after dpkg, for paths that exist."""
+    """The last claim wins, pip after dpkg, for files that exist; claims name paths through linked folders."""
     f = V.v_file(spark, d)
-    c = f.selectExpr("digest", "concat('/d', k % 10, '/f', k * 7 % 60) AS path", "k AS ord", "k % 3 = 0 AS pip", "concat('own', k) AS name")
+    path = "CASE k % 4 WHEN 0 THEN concat('/lnk', k % 5, '/f', k * 7 % 60) WHEN 1 THEN concat('/rel/f', k * 7 % 60) WHEN 2 THEN concat('/loop1/f', k) ELSE concat('/d', k % 10, '/f', k * 7 % 60) END AS path"
+    c = f.selectExpr("digest", path, "k AS ord", "k % 3 = 0 AS pip", "concat('own', k) AS name")
+    c = L.with_key(c, L.resolved_folders(c, V.v_link(spark, d))).drop("path").withColumnRenamed("key", "path")
     return f.select("digest", "path").join(c, ["digest", "path"]).groupBy("digest", "path").agg(F.max_by("name", F.struct("pip", "ord")).alias("owner"))
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import testviews as V
-from ..operators import egress as EG, score as S, verify as VF
+from ..operators import egress as EG, links as LK, score as S, verify as VF
 from ..operators.ranks import ordered_places
 from .registry import query
 
@@ -101,12 +101,21 @@ def pred_under_mount(spark, d):
     return writes(spark, d).select("seq", VF.under_mount(F.col("path"), F.col("mounts")).alias("under"))
 
 
-@query("pred_mounts_canonical", V.with_views("v_binding") + " SELECT container_id, list_sort(list_distinct(list_concat(list_transform(mounts, lambda m: CASE WHEN length(rtrim(m, '/')) = 0 THEN '/' ELSE rtrim(m, '/') END), list_transform(mounts, lambda m: '/real' || rtrim(m, '/'))))) AS mounts FROM v_binding")
+#: Mounts of bindings, some through links, one of a loop and one that leads up out of a link.
+MOUNTS = "SELECT container_id, image_digest AS digest, unnest(list_concat(list_transform(mounts, lambda m: CASE WHEN c % 2 = 0 THEN replace(m, '/d', '/lnk') ELSE m END), CASE c % 5 WHEN 0 THEN ['/loop1/x', '/up/y/'] WHEN 1 THEN ['/'] ELSE [] END)) AS m FROM (SELECT *, CAST(substr(container_id, 2) AS BIGINT) AS c FROM v_binding)"
+
+
+@query("pred_mounts_canonical", V.with_views("v_binding") + f", m AS ({MOUNTS}), n AS (SELECT *, CASE WHEN rtrim(m, '/') = '' THEN '/' ELSE rtrim(m, '/') END AS given FROM m), r AS (SELECT container_id, given AS p FROM n UNION SELECT container_id, {V.REAL.format(p='given')} FROM n WHERE digest IN (SELECT 'i' || (p_partkey // 60) FROM part)) SELECT container_id, list_sort(list(p)) AS mounts FROM r WHERE p IS NOT NULL GROUP BY 1")
 def pred_mounts_canonical(spark, d):
-    """Mounts normalised, and their resolved form (here every link points below /real)."""
-    bare = F.transform("mounts", lambda m: F.regexp_replace(m, "(?<=.)/+$", ""))
-    resolved = F.transform("mounts", lambda m: F.concat(F.lit("/real"), F.regexp_replace(m, "/+$", "")))
-    return V.v_binding(spark, d).select("container_id", F.array_sort(F.array_union(bare, resolved)).alias("mounts"))
+    """Each container's mounts as given and as they really are in its image; a loop is only as given."""
+    c = F.expr("CAST(substr(container_id, 2) AS BIGINT)")
+    more = F.when(c % 5 == 0, F.array(F.lit("/loop1/x"), F.lit("/up/y/"))).when(c % 5 == 1, F.array(F.lit("/"))).otherwise(F.array().cast("array<string>"))
+    given = F.concat(F.transform("mounts", lambda m: F.when(c % 2 == 0, F.replace(m, F.lit("/d"), F.lit("/lnk"))).otherwise(m)), more)
+    rows = V.v_binding(spark, d).select("container_id", F.col("image_digest").alias("digest"), F.explode(given).alias("m"))
+    rows = rows.select("container_id", "digest", F.regexp_replace("m", "(?<=.)/+$", "").alias("path"))
+    real = LK.with_real(rows, LK.canonical_links(V.v_link(spark, d)))
+    both = real.select("container_id", F.explode(F.array("path", "real")).alias("p")).where("p is not null")
+    return both.groupBy("container_id").agg(F.array_sort(F.collect_set("p")).alias("mounts"))
 
 
 @query("vfy_write", V.with_views("v_event", "v_file", "v_binding") + WRITES_SQL + " SELECT seq, CASE WHEN under OR f_sha256 IS NULL THEN 'conforming' ELSE 'D_write/declared_file' END AS outcome FROM wm")
@@ -187,16 +196,19 @@ def join_event_binding(spark, d):
     return out.select("seq", F.coalesce("full", "by_bare", "by_prefix").alias("container_id"))
 
 
-@query("join_event_envelope", V.with_views("v_event", "v_file") + """, e AS (SELECT seq, digest, CASE WHEN seq % 2 = 0 THEN path ELSE replace(path, '/d', '/lnk') END AS given FROM v_event)
-SELECT e.seq, coalesce(a.path, c.path) AS path, coalesce(a.sha256, c.sha256) AS sha256 FROM e LEFT JOIN v_file a ON a.digest = e.digest AND a.path = e.given LEFT JOIN v_file c ON c.digest = e.digest AND c.path = replace(e.given, '/lnk', '/d')""")
+GIVEN_SQL = """SELECT seq, digest, CASE seq % 6 WHEN 0 THEN path WHEN 1 THEN '/lnk' || (k % 10) || '/f' || k WHEN 2 THEN '/rel/f' || k WHEN 3 THEN '/chain/f' || k WHEN 4 THEN '/loop1/f' || k ELSE '/d9/f' || k END AS given FROM v_event"""
+
+
+@query("join_event_envelope", V.with_views("v_event", "v_file") + f""", e AS ({GIVEN_SQL}), r AS (SELECT *, {V.REAL.format(p='given')} AS real FROM e)
+SELECT r.seq, coalesce(a.path, c.path) AS path, coalesce(a.sha256, c.sha256) AS sha256 FROM r LEFT JOIN v_file a ON a.digest = r.digest AND a.path = r.given LEFT JOIN v_file c ON c.digest = r.digest AND c.path = r.real""")
 def join_event_envelope(spark, d):
-    """The file by its path as given, else by its canonical path (links are resolved before)."""
+    """The file by its path as given, else by the path that the image's links lead to."""
     f = V.v_file(spark, d).select("digest", "path", "sha256")
-    given = F.when(F.col("seq") % 2 == 0, F.col("path")).otherwise(F.replace("path", F.lit("/d"), F.lit("/lnk")))
-    e = V.v_event(spark, d).select("seq", "digest", given.alias("given")).withColumn("canonical", F.replace("given", F.lit("/lnk"), F.lit("/d")))
+    given = F.expr("CASE seq % 6 WHEN 0 THEN path WHEN 1 THEN concat('/lnk', k % 10, '/f', k) WHEN 2 THEN concat('/rel/f', k) WHEN 3 THEN concat('/chain/f', k) WHEN 4 THEN concat('/loop1/f', k) ELSE concat('/d9/f', k) END")
+    e = LK.with_real(V.v_event(spark, d).select("seq", "digest", given.alias("given")), LK.canonical_links(V.v_link(spark, d)), "given")
     a = f.withColumnsRenamed({"path": "p1", "sha256": "s1"}).withColumn("given", F.col("p1"))
-    c = f.withColumnsRenamed({"path": "p2", "sha256": "s2"}).withColumn("canonical", F.col("p2"))
-    return e.join(a, ["digest", "given"], "left").join(c, ["digest", "canonical"], "left").select("seq", F.coalesce("p1", "p2").alias("path"), F.coalesce("s1", "s2").alias("sha256"))
+    c = f.withColumnsRenamed({"path": "p2", "sha256": "s2"}).withColumn("real", F.col("p2"))
+    return e.join(a, ["digest", "given"], "left").join(c, ["digest", "real"], "left").select("seq", F.coalesce("p1", "p2").alias("path"), F.coalesce("s1", "s2").alias("sha256"))
 
 
 CONTEXT_SQL = DECIDED_SQL + ", ctx AS (SELECT d.*, d.f_sha256 IS NOT NULL AS declared, p.depth FROM decided d LEFT JOIN v_package p ON p.digest = d.digest AND p.purl = d.f_package)"
