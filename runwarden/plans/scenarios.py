@@ -18,17 +18,25 @@ def bucket_rank(b: Column) -> Column:
     return out
 
 
-def scenario_join(truth: DataFrame, alerts: DataFrame, days: int = 1) -> DataFrame:
-    """truth left-joined with its alerts: namespace equal, pod prefix (not empty), closed interval.
+def scenario_candidates(truth: DataFrame, alerts: DataFrame) -> DataFrame:
+    """Pairs of runs and alerts of one namespace, pod prefix and bin of time, by one join on equal keys.
 
-    Time is cut into bins; an interval is repeated for each bin it touches, so the join has equal keys and no nested loop.
+    An alert is looked up once for each length of prefix that occurs (names of pods are bounded, and so are their lengths); bins are as wide as the median run, so that a run is in two bins or so, and most of
+    what meets in a bin belongs together.
     """
-    width = 86400 * days
-    floor = lambda c: F.floor(V.micros(c) / (width * 1_000_000))
-    t = truth.where("pod_prefix <> ''").withColumn("bin", F.explode(F.sequence(floor("start"), floor("stop"))))
-    a = alerts.withColumn("bin", floor("time"))
-    hit = t.join(a, (t.namespace == a.ns) & (t.bin == a.bin)).where("startswith(pod, pod_prefix) and time >= start and time <= stop")
-    return hit.drop(t.bin).drop(a.bin)
+    runs = truth.where("pod_prefix <> ''")
+    found = runs.agg(F.collect_set(F.length("pod_prefix")).alias("lengths"), F.percentile_approx(V.micros("stop") - V.micros("start"), 0.5).alias("median")).first()
+    width = max(found["median"] or 0, 3_600_000_000)
+    floor = lambda c: F.floor(V.micros(c) / width)
+    t = runs.withColumn("bin", F.explode(F.sequence(floor("start"), floor("stop"))))
+    prefixes = F.transform(F.filter(F.array(*map(F.lit, sorted(found["lengths"]))).cast("array<int>"), lambda n: n <= F.length("pod")), lambda n: F.left("pod", n))
+    a = alerts.withColumn("bin", floor("time")).withColumn("prefix", F.explode(prefixes))
+    return t.join(a, (t.namespace == a.ns) & (t.pod_prefix == a.prefix) & (t.bin == a.bin)).drop(t.bin).drop(a.bin).drop("prefix")
+
+
+def scenario_join(truth: DataFrame, alerts: DataFrame) -> DataFrame:
+    """truth joined with its alerts: namespace equal, pod prefix (not empty), closed interval."""
+    return scenario_candidates(truth, alerts).where("time >= start and time <= stop")
 
 
 MATCH = "a.ns = t.namespace AND t.pod_prefix <> '' AND starts_with(a.pod, t.pod_prefix) AND a.time >= t.start AND a.time <= t.stop"
