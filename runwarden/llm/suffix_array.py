@@ -23,6 +23,8 @@ from . import repeats as R
 from .common import Scratch, batches_by_bytes, partitions_of, table
 
 WINDOW, GRAM = 400, 128
+#: Bytes of documents that are scanned together: two sets of names and powers are held for them.
+SCANNED = 1 << 18
 STRETCHES = "key long, name long, name2 long, size long, nth long, hop int, reach int, dk long, packed long, serves boolean"
 
 
@@ -83,7 +85,7 @@ def scan(window: int, gram: int, names: tuple[R.Names, R.Names], keys_only: bool
             for k in [k for k, r in enumerate(raw) if len(r) > R.PIECE]:
                 yield from long_text(raw[k], dk[k : k + 1], tag[k : k + 1])
                 raw[k] = b""
-            for i, j in R.blocks([len(r) for r in raw]):
+            for i, j in R.blocks([len(r) for r in raw], SCANNED):
                 cols = one(np.frombuffer(b"".join(raw[i:j]), np.uint8), np.cumsum([0, *(len(r) for r in raw[i:j])]), dk[i:j], tag[i:j])
                 if cols:
                     yield pa.RecordBatch.from_arrays(cols, names=columns)
