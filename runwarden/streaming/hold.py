@@ -112,8 +112,13 @@ class Hold(StatefulProcessor):
 
 
 def held(rows: DataFrame, grace_ns: int, late: str, late_again: str, drop: bool, most: int = MOST) -> DataFrame:
-    """(cid, seq, t_ns, outcome, n) of a stream rows (cid, seq, t_ns, what), what being `event` or `open`; the clock is the greatest time of any row that has come."""
-    timed = rows.withColumn("at", F.timestamp_micros(F.floor(F.col("t_ns") / 1000).cast("long"))).withWatermark("at", "0 seconds")
+    """(cid, seq, t_ns, outcome, n) of a stream rows (cid, seq, t_ns, what), what being `event` or `open`; the clock is the greatest time of any row that has come.
+
+    Spark drops rows that are behind the watermark. So a row's time travels in a second row, a `tick`, that may be dropped, and the row itself has no event time and is never late.
+    """
+    at = F.timestamp_micros(F.floor(F.col("t_ns") / 1000).cast("long"))
+    pair = F.array(F.struct("what", F.lit(None).cast("timestamp").alias("at")), F.struct(F.lit("tick").alias("what"), at.alias("at")))
+    timed = rows.select("cid", "seq", "t_ns", F.explode(pair).alias("r")).select("cid", "seq", "t_ns", "r.what", "r.at").withWatermark("at", "0 seconds")
     return timed.groupBy("cid").transformWithStateInPandas(Hold(grace_ns, most, late, late_again, drop), OUT, "Append", "EventTime")
 
 

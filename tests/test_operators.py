@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from runwarden.operators import detector, forest, graph, normalise, score, verify
+from runwarden.operators import detector, egress, forest, graph, normalise, score, verify
 from runwarden.operators.sequence import chains, greedy_starts
 from runwarden.operators.windows import behaviour_windows
 from runwarden.plans.graphs import resolve_links
@@ -52,10 +52,10 @@ def test_mounts(spark):
 @pytest.mark.parametrize("many", [False, True])
 def test_egress(spark, many):
     entries = ["10.0.0.0/8", "192.168.0.0/16:443", "*:53", "203.0.113.7"] + [f"172.16.{i % 256}.{i // 256}:1" for i in range(10_001 * many)]
-    rules = verify.egress_rules(spark.createDataFrame([(e,) for e in entries], "entry string"))
+    rules = egress.rules_of(spark.createDataFrame([(e,) for e in entries], "entry string"))
     cases = [("10.9.9.9", 1, True), ("192.168.1.1", 443, True), ("192.168.1.1", 80, False), ("8.8.8.8", 53, True), ("203.0.113.9", 4444, False), ("203.0.113.7", 9, True), ("bad", 53, True), (None, 80, False)]
     df = spark.createDataFrame([(i, a, p) for i, (a, p, _) in enumerate(cases)], "i int, daddr string, dport int")
-    got = {r.i: r.allowed for r in verify.egress_allowed(df, rules).collect()}
+    got = {r.i: r.allowed for r in egress.allowed(df, rules).collect()}
     assert [got[i] for i in range(len(cases))] == [c[-1] for c in cases]
 
 
@@ -255,31 +255,35 @@ def test_detector_judges(spark):
     assert detector.judge(base.limit(1), base, trees=20).count() == 0
 
 
+SOURCE = "cid string, seq long, t_ns long, what string"
+SECOND = 1_000_000_000
+
+
 def test_hold_keeps_order(spark, tmp_path):
-    src = str(tmp_path / "in")
-    spark.createDataFrame([("a", 2, 2, "event"), ("a", 1, 1, "event"), ("b", 1, 1, "event")], "cid string, seq long, t_ns long, what string").write.parquet(src)
-    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
-    stream = lambda: hold.until_bound(spark.readStream.schema("cid string, seq long, t_ns long, what string").parquet(src))
-    sinks.append(stream(), out, ck)
-    assert spark.read.parquet(out).count() == 0
-    spark.createDataFrame([("a", 9, 9, "bound"), ("a", 5, 5, "event")], "cid string, seq long, t_ns long, what string").write.mode("append").parquet(src)
-    sinks.append(stream(), out, ck)
-    assert [(r.cid, r.seq) for r in spark.read.parquet(out).orderBy("seq").collect()] == [("a", 1), ("a", 2), ("a", 5)]
+    src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
+    put = lambda rows: spark.createDataFrame([(c, s, t * SECOND, w) for c, s, t, w in rows], SOURCE).write.mode("append").parquet(src)
+    stream = lambda: hold.until_bound(spark.readStream.schema(SOURCE).parquet(src), 1000 * SECOND)
+    put([("a", 2, 2, "event"), ("a", 1, 1, "event"), ("b", 1, 9, "event")])
+    assert hold.run(stream(), out, ck).count() == 0
+    # Times that are behind the stream's clock are late, and are neither dropped nor given earlier than what came before.
+    put([("a", 9, 3, "open"), ("a", 5, 5, "event")])
+    hold.run(stream(), out, ck)
+    put([("b", 7, 1, "event"), ("b", 8, 2, "open")])
+    hold.run(stream(), out, ck)
+    assert sorted((r.cid, r.seq) for r in spark.read.parquet(out).collect()) == [("a", 1), ("a", 2), ("a", 5), ("b", 1), ("b", 7)]
 
 
 def test_hold_releases_before_it_trims(spark, tmp_path):
-    """A bound container gives all its events, however many come at once; what an unbound one loses is counted."""
+    """An open container gives all its events, however many come at once; what a closed one loses is counted."""
     src, out, ck = (str(tmp_path / x) for x in ("in", "out", "ck"))
-    schema = "cid string, seq long, t_ns long, what string"
-    rows = [(c, i, i, "event") for c in "abd" for i in range(5 if c != "d" else 3)] + [("a", 9, 9, "bound")]
-    spark.createDataFrame(rows, schema).write.parquet(src)
-    stream = lambda: hold.until_bound(spark.readStream.schema(schema).parquet(src), 3)
-    sinks.append(stream(), out, ck)
-    spark.createDataFrame([("b", 9, 9, "bound"), ("d", 9, 9, "bound")], schema).write.mode("append").parquet(src)
-    sinks.append(stream(), out, ck)
-    got = spark.read.parquet(out).collect()
-    assert sorted((r.cid, r.seq) for r in got if r.seq is not None) == [("a", i) for i in range(5)] + [("b", i) for i in (2, 3, 4)] + [("d", i) for i in range(3)]
-    assert [(r.cid, r.lost) for r in got if r.seq is None] == [("b", 2)]
+    stream = lambda: hold.until_bound(spark.readStream.schema(SOURCE).parquet(src), 1000 * SECOND, 3)
+    rows = [(c, i, i * SECOND, "event") for c in "abd" for i in range(5 if c != "d" else 3)] + [("a", 9, 9 * SECOND, "open")]
+    spark.createDataFrame(rows, SOURCE).write.parquet(src)
+    hold.run(stream(), out, ck)
+    spark.createDataFrame([("b", 9, 10 * SECOND, "open"), ("d", 9, 10 * SECOND, "open")], SOURCE).write.mode("append").parquet(src)
+    got = hold.run(stream(), out, ck).collect()
+    assert sorted((r.cid, r.seq) for r in got if r.outcome == "released") == [("a", i) for i in range(5)] + [("b", i) for i in (2, 3, 4)] + [("d", i) for i in range(3)]
+    assert [(r.cid, r.n) for r in got if r.outcome == "lost"] == [("b", 2)]
 
 
 def test_windows_batch_equals_any_partitioning(spark):
