@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import repeats as R
-from .common import Scratch, batches_by_bytes, partitions_of, table
+from .common import Scratch, batches_by_bytes, partitions_of, table, trimmed
 
 WINDOW, GRAM = 400, 128
 #: Bytes of documents that are scanned together: two sets of names and powers are held for them.
@@ -268,24 +268,24 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) ->
     scratch, names, other = Scratch(docs.sparkSession, "suffix-array"), R.Names(), R.Names()
     docs, again = one_of_each(scratch, docs, window)
     rows = docs.select("dk", "tag", "text")
-    census = rows.mapInArrow(scan(window, gram, (names, other), True), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    census = rows.mapInArrow(trimmed(scan(window, gram, (names, other), True)), "key long").groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     census = scratch.put(census, "census")  # a table of its own, so that the join with it can be split where a key is hot
-    live = scratch.put(rows.mapInArrow(scan(window, gram, (names, other), False), STRETCHES).join(census, "key", "left_semi"), "stretches")
+    live = scratch.put(rows.mapInArrow(trimmed(scan(window, gram, (names, other), False)), STRETCHES).join(census, "key", "left_semi"), "stretches")
     scratch.drop(census)
     spans = ranked_spans(scratch, live, window)
     packed = F.col("packed")
     serving = live.where("serves").select("dk", R.tag_of(packed).alias("tag"), "key", R.low_of(packed).alias("start"), (R.high_of(packed) + window).alias("stop"), F.lit(0).alias("span"))
     others = spans.where("not is_head").select("dk", "tag", F.lit(0).cast("long").alias("key"), "start", "stop", F.lit(1).alias("span"))
     both = serving.unionByName(others).repartition(partitions_of(docs), "dk", "tag").sortWithinPartitions("dk", "tag")
-    left = scratch.put(both.mapInArrow(_uncovered(window), SHIPPED), "uncovered")
+    left = scratch.put(both.mapInArrow(trimmed(_uncovered(window)), SHIPPED), "uncovered")
     scratch.drop(live)
     many = scratch.put(left.groupBy("key").agg(F.count("*").alias("different")).where("different > 1"), "crowds")
     picks = left.join(many, "key").select("dk", "tag", F.struct("key", "low", "high", (F.col("different") > R.CROWD).alias("crowded")).alias("pick"))
     picks = picks.groupBy("dk", "tag").agg(F.collect_list("pick").alias("picks"))
     chosen = docs.join(picks, ["dk", "tag"]).select("dk", "tag", "text", "picks")
-    sent = chosen.mapInArrow(R.Sender(window, _Bytes, _window_names(window, (names, other))), R.SENT)
+    sent = chosen.mapInArrow(trimmed(R.Sender(window, _Bytes, _window_names(window, (names, other)))), R.SENT)
     sent = sent.repartition(partitions_of(docs), "key").sortWithinPartitions("key")
-    found = sent.mapInArrow(R.Receiver(window, doubled_repeats(window, gram, names)), R.RANGES)
+    found = sent.mapInArrow(trimmed(R.Receiver(window, doubled_repeats(window, gram, names))), R.RANGES)
     ranges = scratch.put(spans.select("dk", "tag", "start", "stop").unionByName(found).unionByName(again), "ranges")
     scratch.drop(spans, left, many)
     return ranges
@@ -318,7 +318,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> Dat
     that repeat each other. Only id and text of docs are looked at. An empty table gives no rows.
     """
     rows = R.keyed(docs)
-    return R.with_ranges(rows, repeated_ranges(rows, window, gram)).mapInArrow(_assembled, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return R.with_ranges(rows, repeated_ranges(rows, window, gram)).mapInArrow(trimmed(_assembled), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def repeat_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM) -> DataFrame:
