@@ -5,7 +5,7 @@ files and keeps, per digest, in RocksDB-backed state without expiry: the largest
 rows have come. State is checkpointed in the shared folder, so a restarted query goes on where it stopped, and rows
 that come later meet what is kept.
 
-Hits (digests with more than one row) are then checked in full: the rows of hits alone are read back, and of each digest the least and the
+Hits (digests with more than one row) are then checked in full: the documents are read and digested again, rows of hits are kept, and of each digest the least and the
 greatest normalised text are taken, in every task first, so that a group of copies is one row when it is shuffled. Where these two are the same bytes,
 all are. A digest that different texts share (tests use a weak one) is regrouped by whole texts.
 """
