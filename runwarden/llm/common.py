@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import ctypes
 import tempfile
 import uuid
 
@@ -94,20 +93,6 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def trimmed(run):
-    """run, a function of batches, after which its worker gives freed memory back to the system: workers live on from task to task, and several share an executor's memory."""
-
-    def task(batches):
-        try:
-            yield from run(batches)
-        finally:
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-            if trim:
-                trim(0)
-
-    return task
-
-
 def partitions_of(df: DataFrame) -> int:
     """How many partitions a shuffle of this session has."""
     return int(session(df).conf.get("spark.sql.shuffle.partitions"))
