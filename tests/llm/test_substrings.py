@@ -1,6 +1,7 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -180,3 +181,21 @@ def test_spans(docs, rows):
     total = sum(r.end_word - r.start_word for r in spans)
     assert total == sum(r[2] for r in by_words(rows, 35))
     assert sum(r.end_byte - r.start_byte for r in suffix_array.repeat_spans(docs).collect()) == sum(r[2] for r in by_bytes(rows, 400))
+
+
+def test_contexts_are_decided_in_small_blocks():
+    """Windows of many keys that come in one batch need arrays for some of them at a time; a key's texts stay together."""
+    rng = np.random.default_rng(3)
+    window, n = 400, 6000
+    ctx = [rng.bytes(650) for _ in range(n)]
+    for i in range(0, n, 10):
+        ctx[i + 1] = ctx[i][100:600] + bytes([ctx[i][600] ^ 1]) + ctx[i + 1][501:]
+    row = lambda v: np.full(n, v)
+    batch = repeats.send(n, np.repeat(np.arange(n // 10), 10), 0, ctx, row(7), row(251), row(0), row(1), np.arange(n), row(0))
+    run = repeats.Receiver(window, suffix_array.doubled_repeats(window, 128, repeats.Names()))
+    tracemalloc.start()
+    got = sorted((d, s, e) for r in run(iter([batch])) for d, _, s, e in zip(*(c.to_pylist() for c in r.columns), strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == sorted(x for i in range(0, n, 10) for x in ((i, 107, 607), (i + 1, 7, 507)))
+    assert peak < 120e6
