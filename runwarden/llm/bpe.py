@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import table, texts
+from .common import freed, table, texts
 
 #: Entries kept in a worker's memo of pieces and of pairs; a full memo is started anew.
 MEMO = 400_000
@@ -252,7 +252,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
 
     def run(batches):
         t = tokenizer(*shared.value)
-        for b in (whole.slice(i, ROWS) for whole in batches for i in range(0, whole.num_rows, ROWS)):
+        for b in (whole.slice(i, ROWS) for whole in freed(batches) for i in range(0, whole.num_rows, ROWS)):
             ids, shas = [], []
             for x in b.column(1).to_pylist():
                 own = t.encode(x)

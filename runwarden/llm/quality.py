@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from .common import small_batches, table, texts
+from .common import freed, small_batches, table, texts
 
 BUCKETS, DIMS, MARKS = 1 << 15, 48, 6
 #: The bucket of words that repeat what stands before them.
@@ -226,7 +226,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
 
     def run(batches):
         m = shared.value
-        for b in batches:
+        for b in freed(batches):
             s = m.score(b.column(b.num_columns - 1).to_pylist()) if b.num_rows else np.empty(0)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s)], names=[*b.schema.names[:-1], "score"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from .common import partitions_of, staged, table, texts
+from .common import freed, partitions_of, staged, table, texts
 from .components import UnionFind, connected_components
 
 SEED, SHINGLE, THRESHOLD, BITS = 42, 3, 3, 31
@@ -52,7 +52,7 @@ def fingerprints(rows: DataFrame) -> DataFrame:
     """(doc_id, fp) of (doc_id, text): ids of any type; fp is the fingerprint's 64 bits as a signed long. The empty text's fingerprint is zero."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in freed(batches):
             values = np.array([fingerprint_of(t) for t in b.column(1).to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(values.view(np.int64))], names=["doc_id", "fp"])
 
@@ -91,7 +91,7 @@ def anchors_near(v: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _replicate(batches):
-    for b in batches:
+    for b in freed(batches):
         fp = b.column(0).to_numpy().view(np.uint64)
         for half in (0, 1):
             word = (fp >> np.uint64(32 * half)) & np.uint64((1 << BITS) - 1)
@@ -137,7 +137,7 @@ def _compare(batches):
         rest = bounds[until]
         keys, fps, homes = ([x[rest:]] if rest < len(k) else [] for x in (k, f, h))
 
-    for b in batches:
+    for b in freed(batches):
         keys.append(np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(3)], axis=1))
         fps.append(b.column(3).to_numpy().view(np.uint64))
         homes.append(b.column(4).to_numpy(zero_copy_only=False))

@@ -1,13 +1,19 @@
 import hashlib
 import random
+import subprocess
+import sys
+from pathlib import Path
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField
 
-from runwarden.llm import bpe, mixing, quality, secrets, stages, urls
+from runwarden.llm import bpe, common, mixing, quality, secrets, simhash, stages, urls
 
 
 @pytest.fixture(scope="module")
@@ -397,3 +403,46 @@ def test_pipeline_against_plain_stages(spark, tmp_path, vocabulary):
     times = {r.doc_id: r.whole + (r.part > 0 and 2 * r.part >= r.size) for r in mixed}
     want = sorted((r[0], len(vocabulary[2].encode_ordinary(r[1]))) for r in left for _ in range(times[r[0]]))
     assert sorted((r.doc_id, r.n_tokens) for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == want
+
+
+def test_workers_of_the_pipeline_give_memory_back(monkeypatch, vocabulary):
+    """What a batch's work has freed is returned before the next batch: idle workers of earlier stages count as an executor's memory too."""
+    freed = []
+    monkeypatch.setattr(common, "give_back", lambda: freed.append(1))
+    batches = [pa.RecordBatch.from_pydict({"doc_id": [i], "text": ["a b c"]}) for i in range(3)]
+    path, _, _ = vocabulary
+
+    class Docs:
+        columns, sparkSession, schema = ["doc_id"], None, {"doc_id": StructField("doc_id", LongType())}
+
+        def mapInArrow(self, run, schema):
+            assert sum(b.num_rows for b in run(iter(batches))) == 3
+
+    monkeypatch.setattr(bpe, "texts", lambda docs, *_: docs)
+    monkeypatch.setattr(bpe, "_shared", lambda *_: SimpleNamespace(value=("pipeline", bpe.read_ranks(path), public_tokenizers.PATTERN)))
+    bpe.tokenized(Docs(), path, public_tokenizers.PATTERN)
+    assert len(freed) == 3
+    simhash.fingerprints(Docs())
+    assert len(freed) == 6
+
+
+def test_memory_that_was_freed_is_given_back():
+    """A worker's arrays and buffers do not stay with it once they are gone."""
+    code = """
+import re
+import numpy as np, pyarrow as pa
+from runwarden.llm.common import freed
+def own():
+    return sum(map(int, re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+def batches():
+    for _ in range(2):
+        yield pa.RecordBatch.from_arrays([pa.array([0])], names=["a"])
+before, kept = own(), []
+for b in freed(batches()):
+    work = [bytes(2000) for _ in range(50_000)], [pa.array(np.ones(20_000)) for _ in range(200)]
+    kept.append([bytes(2000) for _ in range(10)])
+    del work
+print(own() - before)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True, cwd=Path(__file__).parents[2])
+    assert float(out.stdout.split()[-1]) < 40
