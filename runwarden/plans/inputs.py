@@ -168,7 +168,7 @@ def snk_detection_ids(spark, d):
     half = e.agg(F.expr("percentile_approx(t_ns, 0.5)")).first()[0] or 0
     first = sinks.numbered(e.where(F.col("t_ns") < half), 0, "t_ns", "seq")
     last = first.agg(F.coalesce(F.max("number"), F.lit(0))).first()[0]
-    return first.unionByName(sinks.numbered(e.where(F.col("t_ns") >= half), last, "t_ns", "seq")).select("seq", F.concat(F.lit("det-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"))
+    return first.unionByName(sinks.numbered(e.where((F.col("t_ns") >= half) | F.col("t_ns").isNull()), last, "t_ns", "seq")).select("seq", F.concat(F.lit("det-"), F.lpad(F.col("number").cast("string"), F.greatest(F.lit(4), F.length(F.col("number").cast("string"))), F.lit("0"))).alias("id"))
 
 
 @query("snk_alert_once", V.with_views("v_event") + " SELECT seq FROM v_event WHERE kind = 'exec'")

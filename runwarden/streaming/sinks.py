@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
+from ..operators.ranks import ordered_places
 from ..operators.sequence import chained
 
 
@@ -48,12 +49,9 @@ def replace_partitions(rows: DataFrame, out: str, key: str) -> None:
 
 
 def numbered(rows: DataFrame, last: int, *order: str) -> DataFrame:
-    """rows with consecutive numbers after `last`, in order: places within parts of the sorted rows, and where each part begins."""
-    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id())
-    nth = F.row_number().over(Window.partitionBy("part").orderBy(*order))
-    n = placed.groupBy("part").agg(F.count("*").alias("n"))
-    begins = n.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
-    return placed.withColumn("nth", nth).join(F.broadcast(begins), "part").withColumn("number", F.col("begin") + F.col("nth") + last).drop("part", "nth", "begin")
+    """rows with consecutive numbers after `last`, in order, nulls last. Places come from a written table: ids of partitions that adaptive execution
+    coalesces are not the same in two passes."""
+    return ordered_places(rows, [F.col(c).asc_nulls_last() for c in order]).withColumn("number", F.col("place") + last).drop("place")
 
 
 CHAIN = "batch long, k long, prev string, hash string, canon string"

@@ -362,3 +362,18 @@ def test_a_line_of_odd_types(spark):
     got = {r.seq: r for r in normalised(spark.createDataFrame(list(enumerate(lines)), "seq long, line string")).collect()}
     assert [got[i].reason for i in range(6)] == ["no_process", "bad_json", "bad_json", "bad_json", "no_capability", None]
     assert got[5].pid is None and got[5].t_ns == 1704067200 * 10**9
+
+
+def test_numbered_when_partitions_coalesce(spark):
+    """Wide rows, whose partitions are coalesced unlike those of their counts, keep every row and number; nulls come last."""
+    confs = {"spark.sql.shuffle.partitions": "16", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "64k", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "16k"}
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(20_000).selectExpr("id AS seq", "CASE WHEN id <> 7 THEN pmod(xxhash64(id), 1000) END AS t_ns", "repeat(sha2(string(id), 256), 4) AS payload")
+        got = sinks.numbered(rows, 9_990, "t_ns", "seq").select("number", "t_ns", "seq").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert [r.number for r in sorted(got, key=lambda r: (r.t_ns is None, r.t_ns or 0, r.seq))] == list(range(9_991, 29_991))
