@@ -377,3 +377,72 @@ def test_numbered_when_partitions_coalesce(spark):
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     assert [r.number for r in sorted(got, key=lambda r: (r.t_ns is None, r.t_ns or 0, r.seq))] == list(range(9_991, 29_991))
+
+
+@pytest.fixture(scope="module")
+def traces(spark):
+    """Windows of three images: of one trace, of five, of one that has most windows and two small ones."""
+    rng = np.random.default_rng(4)
+    sizes = {"one": [20], "five": [9, 12, 15, 8, 30], "uneven": [90, 1, 4]}
+    rows = [(d, f"t{k}", 1000 * k + i, (rng.normal(size=3) * (1 + (k == 2)) + (k == 3)).tolist()) for d, ns in sizes.items() for k, n in enumerate(ns) for i in range(n)]
+    return spark.createDataFrame([*rows, ("lonely", "t0", 1, [0.0] * 3)], "digest string, trace string, id long, x array<double>").repartition(3).cache()
+
+
+def test_left_out_forests(spark, traces):
+    """Scores of forests grown side by side are those of one forest trained for each image and trace left out; windows of images with few traces are sent once."""
+    got = {}
+    for r in detector.scored(detector.dealt(traces, traces.where("trace = 't0'"), 10), 10).collect():
+        got.setdefault((r.digest, r.held, r.role, r.trace), []).append(r.score)
+    want = {}
+    for digest, names in (("one", ["t0"]), ("five", [f"t{k}" for k in range(5)]), ("uneven", ["t0", "t1", "t2"])):
+        rows = traces.where(f"digest = '{digest}'")
+        for held in [None, *names]:
+            grown = forest.train(rows if held is None or len(names) == 1 else rows.where(f"trace <> '{held}'"), 10)
+            for r in forest.score(rows, grown).join(rows, ["digest", "id"]).collect():
+                if held is None:
+                    roles = ["base", *["tested"] * (r.trace == "t0")]
+                else:
+                    roles = ["held", "other"] if len(names) == 1 else ["held" if r.trace == held else "other"]
+                for role in roles:
+                    want.setdefault((digest, held, role, r.trace), []).append(r.score)
+    assert got.keys() == want.keys()
+    assert all(np.allclose(sorted(got[k]), sorted(want[k]), rtol=1e-12) for k in want)
+    assert detector.dealt(traces).count() == traces.where("digest <> 'lonely'").count()
+
+
+def test_left_out_forests_in_parts(spark, traces):
+    """Images cut into many parts and blocks of traces have every window scored once by every forest that is to score it, and the same samples in all parts."""
+    key = lambda r: (r.digest, r.held or "", r.role, r.trace, r.score)
+    whole = sorted(map(key, detector.scored(detector.dealt(traces, traces, 10, 8), 10, 8).collect()))
+    cut = sorted(map(key, detector.scored(detector.dealt(traces, traces, 10, 8, 2, 7), 10, 8).collect()))
+    assert [k[:4] for k in cut] == [k[:4] for k in whole] and len(cut) > 500
+    assert np.allclose([k[4] for k in cut], [k[4] for k in whole], rtol=1e-12)
+
+
+def test_trees_side_by_side():
+    """Trees grown together against one that is grown node by node from the same draws."""
+    x = np.round(np.random.default_rng(6).normal(size=(60, 4)), 1)
+    x[:, 2] = 1
+    sizes, numbers = [60, 25, 2, 1, 60], np.array([0, 3, 4, 5, 9])
+    side = forest.grow(np.ascontiguousarray(x.T), np.concatenate([np.arange(n) for n in sizes]), np.array(sizes), numbers, 5, 8)
+    for k, (n, number) in enumerate(zip(sizes, numbers, strict=True)):
+        nodes, out = [(np.arange(n), 0, 1)], []
+        for rows, depth, place in nodes:
+            low, high = x[rows].min(axis=0), x[rows].max(axis=0)
+            can, node = np.flatnonzero(high > low), [-1, -1, -1, 0.0, len(rows)]
+            if depth < 5 and len(can):
+                draw = forest.mixed(8, number, place)
+                f = int(forest.unit(draw)[0] * 4)
+                f = f if f in can else can[int(forest.unit(forest.mixed(draw, 2))[0] * len(can))]
+                t = low[f] + forest.unit(forest.mixed(draw, 1))[0] * (high[f] - low[f])
+                node = [len(nodes), len(nodes) + 1, f, t if t < high[f] else low[f], len(rows)]
+                go = x[rows, f] <= node[3]
+                nodes += [(rows[go], depth + 1, 2 * place), (rows[~go], depth + 1, 2 * place + 1)]
+            out.append(node)
+        a, b = side.first[k], side.first[k + 1]
+        assert [list(r) for r in zip(side.lefts[a:b], side.rights[a:b], side.features[a:b], side.thresholds[a:b], side.sizes[a:b], strict=True)] == out
+        for i in range(0, 60, 7):
+            at, d = 0, 0
+            while out[at][0] >= 0:
+                at, d = out[at][0] if x[i, out[at][2]] <= out[at][3] else out[at][1], d + 1
+            assert side.path_lengths(np.array([k]), np.ascontiguousarray(x.T), np.array([i]))[0] == d + forest.average_path(out[at][4])
