@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import testviews as V
+from ..operators.advisories import matches
+from ..operators.forest import spread
 from ..operators.normalise import purl_identity
 from .registry import query
 
@@ -184,11 +186,11 @@ def tru_digest_audit(spark, d):
 @query("join_advisory_package", "WITH a AS (SELECT s_suppkey AS adv, 'n' || (s_suppkey % 30) AS name, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE 'ns' || (s_suppkey % 2) END AS ns, CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE ['1.' || (s_suppkey % 5), '1.9'] END AS versions FROM supplier), p AS (SELECT p_partkey, 'n' || (p_partkey % 60) AS name, CASE WHEN p_partkey % 5 = 0 THEN NULL ELSE 'ns' || (p_partkey % 2) END AS ns, '1.' || (p_size % 10) AS version FROM part) SELECT adv, p_partkey FROM a JOIN p ON a.name = p.name AND (a.ns IS NULL OR p.ns IS NULL OR a.ns = p.ns) AND (versions IS NULL OR list_contains(versions, version))")
 def join_advisory_package(spark, d):
     """Name equal, namespace equal or either unknown, version listed or none listed."""
-    a = V.load(spark, d, "supplier").selectExpr("s_suppkey AS adv", "concat('n', s_suppkey % 30) AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('ns', s_suppkey % 2) END AS ans", "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE array(concat('1.', s_suppkey % 5), '1.9') END AS versions")
-    purl = V.load(spark, d, "part").selectExpr("p_partkey", "concat('pkg:t/', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('ns', p_partkey % 2, '/') END, 'n', p_partkey % 60, '@1.', p_size % 10) AS purl")
-    p = purl.select("p_partkey", *(c.alias(n) for n, c in purl_identity(F.col("purl")).items()))
-    rows = a.join(p, "name").where("(ans is null or namespace is null or ans = namespace) and (versions is null or array_contains(versions, version))")
-    return rows.select("adv", "p_partkey")
+    a = V.load(spark, d, "supplier").selectExpr("s_suppkey AS adv", "concat('n', s_suppkey % 30) AS name", "CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE concat('ns', s_suppkey % 2) END AS namespace", "CASE WHEN s_suppkey % 4 = 0 THEN NULL ELSE array(concat('1.', s_suppkey % 5), '1.9') END AS versions")
+    # Dealt out first: names take long to read from the few bytes of a file.
+    purl = spread(V.load(spark, d, "part").select("p_partkey", "p_size"), "p_partkey").selectExpr("p_partkey AS package", "concat('pkg:t/', CASE WHEN p_partkey % 5 = 0 THEN '' ELSE concat('ns', p_partkey % 2, '/') END, 'n', p_partkey % 60, coalesce(concat('@1.', p_size % 10), '')) AS purl")
+    p = purl.select("package", *(c.alias(n) for n, c in purl_identity(F.col("purl")).items()))
+    return matches(a, p).withColumnRenamed("package", "p_partkey")
 
 
 @query("join_finding_layers", V.with_views("v_file") + " SELECT digest, package, list_sort(list(DISTINCT layer)) AS layers FROM v_file WHERE package LIKE '%p1@%' GROUP BY 1, 2")
